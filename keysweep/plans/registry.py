@@ -20,6 +20,7 @@ from keysweep.operators import detect as D
 from keysweep.operators import rollup as R
 from keysweep.plans import sqlgen as Q
 from keysweep.sources import tables as S
+from keysweep.sources.derived import duckdb_sql as derived_sql
 
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -80,3 +81,184 @@ def q_repo_risk(spark, sf_dir):
 def q_detect(spark, sf_dir):
     """Every match of every catalog rule, one row each (value masked)."""
     return D.detections(S.seeded_documents(spark, sf_dir)).select(*FILE_KEYS, "type", "line", "column", "value")
+
+
+# Shared SQL pieces (oracle side).
+def _det_sql(files_sql: str | None = None, **kw) -> str:
+    return Q.detections(files_sql or Q.files(), **kw)
+
+
+_RAW_SQL = f"""(SELECT h.repository, h.branch, h.path, h.line, h."column", h.raw, c.type, c.severity
+  FROM {Q.raw_hits(Q.files())} h JOIN {Q.catalog_values()} c ON h.rule_id = c.rule_id)"""
+
+
+def _with_raw(spark, sf_dir):
+    files = S.seeded_documents(spark, sf_dir)
+    return D.enrich(D.detect_raw(files), D.catalog_df(spark))
+
+
+@register("line_column", f"""SELECT repository, branch, path, type, line, "column",
+  CAST("column" + length(raw) - 1 AS INTEGER) AS end_column FROM {_RAW_SQL} r""")
+def q_line_column(spark, sf_dir):
+    """1-based line and column (code points) of each match, and its last column."""
+    h = _with_raw(spark, sf_dir)
+    return h.select(*FILE_KEYS, "type", F.col("line").cast("int").alias("line"),
+                    F.col("column").cast("int").alias("column"),
+                    (F.col("column") + F.length("raw") - 1).cast("int").alias("end_column"))
+
+
+@register("mask_value", f"""SELECT repository, branch, path, type, line, "column", {Q.mask_value('raw')} AS value,
+  CAST(length(raw) AS INTEGER) AS value_length FROM {_RAW_SQL} r""")
+def q_mask_value(spark, sf_dir):
+    """Masked value (ends only, by length) and the original length."""
+    from keysweep.functions.mask import mask_value
+    h = _with_raw(spark, sf_dir)
+    return h.select(*FILE_KEYS, "type", F.col("line").cast("int").alias("line"),
+                    F.col("column").cast("int").alias("column"), mask_value(F.col("raw")).alias("value"),
+                    F.length("raw").alias("value_length"))
+
+
+@register("enrich", f"SELECT * FROM {_det_sql()} d")
+def q_enrich(spark, sf_dir):
+    """The full detection record with catalog fields."""
+    return D.detections(S.seeded_documents(spark, sf_dir))
+
+
+@register("file_severity", f"""
+WITH files AS ({Q.files()}), det AS {_det_sql()},
+fr AS (SELECT repository, branch, path, count(*) AS n, max({Q.severity_rank()}) AS rk FROM det GROUP BY ALL)
+SELECT f.repository, f.branch, f.path, CAST(coalesce(fr.n, 0) AS BIGINT) AS detections, {Q.rank_label('fr.rk')} AS severity
+FROM files f LEFT JOIN fr ON f.repository = fr.repository AND f.branch = fr.branch AND f.path = fr.path""")
+def q_file_severity(spark, sf_dir):
+    """A1: max severity per file; files without hits are 'none'."""
+    files = S.seeded_documents(spark, sf_dir)
+    fr = (D.detections(files).groupBy(*FILE_KEYS)
+          .agg(F.count(F.lit(1)).alias("n"), F.max(R.severity_rank()).alias("rk")))
+    j = files.select(*FILE_KEYS).join(fr, FILE_KEYS, "left")
+    return j.select(*FILE_KEYS, F.coalesce("n", F.lit(0)).cast("bigint").alias("detections"),
+                    R.rank_label(F.col("rk")).alias("severity"))
+
+
+@register("severity_counts", f"""SELECT repository, branch, {Q.severity_counts()} FROM {_det_sql()} d GROUP BY ALL""")
+def q_severity_counts(spark, sf_dir):
+    """A3: critical/high/medium/low counts per repository (repos with hits)."""
+    return D.detections(S.seeded_documents(spark, sf_dir)).groupBy(*REPO_KEYS).agg(*R._severity_counts())
+
+
+@register("risk_score", f"""SELECT repository, branch, critical, high, medium, low, {Q.risk_score()} AS risk_score
+FROM (SELECT repository, branch, {Q.severity_counts()} FROM {_det_sql()} d GROUP BY ALL) s""")
+def q_risk_score(spark, sf_dir):
+    """min(100, 10c + 5h + 2m + l) per repository."""
+    s = D.detections(S.seeded_documents(spark, sf_dir)).groupBy(*REPO_KEYS).agg(*R._severity_counts())
+    return s.select(*REPO_KEYS, *C.SEVERITIES, R.risk_score(*(F.col(x) for x in C.SEVERITIES)).alias("risk_score"))
+
+
+@register("compliance", f"""SELECT repository, branch, risk_score, {Q.compliance('risk_score')} AS compliance_status
+FROM (SELECT repository, branch, critical, high, {Q.risk_score()} AS risk_score
+      FROM (SELECT repository, branch, {Q.severity_counts()} FROM {_det_sql()} d GROUP BY ALL) s) t""")
+def q_compliance(spark, sf_dir):
+    """Compliance status from score and critical/high counts."""
+    s = D.detections(S.seeded_documents(spark, sf_dir)).groupBy(*REPO_KEYS).agg(*R._severity_counts())
+    score = R.risk_score(*(F.col(x) for x in C.SEVERITIES))
+    return s.select(*REPO_KEYS, score.alias("risk_score"),
+                    R.compliance(score, F.col("critical"), F.col("high")).alias("compliance_status"))
+
+
+# ---------------------------------------------------------------------------
+# Order 2: file filters, sources, coverage.
+# ---------------------------------------------------------------------------
+
+from keysweep.operators import filters as FL  # noqa: E402
+from keysweep.operators import quality as QL  # noqa: E402
+from keysweep.functions.regex import sql_string  # noqa: E402
+
+DEMO_MAX_SIZE = 16384      # F3/F6 queries: a size limit that the test corpus crosses
+DEMO_MAX_FILES = 5         # F5 query: a per-repository file cap that the test corpus crosses
+
+_BIN = sql_string(FL.binary_regex())
+_SKIP = sql_string(FL.skip_dir_regex())
+_UTF16 = "(length({0}) + length(regexp_replace({0}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))"
+_REPO_FILES = f"({Q.files('repo_files')})"
+
+
+def _kept_sql(max_size: int = C.MAX_FILE_SIZE) -> str:
+    return (f"(SELECT * FROM {_REPO_FILES} f WHERE NOT regexp_matches(lower(path), {_BIN}) "
+            f"AND NOT regexp_matches(path, {_SKIP}) AND content IS NOT NULL AND content <> '' "
+            f"AND {_UTF16.format('content')} <= {max_size})")
+
+
+def _capped_sql(max_files: int = C.MAX_FILES_PER_SCAN, max_size: int = C.MAX_FILE_SIZE) -> str:
+    return (f"(SELECT repository, branch, path, content, size FROM (SELECT *, row_number() OVER "
+            f"(PARTITION BY repository, branch ORDER BY path) AS rn FROM {_kept_sql(max_size)} k) x "
+            f"WHERE rn <= {max_files})")
+
+
+@register("drop_binary", f"SELECT repository, branch, path FROM {_REPO_FILES} f WHERE NOT regexp_matches(lower(path), {_BIN})")
+def q_drop_binary(spark, sf_dir):
+    """files whose path has no binary suffix (case-insensitive)."""
+    return S.repo_files(spark, sf_dir).where(~FL.is_binary(F.col("path"))).select(*FILE_KEYS)
+
+
+@register("drop_skip_dirs", f"SELECT repository, branch, path FROM {_REPO_FILES} f WHERE NOT regexp_matches(path, {_SKIP})")
+def q_drop_skip_dirs(spark, sf_dir):
+    """files outside node_modules/.git/dist/build/.next/vendor/__pycache__."""
+    return S.repo_files(spark, sf_dir).where(~FL.in_skip_dir(F.col("path"))).select(*FILE_KEYS)
+
+
+@register("drop_large", f"""SELECT repository, branch, path, CAST({_UTF16.format('content')} AS BIGINT) AS units
+FROM {_REPO_FILES} f WHERE {_UTF16.format('content')} <= {DEMO_MAX_SIZE}""")
+def q_drop_large(spark, sf_dir):
+    """files whose UTF-16 length is within the limit (equal stays)."""
+    f = S.repo_files(spark, sf_dir)
+    return f.where(FL.fits_size(F.col("content"), DEMO_MAX_SIZE)).select(
+        *FILE_KEYS, FL.utf16_length(F.col("content")).alias("units"))
+
+
+@register("drop_empty", f"SELECT repository, branch, path FROM {_REPO_FILES} f WHERE content IS NOT NULL AND content <> ''")
+def q_drop_empty(spark, sf_dir):
+    """files with non-empty content."""
+    return S.repo_files(spark, sf_dir).where(FL.has_content(F.col("content"))).select(*FILE_KEYS)
+
+
+@register("cap_files", f"SELECT repository, branch, path FROM {_capped_sql(DEMO_MAX_FILES)} c")
+def q_cap_files(spark, sf_dir):
+    """at most N kept files per repository+branch, first by path (skew-safe top-k)."""
+    kept = FL.keep_files(S.repo_files(spark, sf_dir))
+    return FL.cap_files(kept, DEMO_MAX_FILES).select(*FILE_KEYS)
+
+
+@register("skip_reason", f"""SELECT repository, branch, path,
+  CASE WHEN regexp_matches(lower(path), {_BIN}) THEN 'binary' WHEN regexp_matches(path, {_SKIP}) THEN 'skip_dir'
+       WHEN content IS NULL OR content = '' THEN 'no_content'
+       WHEN {_UTF16.format('content')} > {DEMO_MAX_SIZE} THEN 'too_large' END AS skip_reason
+FROM {_REPO_FILES} f""")
+def q_skip_reason(spark, sf_dir):
+    """first skip reason per file (null = kept)."""
+    f = S.repo_files(spark, sf_dir)
+    return f.select(*FILE_KEYS, FL.skip_reason(F.col("path"), F.col("content"), DEMO_MAX_SIZE).alias("skip_reason"))
+
+
+_SCAN_REQ = f"({derived_sql('scan_requests')})"
+
+
+@register("scan_path", f"""SELECT f.repository, f.branch, f.path, f.size FROM ({Q.files()}) f
+WHERE EXISTS (SELECT 1 FROM {_SCAN_REQ} r WHERE concat_ws('/', r.owner, r.repo) = f.repository
+              AND coalesce(r.branch, 'main') = f.branch AND r.path = f.path)""")
+def q_scan_path(spark, sf_dir):
+    """Files named exactly by the (repository, branch, path) of scan requests."""
+    from keysweep.functions.mask import default_branch, repo_key
+    req = S.derived_table(spark, sf_dir, "scan_requests").select(
+        repo_key(F.col("owner"), F.col("repo")).alias("repository"),
+        default_branch(F.col("branch")).alias("branch"), "path")
+    files = S.seeded_documents(spark, sf_dir)
+    return FL.scan_path(files, req).select(*FILE_KEYS, "size")
+
+
+@register("decode_content", f"""SELECT repository, branch, path, CAST(length(c) AS BIGINT) AS n_chars, md5(c) AS content_md5
+FROM (SELECT repository, branch, path, decode(from_base64(content_b64)) AS c FROM ({derived_sql('files_encoded')}) e) d""")
+def q_decode_content(spark, sf_dir):
+    """S3: base64 -> UTF-8 text, invalid bytes -> U+FFFD."""
+    from keysweep.sources.files import decode_content
+    enc = S.derived_table(spark, sf_dir, "files_encoded")
+    d = decode_content(enc)
+    return d.select(*FILE_KEYS, F.length("content").cast("bigint").alias("n_chars"), F.md5("content").alias("content_md5"))

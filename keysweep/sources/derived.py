@@ -92,6 +92,8 @@ def snippets_sql(dialect: str) -> str:
   case when turn = 0 and conv_id % 13 = 0 then ''
        when turn = 1 and conv_id % 5 = 0 then concat(text, chr(10), 'token = ', md5(cast(conv_id as string)))
        when turn = 2 and conv_id % 3 = 0 then concat('key: ghp_', md5(cast(conv_id as string)), '0a1b', chr(10), text)
+       when turn = 3 and conv_id % 2 = 0 then concat('# api_key = ', md5(cast(conv_id as string)), chr(10),
+                                               '  // xoxb-', substr(md5(cast(turn as string)), 1, 16), chr(10), text)
        else text end as code,
   case turn % 4 when 0 then null when 1 then '' when 2 then repeat('s', 1001)
        else concat('snips/', cast(conv_id as string), '.py') end as path
@@ -140,7 +142,18 @@ def log_entries_sql(dialect: str) -> str:
 from {{events}}"""
 
 
+def raw_names_sql(dialect: str) -> str:
+    """raw_names(doc_id, name): user-typed names with padding and control characters."""
+    return f"""select doc_id, concat(
+  case doc_id % 4 when 0 then ' ' when 1 then '\u00a0\t' when 2 then '\ufeff' else '' end,
+  source, case doc_id % 3 when 0 then chr(0) when 1 then chr(11) else chr(9) end, lang,
+  case doc_id % 5 when 0 then chr(127) when 1 then chr(13) when 2 then chr(31) else '' end,
+  case doc_id % 2 when 0 then ' \u3000' else chr(10) end) as name
+from {{documents}}"""
+
+
 SQL_BUILDERS = {
+    "raw_names": raw_names_sql,
     "seeded_documents": seeded_documents_sql,
     "repo_files": repo_files_sql,
     "files_encoded": files_encoded_sql,
