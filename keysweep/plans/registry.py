@@ -262,3 +262,241 @@ def q_decode_content(spark, sf_dir):
     enc = S.derived_table(spark, sf_dir, "files_encoded")
     d = decode_content(enc)
     return d.select(*FILE_KEYS, F.length("content").cast("bigint").alias("n_chars"), F.md5("content").alias("content_md5"))
+
+
+def _valid_snippets(spark, sf_dir):
+    return QL.valid(QL.check_snippets(S.derived_table(spark, sf_dir, "snippets")))
+
+
+_SNIP = f"({derived_sql('snippets')})"
+_VALID_SNIP_SQL = (f"(SELECT snippet_id, coalesce(nullif(path, ''), 'inline') AS path, code AS content FROM {_SNIP} s "
+                   f"WHERE code IS NOT NULL AND length(code) >= 1 AND {_UTF16.format('code')} <= {C.MAX_FILE_SIZE} "
+                   f"AND (path IS NULL OR {_UTF16.format('path')} <= {C.MAX_PATH_LEN}))")
+_SNIP_DET = Q.detections(_VALID_SNIP_SQL, keys=("snippet_id", "path"))
+
+
+def _snippet_advice_sql(det: str) -> str:
+    fixed = Q.str_list(C.SNIPPET_ADVICE)
+    return f"""(SELECT snippet_id, list_concat(list(recommendation ORDER BY line, "column", type), {fixed}) AS recs
+  FROM (SELECT snippet_id, recommendation, line, "column", type, row_number() OVER
+          (PARTITION BY snippet_id, recommendation ORDER BY line, "column", type) AS rn FROM {det} d) x
+  WHERE rn = 1 GROUP BY snippet_id)"""
+
+
+@register("scan_snippets", f"""
+WITH s AS {_VALID_SNIP_SQL}, det AS {_SNIP_DET},
+agg AS (SELECT snippet_id, count(*) AS n, max({Q.severity_rank()}) AS rk FROM det GROUP BY snippet_id),
+adv AS {_snippet_advice_sql('det')}
+SELECT s.snippet_id, s.path, CAST(coalesce(agg.n, 0) AS BIGINT) AS detections_found, {Q.rank_label('agg.rk')} AS severity,
+       coalesce(array_to_string(adv.recs, ' | '), '') AS recommendations
+FROM s LEFT JOIN agg ON s.snippet_id = agg.snippet_id LEFT JOIN adv ON s.snippet_id = adv.snippet_id""")
+def q_scan_snippets(spark, sf_dir):
+    """Each valid snippet scanned; count, severity ('none' when clean) and advice."""
+    from keysweep.sources.files import snippet_files
+    snips = snippet_files(_valid_snippets(spark, sf_dir))
+    dets = D.detections(snips, keys=["snippet_id", "path"])
+    agg = dets.groupBy("snippet_id").agg(F.count(F.lit(1)).alias("n"), F.max(R.severity_rank()).alias("rk"))
+    adv = R.snippet_advice(dets, ["snippet_id"])
+    j = snips.select("snippet_id", "path").join(agg, "snippet_id", "left").join(adv, "snippet_id", "left")
+    return j.select("snippet_id", "path", F.coalesce("n", F.lit(0)).cast("bigint").alias("detections_found"),
+                    R.rank_label(F.col("rk")).alias("severity"),
+                    F.coalesce(F.array_join("recommendations", " | "), F.lit("")).alias("recommendations"))
+
+
+@register("snippet_advice", f"""
+WITH det AS {_SNIP_DET}, adv AS {_snippet_advice_sql('det')}
+SELECT snippet_id, CAST(len(recs) AS INTEGER) AS n_recommendations, array_to_string(recs, ' | ') AS recommendations FROM adv""")
+def q_snippet_advice(spark, sf_dir):
+    """Distinct recommendations in first-seen order + three fixed lines (snippets with hits)."""
+    from keysweep.sources.files import snippet_files
+    dets = D.detections(snippet_files(_valid_snippets(spark, sf_dir)), keys=["snippet_id", "path"])
+    adv = R.snippet_advice(dets, ["snippet_id"])
+    return adv.select("snippet_id", F.size("recommendations").alias("n_recommendations"),
+                      F.array_join("recommendations", " | ").alias("recommendations"))
+
+
+def _valid_scan_requests(spark, sf_dir):
+    from keysweep.functions.mask import repo_key
+    chk = QL.valid(QL.check_scan_requests(S.derived_table(spark, sf_dir, "scan_requests")))
+    return chk.select("request_id", repo_key(F.col("owner"), F.col("repo")).alias("repository"), "branch", "path")
+
+
+_OWNER_OK = (f"owner IS NOT NULL AND length(owner) BETWEEN 1 AND {C.MAX_OWNER_LEN} AND regexp_matches(owner, {sql_string(C.OWNER_RE)})")
+_REPO_OK = (f"repo IS NOT NULL AND length(repo) BETWEEN 1 AND {C.MAX_REPO_LEN} AND regexp_matches(repo, {sql_string(C.REPO_RE)})")
+_BRANCH_OK = (f"(branch IS NULL OR (length(branch) BETWEEN 1 AND {C.MAX_BRANCH_LEN} AND regexp_matches(branch, {sql_string(C.BRANCH_RE)})))")
+_VALID_SCAN_REQ = (f"(SELECT request_id, concat_ws('/', owner, repo) AS repository, coalesce(branch, 'main') AS branch, path "
+                   f"FROM {_SCAN_REQ} r WHERE {_OWNER_OK} AND {_REPO_OK} AND {_BRANCH_OK} "
+                   f"AND (path IS NULL OR length(path) <= {C.MAX_PATH_LEN}))")
+
+
+@register("coverage", f"""
+WITH k AS {_capped_sql()}, fc AS (SELECT repository, branch, count(*) AS n FROM k GROUP BY ALL)
+SELECT r.request_id, r.repository, r.branch, CAST(coalesce(fc.n, 0) AS BIGINT) AS total_files_scanned,
+       fc.n IS NOT NULL AS has_files
+FROM {_VALID_SCAN_REQ} r LEFT JOIN fc ON r.repository = fc.repository AND r.branch = fc.branch""")
+def q_coverage(spark, sf_dir):
+    """Every valid request reports, repositories with nothing readable as zeros."""
+    kept = FL.cap_files(FL.keep_files(S.repo_files(spark, sf_dir)))
+    fc = kept.groupBy(*REPO_KEYS).agg(F.count(F.lit(1)).alias("n"))
+    r = _valid_scan_requests(spark, sf_dir)
+    j = r.join(fc, REPO_KEYS, "left")
+    return j.select("request_id", *REPO_KEYS, F.coalesce("n", F.lit(0)).cast("bigint").alias("total_files_scanned"),
+                    F.col("n").isNotNull().alias("has_files"))
+
+
+# ---------------------------------------------------------------------------
+# Order 3: roll-ups over the seeded documents.
+# ---------------------------------------------------------------------------
+
+@register("file_results", f"""SELECT repository, branch, path, count(*) AS detections, {Q.severity_counts()},
+  {Q.rank_label(f'max({Q.severity_rank()})')} AS severity, min(line) AS first_line FROM {_det_sql()} d GROUP BY ALL""")
+def q_file_results(spark, sf_dir):
+    """A2: files with >= 1 detection, with counts and max severity."""
+    return R.file_results(D.detections(S.seeded_documents(spark, sf_dir)))
+
+
+@register("severity_breakdown", f"""
+WITH det AS {_det_sql()},
+per AS (SELECT repository, branch, severity, count(*) AS count FROM det GROUP BY ALL),
+repos AS (SELECT DISTINCT repository, branch FROM per),
+fixed AS (SELECT r.repository, r.branch, s.severity, CAST(coalesce(p.count, 0) AS BIGINT) AS count
+          FROM repos r JOIN (VALUES ('critical'), ('high'), ('medium'), ('low')) s(severity) ON TRUE
+          LEFT JOIN per p ON p.repository = r.repository AND p.branch = r.branch AND p.severity = s.severity)
+SELECT * FROM fixed UNION ALL
+SELECT repository, branch, severity, count FROM per WHERE severity NOT IN ('critical', 'high', 'medium', 'low') OR severity IS NULL""")
+def q_severity_breakdown(spark, sf_dir):
+    """A4: per repository, the four fixed severities (zero default) plus any other seen."""
+    return R.severity_breakdown(D.detections(S.seeded_documents(spark, sf_dir)))
+
+
+@register("type_counts", f"SELECT repository, branch, type, count(*) AS count FROM {_det_sql()} d GROUP BY ALL")
+def q_type_counts(spark, sf_dir):
+    """A5: detections per repository and secret type."""
+    return R.type_counts(D.detections(S.seeded_documents(spark, sf_dir)))
+
+
+def _pipeline_dets(spark, sf_dir):
+    kept = FL.cap_files(FL.keep_files(S.repo_files(spark, sf_dir)))
+    return kept, D.detections(kept)
+
+
+_PIPE_DET = _det_sql(_capped_sql())
+
+
+@register("totals", f"""
+WITH k AS {_capped_sql()}, det AS {_PIPE_DET},
+fc AS (SELECT repository, branch, count(*) AS n FROM k GROUP BY ALL),
+dc AS (SELECT repository, branch, count(DISTINCT path) AS fw, count(*) AS ns FROM det GROUP BY ALL)
+SELECT fc.repository, fc.branch, CAST(fc.n AS BIGINT) AS total_files_scanned,
+       CAST(coalesce(dc.fw, 0) AS BIGINT) AS files_with_secrets, CAST(coalesce(dc.ns, 0) AS BIGINT) AS total_secrets_found
+FROM fc LEFT JOIN dc ON fc.repository = dc.repository AND fc.branch = dc.branch""")
+def q_totals(spark, sf_dir):
+    """Files scanned (kept files), files with secrets, secrets found, per repository."""
+    kept, dets = _pipeline_dets(spark, sf_dir)
+    fc = kept.groupBy(*REPO_KEYS).agg(F.count(F.lit(1)).alias("n"))
+    fr = R.file_results(dets)
+    dc = fr.groupBy(*REPO_KEYS).agg(F.count(F.lit(1)).alias("fw"), F.sum("detections").alias("ns"))
+    j = fc.join(dc, REPO_KEYS, "left")
+    return j.select(*REPO_KEYS, F.col("n").alias("total_files_scanned"),
+                    F.coalesce("fw", F.lit(0)).cast("bigint").alias("files_with_secrets"),
+                    F.coalesce("ns", F.lit(0)).cast("bigint").alias("total_secrets_found"))
+
+
+@register("summary_totals", f"""
+WITH k AS {_capped_sql()}, det AS {_PIPE_DET},
+repos AS (SELECT DISTINCT repository, branch FROM k),
+fr AS (SELECT repository, branch, path, count(*) AS n FROM det GROUP BY ALL),
+s AS (SELECT repository, branch, count(*) AS tf, count(*) FILTER (WHERE n > 0) AS fw, sum(n) AS ts FROM fr GROUP BY ALL)
+SELECT r.repository, r.branch, CAST(coalesce(s.tf, 0) AS BIGINT) AS total_files,
+       CAST(coalesce(s.fw, 0) AS BIGINT) AS files_with_secrets, CAST(coalesce(s.ts, 0) AS BIGINT) AS total_secrets
+FROM repos r LEFT JOIN s ON r.repository = s.repository AND r.branch = s.branch""")
+def q_summary_totals(spark, sf_dir):
+    """Summary counts over result rows (files with hits), per scanned repository."""
+    kept, dets = _pipeline_dets(spark, sf_dir)
+    repos = kept.select(*REPO_KEYS).distinct()
+    fr = R.file_results(dets)
+    s = fr.groupBy(*REPO_KEYS).agg(F.count(F.lit(1)).alias("tf"), F.count_if(F.col("detections") > 0).alias("fw"),
+                                   F.sum("detections").alias("ts"))
+    j = repos.join(s, REPO_KEYS, "left")
+    return j.select(*REPO_KEYS, F.coalesce("tf", F.lit(0)).cast("bigint").alias("total_files"),
+                    F.coalesce("fw", F.lit(0)).cast("bigint").alias("files_with_secrets"),
+                    F.coalesce("ts", F.lit(0)).cast("bigint").alias("total_secrets"))
+
+
+def _top_sql(k: int) -> str:
+    return f"""SELECT repository, branch, CAST(rank AS INTEGER) AS rank, type, count FROM (
+  SELECT repository, branch, type, count, row_number() OVER (PARTITION BY repository, branch ORDER BY count DESC, type) AS rank
+  FROM (SELECT repository, branch, type, count(*) AS count FROM {_det_sql()} d GROUP BY ALL) c) x WHERE rank <= {k}"""
+
+
+@register("top_types_10", _top_sql(10))
+def q_top_types_10(spark, sf_dir):
+    """K1: top 10 secret types per repository (count desc, type asc)."""
+    return R.top_types(R.type_counts(D.detections(S.seeded_documents(spark, sf_dir))), 10).select(
+        *REPO_KEYS, "rank", "type", "count")
+
+
+@register("top_types_3", _top_sql(3))
+def q_top_types_3(spark, sf_dir):
+    """K2: top 3 secret types per repository."""
+    return R.top_types(R.type_counts(D.detections(S.seeded_documents(spark, sf_dir))), 3).select(
+        *REPO_KEYS, "rank", "type", "count")
+
+
+def analysis_df(files: DataFrame, dets: DataFrame) -> DataFrame:
+    """A10 for every repository of ``files`` (clean ones: score 0, compliant)."""
+    repos = files.select(*REPO_KEYS).distinct()
+    return R.analyze(dets, repos=repos)
+
+
+_ANALYSIS_SQL = f"""
+WITH files AS ({Q.files()}), det AS {_det_sql()},
+repos AS (SELECT DISTINCT repository, branch FROM files),
+sev AS (SELECT repository, branch, count(*) AS secrets, {Q.severity_counts()} FROM det GROUP BY ALL),
+tc AS (SELECT repository, branch, type, count(*) AS cnt FROM det GROUP BY ALL),
+top3 AS (SELECT repository, branch, list(type ORDER BY cnt DESC, type)[1:3] AS top3 FROM tc GROUP BY ALL),
+a AS (SELECT r.repository, r.branch, CAST(coalesce(secrets, 0) AS BIGINT) AS secrets,
+             CAST(coalesce(critical, 0) AS BIGINT) AS critical, CAST(coalesce(high, 0) AS BIGINT) AS high,
+             CAST(coalesce(medium, 0) AS BIGINT) AS medium, CAST(coalesce(low, 0) AS BIGINT) AS low,
+             coalesce(top3, []::VARCHAR[]) AS top3
+      FROM repos r LEFT JOIN sev ON r.repository = sev.repository AND r.branch = sev.branch
+      LEFT JOIN top3 t ON r.repository = t.repository AND r.branch = t.branch),
+b AS (SELECT *, {Q.risk_score()} AS risk_score FROM a)
+SELECT repository, branch, secrets, critical, high, medium, low, risk_score,
+       {Q.compliance('risk_score')} AS compliance_status,
+       {Q.remediation_steps()} AS remediation_steps,
+       {Q.recommendations('top3', 'risk_score')} AS recommendations
+FROM b"""
+
+
+@register("analyze", f"""SELECT repository, branch, secrets, critical, high, medium, low, risk_score, compliance_status,
+  CAST(len(remediation_steps) AS INTEGER) AS n_steps, array_to_string(remediation_steps, ' | ') AS remediation_steps,
+  array_to_string(recommendations, ' | ') AS recommendations FROM ({_ANALYSIS_SQL}) z""")
+def q_analyze(spark, sf_dir):
+    """A10: score, status, counts, steps and recommendations for every repository."""
+    files = S.seeded_documents(spark, sf_dir)
+    a = analysis_df(files, D.detections(files))
+    return a.select(*REPO_KEYS, "secrets", *C.SEVERITIES, "risk_score", "compliance_status",
+                    F.size("remediation_steps").alias("n_steps"),
+                    F.array_join("remediation_steps", " | ").alias("remediation_steps"),
+                    F.array_join("recommendations", " | ").alias("recommendations"))
+
+
+@register("remediation_steps", f"""SELECT repository, branch, CAST(generate_subscripts(remediation_steps, 1) AS INTEGER) AS step_no,
+  unnest(remediation_steps) AS step FROM ({_ANALYSIS_SQL}) z""")
+def q_remediation_steps(spark, sf_dir):
+    """Remediation steps per repository, one row per step (3/2/7 rule)."""
+    files = S.seeded_documents(spark, sf_dir)
+    a = analysis_df(files, D.detections(files))
+    return a.select(*REPO_KEYS, F.posexplode("remediation_steps").alias("step_no", "step")).select(
+        *REPO_KEYS, (F.col("step_no") + 1).alias("step_no"), "step")
+
+
+@register("recommendations", f"""SELECT repository, branch, CAST(generate_subscripts(recommendations, 1) AS INTEGER) AS rec_no,
+  unnest(recommendations) AS recommendation FROM ({_ANALYSIS_SQL}) z""")
+def q_recommendations(spark, sf_dir):
+    """Repository recommendations, one row each (top-3 line, high-risk lines, fixed lines)."""
+    files = S.seeded_documents(spark, sf_dir)
+    a = analysis_df(files, D.detections(files))
+    return a.select(*REPO_KEYS, F.posexplode("recommendations").alias("rec_no", "recommendation")).select(
+        *REPO_KEYS, (F.col("rec_no") + 1).alias("rec_no"), "recommendation")
