@@ -14,6 +14,12 @@ from keysweep import catalog as C
 from keysweep.operators.filters import utf16_length
 
 
+def anchored(regex: str) -> str:
+    """JS ``$`` (no m flag) is end of text; Java's also matches before a final
+    newline.  ``\\z`` means end of text in Java and RE2 alike."""
+    return regex[:-1] + "\\z" if regex.endswith("$") and not regex.endswith("\\$") else regex
+
+
 def _codes(*pairs: tuple[Column, str]) -> Column:
     return F.filter(F.array(*[F.when(cond, F.lit(code)) for cond, code in pairs]), lambda x: x.isNotNull())
 
@@ -26,7 +32,7 @@ def _name_rules(c: Column, field: str, max_len: int, regex: str, required: bool
     rules += [
         (c.isNotNull() & (n < 1), f"{field}_empty"),
         (c.isNotNull() & (n > max_len), f"{field}_too_long"),
-        (c.isNotNull() & ~c.rlike(regex), f"{field}_format"),
+        (c.isNotNull() & ~c.rlike(anchored(regex)), f"{field}_format"),
     ]
     return rules
 

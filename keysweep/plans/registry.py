@@ -500,3 +500,166 @@ def q_recommendations(spark, sf_dir):
     a = analysis_df(files, D.detections(files))
     return a.select(*REPO_KEYS, F.posexplode("recommendations").alias("rec_no", "recommendation")).select(
         *REPO_KEYS, (F.col("rec_no") + 1).alias("rec_no"), "recommendation")
+
+
+# ---------------------------------------------------------------------------
+# Order 4: redaction, log filter, input cleaning and request checks.
+# ---------------------------------------------------------------------------
+
+from keysweep.functions import mask as M  # noqa: E402
+
+_LOGS = f"({derived_sql('log_entries')})"
+_KEY_RE = sql_string(M.secret_key_regex())
+
+
+def _redact_map_value_sql(k: str, v: str) -> str:
+    return (f"(CASE WHEN regexp_matches({k}, {_KEY_RE}) THEN (CASE WHEN {v} IS NULL OR length({v}) = 0 THEN '****' "
+            f"ELSE {Q.mask_fixed(v)} END) ELSE {Q.redact_text(v)} END)")
+
+
+@register("redact_text", f"SELECT repository, branch, path, {Q.redact_text('content')} AS redacted FROM ({Q.files()}) f")
+def q_redact_text(spark, sf_dir):
+    """Every document with the seven sanitizer patterns masked in sequence."""
+    f = S.seeded_documents(spark, sf_dir)
+    return f.select(*FILE_KEYS, M.redact_text(F.col("content")).alias("redacted"))
+
+
+@register("redact_map", f"""SELECT event_id, e.key AS key, {_redact_map_value_sql('e.key', 'e.value')} AS value
+FROM (SELECT event_id, unnest(map_entries(context)) AS e FROM {_LOGS} l) x""")
+def q_redact_map(spark, sf_dir):
+    """R2: log context maps with secret-named values masked and the rest sanitized."""
+    logs = S.derived_table(spark, sf_dir, "log_entries")
+    return logs.select("event_id", F.explode(M.redact_map(F.col("context"))).alias("key", "value"))
+
+
+def _ctx_string_sql(m: str) -> str:
+    return (f"array_to_string(list_sort(list_transform(map_entries({m}), "
+            f"lambda e: e.key || '=' || coalesce(e.value, 'null'))), ';')")
+
+
+def _ctx_string(m):
+    return F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(
+        e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null"))))), ";")
+
+
+_LEVEL_RANK_SQL = "(CASE level WHEN 'DEBUG' THEN 0 WHEN 'INFO' THEN 1 WHEN 'WARN' THEN 2 WHEN 'ERROR' THEN 3 END)"
+
+
+@register("redact_log", f"""SELECT event_id, level, {Q.redact_text('message')} AS message,
+  {_ctx_string_sql(f"map_from_entries(list_transform(map_entries(context), lambda e: {{'key': e.key, 'value': {_redact_map_value_sql('e.key', 'e.value')}}}))")} AS context,
+  error.name AS error_name, {Q.redact_text('error.message')} AS error_message, CAST(NULL AS VARCHAR) AS error_stack
+FROM {_LOGS} l WHERE {_LEVEL_RANK_SQL} >= 1""")
+def q_redact_log(spark, sf_dir):
+    """Production log view -- INFO and above, message/error/context redacted, no stack."""
+    from keysweep.operators.logs import redact_log
+    logs = redact_log(S.derived_table(spark, sf_dir, "log_entries"), threshold="INFO", production=True)
+    return logs.select("event_id", "level", "message", _ctx_string(F.col("context")).alias("context"),
+                       F.col("error.name").alias("error_name"), F.col("error.message").alias("error_message"),
+                       F.col("error.stack").alias("error_stack"))
+
+
+@register("log_level_filter", f"SELECT event_id, level FROM {_LOGS} l WHERE {_LEVEL_RANK_SQL} >= 2")
+def q_log_level_filter(spark, sf_dir):
+    """log entries at WARN or above."""
+    logs = S.derived_table(spark, sf_dir, "log_entries")
+    return FL.log_level_filter(logs, "WARN").select("event_id", "level")
+
+
+_NAMES = f"({derived_sql('raw_names')})"
+_CTRL_SQL = sql_string(M.CONTROL_CHARS_RE)
+_TRIM_SQL = sql_string(M.JS_TRIM_RE)
+
+
+@register("strip_control", f"SELECT doc_id, regexp_replace(name, {_CTRL_SQL}, '', 'g') AS name FROM {_NAMES} n")
+def q_strip_control(spark, sf_dir):
+    """Control characters removed (tab, LF, CR kept)."""
+    n = S.derived_table(spark, sf_dir, "raw_names")
+    return n.select("doc_id", M.strip_control(F.col("name")).alias("name"))
+
+
+@register("clean_name", f"SELECT doc_id, regexp_replace(regexp_replace(name, {_TRIM_SQL}, '', 'g'), {_CTRL_SQL}, '', 'g') AS name FROM {_NAMES} n")
+def q_clean_name(spark, sf_dir):
+    """JS-style trim (Unicode spaces, BOM), then control characters removed."""
+    n = S.derived_table(spark, sf_dir, "raw_names")
+    return n.select("doc_id", M.clean_name(F.col("name")).alias("name"))
+
+
+@register("repo_key", f"SELECT request_id, concat_ws('/', owner, repo) AS repository FROM {_SCAN_REQ} r")
+def q_repo_key(spark, sf_dir):
+    """owner/repo key of each request."""
+    r = S.derived_table(spark, sf_dir, "scan_requests")
+    return r.select("request_id", M.repo_key(F.col("owner"), F.col("repo")).alias("repository"))
+
+
+@register("default_path", f"""SELECT request_id, coalesce(branch, 'main') AS branch,
+  coalesce(nullif(path, ''), {sql_string(C.DEFAULT_PATH_LABEL)}) AS path_label FROM {_SCAN_REQ} r""")
+def q_default_path(spark, sf_dir):
+    """Branch defaults to main; an empty path reads 'entire repository'."""
+    r = S.derived_table(spark, sf_dir, "scan_requests")
+    return r.select("request_id", M.default_branch(F.col("branch")).alias("branch"),
+                    M.default_path_label(F.col("path")).alias("path_label"))
+
+
+def _viol_sql(pairs: list[tuple[str, str]]) -> str:
+    items = ", ".join(f"CASE WHEN {cond} THEN '{code}' END" for cond, code in pairs)
+    return f"array_to_string(list_filter([{items}], lambda x: x IS NOT NULL), ',')"
+
+
+def _name_viol_sql(col: str, field: str, max_len: int, regex: str, required: bool = True) -> list:
+    n = _UTF16.format(col)
+    out = [(f"{col} IS NULL", f"{field}_required")] if required else []
+    return out + [(f"{col} IS NOT NULL AND {n} < 1", f"{field}_empty"),
+                  (f"{col} IS NOT NULL AND {n} > {max_len}", f"{field}_too_long"),
+                  (f"{col} IS NOT NULL AND NOT regexp_matches({col}, {sql_string(QL.anchored(regex))})", f"{field}_format")]
+
+
+_Q1_RULES = (_name_viol_sql("owner", "owner", C.MAX_OWNER_LEN, C.OWNER_RE)
+             + _name_viol_sql("repo", "repo", C.MAX_REPO_LEN, C.REPO_RE)
+             + _name_viol_sql("branch", "branch", C.MAX_BRANCH_LEN, C.BRANCH_RE, required=False))
+
+
+def _checked(df: DataFrame, *cols) -> DataFrame:
+    return df.select(*cols, F.array_join("violations", ",").alias("violations"),
+                     (F.size("violations") == 0).alias("is_valid"))
+
+
+@register("check_scan_requests", f"""SELECT request_id, owner, repo, coalesce(branch, 'main') AS branch, path, v AS violations, v = '' AS is_valid
+FROM (SELECT *, {_viol_sql(_Q1_RULES + [(f"{_UTF16.format('path')} > {C.MAX_PATH_LEN}", 'path_too_long')])} AS v FROM {_SCAN_REQ} r) x""")
+def q_check_scan_requests(spark, sf_dir):
+    """Q1: owner/repo/branch/path rules; every violation listed."""
+    chk = QL.check_scan_requests(S.derived_table(spark, sf_dir, "scan_requests"))
+    return _checked(chk, "request_id", "owner", "repo", "branch", "path")
+
+
+@register("check_analysis_requests", f"""SELECT request_id, owner, repo, coalesce(branch, 'main') AS branch, v AS violations, v = '' AS is_valid
+FROM (SELECT *, {_viol_sql(_Q1_RULES)} AS v FROM {_SCAN_REQ} r) x""")
+def q_check_analysis_requests(spark, sf_dir):
+    """Q3: as Q1 without path."""
+    chk = QL.check_analysis_requests(S.derived_table(spark, sf_dir, "scan_requests"))
+    return _checked(chk, "request_id", "owner", "repo", "branch")
+
+
+@register("check_snippets", f"""SELECT snippet_id, code, path, v AS violations, v = '' AS is_valid FROM (SELECT *, {_viol_sql([
+    ("code IS NULL", "code_required"), (f"code IS NOT NULL AND {_UTF16.format('code')} < 1", "code_empty"),
+    (f"code IS NOT NULL AND {_UTF16.format('code')} > {C.MAX_FILE_SIZE}", "code_too_large"),
+    (f"{_UTF16.format('path')} > {C.MAX_PATH_LEN}", "path_too_long")])} AS v FROM {_SNIP} s) x""")
+def q_check_snippets(spark, sf_dir):
+    """Q2: code 1..10 MiB, path <= 1000."""
+    chk = QL.check_snippets(S.derived_table(spark, sf_dir, "snippets"))
+    return _checked(chk, "snippet_id", "code", "path")
+
+
+_SECRET_REQ = f"({derived_sql('secret_requests')})"
+
+
+@register("check_secret_requests", f"""SELECT request_id, secret_type, value, v AS violations, v = '' AS is_valid FROM (SELECT *, {_viol_sql([
+    ("secret_type IS NULL", "secret_type_required"),
+    (f"secret_type IS NOT NULL AND {_UTF16.format('secret_type')} < 1", "secret_type_empty"),
+    (f"secret_type IS NOT NULL AND {_UTF16.format('secret_type')} > {C.MAX_SECRET_TYPE_LEN}", "secret_type_too_long"),
+    ("value IS NULL", "value_required"),
+    (f"value IS NOT NULL AND {_UTF16.format('value')} < 1", "value_empty"),
+    (f"value IS NOT NULL AND {_UTF16.format('value')} > {C.MAX_SECRET_VALUE_LEN}", "value_too_long")])} AS v FROM {_SECRET_REQ} s) x""")
+def q_check_secret_requests(spark, sf_dir):
+    """Q4: secret type 1..100, value 1..10000."""
+    chk = QL.check_secret_requests(S.derived_table(spark, sf_dir, "secret_requests"))
+    return _checked(chk, "request_id", "secret_type", "value")

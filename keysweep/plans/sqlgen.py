@@ -38,7 +38,8 @@ def redact_text(text: str, patterns: list[str] | None = None, masker=mask_fixed)
     out = text
     for p in (C.SANITIZER_PATTERNS if patterns is None else patterns):
         out = replace_matches(out, case_insensitive(p) if patterns is None else p, masker)
-    return out
+    # array_to_string over a NULL list gives '' in DuckDB; keep NULL as NULL
+    return f"(CASE WHEN {text} IS NULL THEN NULL ELSE {out} END)"
 
 
 def catalog_values(rules: list[C.Rule] | None = None) -> str:
