@@ -57,18 +57,24 @@ def _by_rule(rule_id: Column, patterns: list[str], make) -> Column:
     return expr
 
 
-def candidate_lines(files: DataFrame, patterns: list[str], keys=FILE_KEYS, content: str = "content") -> DataFrame:
-    """(keys, line, line_text) for the lines where at least one pattern matches."""
+def candidate_lines(files: DataFrame, patterns: list[str], keys=FILE_KEYS, content: str = "content",
+                    skip_comments: bool = False) -> DataFrame:
+    """(keys, line, line_text) for the lines where at least one pattern matches.
+
+    ``skip_comments`` (F7) also drops blank lines and lines starting with a comment
+    marker; off by default since keys in comments leak as well."""
     pre = union_regex(patterns)
-    return (files.select(*keys, F.col(content).alias("_content"))
-            .where(F.col("_content").rlike(pre))
-            .select(*keys, F.posexplode(F.split("_content", LINE_BREAK, -1)).alias("_pos", "line_text"))
-            .where(F.col("line_text").rlike(pre))
-            .select(*keys, (F.col("_pos") + 1).alias("line"), "line_text"))
+    lines = (files.select(*keys, F.col(content).alias("_content"))
+             .where(F.col("_content").rlike(pre))
+             .select(*keys, F.posexplode(F.split("_content", LINE_BREAK, -1)).alias("_pos", "line_text"))
+             .where(F.col("line_text").rlike(pre)))
+    if skip_comments:
+        lines = lines.where((F.trim("line_text") != "") & ~F.col("line_text").rlike(C.COMMENT_PREFIX_RE))
+    return lines.select(*keys, (F.col("_pos") + 1).alias("line"), "line_text")
 
 
 def detect_raw(files: DataFrame, rules: list[C.Rule] | None = None, keys=FILE_KEYS,
-               content: str = "content") -> DataFrame:
+               content: str = "content", skip_comments: bool = False) -> DataFrame:
     """D1 + D2: one row per match -- keys, line, column, rule_id, raw, line_text.
 
     ``raw`` is the unmasked match; it never leaves the job (see ``detections``).
@@ -76,7 +82,7 @@ def detect_raw(files: DataFrame, rules: list[C.Rule] | None = None, keys=FILE_KE
     """
     rules = C.RULES if rules is None else rules
     pats = [engine_regex(r.pattern) for r in rules]
-    lines = candidate_lines(files, pats, keys, content)
+    lines = candidate_lines(files, pats, keys, content, skip_comments)
     found_per_rule = F.filter(
         F.array(*[F.struct(F.lit(i).alias("rule_id"),
                            F.regexp_extract_all("line_text", F.lit(p), 0).alias("found"))
@@ -116,11 +122,15 @@ def context_column(line_text: Column, column: Column, raw: Column) -> Column:
 
 
 def detections(files: DataFrame, spark: SparkSession | None = None, rules: list[C.Rule] | None = None,
-               keys=FILE_KEYS, with_context: bool = False) -> DataFrame:
+               keys=FILE_KEYS, with_context: bool = False, skip_comments: bool = False,
+               drop_false_positives: bool = False) -> DataFrame:
     """The public detection record: keys, type, category, severity, value (masked),
     line, column, [context], pattern, recommendation.  Raw values are dropped here."""
     spark = spark or files.sparkSession
-    hits = enrich(detect_raw(files, rules, keys), catalog_df(spark, rules))
+    hits = enrich(detect_raw(files, rules, keys, skip_comments=skip_comments), catalog_df(spark, rules))
+    if drop_false_positives:
+        from keysweep.operators.filters import false_positive
+        hits = hits.where(~false_positive(F.col("raw")))
     cols = [*keys, "type", "category", "severity", mask_value(F.col("raw")).alias("value"),
             F.col("line").cast("int").alias("line"), F.col("column").cast("int").alias("column")]
     if with_context:
@@ -167,7 +177,7 @@ def validate_secrets(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     """
     full = None
     for r in C.RULES:
-        m = F.col("value").rlike("^(?:" + engine_regex(r.pattern) + ")$")
+        m = F.col("value").rlike("^(?:" + engine_regex(r.pattern) + r")\z")
         full = F.when(F.col("secret_type") == r.type, m) if full is None else full.when(F.col("secret_type") == r.type, m)
     j = requests.join(F.broadcast(catalog.select(F.col("type").alias("secret_type"), "severity", "recommendation")),
                       "secret_type", "left")

@@ -663,3 +663,204 @@ def q_check_secret_requests(spark, sf_dir):
     """Q4: secret type 1..100, value 1..10000."""
     chk = QL.check_secret_requests(S.derived_table(spark, sf_dir, "secret_requests"))
     return _checked(chk, "request_id", "secret_type", "value")
+
+
+# ---------------------------------------------------------------------------
+# Order 5: the whole catalog, context, blocks, validation, line filters, catalog listings.
+# ---------------------------------------------------------------------------
+
+_DET_COLS = "repository, branch, path, type, line, \"column\", value"
+
+
+@register("all_rules", f"SELECT {_DET_COLS} FROM {_PIPE_DET} d")
+def q_all_rules(spark, sf_dir):
+    """All 37 rules over every kept file of documents, pages and conversations."""
+    _, dets = _pipeline_dets(spark, sf_dir)
+    return dets.select(*FILE_KEYS, "type", "line", "column", "value")
+
+
+@register("context", f"SELECT repository, branch, path, type, line, \"column\", context FROM {_det_sql(with_context=True)} d")
+def q_context(spark, sf_dir):
+    """D3: +-40 characters around each match; the match and any other secret in the window masked."""
+    dets = D.detections(S.seeded_documents(spark, sf_dir), with_context=True)
+    return dets.select(*FILE_KEYS, "type", "line", "column", "context")
+
+
+_BLOCK_P = sql_string(__import__("keysweep.functions.regex", fromlist=["x"]).engine_regex(C.BLOCK_RULE.pattern))
+
+
+@register("multiline_rules", f"""
+WITH b AS (SELECT repository, branch, path, regexp_extract_all(content, {_BLOCK_P}) AS found,
+                  string_split_regex(content, {_BLOCK_P}) AS pieces
+           FROM ({Q.files()}) f WHERE content LIKE '%PRIVATE KEY%' AND regexp_matches(content, {_BLOCK_P})),
+m AS (SELECT repository, branch, path, unnest(found) AS raw,
+             unnest(list_transform(found, lambda v, i: string_split(array_to_string(list_transform(
+                 list_zip(pieces[1:i], found[1:i-1]), lambda z: z[1] || coalesce(z[2], '')), ''), chr(10)))) AS before
+      FROM b)
+SELECT repository, branch, path, {sql_string(C.BLOCK_RULE.type)} AS type, {sql_string(C.BLOCK_RULE.category)} AS category,
+       {sql_string(C.BLOCK_RULE.severity)} AS severity, {Q.mask_value('raw')} AS value, CAST(len(before) AS INTEGER) AS line,
+       CAST(length(before[-1]) + 1 AS INTEGER) AS "column", CAST(len(string_split(raw, chr(10))) AS INTEGER) AS n_lines
+FROM m""")
+def q_multiline_rules(spark, sf_dir):
+    """Private-key blocks spanning lines, any key label."""
+    return D.detect_blocks(S.seeded_documents(spark, sf_dir))
+
+
+def _validate_sql() -> str:
+    from keysweep.functions.regex import engine_regex
+    full = " ".join(f"WHEN secret_type = {sql_string(r.type)} THEN regexp_matches(value, "
+                    f"{sql_string('^(?:' + engine_regex(r.pattern) + ')' + chr(92) + 'z')})" for r in C.RULES)
+    return f"""SELECT r.request_id, r.secret_type, {Q.mask_value('r.value')} AS value,
+  CASE WHEN c.severity IS NULL THEN 'unknown_type'
+       WHEN regexp_matches(r.value, {sql_string(C.PLACEHOLDER_RE)}) THEN 'placeholder'
+       WHEN (CASE {full} END) THEN 'format_valid' ELSE 'format_invalid' END AS status,
+  c.severity, coalesce(c.recommendation, 'Unknown secret type; no validation rule') AS recommendation
+FROM (SELECT * FROM {_SECRET_REQ} s WHERE secret_type IS NOT NULL AND length(secret_type) BETWEEN 1 AND {C.MAX_SECRET_TYPE_LEN}
+      AND value IS NOT NULL AND length(value) BETWEEN 1 AND {C.MAX_SECRET_VALUE_LEN}) r
+LEFT JOIN {Q.catalog_values()} c ON r.secret_type = c.type"""
+
+
+@register("validate_secrets", _validate_sql())
+def q_validate_secrets(spark, sf_dir):
+    """Offline verdict per valid (type, value) request."""
+    req = QL.valid(QL.check_secret_requests(S.derived_table(spark, sf_dir, "secret_requests"))).drop("violations")
+    return D.validate_secrets(req, D.catalog_df(spark))
+
+
+_COMMENT_FILTER = f"trim(line_text) <> '' AND NOT regexp_matches(line_text, {sql_string(C.COMMENT_PREFIX_RE)})"
+
+
+@register("skip_lines", f"""SELECT snippet_id, path, type, line, "column", value
+FROM {Q.detections(_VALID_SNIP_SQL, keys=("snippet_id", "path"), line_filter=_COMMENT_FILTER)} d""")
+def q_skip_lines(spark, sf_dir):
+    """snippet detections with blank and comment lines skipped."""
+    from keysweep.sources.files import snippet_files
+    dets = D.detections(snippet_files(_valid_snippets(spark, sf_dir)), keys=["snippet_id", "path"], skip_comments=True)
+    return dets.select("snippet_id", "path", "type", "line", "column", "value")
+
+
+_FP_SQL = (f"(regexp_matches(raw, {sql_string(C.PLACEHOLDER_RE)}) OR regexp_matches(raw, {sql_string(C.TEST_TOKEN_RE)}) "
+           f"OR length(replace(raw, left(raw, 1), '')) = 0)")
+
+
+@register("drop_false_positives", f"""SELECT repository, branch, path, type, line, "column", {Q.mask_value('raw')} AS value,
+  regexp_matches(path, {sql_string(C.TEST_PATH_RE)}) AS is_test_path
+FROM {_RAW_SQL} r WHERE NOT {_FP_SQL}""")
+def q_drop_false_positives(spark, sf_dir):
+    """F8: detections minus example/placeholder/test/one-character values; test paths flagged."""
+    dets = D.detections(S.seeded_documents(spark, sf_dir), drop_false_positives=True)
+    return dets.select(*FILE_KEYS, "type", "line", "column", "value", FL.is_test_path(F.col("path")).alias("is_test_path"))
+
+
+_N_CATEGORIES = len({r.category for r in C.RULES})
+
+
+@register("secret_types", f"""
+WITH det AS {_PIPE_DET}, h AS (SELECT type, count(*) AS hits FROM det GROUP BY type)
+SELECT c.type, c.category, c.description, c.severity, CAST(coalesce(h.hits, 0) AS BIGINT) AS hits,
+       {len(C.RULES)} AS total_types, {_N_CATEGORIES} AS total_categories
+FROM {Q.catalog_values()} c LEFT JOIN h ON c.type = h.type""")
+def q_secret_types(spark, sf_dir):
+    """The catalog listing (type, category, description, severity, totals) with corpus hit counts."""
+    _, dets = _pipeline_dets(spark, sf_dir)
+    hits = dets.groupBy("type").agg(F.count(F.lit(1)).alias("hits"))
+    cat = D.catalog_df(spark)
+    return cat.join(hits, "type", "left").select(
+        "type", "category", "description", "severity", F.coalesce("hits", F.lit(0)).cast("bigint").alias("hits"),
+        F.lit(len(C.RULES)).alias("total_types"), F.lit(_N_CATEGORIES).alias("total_categories"))
+
+
+@register("patterns", f"""
+WITH det AS {_PIPE_DET}, h AS (SELECT type, count(DISTINCT (repository, branch, path)) AS files FROM det GROUP BY type)
+SELECT c.type, c.pattern, CAST(coalesce(h.files, 0) AS BIGINT) AS files_with_hits
+FROM {Q.catalog_values()} c LEFT JOIN h ON c.type = h.type""")
+def q_patterns(spark, sf_dir):
+    """Each rule's regex with the number of files it fires in."""
+    _, dets = _pipeline_dets(spark, sf_dir)
+    files = dets.select("type", *FILE_KEYS).distinct().groupBy("type").agg(F.count(F.lit(1)).alias("files"))
+    return D.catalog_df(spark).join(files, "type", "left").select(
+        "type", "pattern", F.coalesce("files", F.lit(0)).cast("bigint").alias("files_with_hits"))
+
+
+# ---------------------------------------------------------------------------
+# Order 6: full scan, report sinks, stream.
+# ---------------------------------------------------------------------------
+
+@register("scan_files", f"SELECT repository, branch, path, size FROM {_capped_sql()} c")
+def q_scan_files(spark, sf_dir):
+    """Every scannable file (F1-F5 applied) of documents, pages and conversations."""
+    kept = FL.cap_files(FL.keep_files(S.repo_files(spark, sf_dir)))
+    return kept.select(*FILE_KEYS, "size")
+
+
+_REPORT_SQL = f"""
+WITH k AS {_capped_sql()}, det AS {_PIPE_DET},
+fc AS (SELECT repository, branch, count(*) AS n FROM k GROUP BY ALL),
+dc AS (SELECT repository, branch, count(DISTINCT path) AS fw, count(*) AS ns, {Q.severity_counts()} FROM det GROUP BY ALL),
+tc AS (SELECT repository, branch, type, count(*) AS cnt FROM det GROUP BY ALL),
+top AS (SELECT repository, branch, array_to_string(list(type || ':' || cnt ORDER BY cnt DESC, type)[1:10], ',') AS top_secret_types
+        FROM tc GROUP BY ALL)
+SELECT fc.repository, fc.branch, {sql_string(C.DEFAULT_PATH_LABEL)} AS path, CAST(fc.n AS BIGINT) AS total_files_scanned,
+       CAST(coalesce(dc.fw, 0) AS BIGINT) AS files_with_secrets, CAST(coalesce(dc.ns, 0) AS BIGINT) AS total_secrets_found,
+       'critical=' || coalesce(dc.critical, 0) || ';high=' || coalesce(dc.high, 0) || ';medium=' || coalesce(dc.medium, 0)
+         || ';low=' || coalesce(dc.low, 0) AS severity_breakdown,
+       coalesce(top.top_secret_types, '') AS top_secret_types
+FROM fc LEFT JOIN dc ON fc.repository = dc.repository AND fc.branch = dc.branch
+LEFT JOIN top ON fc.repository = top.repository AND fc.branch = top.branch"""
+
+
+def _breakdown_string(m):
+    fixed = [F.concat(F.lit(s + "="), F.coalesce(m[s], F.lit(0)).cast("string")) for s in C.SEVERITIES]
+    extra = F.array_sort(F.transform(F.map_entries(F.map_filter(m, lambda k, v: ~k.isin(*C.SEVERITIES))),
+                                     lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))))
+    return F.array_join(F.concat(F.array(*fixed), extra), ";")
+
+
+@register("report_sink", _REPORT_SQL)
+def q_report_sink(spark, sf_dir):
+    """Nested scan report per repository written as JSON to the shared folder and read back."""
+    from keysweep.sources.sinks import read_reports, scan_reports, write_reports
+    from keysweep.session import shared_dir
+    kept, dets = _pipeline_dets(spark, sf_dir)
+    out = shared_dir(spark, "reports")
+    write_reports(scan_reports(kept, dets), out)
+    r = read_reports(spark, out)
+    return r.select(*REPO_KEYS, "path", "total_files_scanned", "files_with_secrets", "total_secrets_found",
+                    _breakdown_string(F.col("summary.severity_breakdown")).alias("severity_breakdown"),
+                    F.array_join(F.transform("summary.top_secret_types",
+                                             lambda t: F.concat(t["type"], F.lit(":"), t["count"].cast("string"))),
+                                 ",").alias("top_secret_types"))
+
+
+@register("analysis_sink", f"""
+WITH r AS ({_REPORT_SQL}),
+det AS {_PIPE_DET},
+sev AS (SELECT repository, branch, {Q.severity_counts()} FROM det GROUP BY ALL),
+a AS (SELECT r.repository, r.branch, r.total_files_scanned, r.total_secrets_found,
+             CAST(coalesce(critical, 0) AS BIGINT) AS critical, CAST(coalesce(high, 0) AS BIGINT) AS high,
+             CAST(coalesce(medium, 0) AS BIGINT) AS medium, CAST(coalesce(low, 0) AS BIGINT) AS low
+      FROM r LEFT JOIN sev ON r.repository = sev.repository AND r.branch = sev.branch),
+b AS (SELECT *, {Q.risk_score()} AS risk_score FROM a)
+SELECT repository, branch, total_files_scanned, total_secrets_found, critical, high, medium, low, risk_score,
+       {Q.compliance('risk_score')} AS compliance_status,
+       CAST(len({Q.remediation_steps()}) AS INTEGER) AS n_steps
+FROM b""")
+def q_analysis_sink(spark, sf_dir):
+    """Report + analysis with score, status and steps lifted to the top level (parquet round trip)."""
+    from keysweep.sources.sinks import analysis_reports, read_parquet_table, write_parquet_table
+    from keysweep.session import shared_dir
+    kept, dets = _pipeline_dets(spark, sf_dir)
+    out = shared_dir(spark, "analysis")
+    write_parquet_table(analysis_reports(kept, dets), out)
+    a = read_parquet_table(spark, out)
+    return a.select(*REPO_KEYS, "total_files_scanned", "total_secrets_found",
+                    *[F.col("analysis." + s).alias(s) for s in C.SEVERITIES], "risk_score", "compliance_status",
+                    F.size("remediation_steps").alias("n_steps"))
+
+
+@register("scan_stream", f"SELECT repository, branch, path, type, line, \"column\", value FROM {Q.detections(Q.files())}")
+def q_scan_stream(spark, sf_dir):
+    """The row-level detection as a Structured Streaming query (availableNow) over the
+    documents directory; output appended to the shared folder and read back."""
+    from keysweep.streaming.scan_stream import run_detection_stream
+    return run_detection_stream(spark, sf_dir).select(*FILE_KEYS, "type", "line", "column", "value")
