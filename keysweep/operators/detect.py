@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from keysweep import FILE_KEYS
 from keysweep import catalog as C
-from keysweep.functions.mask import mask_value, redact_text
+from keysweep.functions.mask import mask_value, replace_matches
 from keysweep.functions.regex import engine_regex, union_regex
 
 LINE_BREAK = r"\r?\n"
@@ -112,12 +112,15 @@ def enrich(raw_hits: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def context_column(line_text: Column, column: Column, raw: Column) -> Column:
     """D3: the line around the match, cut to 40 characters each side, with the match
-    masked (D4) and every catalog rule redacted in the surrounding text."""
+    masked (D4) and every other catalog match in the surrounding text masked too.
+
+    The surroundings go through one pass of the union of all rules (leftmost
+    match wins), not 37 sequential passes: same coverage, one regex scan."""
     before = F.substring(line_text, F.lit(1), column - 1)
     after = F.expr("substring(line_text, column + length(raw))")
-    pats = [r.pattern for r in C.RULES]
-    before_r = redact_text(before, pats, mask_value)
-    after_r = redact_text(after, pats, mask_value)
+    every_rule = union_regex([r.pattern for r in C.RULES])
+    before_r = replace_matches(before, every_rule, mask_value)
+    after_r = replace_matches(after, every_rule, mask_value)
     return F.concat(F.right(before_r, F.lit(CONTEXT_WIDTH)), mask_value(raw), F.left(after_r, F.lit(CONTEXT_WIDTH)))
 
 

@@ -7,7 +7,7 @@ over lists), used only to check the Spark plans; it is never on the job path.
 from __future__ import annotations
 
 from keysweep import catalog as C
-from keysweep.functions.regex import case_insensitive, engine_regex, sql_string
+from keysweep.functions.regex import case_insensitive, engine_regex, sql_string, union_regex
 from keysweep.sources.derived import duckdb_sql
 
 LINE_BREAK = r"'\r?\n'"
@@ -85,9 +85,9 @@ def detections(files_sql: str, rules: list[C.Rule] | None = None, keys=("reposit
     k = ", ".join(f"h.{x}" for x in keys)
     ctx = ""
     if with_context:
-        pats = [r.pattern for r in C.RULES]
-        before = redact_text('substring(h.line_text, 1, h."column" - 1)', pats, mask_value)
-        after = redact_text('substring(h.line_text, h."column" + length(h.raw))', pats, mask_value)
+        every_rule = union_regex([r.pattern for r in C.RULES])
+        before = replace_matches('substring(h.line_text, 1, h."column" - 1)', every_rule, mask_value)
+        after = replace_matches('substring(h.line_text, h."column" + length(h.raw))', every_rule, mask_value)
         ctx = f", right({before}, 40) || {mask_value('h.raw')} || left({after}, 40) AS context"
     return f"""(SELECT {k}, c.type, c.category, c.severity, {mask_value('h.raw')} AS value,
        h.line, h."column"{ctx}, c.pattern, c.recommendation
