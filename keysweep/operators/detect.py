@@ -57,20 +57,75 @@ def _by_rule(rule_id: Column, patterns: list[str], make) -> Column:
     return expr
 
 
-def candidate_lines(files: DataFrame, patterns: list[str], keys=FILE_KEYS, content: str = "content",
+def rule_gate(rule: C.Rule, text: Column, lowered: Column) -> Column:
+    """Necessary condition for ``rule`` to match ``text``: its literal anchors
+    (``catalog.ANCHORS``) -- lower-case ones against ``lowered`` for (?i) rules."""
+    any_of, also = C.ANCHORS[rule.type]
+    src = lowered if rule.pattern.startswith("(?i)") else text
+
+    def some(lits):
+        cond = None
+        for lit in lits:
+            c = src.contains(lit)
+            cond = c if cond is None else (cond | c)
+        return cond
+
+    gate = some(any_of)
+    return gate if not also else (gate & some(also))
+
+
+def _minimal(lits: set[str]) -> list[str]:
+    """Drop literals that contain another literal of the set (implied)."""
+    return sorted(a for a in lits if not any(b != a and b in a for b in lits))
+
+
+def prefilter_literals(rules: list[C.Rule]) -> tuple[list[str], list[str]]:
+    """(case-sensitive literals, lower-case literals): a line where some rule can
+    match contains at least one of them.  Only the ``any`` anchors are used, and
+    literals implied by shorter ones are dropped, to keep the gate small."""
+    raw, low = set(), set()
+    for r in rules:
+        any_of, _ = C.ANCHORS[r.type]
+        (low if r.pattern.startswith("(?i)") else raw).update(any_of)
+    return _minimal(raw), _minimal(low)
+
+
+def any_gate(rules: list[C.Rule], text: Column, lowered: Column) -> Column:
+    """Necessary condition for any of ``rules`` to match ``text``."""
+    raw, low = prefilter_literals(rules)
+    conds = [text.contains(x) for x in raw] + [lowered.contains(x) for x in low]
+    out = conds[0]
+    for c in conds[1:]:
+        out = out | c
+    return out
+
+
+def spread_small_input(files: DataFrame) -> DataFrame:
+    """Inputs with fewer splits than task slots (a few large row groups) are
+    spread round-robin so every core scans text.  Large inputs already have far
+    more splits than slots and are left alone -- no shuffle of the text."""
+    if files.isStreaming:
+        return files
+    slots = files.sparkSession.sparkContext.defaultParallelism
+    n = files.rdd.getNumPartitions()
+    return files.repartition(slots * 2) if n < slots else files
+
+
+def candidate_lines(files: DataFrame, rules: list[C.Rule], keys=FILE_KEYS, content: str = "content",
                     skip_comments: bool = False) -> DataFrame:
-    """(keys, line, line_text) for the lines where at least one pattern matches.
-
-    ``skip_comments`` (F7) also drops blank lines and lines starting with a comment
-    marker; off by default since keys in comments leak as well."""
-    pre = union_regex(patterns)
-    lines = (files.select(*keys, F.col(content).alias("_content"))
-             .where(F.col("_content").rlike(pre))
-             .select(*keys, F.posexplode(F.split("_content", LINE_BREAK, -1)).alias("_pos", "line_text"))
-             .where(F.col("line_text").rlike(pre)))
+    """(keys, line, line_text, line_lower) for the lines where some rule may match.
+
+    Lines are split inside the task and gated by literal ``contains`` checks
+    (``prefilter_literals``); only survivors meet a regex.  ``skip_comments``
+    (F7) also drops blank lines and lines starting with a comment marker; off by
+    default since keys in comments leak as well."""
+    docs = spread_small_input(files.select(*keys, F.col(content).alias("_content")))
+    lines = (docs.select(*keys, F.posexplode(F.split("_content", LINE_BREAK, -1)).alias("_pos", "line_text"))
+             .select(*keys, "_pos", "line_text", F.lower("line_text").alias("line_lower"))
+             .where(any_gate(rules, F.col("line_text"), F.col("line_lower"))))
     if skip_comments:
         lines = lines.where((F.trim("line_text") != "") & ~F.col("line_text").rlike(C.COMMENT_PREFIX_RE))
-    return lines.select(*keys, (F.col("_pos") + 1).alias("line"), "line_text")
+    return lines.select(*keys, (F.col("_pos") + 1).alias("line"), "line_text", "line_lower")
 
 
 def detect_raw(files: DataFrame, rules: list[C.Rule] | None = None, keys=FILE_KEYS,
@@ -78,15 +133,19 @@ def detect_raw(files: DataFrame, rules: list[C.Rule] | None = None, keys=FILE_KE
     """D1 + D2: one row per match -- keys, line, column, rule_id, raw, line_text.
 
     ``raw`` is the unmasked match; it never leaves the job (see ``detections``).
-    Columns are 1-based code-point offsets inside the line.
+    Columns are 1-based code-point offsets inside the line.  A rule's regex runs
+    only on lines that pass its literal gate.
     """
     rules = C.RULES if rules is None else rules
     pats = [engine_regex(r.pattern) for r in rules]
-    lines = candidate_lines(files, pats, keys, content, skip_comments)
+    lines = candidate_lines(files, rules, keys, content, skip_comments)
+    text, low = F.col("line_text"), F.col("line_lower")
+    empty = F.array().cast("array<string>")
     found_per_rule = F.filter(
         F.array(*[F.struct(F.lit(i).alias("rule_id"),
-                           F.regexp_extract_all("line_text", F.lit(p), 0).alias("found"))
-                  for i, p in enumerate(pats)]),
+                           F.when(rule_gate(r, text, low), F.regexp_extract_all(text, F.lit(p), 0))
+                           .otherwise(empty).alias("found"))
+                  for i, (r, p) in enumerate(zip(rules, pats))]),
         lambda h: F.size(h["found"]) > 0)
     pairs = lines.select(*keys, "line", "line_text", F.explode(found_per_rule).alias("_h"))
     pairs = pairs.select(*keys, "line", "line_text",
