@@ -207,6 +207,18 @@ SANITIZER_PATTERNS = [
     r"-----BEGIN\s+(RSA\s+)?PRIVATE\s+KEY-----[\s\S]*?-----END\s+(RSA\s+)?PRIVATE\s+KEY-----",
 ]
 
+# Our choice: lower-case literal anchors of the sanitizer patterns, in the same
+# order (a necessary condition, as ANCHORS for the rules).
+SANITIZER_ANCHORS = [
+    (("password", "passwd", "pwd", "secret", "token", "key", "credential", "api"), ("=", ":")),
+    (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), ()),
+    (("akia",), ()),
+    (("sk_live_",), ()),
+    (("aiza",), ()),
+    (("xox",), ()),
+    (("-----begin",), ()),
+]
+
 # Context keys whose values are always masked (case-insensitive substring).
 SECRET_CONTEXT_KEYS = ["password", "secret", "token", "key", "credential", "apiKey", "api_key", "value"]
 

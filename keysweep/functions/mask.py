@@ -43,14 +43,44 @@ def replace_matches(c: Column, pattern: str, masker=mask_fixed) -> Column:
     return F.transform(F.array(c), one)[0]
 
 
-def redact_text(c: Column, patterns: list[str] | None = None, masker=mask_fixed) -> Column:
-    """Sequential fold -- each pattern sees the previous one's output."""
-    out = c
-    for p in (C.SANITIZER_PATTERNS if patterns is None else patterns):
-        out = replace_matches(out, case_insensitive(p) if patterns is None else p, masker)
+def _contains_any(c: Column, lits) -> Column:
+    out = None
+    for x in lits:
+        out = c.contains(x) if out is None else (out | c.contains(x))
     return out
 
 
+def _gated_step(text: Column, gate: Column, pattern: str, masker) -> Column:
+    # lambdas given to transform must not carry default arguments: close over these
+    return F.transform(F.array(text), lambda s: F.when(gate, replace_matches(s, pattern, masker)).otherwise(s))[0]
+
+
+def redact_text(c: Column, patterns: list[str] | None = None, masker=mask_fixed) -> Column:
+    """Sequential fold -- each pattern sees the previous one's output.
+
+    With the default sanitizer patterns each step is gated by its literal anchors
+    on the lower-cased input: masking only writes '****' between characters that
+    were already adjacent, so it can never create an anchor, and a step whose
+    anchors are absent from the input is a no-op that costs no regex scan."""
+    if patterns is not None:
+        out = c
+        for p in patterns:
+            out = replace_matches(out, p, masker)
+        return out
+
+    def fold(low):
+        any_anchor = _contains_any(low, [x for any_of, _ in C.SANITIZER_ANCHORS for x in any_of])
+        out = c
+        for p, (any_of, also) in zip(C.SANITIZER_PATTERNS, C.SANITIZER_ANCHORS):
+            gate = _contains_any(low, any_of)
+            if also:
+                gate = gate & _contains_any(low, also)
+            out = _gated_step(out, gate, case_insensitive(p), masker)
+        return F.when(any_anchor, out).otherwise(c)
+
+    return F.transform(F.array(F.lower(c)), fold)[0]
+
+
 def secret_key_regex() -> str:
     return "(?i)(" + "|".join(k.lower() for k in C.SECRET_CONTEXT_KEYS) + ")"
 

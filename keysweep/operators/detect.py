@@ -112,24 +112,33 @@ def spread_small_input(files: DataFrame) -> DataFrame:
 
 
 def candidate_lines(files: DataFrame, rules: list[C.Rule], keys=FILE_KEYS, content: str = "content",
-                    skip_comments: bool = False) -> DataFrame:
+                    skip_comments: bool = False, file_rows: bool = False) -> DataFrame:
     """(keys, line, line_text, line_lower) for the lines where some rule may match.
 
     Lines are split inside the task and gated by literal ``contains`` checks
     (``prefilter_literals``); only survivors meet a regex.  ``skip_comments``
     (F7) also drops blank lines and lines starting with a comment marker; off by
-    default since keys in comments leak as well."""
+    default since keys in comments leak as well.
+
+    ``file_rows`` adds one marker row per file (line 0, null text) so the same
+    pass also lists every scanned file."""
     docs = spread_small_input(files.select(*keys, F.col(content).alias("_content")))
-    lines = (docs.select(*keys, F.posexplode(F.split("_content", LINE_BREAK, -1)).alias("_pos", "line_text"))
-             .select(*keys, "_pos", "line_text", F.lower("line_text").alias("line_lower"))
-             .where(any_gate(rules, F.col("line_text"), F.col("line_lower"))))
+    split = F.split("_content", LINE_BREAK, -1)
+    if file_rows:
+        split = F.concat(F.array(F.lit(None).cast("string")), split)
+    lines = (docs.select(*keys, F.posexplode(split).alias("_pos", "line_text"))
+             .select(*keys, "_pos", "line_text", F.lower("line_text").alias("line_lower")))
+    keep = any_gate(rules, F.col("line_text"), F.col("line_lower"))
     if skip_comments:
-        lines = lines.where((F.trim("line_text") != "") & ~F.col("line_text").rlike(C.COMMENT_PREFIX_RE))
-    return lines.select(*keys, (F.col("_pos") + 1).alias("line"), "line_text", "line_lower")
+        keep = keep & (F.trim("line_text") != "") & ~F.col("line_text").rlike(C.COMMENT_PREFIX_RE)
+    line_no = F.col("_pos") if file_rows else F.col("_pos") + 1
+    if file_rows:
+        keep = (F.col("_pos") == 0) | keep
+    return lines.where(keep).select(*keys, line_no.alias("line"), "line_text", "line_lower")
 
 
 def detect_raw(files: DataFrame, rules: list[C.Rule] | None = None, keys=FILE_KEYS,
-               content: str = "content", skip_comments: bool = False) -> DataFrame:
+               content: str = "content", skip_comments: bool = False, file_rows: bool = False) -> DataFrame:
     """D1 + D2: one row per match -- keys, line, column, rule_id, raw, line_text.
 
     ``raw`` is the unmasked match; it never leaves the job (see ``detections``).
@@ -138,7 +147,7 @@ def detect_raw(files: DataFrame, rules: list[C.Rule] | None = None, keys=FILE_KE
     """
     rules = C.RULES if rules is None else rules
     pats = [engine_regex(r.pattern) for r in rules]
-    lines = candidate_lines(files, rules, keys, content, skip_comments)
+    lines = candidate_lines(files, rules, keys, content, skip_comments, file_rows)
     text, low = F.col("line_text"), F.col("line_lower")
     empty = F.array().cast("array<string>")
     found_per_rule = F.filter(
@@ -147,6 +156,9 @@ def detect_raw(files: DataFrame, rules: list[C.Rule] | None = None, keys=FILE_KE
                            .otherwise(empty).alias("found"))
                   for i, (r, p) in enumerate(zip(rules, pats))]),
         lambda h: F.size(h["found"]) > 0)
+    if file_rows:  # the marker row (line 0) passes through as one all-null hit
+        marker = F.array(F.lit(None).cast("struct<rule_id:int,found:array<string>>"))
+        found_per_rule = F.when(F.col("line") == 0, marker).otherwise(found_per_rule)
     pairs = lines.select(*keys, "line", "line_text", F.explode(found_per_rule).alias("_h"))
     pairs = pairs.select(*keys, "line", "line_text",
                          F.col("_h.rule_id").alias("rule_id"), F.col("_h.found").alias("found"),
@@ -158,15 +170,15 @@ def detect_raw(files: DataFrame, rules: list[C.Rule] | None = None, keys=FILE_KE
             v.alias("raw"),
             (F.lit(1) + _sum_lengths(F.slice("pieces", 1, i + 1))
              + _sum_lengths(F.slice("found", 1, i))).alias("column")))
-    out = pairs.select(*keys, "line", "line_text", "rule_id",
-                       F.posexplode(located).alias("match_idx", "_m"))
+    explode = F.posexplode_outer if file_rows else F.posexplode
+    out = pairs.select(*keys, "line", "line_text", "rule_id", explode(located).alias("match_idx", "_m"))
     return out.select(*keys, "line", F.col("_m.column").alias("column"), "rule_id",
                       F.col("_m.raw").alias("raw"), "match_idx", "line_text")
 
 
-def enrich(raw_hits: DataFrame, catalog: DataFrame) -> DataFrame:
+def enrich(raw_hits: DataFrame, catalog: DataFrame, how: str = "inner") -> DataFrame:
     """Attach catalog fields.  The catalog is a fixed 37-row table: broadcast is safe."""
-    return raw_hits.join(F.broadcast(catalog), "rule_id")
+    return raw_hits.join(F.broadcast(catalog), "rule_id", how)
 
 
 def context_column(line_text: Column, column: Column, raw: Column) -> Column:
@@ -185,11 +197,16 @@ def context_column(line_text: Column, column: Column, raw: Column) -> Column:
 
 def detections(files: DataFrame, spark: SparkSession | None = None, rules: list[C.Rule] | None = None,
                keys=FILE_KEYS, with_context: bool = False, skip_comments: bool = False,
-               drop_false_positives: bool = False) -> DataFrame:
+               drop_false_positives: bool = False, file_rows: bool = False) -> DataFrame:
     """The public detection record: keys, type, category, severity, value (masked),
-    line, column, [context], pattern, recommendation.  Raw values are dropped here."""
+    line, column, [context], pattern, recommendation.  Raw values are dropped here.
+
+    ``file_rows`` also emits one row per input file with ``type`` null (see
+    ``candidate_lines``), so one pass over the content yields both the file list
+    and the detections."""
     spark = spark or files.sparkSession
-    hits = enrich(detect_raw(files, rules, keys, skip_comments=skip_comments), catalog_df(spark, rules))
+    raw = detect_raw(files, rules, keys, skip_comments=skip_comments, file_rows=file_rows)
+    hits = enrich(raw, catalog_df(spark, rules), "left" if file_rows else "inner")
     if drop_false_positives:
         from keysweep.operators.filters import false_positive
         hits = hits.where(~false_positive(F.col("raw")))

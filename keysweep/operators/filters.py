@@ -68,26 +68,58 @@ def keep_files(files: DataFrame, max_size: int = C.MAX_FILE_SIZE) -> DataFrame:
             .where(fits_size(F.col("content"), max_size)))
 
 
+def cap_cutoffs(keyed: DataFrame, max_files: int = C.MAX_FILES_PER_SCAN, keys=REPO_KEYS,
+                salt_buckets: int = 64) -> DataFrame:
+    """(keys, _cutoff): for each repository with more than ``max_files`` files, the
+    path ranked ``max_files`` -- from (keys, path) rows only.  Counting is a partial
+    aggregate; ranking is the skew-safe top-k, run only for over-cap repositories."""
+    k = list(keys)
+    big = keyed.groupBy(*k).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_files).select(*k)
+    over = keyed.join(big, k, "left_semi")
+    top = top_k_per_group(over, k, [F.col("path").asc()], max_files, ["path"], salt_buckets)
+    return top.groupBy(*k).agg(F.max("path").alias("_cutoff"))
+
+
+def apply_cap(df: DataFrame, cutoffs: DataFrame, keys=REPO_KEYS) -> DataFrame:
+    """Keep rows whose repository has no cutoff or whose path is <= it.
+    Pass ``broadcast_if_small(cutoffs)`` to keep the content side unshuffled."""
+    k = list(keys)
+    j = df.join(cutoffs, k, "left")
+    return j.where(F.col("_cutoff").isNull() | (F.col("path") <= F.col("_cutoff"))).drop("_cutoff")
+
+
 def cap_files(files: DataFrame, max_files: int = C.MAX_FILES_PER_SCAN, keys=REPO_KEYS,
               salt_buckets: int = 64) -> DataFrame:
     """at most ``max_files`` files per (repository, branch), first by path.
 
-    The ranking runs on (keys, path) only, skew-safe (see ``top_k_per_group``);
-    the kept keys are then semi-joined back on (repository, branch, path), a key
-    that spreads even a giant repository over all partitions."""
-    keyed = files.select(*keys, "path")
-    kept = top_k_per_group(keyed, list(keys), [F.col("path").asc()], max_files, ["path"], salt_buckets)
-    return files.join(kept.select(*keys, "path"), [*keys, "path"], "left_semi")
+    File content is never shuffled: the (keys, path) list is checkpointed (one
+    pass, compact), cutoffs come from it, and the files are filtered through a
+    size-checked broadcast of the cutoffs (one row per over-cap repository);
+    beyond the bound the planner shuffles and AQE splits a skewed repository.
+    Duplicate paths equal to a cutoff are all kept.  The scan job applies the
+    same cutoffs to its one-pass output instead (``plans.pipeline``)."""
+    from keysweep.session import checkpoint_root
+    checkpoint_root(files.sparkSession)
+    keyed = files.select(*keys, "path").checkpoint(eager=True)
+    cut = broadcast_if_small(cap_cutoffs(keyed, max_files, keys, salt_buckets))
+    return apply_cap(files, cut, keys)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """Broadcast hint only after counting the rows (one small job); bigger inputs
+    are left to the planner (shuffle join, AQE skew handling)."""
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def scan_path(files: DataFrame, requests: DataFrame, prefix: bool = False) -> DataFrame:
     """The files named by (repository, branch, path) requests.
 
-    Exact path by default; with ``prefix`` also every file below ``path/``."""
+    Exact path by default: a semi join on the full file key, broadcast when the
+    request list is small.  With ``prefix`` also every file below ``path/``."""
     if not prefix:
-        return files.join(requests.select("repository", "branch", "path").distinct(),
-                          ["repository", "branch", "path"], "left_semi")
-    r = requests.select("repository", "branch", F.col("path").alias("_req"))
+        req = broadcast_if_small(requests.select("repository", "branch", "path").distinct())
+        return files.join(req, ["repository", "branch", "path"], "left_semi")
+    r = broadcast_if_small(requests.select("repository", "branch", F.col("path").alias("_req")).distinct())
     cond = ((files["repository"] == r["repository"]) & (files["branch"] == r["branch"]) &
             ((files["path"] == r["_req"]) | files["path"].startswith(F.concat(r["_req"], F.lit("/")))))
     return files.join(r, cond, "left_semi")

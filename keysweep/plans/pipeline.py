@@ -1,0 +1,34 @@
+"""The batch scan plan shared by the corpus-level queries and the scan job.
+
+One narrow pass over the content: F1-F4, then detection with one marker row per
+kept file.  Its output is compact (a row per file plus a row per hit, values
+already masked -- no raw secret is ever persisted) and is checkpointed to the
+shared folder: a reliable lineage cut, so a lost executor never re-runs the
+regex pass, and every downstream branch (file cap, totals, roll-ups, reports)
+reads the small table instead of rescanning the content.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from keysweep import FILE_KEYS
+from keysweep import catalog as C
+from keysweep.operators import detect as D
+from keysweep.operators import filters as FL
+from keysweep.session import checkpoint_root
+
+
+def scan_corpus(files: DataFrame, max_size: int = C.MAX_FILE_SIZE, max_files: int = C.MAX_FILES_PER_SCAN,
+                with_context: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(kept files: keys + size, detections) after F1-F5."""
+    checkpoint_root(files.sparkSession)
+    kept = FL.keep_files(files, max_size)
+    rows = D.detections(kept, keys=[*FILE_KEYS, "size"], file_rows=True, with_context=with_context)
+    rows = rows.checkpoint(eager=True)
+    file_rows = rows.where(F.col("type").isNull()).select(*FILE_KEYS, "size")
+    cut = FL.broadcast_if_small(FL.cap_cutoffs(file_rows.select(*FILE_KEYS), max_files))
+    kept_files = FL.apply_cap(file_rows, cut)
+    dets = FL.apply_cap(rows.where(F.col("type").isNotNull()).drop("size"), cut)
+    return kept_files, dets

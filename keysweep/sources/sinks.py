@@ -99,14 +99,13 @@ def read_parquet_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_scan_job(spark: SparkSession, files: DataFrame, out_dir: str) -> dict[str, str]:
-    """The batch job: filter -> detect -> write detections (lineage cut in the shared
-    folder) -> file results, scan reports and analysis from the written table."""
-    from keysweep.operators import detect as D
-    from keysweep.operators import filters as FL
-    kept = FL.cap_files(FL.keep_files(files))
+    """The batch job: one checkpointed content pass (F1-F5 + detection with
+    context), then detections, file results, scan reports and analysis written
+    to ``out_dir`` from the compact table."""
+    from keysweep.plans.pipeline import scan_corpus
+    kept, dets = scan_corpus(files, with_context=True)
     paths = {k: os.path.join(out_dir, k) for k in ("detections", "file_results", "reports", "analysis")}
-    write_parquet_table(D.detections(kept, with_context=True), paths["detections"])
-    dets = read_parquet_table(spark, paths["detections"])
+    write_parquet_table(dets, paths["detections"])
     write_parquet_table(R.file_results(dets), paths["file_results"])
     write_reports(scan_reports(kept, dets), paths["reports"])
     write_parquet_table(analysis_reports(kept, dets), paths["analysis"])
