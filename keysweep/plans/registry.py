@@ -865,3 +865,54 @@ def q_scan_stream(spark, sf_dir):
     documents directory; output appended to the shared folder and read back."""
     from keysweep.streaming.scan_stream import run_detection_stream
     return run_detection_stream(spark, sf_dir).select(*FILE_KEYS, "type", "line", "column", "value")
+
+
+# ---------------------------------------------------------------------------
+# Order at the sink, flattening nested results, stacking sources.
+# ---------------------------------------------------------------------------
+
+@register("result_order", f"""SELECT repository, branch, path, CAST(row_number() OVER (PARTITION BY repository, branch, path
+  ORDER BY line, "column", type) AS INTEGER) AS seq, type, line, "column" FROM {_det_sql()} d""")
+def q_result_order(spark, sf_dir):
+    """K3: detections in (path, line, column, type) order: a per-file sequence number
+    (window over one file's hits, bounded by the file size) and a range-partitioned
+    global sort -- never one task per repository."""
+    from pyspark.sql import Window
+    dets = D.detections(S.seeded_documents(spark, sf_dir))
+    w = Window.partitionBy(*FILE_KEYS).orderBy("line", "column", "type")
+    return (dets.select(*FILE_KEYS, F.row_number().over(w).alias("seq"), "type", "line", "column")
+            .orderBy(*FILE_KEYS, "seq"))
+
+
+@register("flatten", f"SELECT repository, branch, path, type, line, \"column\", value FROM {_det_sql()} d")
+def q_flatten(spark, sf_dir):
+    """Nested per-file results (file, severity, detections[]) -- the shape a
+    report carries -- flattened back to one row per detection with explode."""
+    dets = D.detections(S.seeded_documents(spark, sf_dir))
+    nested = dets.groupBy(*FILE_KEYS).agg(
+        F.max(R.severity_rank()).alias("rank"),
+        F.collect_list(F.struct("type", "line", "column", "value")).alias("detections"))
+    return nested.select(*FILE_KEYS, F.explode("detections").alias("d")).select(
+        *FILE_KEYS, "d.type", "d.line", "d.column", "d.value")
+
+
+@register("union_sources", f"""
+SELECT 'documents' AS source, repository, branch, path, size FROM ({Q.files()}) a
+UNION ALL SELECT 'pages' AS source, concat('web/', regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)),
+  'main', concat('pages/', cast(page_id as string), '.html'), CAST(strlen(html) AS BIGINT) FROM pages
+UNION ALL SELECT 'conversations', concat('chat/c', cast(conv_id as string)), 'main',
+  concat('turns/', cast(turn as string), '-', role, '.txt'), CAST(strlen(text) AS BIGINT) FROM conversations""")
+def q_union_sources(spark, sf_dir):
+    """The three text tables stacked by name into one files input."""
+    docs = S.seeded_documents(spark, sf_dir).select(F.lit("documents").alias("source"), *FILE_KEYS, "size")
+    pages = S.read_table(spark, sf_dir, "pages").select(
+        F.lit("pages").alias("source"),
+        F.concat(F.lit("web/"), F.regexp_extract("url", "^[a-z]+://([^/?#:]+)", 1)).alias("repository"),
+        F.lit("main").alias("branch"), F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"),
+        F.octet_length("html").cast("bigint").alias("size"))
+    conv = S.read_table(spark, sf_dir, "conversations").select(
+        F.lit("conversations").alias("source"),
+        F.concat(F.lit("chat/c"), F.col("conv_id").cast("string")).alias("repository"), F.lit("main").alias("branch"),
+        F.concat(F.lit("turns/"), F.col("turn").cast("string"), F.lit("-"), F.col("role"), F.lit(".txt")).alias("path"),
+        F.octet_length("text").cast("bigint").alias("size"))
+    return docs.unionByName(pages).unionByName(conv)
