@@ -100,15 +100,18 @@ def any_gate(rules: list[C.Rule], text: Column, lowered: Column) -> Column:
     return out
 
 
-def spread_small_input(files: DataFrame) -> DataFrame:
+def spread_small_input(files: DataFrame, keys=None) -> DataFrame:
     """Inputs with fewer splits than task slots (a few large row groups) are
-    spread round-robin so every core scans text.  Large inputs already have far
-    more splits than slots and are left alone -- no shuffle of the text."""
+    spread so every core scans text -- hash-partitioned on the file keys, which
+    is deterministic under retries without the sort a round-robin repartition
+    adds.  Large inputs already have far more splits than slots and are left
+    alone: no shuffle of the text."""
     if files.isStreaming:
         return files
     slots = files.sparkSession.sparkContext.defaultParallelism
-    n = files.rdd.getNumPartitions()
-    return files.repartition(slots * 2) if n < slots else files
+    if files.rdd.getNumPartitions() >= slots:
+        return files
+    return files.repartition(slots * 2, *(keys or [])) if keys else files.repartition(slots * 2)
 
 
 def candidate_lines(files: DataFrame, rules: list[C.Rule], keys=FILE_KEYS, content: str = "content",
@@ -122,7 +125,7 @@ def candidate_lines(files: DataFrame, rules: list[C.Rule], keys=FILE_KEYS, conte
 
     ``file_rows`` adds one marker row per file (line 0, null text) so the same
     pass also lists every scanned file."""
-    docs = spread_small_input(files.select(*keys, F.col(content).alias("_content")))
+    docs = spread_small_input(files.select(*keys, F.col(content).alias("_content")), list(keys))
     split = F.split("_content", LINE_BREAK, -1)
     if file_rows:
         split = F.concat(F.array(F.lit(None).cast("string")), split)
