@@ -106,8 +106,13 @@ def cap_files(files: DataFrame, max_files: int = C.MAX_FILES_PER_SCAN, keys=REPO
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast hint only after counting the rows (one small job); bigger inputs
-    are left to the planner (shuffle join, AQE skew handling)."""
+    """Materialise a small derived table once (reliable checkpoint), count it, and
+    hint a broadcast only under ``max_rows``; bigger tables are left to the planner
+    (shuffle join, AQE skew handling).  Every join of it then reads the stored
+    rows instead of recomputing its lineage."""
+    from keysweep.session import checkpoint_root
+    checkpoint_root(df.sparkSession)
+    df = df.checkpoint(eager=True)
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
