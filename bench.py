@@ -1,7 +1,8 @@
 """Benchmark: headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
 Each query runs to completion through the ``noop`` sink (full execution, nothing
-collected to the driver) and is timed wall-clock.  Prints one JSON line.
+collected to the driver) and is timed wall-clock, best of $BENCH_RUNS (default 2)
+runs after a warm-up at the smallest scale.  Prints one JSON line.
 """
 
 from __future__ import annotations
@@ -32,11 +33,16 @@ def main():
     if os.path.isdir(warm_dir):
         for name in ("detect", "redact_text"):
             registry.SPARK[name](spark, warm_dir).write.format("noop").mode("overwrite").save()
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     times = {}
     for name in names:
-        t0 = time.time()
-        registry.SPARK[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.time() - t0, 3)
+        best = None
+        for _ in range(runs):  # best of N warm runs; each run rebuilds and re-executes the whole plan
+            t0 = time.time()
+            registry.SPARK[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            dt = time.time() - t0
+            best = dt if best is None else min(best, dt)
+        times[name] = round(best, 3)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": sf}))

@@ -17,6 +17,8 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpointed scan tables are removed once no DataFrame references them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # per-file detection builds arrays of lines; keep input splits moderate so a
     # task's working set stays small even when documents are large.
     "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024),
