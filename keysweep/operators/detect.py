@@ -45,8 +45,8 @@ def catalog_df(spark: SparkSession, rules: list[C.Rule] | None = None) -> DataFr
     return spark.createDataFrame(rows, CATALOG_SCHEMA)
 
 
-def _sum_lengths(arr: Column) -> Column:
-    return F.aggregate(arr, F.lit(0), lambda acc, x: acc + F.length(x))
+def _sum_ints(arr: Column) -> Column:
+    return F.aggregate(arr, F.lit(0), lambda acc, x: acc + x)
 
 
 def _by_rule(rule_id: Column, patterns: list[str], make) -> Column:
@@ -167,12 +167,16 @@ def detect_raw(files: DataFrame, rules: list[C.Rule] | None = None, keys=FILE_KE
                          F.col("_h.rule_id").alias("rule_id"), F.col("_h.found").alias("found"),
                          _by_rule(F.col("_h.rule_id"), pats,
                                   lambda p: F.split(F.col("line_text"), p, -1)).alias("pieces"))
+    # lengths once per (line, rule); a match's column is 1 + the lengths of the
+    # pieces up to it and of the earlier matches (int sums, no string rescans)
+    pairs = pairs.select(*keys, "line", "line_text", "rule_id", "found",
+                         F.transform("pieces", lambda x: F.length(x)).alias("_pl"),
+                         F.transform("found", lambda x: F.length(x)).alias("_fl"))
     located = F.transform(
         "found",
         lambda v, i: F.struct(
             v.alias("raw"),
-            (F.lit(1) + _sum_lengths(F.slice("pieces", 1, i + 1))
-             + _sum_lengths(F.slice("found", 1, i))).alias("column")))
+            (F.lit(1) + _sum_ints(F.slice("_pl", 1, i + 1)) + _sum_ints(F.slice("_fl", 1, i))).alias("column")))
     explode = F.posexplode_outer if file_rows else F.posexplode
     out = pairs.select(*keys, "line", "line_text", "rule_id", explode(located).alias("match_idx", "_m"))
     return out.select(*keys, "line", F.col("_m.column").alias("column"), "rule_id",
