@@ -114,18 +114,16 @@ def repo_severity(dets: DataFrame, keys=REPO_KEYS) -> DataFrame:
 def analyze(dets: DataFrame, keys=REPO_KEYS, repos: DataFrame | None = None) -> DataFrame:
     """A10: severity counts, score, status, steps and recommendations per repository.
 
-    One pass over detections: aggregate to (repo, type, severity) counts, then a
-    tiny second aggregation per repository (counts and the top-3 types).  With
-    ``repos``, every listed repository reports (clean ones with zero counts)."""
-    per_type = dets.groupBy(*keys, "type", "severity").agg(F.count(F.lit(1)).alias("n"))
-    tc = per_type.groupBy(*keys, "type").agg(F.sum("n").alias("count"))
-    ordered = F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("neg"), F.col("type"))))
-    sev = per_type.groupBy(*keys).agg(
-        F.sum("n").alias("secrets"),
-        *[F.coalesce(F.sum(F.when(_sev() == s, F.col("n"))), F.lit(0)).alias(s) for s in C.SEVERITIES])
-    top3 = tc.groupBy(*keys).agg(F.transform(F.slice(ordered, 1, 3), lambda x: x["type"]).alias("top3"))
-    base = sev if repos is None else repos.join(sev, list(keys), "left")
-    base = base.join(top3, list(keys), "left")
+    Two aggregations: (repo, type) partial counts with per-severity counts, then
+    one per-repository pass summing them and collecting the top-3 types (a list
+    bounded by the number of rules).  With ``repos``, every listed repository
+    reports (clean ones with zero counts)."""
+    per_type = dets.groupBy(*keys, "type").agg(F.count(F.lit(1)).alias("n"), *_severity_counts())
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("neg"), F.col("type"))))
+    agg = per_type.groupBy(*keys).agg(
+        F.sum("n").alias("secrets"), *[F.sum(s).alias(s) for s in C.SEVERITIES],
+        F.transform(F.slice(ordered, 1, 3), lambda x: x["type"]).alias("top3"))
+    base = agg if repos is None else repos.join(agg, list(keys), "left")
     base = base.select(*keys, *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
                                 for c in ["secrets", *C.SEVERITIES]], "top3")
     return _analysis_columns(base, keys)
