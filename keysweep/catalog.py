@@ -291,3 +291,4 @@ PLACEHOLDER_RE = r"(?i)example|placeholder|changeme|dummy|sample|your[_-]|xxxx|<
 TEST_TOKEN_RE = r"(?i)(^|[^a-z])test([^a-z]|$)"
 TEST_PATH_RE = r"(?i)(^|/)(tests?|spec|__tests__|fixtures?|examples?)(/|$)|[._-](test|spec)\.[a-z]+$"
 COMMENT_PREFIX_RE = r"^[ \t]*(#|//|\*|/\*|--|<!--)"
+MIN_DISTINCT_CHARS = 4  # a value made of fewer distinct characters is a placeholder

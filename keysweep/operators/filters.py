@@ -136,9 +136,12 @@ def skip_comment_lines(line_text: Column) -> Column:
 
 
 def false_positive(raw: Column, path: Column | None = None) -> Column:
-    """F8 predicate: placeholder / example / test values, or one repeated character."""
+    """F8 predicate: placeholder / example / test values, one repeated character,
+    or fewer than ``MIN_DISTINCT_CHARS`` distinct characters."""
+    distinct = F.size(F.array_distinct(F.split(raw, "", -1)))
     fp = (raw.rlike(C.PLACEHOLDER_RE) | raw.rlike(C.TEST_TOKEN_RE)
-          | (F.length(F.replace(raw, F.left(raw, F.lit(1)), F.lit(""))) == 0))
+          | (F.length(F.replace(raw, F.left(raw, F.lit(1)), F.lit(""))) == 0)
+          | (distinct < C.MIN_DISTINCT_CHARS))
     return fp
 
 

@@ -741,7 +741,8 @@ def q_skip_lines(spark, sf_dir):
 
 
 _FP_SQL = (f"(regexp_matches(raw, {sql_string(C.PLACEHOLDER_RE)}) OR regexp_matches(raw, {sql_string(C.TEST_TOKEN_RE)}) "
-           f"OR length(replace(raw, left(raw, 1), '')) = 0)")
+           f"OR length(replace(raw, left(raw, 1), '')) = 0 "
+           f"OR len(list_distinct(string_split(raw, ''))) < {C.MIN_DISTINCT_CHARS})")
 
 
 @register("drop_false_positives", f"""SELECT repository, branch, path, type, line, "column", {Q.mask_value('raw')} AS value,

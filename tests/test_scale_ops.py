@@ -25,3 +25,21 @@ def test_cap_files_keeps_first_paths(spark):
     kept = FL.cap_files(files, 25)
     assert sorted(r.path for r in kept.where("repository = 'big'").collect()) == [f"f{i:04d}" for i in range(25)]
     assert kept.where("repository = 'small'").count() == 1
+
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", "hot"]), st.text("xyz", min_size=1, max_size=4)),
+                min_size=1, max_size=60),
+       st.integers(1, 6), st.integers(1, 5))
+def test_top_k_matches_brute_force(spark, rows, k, buckets):
+    df = spark.createDataFrame(rows, "g string, v string")
+    got = top_k_per_group(df, ["g"], [F.col("v").asc()], k, ["v"], salt_buckets=buckets)
+    got_vals = sorted((r.g, r.v) for r in got.collect())
+    want = []
+    for g in {g for g, _ in rows}:
+        want += [(g, v) for v in sorted(v for gg, v in rows if gg == g)[:k]]
+    assert got_vals == sorted(want)
