@@ -22,6 +22,7 @@ from keysweep import FILE_KEYS
 from keysweep import catalog as C
 from keysweep.functions.mask import mask_value, replace_matches
 from keysweep.functions.regex import engine_regex, union_regex
+from keysweep.sources.tables import spread_small_input
 
 LINE_BREAK = r"\r?\n"
 CONTEXT_WIDTH = 40
@@ -100,20 +101,6 @@ def any_gate(rules: list[C.Rule], text: Column, lowered: Column) -> Column:
     return out
 
 
-def spread_small_input(files: DataFrame, keys=None) -> DataFrame:
-    """Inputs with fewer splits than task slots (a few large row groups) are
-    spread so every core scans text -- hash-partitioned on the file keys, which
-    is deterministic under retries without the sort a round-robin repartition
-    adds.  Large inputs already have far more splits than slots and are left
-    alone: no shuffle of the text."""
-    if files.isStreaming:
-        return files
-    slots = files.sparkSession.sparkContext.defaultParallelism
-    if files.rdd.getNumPartitions() >= slots:
-        return files
-    return files.repartition(slots * 2, *(keys or [])) if keys else files.repartition(slots * 2)
-
-
 def candidate_lines(files: DataFrame, rules: list[C.Rule], keys=FILE_KEYS, content: str = "content",
                     skip_comments: bool = False, file_rows: bool = False) -> DataFrame:
     """(keys, line, line_text, line_lower) for the lines where some rule may match.

@@ -521,7 +521,7 @@ def _redact_map_value_sql(k: str, v: str) -> str:
 @register("redact_text", f"SELECT repository, branch, path, {Q.redact_text('content')} AS redacted FROM ({Q.files()}) f")
 def q_redact_text(spark, sf_dir):
     """Every document with the seven sanitizer patterns masked in sequence."""
-    f = S.seeded_documents(spark, sf_dir)
+    f = S.spread_small_input(S.seeded_documents(spark, sf_dir), FILE_KEYS)
     return f.select(*FILE_KEYS, M.redact_text(F.col("content")).alias("redacted"))
 
 
@@ -529,7 +529,7 @@ def q_redact_text(spark, sf_dir):
 FROM (SELECT event_id, unnest(map_entries(context)) AS e FROM {_LOGS} l) x""")
 def q_redact_map(spark, sf_dir):
     """R2: log context maps with secret-named values masked and the rest sanitized."""
-    logs = S.derived_table(spark, sf_dir, "log_entries")
+    logs = S.spread_small_input(S.derived_table(spark, sf_dir, "log_entries"), ["event_id"])
     return logs.select("event_id", F.explode(M.redact_map(F.col("context"))).alias("key", "value"))
 
 
@@ -553,7 +553,8 @@ FROM {_LOGS} l WHERE {_LEVEL_RANK_SQL} >= 1""")
 def q_redact_log(spark, sf_dir):
     """Production log view -- INFO and above, message/error/context redacted, no stack."""
     from keysweep.operators.logs import redact_log
-    logs = redact_log(S.derived_table(spark, sf_dir, "log_entries"), threshold="INFO", production=True)
+    logs = S.spread_small_input(S.derived_table(spark, sf_dir, "log_entries"), ["event_id"])
+    logs = redact_log(logs, threshold="INFO", production=True)
     return logs.select("event_id", "level", "message", _ctx_string(F.col("context")).alias("context"),
                        F.col("error.name").alias("error_name"), F.col("error.message").alias("error_message"),
                        F.col("error.stack").alias("error_stack"))

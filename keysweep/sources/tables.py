@@ -22,6 +22,20 @@ FILES_SCHEMA = T.StructType([
 ])
 
 
+def spread_small_input(df: DataFrame, keys=None) -> DataFrame:
+    """Inputs with fewer splits than task slots (a few large row groups; the sf0.1
+    documents and events files are one row group each) are spread so every core
+    works -- hash-partitioned on ``keys``, deterministic under task retry without
+    the sort a round-robin repartition adds.  Large inputs already have far more
+    splits than slots and are returned unchanged: no shuffle of their rows."""
+    if df.isStreaming:
+        return df
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots * 2, *keys) if keys else df.repartition(slots * 2)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
