@@ -50,14 +50,6 @@ def _sum_ints(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0), lambda acc, x: acc + x)
 
 
-def _by_rule(rule_id: Column, patterns: list[str], make) -> Column:
-    """CASE rule_id WHEN i THEN make(pattern_i) ... -- every pattern stays a literal."""
-    expr = None
-    for i, p in enumerate(patterns):
-        expr = F.when(rule_id == i, make(p)) if expr is None else expr.when(rule_id == i, make(p))
-    return expr
-
-
 def rule_gate(rule: C.Rule, text: Column, lowered: Column) -> Column:
     """Necessary condition for ``rule`` to match ``text``: its literal anchors
     (``catalog.ANCHORS``) -- lower-case ones against ``lowered`` for (?i) rules."""
@@ -75,6 +67,30 @@ def rule_gate(rule: C.Rule, text: Column, lowered: Column) -> Column:
     return gate if not also else (gate & some(also))
 
 
+def spark_sql_literal(s: str) -> str:
+    """A Spark SQL string literal whose value is exactly ``s`` (backslashes and
+    quotes escaped for Spark's literal unescaping)."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def rule_gate_sql(rule: C.Rule, text: str = "line_text", lowered: str = "line_lower") -> str:
+    """``rule_gate`` as Spark SQL text: the large per-line expressions are handed to
+    the parser in one call instead of thousands of Column round trips."""
+    any_of, also = C.ANCHORS[rule.type]
+    src = lowered if rule.pattern.startswith("(?i)") else text
+
+    def some(lits):
+        return "(" + " OR ".join(f"contains({src}, {spark_sql_literal(x)})" for x in lits) + ")"
+
+    return some(any_of) if not also else f"({some(any_of)} AND {some(also)})"
+
+
+def any_gate_sql(rules: list[C.Rule], text: str = "line_text", lowered: str = "line_lower") -> str:
+    raw, low = prefilter_literals(rules)
+    return "(" + " OR ".join([f"contains({text}, {spark_sql_literal(x)})" for x in raw]
+                             + [f"contains({lowered}, {spark_sql_literal(x)})" for x in low]) + ")"
+
+
 def _minimal(lits: set[str]) -> list[str]:
     """Drop literals that contain another literal of the set (implied)."""
     return sorted(a for a in lits if not any(b != a and b in a for b in lits))
@@ -118,7 +134,7 @@ def candidate_lines(files: DataFrame, rules: list[C.Rule], keys=FILE_KEYS, conte
         split = F.concat(F.array(F.lit(None).cast("string")), split)
     lines = (docs.select(*keys, F.posexplode(split).alias("_pos", "line_text"))
              .select(*keys, "_pos", "line_text", F.lower("line_text").alias("line_lower")))
-    keep = any_gate(rules, F.col("line_text"), F.col("line_lower"))
+    keep = F.expr(any_gate_sql(rules))
     if skip_comments:
         keep = keep & (F.trim("line_text") != "") & ~F.col("line_text").rlike(C.COMMENT_PREFIX_RE)
     line_no = F.col("_pos") if file_rows else F.col("_pos") + 1
@@ -138,22 +154,20 @@ def detect_raw(files: DataFrame, rules: list[C.Rule] | None = None, keys=FILE_KE
     rules = C.RULES if rules is None else rules
     pats = [engine_regex(r.pattern) for r in rules]
     lines = candidate_lines(files, rules, keys, content, skip_comments, file_rows)
-    text, low = F.col("line_text"), F.col("line_lower")
-    empty = F.array().cast("array<string>")
-    found_per_rule = F.filter(
-        F.array(*[F.struct(F.lit(i).alias("rule_id"),
-                           F.when(rule_gate(r, text, low), F.regexp_extract_all(text, F.lit(p), 0))
-                           .otherwise(empty).alias("found"))
-                  for i, (r, p) in enumerate(zip(rules, pats))]),
-        lambda h: F.size(h["found"]) > 0)
+    per_rule = ", ".join(
+        f"named_struct('rule_id', {i}, 'found', CASE WHEN {rule_gate_sql(r)} "
+        f"THEN regexp_extract_all(line_text, {spark_sql_literal(p)}, 0) ELSE CAST(array() AS ARRAY<STRING>) END)"
+        for i, (r, p) in enumerate(zip(rules, pats)))
+    found_per_rule = F.expr(f"filter(array({per_rule}), h -> size(h.found) > 0)")
     if file_rows:  # the marker row (line 0) passes through as one all-null hit
         marker = F.array(F.lit(None).cast("struct<rule_id:int,found:array<string>>"))
         found_per_rule = F.when(F.col("line") == 0, marker).otherwise(found_per_rule)
     pairs = lines.select(*keys, "line", "line_text", F.explode(found_per_rule).alias("_h"))
     pairs = pairs.select(*keys, "line", "line_text",
                          F.col("_h.rule_id").alias("rule_id"), F.col("_h.found").alias("found"),
-                         _by_rule(F.col("_h.rule_id"), pats,
-                                  lambda p: F.split(F.col("line_text"), p, -1)).alias("pieces"))
+                         F.expr("CASE _h.rule_id " + " ".join(
+                             f"WHEN {i} THEN split(line_text, {spark_sql_literal(p)}, -1)"
+                             for i, p in enumerate(pats)) + " END").alias("pieces"))
     # lengths once per (line, rule); a match's column is 1 + the lengths of the
     # pieces up to it and of the earlier matches (int sums, no string rescans)
     pairs = pairs.select(*keys, "line", "line_text", "rule_id", "found",
