@@ -68,13 +68,19 @@ def keep_files(files: DataFrame, max_size: int = C.MAX_FILE_SIZE) -> DataFrame:
             .where(fits_size(F.col("content"), max_size)))
 
 
+def over_cap(keyed: DataFrame, max_files: int = C.MAX_FILES_PER_SCAN, keys=REPO_KEYS) -> DataFrame:
+    """Repositories with more than ``max_files`` files (a partial aggregate on keys)."""
+    k = list(keys)
+    return keyed.groupBy(*k).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_files).select(*k)
+
+
 def cap_cutoffs(keyed: DataFrame, max_files: int = C.MAX_FILES_PER_SCAN, keys=REPO_KEYS,
-                salt_buckets: int = 64) -> DataFrame:
+                salt_buckets: int = 64, big: DataFrame | None = None) -> DataFrame:
     """(keys, _cutoff): for each repository with more than ``max_files`` files, the
     path ranked ``max_files`` -- from (keys, path) rows only.  Counting is a partial
     aggregate; ranking is the skew-safe top-k, run only for over-cap repositories."""
     k = list(keys)
-    big = keyed.groupBy(*k).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_files).select(*k)
+    big = over_cap(keyed, max_files, keys) if big is None else big
     over = keyed.join(big, k, "left_semi")
     top = top_k_per_group(over, k, [F.col("path").asc()], max_files, ["path"], salt_buckets)
     return top.groupBy(*k).agg(F.max("path").alias("_cutoff"))

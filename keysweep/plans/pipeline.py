@@ -28,7 +28,9 @@ def scan_corpus(files: DataFrame, max_size: int = C.MAX_FILE_SIZE, max_files: in
     rows = D.detections(kept, keys=[*FILE_KEYS, "size"], file_rows=True, with_context=with_context)
     rows = rows.checkpoint(eager=True)
     file_rows = rows.where(F.col("type").isNull()).select(*FILE_KEYS, "size")
-    cut = FL.broadcast_if_small(FL.cap_cutoffs(file_rows.select(*FILE_KEYS), max_files))
-    kept_files = FL.apply_cap(file_rows, cut)
-    dets = FL.apply_cap(rows.where(F.col("type").isNotNull()).drop("size"), cut)
-    return kept_files, dets
+    dets = rows.where(F.col("type").isNotNull()).drop("size")
+    big = FL.broadcast_if_small(FL.over_cap(file_rows, max_files))
+    if big.isEmpty():  # the common case: no repository over the cap, nothing to join
+        return file_rows, dets
+    cut = FL.broadcast_if_small(FL.cap_cutoffs(file_rows.select(*FILE_KEYS), max_files, big=big))
+    return FL.apply_cap(file_rows, cut), FL.apply_cap(dets, cut)
