@@ -22,8 +22,12 @@ class Rule:
 
 
 # ---------------------------------------------------------------------------
-# The detection rule catalog (type, category, severity, pattern,
-# description, recommendation).  Categories follow the documented category list.
+# The detection rule catalog (type, category, severity, pattern, description,
+# recommendation).  Categories follow the documented category list; the AWS key,
+# GitHub token, Stripe, Google API key, Slack token, private-key header and
+# generic-assignment patterns restate the sanitizer's fixed patterns below, the
+# rest (and all severities, descriptions, recommendations) are our choices from
+# public token formats.
 # ---------------------------------------------------------------------------
 RULES: list[Rule] = [
     Rule("aws_access_key_id", "Cloud Provider", "critical", r"AKIA[0-9A-Z]{16}",
