@@ -29,8 +29,9 @@ def scan_corpus(files: DataFrame, max_size: int = C.MAX_FILE_SIZE, max_files: in
     rows = rows.checkpoint(eager=True)
     file_rows = rows.where(F.col("type").isNull()).select(*FILE_KEYS, "size")
     dets = rows.where(F.col("type").isNotNull()).drop("size")
-    big = FL.broadcast_if_small(FL.over_cap(file_rows, max_files))
-    if big.isEmpty():  # the common case: no repository over the cap, nothing to join
+    big = FL.over_cap(file_rows, max_files)
+    if big.count() == 0:  # the common case: no repository over the cap, nothing to join
         return file_rows, dets
+    big = FL.broadcast_if_small(big)
     cut = FL.broadcast_if_small(FL.cap_cutoffs(file_rows.select(*FILE_KEYS), max_files, big=big))
     return FL.apply_cap(file_rows, cut), FL.apply_cap(dets, cut)

@@ -18,7 +18,7 @@ from keysweep.session import shared_dir
 from keysweep.sources import derived
 
 
-def document_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
+def document_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 256) -> DataFrame:
     """New ``documents`` parquet files arriving in ``sf_dir`` as a stream.
 
     A micro-batch reads whole files; when the source holds fewer files than task
