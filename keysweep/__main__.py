@@ -29,6 +29,7 @@ def main(argv=None):
     ap.add_argument("--branch", default="main")
     ap.add_argument("--out", required=True)
     ap.add_argument("--master", default=None)
+    ap.add_argument("--salt", default=None, help="adds value_hash = sha256(salt + value) to detections")
     a = ap.parse_args(argv)
     spark = get_spark(a.master, app="keysweep-scan")
     if a.files:
@@ -38,7 +39,7 @@ def main(argv=None):
         files = files.select("repository", "branch", "path", "content", "size")
     else:
         files = S.read_file_tree(spark, a.tree, a.repository, a.branch)
-    print(json.dumps(run_scan_job(spark, files, a.out)))
+    print(json.dumps(run_scan_job(spark, files, a.out, value_salt=a.salt)))
 
 
 if __name__ == "__main__":

@@ -205,9 +205,12 @@ def context_column(line_text: Column, column: Column, raw: Column) -> Column:
 
 def detections(files: DataFrame, spark: SparkSession | None = None, rules: list[C.Rule] | None = None,
                keys=FILE_KEYS, with_context: bool = False, skip_comments: bool = False,
-               drop_false_positives: bool = False, file_rows: bool = False) -> DataFrame:
+               drop_false_positives: bool = False, file_rows: bool = False,
+               value_salt: str | None = None) -> DataFrame:
     """The public detection record: keys, type, category, severity, value (masked),
-    line, column, [context], pattern, recommendation.  Raw values are dropped here.
+    line, column, [context], pattern, recommendation.  Raw values are dropped here;
+    with ``value_salt`` a ``value_hash`` (SHA-256 of salt + value) is kept so the
+    same secret can be traced across files without storing it.
 
     ``file_rows`` also emits one row per input file with ``type`` null (see
     ``candidate_lines``), so one pass over the content yields both the file list
@@ -223,6 +226,8 @@ def detections(files: DataFrame, spark: SparkSession | None = None, rules: list[
     if with_context:
         cols.append(context_column(F.col("line_text"), F.col("column"), F.col("raw")).alias("context"))
     cols += ["pattern", "recommendation"]
+    if value_salt is not None:
+        cols.append(F.sha2(F.concat(F.lit(value_salt), F.col("raw")), 256).alias("value_hash"))
     return hits.select(*cols)
 
 

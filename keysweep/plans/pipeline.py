@@ -21,11 +21,12 @@ from keysweep.session import checkpoint_root
 
 
 def scan_corpus(files: DataFrame, max_size: int = C.MAX_FILE_SIZE, max_files: int = C.MAX_FILES_PER_SCAN,
-                with_context: bool = False) -> tuple[DataFrame, DataFrame]:
+                with_context: bool = False, value_salt: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(kept files: keys + size, detections) after F1-F5."""
     checkpoint_root(files.sparkSession)
     kept = FL.keep_files(files, max_size)
-    rows = D.detections(kept, keys=[*FILE_KEYS, "size"], file_rows=True, with_context=with_context)
+    rows = D.detections(kept, keys=[*FILE_KEYS, "size"], file_rows=True, with_context=with_context,
+                        value_salt=value_salt)
     rows = rows.checkpoint(eager=True)
     file_rows = rows.where(F.col("type").isNull()).select(*FILE_KEYS, "size")
     dets = rows.where(F.col("type").isNotNull()).drop("size")

@@ -98,12 +98,12 @@ def read_parquet_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def run_scan_job(spark: SparkSession, files: DataFrame, out_dir: str) -> dict[str, str]:
+def run_scan_job(spark: SparkSession, files: DataFrame, out_dir: str, value_salt: str | None = None) -> dict[str, str]:
     """The batch job: one checkpointed content pass (F1-F5 + detection with
     context), then detections, file results, scan reports and analysis written
     to ``out_dir`` from the compact table."""
     from keysweep.plans.pipeline import scan_corpus
-    kept, dets = scan_corpus(files, with_context=True)
+    kept, dets = scan_corpus(files, with_context=True, value_salt=value_salt)
     paths = {k: os.path.join(out_dir, k) for k in ("detections", "file_results", "reports", "analysis")}
     write_parquet_table(dets, paths["detections"])
     write_parquet_table(R.file_results(dets), paths["file_results"])
