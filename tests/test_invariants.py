@@ -58,3 +58,16 @@ def test_read_file_tree_and_decode(spark, tmp_path):
     assert "�" in got["src/a.py"]
     dets = D.detections(files.where(~F.col("path").rlike(r"\.png$")))
     assert [r.type for r in dets.collect()] == ["generic_assignment"]
+
+
+def test_fixture_figures_sf001(spark):
+    """Independent figures published in FIXTURES.md for sf0.01."""
+    sf = "/root/testdata/sf0.01"
+    rr = registry.SPARK["repo_risk"](spark, sf)
+    status = {r.compliance_status: r["count"] for r in rr.groupBy("compliance_status").count().collect()}
+    assert rr.count() == 500 and status == {"compliant": 117, "at_risk": 23, "non_compliant": 360}
+    det = registry.SPARK["detect"](spark, sf)
+    by_type = {r.type: r["count"] for r in det.groupBy("type").count().collect()}
+    assert by_type == {"aws_access_key_id": 200, "github_token": 143, "postgres_uri": 91, "slack_token": 77,
+                       "generic_assignment": 66, "stripe_live_key": 59, "rsa_private_key": 44}
+    assert det.select("path").distinct().count() == 504
