@@ -129,11 +129,17 @@ def candidate_lines(files: DataFrame, rules: list[C.Rule], keys=FILE_KEYS, conte
     ``file_rows`` adds one marker row per file (line 0, null text) so the same
     pass also lists every scanned file."""
     docs = spread_small_input(files.select(*keys, F.col(content).alias("_content")), list(keys))
-    split = F.split("_content", LINE_BREAK, -1)
+    # Raw and lower-cased lines come out of one generator: the document is
+    # lower-cased once, and the gate reads the lowered line as a column (a
+    # projected lower() would be inlined into every case-insensitive check).
+    raw_lines = F.split("_content", LINE_BREAK, -1)
+    low_lines = F.split(F.lower("_content"), LINE_BREAK, -1)
     if file_rows:
-        split = F.concat(F.array(F.lit(None).cast("string")), split)
-    lines = (docs.select(*keys, F.posexplode(split).alias("_pos", "line_text"))
-             .select(*keys, "_pos", "line_text", F.lower("line_text").alias("line_lower")))
+        marker = F.array(F.lit(None).cast("string"))
+        raw_lines, low_lines = F.concat(marker, raw_lines), F.concat(marker, low_lines)
+    lines = (docs.select(*keys, raw_lines.alias("line_text"), low_lines.alias("line_lower"))
+             .select(*keys, F.posexplode(F.arrays_zip("line_text", "line_lower")).alias("_pos", "_z"))
+             .select(*keys, "_pos", F.col("_z.line_text").alias("line_text"), F.col("_z.line_lower").alias("line_lower")))
     keep = F.expr(any_gate_sql(rules))
     if skip_comments:
         keep = keep & (F.trim("line_text") != "") & ~F.col("line_text").rlike(C.COMMENT_PREFIX_RE)
