@@ -30,8 +30,12 @@ def spread_small_input(df: DataFrame, keys=None) -> DataFrame:
     splits than slots and are returned unchanged: no shuffle of their rows."""
     if df.isStreaming:
         return df
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 -- sessions without RDD access: leave the input as it is
+        return df
+    if splits >= slots:
         return df
     return df.repartition(slots * 2, *keys) if keys else df.repartition(slots * 2)
 
