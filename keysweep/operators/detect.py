@@ -107,16 +107,6 @@ def prefilter_literals(rules: list[C.Rule]) -> tuple[list[str], list[str]]:
     return _minimal(raw), _minimal(low)
 
 
-def any_gate(rules: list[C.Rule], text: Column, lowered: Column) -> Column:
-    """Necessary condition for any of ``rules`` to match ``text``."""
-    raw, low = prefilter_literals(rules)
-    conds = [text.contains(x) for x in raw] + [lowered.contains(x) for x in low]
-    out = conds[0]
-    for c in conds[1:]:
-        out = out | c
-    return out
-
-
 def candidate_lines(files: DataFrame, rules: list[C.Rule], keys=FILE_KEYS, content: str = "content",
                     skip_comments: bool = False, file_rows: bool = False) -> DataFrame:
     """(keys, line, line_text, line_lower) for the lines where some rule may match.
