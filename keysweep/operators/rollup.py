@@ -35,12 +35,18 @@ def _severity_counts() -> list[Column]:
     return [F.count_if(_sev() == s).alias(s) for s in C.SEVERITIES]
 
 
-def file_results(dets: DataFrame, keys=FILE_KEYS) -> DataFrame:
-    """A1 + A2: one row per file with >= 1 detection."""
-    return (dets.groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("detections"), *_severity_counts(),
-                 F.max(severity_rank()).alias("_rank"),
-                 F.min("line").alias("first_line"))
+def file_results(dets: DataFrame, keys=FILE_KEYS, nested: bool = False) -> DataFrame:
+    """A1 + A2: one row per file with >= 1 detection.
+
+    ``nested`` also carries the file's detections as a list in (line, column,
+    type) order -- the per-file result shape; bounded by the file size cap."""
+    aggs = [F.count(F.lit(1)).alias("detections"), *_severity_counts(),
+            F.max(severity_rank()).alias("_rank"), F.min("line").alias("first_line")]
+    if nested:
+        fields = [c for c in dets.columns if c not in keys]
+        order = ["line", "column", "type"] + [c for c in fields if c not in ("line", "column", "type")]
+        aggs.append(F.sort_array(F.collect_list(F.struct(*order))).alias("results"))
+    return (dets.groupBy(*keys).agg(*aggs)
             .withColumn("severity", rank_label(F.col("_rank"))).drop("_rank"))
 
 

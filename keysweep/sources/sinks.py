@@ -106,7 +106,7 @@ def run_scan_job(spark: SparkSession, files: DataFrame, out_dir: str, value_salt
     kept, dets = scan_corpus(files, with_context=True, value_salt=value_salt)
     paths = {k: os.path.join(out_dir, k) for k in ("detections", "file_results", "reports", "analysis")}
     write_parquet_table(dets, paths["detections"])
-    write_parquet_table(R.file_results(dets), paths["file_results"])
+    write_parquet_table(R.file_results(dets, nested=True), paths["file_results"])
     write_reports(scan_reports(kept, dets), paths["reports"])
     write_parquet_table(analysis_reports(kept, dets), paths["analysis"])
     return paths

@@ -19,6 +19,9 @@ def test_run_scan_job(spark, tmp_path):
     r0 = reports.where("repository = 'org/r0'").first()
     assert r0.summary.severity_breakdown["critical"] >= 1
     assert sum(r0.summary.severity_breakdown.values()) == r0.total_secrets_found
+    fr = read_parquet_table(spark, paths["file_results"])
+    assert fr.where("size(results) != detections").count() == 0
+    assert fr.selectExpr("sum(detections)").first()[0] == dets.count()
     an = read_parquet_table(spark, paths["analysis"])
     assert an.count() == reports.count()
     assert set(an.columns) >= {"analysis", "risk_score", "compliance_status", "remediation_steps"}
