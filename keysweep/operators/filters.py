@@ -111,7 +111,10 @@ def cap_files(files: DataFrame, max_files: int = C.MAX_FILES_PER_SCAN, keys=REPO
     return apply_cap(files, cut, keys)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+BROADCAST_MAX_ROWS = 100_000  # key rows of ~100-200 bytes: a 10-20 MB broadcast at most
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Materialise a small derived table once (reliable checkpoint), count it, and
     hint a broadcast only under ``max_rows``; bigger tables are left to the planner
     (shuffle join, AQE skew handling).  Every join of it then reads the stored

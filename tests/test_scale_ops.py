@@ -56,3 +56,23 @@ def test_scan_corpus_applies_cap(spark):
     assert dets.where("repository = 'small'").count() == 1
     kept_all, dets_all = scan_corpus(files)  # default cap: nothing over it
     assert kept_all.count() == 31 and dets_all.count() == 31
+
+
+def test_broadcast_only_under_bound(spark):
+    # with the planner's own size-based broadcast off, only our checked hint broadcasts
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        _check_broadcast_bound(spark)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+
+
+def _check_broadcast_bound(spark):
+    small = FL.broadcast_if_small(spark.range(10), max_rows=100)
+    big = FL.broadcast_if_small(spark.range(1000), max_rows=100)
+    files = spark.range(50).withColumnRenamed("id", "k")
+    plan_small = files.join(small.withColumnRenamed("id", "k"), "k")._jdf.queryExecution().executedPlan().toString()
+    plan_big = files.join(big.withColumnRenamed("id", "k"), "k")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan_small
+    assert "SortMergeJoin" in plan_big or "ShuffledHashJoin" in plan_big
