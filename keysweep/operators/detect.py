@@ -26,6 +26,10 @@ from keysweep.sources.tables import spread_small_input
 
 LINE_BREAK = r"\r?\n"
 CONTEXT_WIDTH = 40
+# Text redacted around a hit before the cut to CONTEXT_WIDTH: bounds the work per
+# hit on very long lines; a secret that starts outside it and still reaches the
+# kept 40 characters would have to be longer than 160 characters.
+CONTEXT_WINDOW = 200
 
 CATALOG_SCHEMA = T.StructType([
     T.StructField("rule_id", T.IntegerType(), False),
@@ -196,9 +200,12 @@ def context_column(line_text: Column, column: Column, raw: Column) -> Column:
     masked (D4) and every other catalog match in the surrounding text masked too.
 
     The surroundings go through one pass of the union of all rules (leftmost
-    match wins), not 37 sequential passes: same coverage, one regex scan."""
-    before = F.substring(line_text, F.lit(1), column - 1)
-    after = F.expr("substring(line_text, column + length(raw))")
+    match wins), not 37 sequential passes: same coverage, one regex scan.  Only
+    ``CONTEXT_WINDOW`` characters on each side are redacted, so a hit on a
+    megabyte-long minified line costs the same as any other."""
+    w = CONTEXT_WINDOW
+    before = F.expr(f"substring(line_text, greatest(1, column - {w}), column - greatest(1, column - {w}))")
+    after = F.expr(f"substring(line_text, column + length(raw), {w})")
     every_rule = union_regex([r.pattern for r in C.RULES])
     before_r = replace_matches(before, every_rule, mask_value)
     after_r = replace_matches(after, every_rule, mask_value)

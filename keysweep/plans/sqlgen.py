@@ -86,8 +86,10 @@ def detections(files_sql: str, rules: list[C.Rule] | None = None, keys=("reposit
     ctx = ""
     if with_context:
         every_rule = union_regex([r.pattern for r in C.RULES])
-        before = replace_matches('substring(h.line_text, 1, h."column" - 1)', every_rule, mask_value)
-        after = replace_matches('substring(h.line_text, h."column" + length(h.raw))', every_rule, mask_value)
+        w = 200  # detect.CONTEXT_WINDOW
+        before = replace_matches(f'substring(h.line_text, greatest(1, h."column" - {w}), h."column" - greatest(1, h."column" - {w}))',
+                                 every_rule, mask_value)
+        after = replace_matches(f'substring(h.line_text, h."column" + length(h.raw), {w})', every_rule, mask_value)
         ctx = f", right({before}, 40) || {mask_value('h.raw')} || left({after}, 40) AS context"
     return f"""(SELECT {k}, c.type, c.category, c.severity, {mask_value('h.raw')} AS value,
        h.line, h."column"{ctx}, c.pattern, c.recommendation
