@@ -254,16 +254,23 @@ def detect_blocks(files: DataFrame, rule: C.Rule = C.BLOCK_RULE, keys=FILE_KEYS,
             .select(*keys, F.regexp_extract_all("_content", F.lit(p), 0).alias("found"),
                     F.split("_content", p, -1).alias("pieces"))
             .where(F.size("found") > 0))
-    # pieces[j] + found[j]: the text up to and including match j, in document order
-    inter = F.zip_with("pieces", "found", lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    hits = (base.select(*keys, "pieces", inter.alias("_inter"), F.posexplode("found").alias("match_idx", "raw"))
-            .select(*keys, "match_idx", "raw",
-                    F.split(F.concat(F.array_join(F.slice("_inter", F.lit(1), F.col("match_idx")), ""),
-                                     F.element_at("pieces", F.col("match_idx") + 1)), "\n", -1).alias("_before")))
+    # Each text segment (piece, match, piece, ...) summarised once as
+    # (newlines, chars after its last newline, length); a match's line and column
+    # fold the summaries of the segments before it -- small ints, no prefix string
+    # is rebuilt, so many blocks in one large file stay cheap.
+    summary = ("named_struct('nl', length({0}) - length(replace({0}, '\\n', '')), "
+               "'tail', length(substring_index({0}, '\\n', -1)), 'len', length({0}))")
+    segs = F.expr("flatten(zip_with(pieces, found, (p, f) -> array(" + summary.format("p") + ", "
+                  + summary.format("coalesce(f, '')") + ")))")
+    fold = ("aggregate(slice(_segs, 1, 2 * match_idx + 1), named_struct('nl', 0, 'col', 0), "
+            "(acc, s) -> named_struct('nl', acc.nl + s.nl, "
+            "'col', CASE WHEN s.nl > 0 THEN s.tail ELSE acc.col + s.len END))")
+    hits = (base.select(*keys, segs.alias("_segs"), F.posexplode("found").alias("match_idx", "raw"))
+            .select(*keys, "raw", F.expr(fold).alias("_pos")))
     return hits.select(*keys, F.lit(rule.type).alias("type"), F.lit(rule.category).alias("category"),
                        F.lit(rule.severity).alias("severity"), mask_value(F.col("raw")).alias("value"),
-                       F.size("_before").cast("int").alias("line"),
-                       (F.length(F.element_at("_before", -1)) + 1).cast("int").alias("column"),
+                       (F.col("_pos.nl") + 1).cast("int").alias("line"),
+                       (F.col("_pos.col") + 1).cast("int").alias("column"),
                        F.size(F.split("raw", "\n", -1)).cast("int").alias("n_lines"))
 
 
