@@ -159,3 +159,21 @@ def test_context_on_long_line_is_windowed(spark):
     ctx = rows["aws_access_key_id"]
     assert ctx == "z" * 39 + " AKIA****MNOP " + "y" * 39
     assert far not in rows["github_token"]
+
+
+def test_many_matches_on_one_line(spark):
+    """Columns stay exact for many hits on one line (blocked prefix sums)."""
+    import re
+    parts, expected, pos = [], [], 1
+    for i in range(1000):
+        filler = "x" * (i % 7) + " "
+        key = f"AKIA{i:016d}"
+        pos += len(filler)
+        expected.append(pos)
+        parts.append(filler + key)
+        pos += len(key)
+    text = "".join(parts)
+    assert [m.start() + 1 for m in re.finditer(r"AKIA[0-9A-Z]{16}", text)] == expected
+    files = spark.createDataFrame([("r", "main", "p", text)], "repository string, branch string, path string, content string")
+    got = sorted(r.column for r in D.detections(files).where("type = 'aws_access_key_id'").collect())
+    assert got == expected
