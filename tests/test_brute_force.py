@@ -44,3 +44,20 @@ def test_detect_equals_brute_force(spark):
            for r in D.detections(files).collect()]
     assert sorted(got) == sorted(expected)
     assert len(expected) > 100
+
+
+def test_redact_text_equals_brute_force(spark):
+    from pyspark.sql import functions as F
+    from keysweep.functions.mask import redact_text
+    sf = "/root/testdata/sf0.01"
+    docs = S.seeded_documents(spark, sf)
+    pats = [_py_regex(engine_regex("(?i)" + p)) for p in C.SANITIZER_PATTERNS]
+
+    def fold(t):
+        for rx in pats:
+            t = rx.sub(lambda m: "****" if len(m.group(0)) <= 8 else m.group(0)[:4] + "****" + m.group(0)[-4:], t)
+        return t
+
+    rows = docs.select("path", "content", redact_text(F.col("content")).alias("r")).collect()
+    assert all(r.r == fold(r.content) for r in rows)
+    assert sum(r.r != r.content for r in rows) > 100
