@@ -1,8 +1,8 @@
-"""File and line filters.
+"""File and line filters (F1-F9), the file cap (F5) and path requests.
 
-The path tests (F1, F2) only touch ``path``; placed before anything reads
-``content`` they let Parquet skip the content column pages of dropped rows
-(late materialisation) and never decode them.
+The path tests (F1, F2) only touch ``path`` and run first; the content tests
+(F3, F4) use a byte-length bound so the exact UTF-16 count is computed only for
+files near the limit.
 """
 
 from __future__ import annotations

@@ -40,8 +40,8 @@ REPORT_SCHEMA = T.StructType([
 def file_type_counts(dets: DataFrame) -> DataFrame:
     """The one aggregate every repository figure derives from: (file, type, severity) -> n.
 
-    All report branches start from this identical sub-plan, so Spark computes the
-    detections once and reuses the shuffle output (ReusedExchange)."""
+    The report branches (files with hits, severity map, top types) all start from
+    this partial aggregate of the (checkpointed) detections."""
     return dets.groupBy(*FILE_KEYS, "type", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
