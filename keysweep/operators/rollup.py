@@ -1,9 +1,11 @@
 """Roll-ups (A1-A13, K1-K2).
 
-Every aggregate here is algebraic (counts, sums, max) so Spark combines map-side
-before the shuffle: a repository holding a third of all files still sends one
-partial row per task.  The only ``collect_list`` runs over (repository, type)
-counts, i.e. at most one element per catalog rule per repository.
+Every count, sum and max here is algebraic, so Spark combines map-side before
+the shuffle: a repository holding a third of all files still sends one partial
+row per task.  Every ``collect_list`` is bounded: over (repository, type)
+counts (one entry per rule), (repository, severity) counts, one snippet's
+distinct recommendations, or -- for the nested per-file results -- one file's
+hits, bounded by the file size cap.
 """
 
 from __future__ import annotations
