@@ -129,14 +129,20 @@ def scan_path(files: DataFrame, requests: DataFrame, prefix: bool = False) -> Da
     """The files named by (repository, branch, path) requests.
 
     Exact path by default: a semi join on the full file key, broadcast when the
-    request list is small.  With ``prefix`` also every file below ``path/``."""
+    request list is small.  With ``prefix`` a request also selects every file
+    below ``path/``: each file path is expanded into its own ancestor prefixes
+    (bounded by the path depth) and matched by equality, so no group ever pairs
+    all its files with all its requests."""
+    keys = ["repository", "branch", "path"]
+    req = requests.select(*keys).where(F.col("path").isNotNull()).distinct()
     if not prefix:
-        req = broadcast_if_small(requests.select("repository", "branch", "path").distinct())
-        return files.join(req, ["repository", "branch", "path"], "left_semi")
-    r = broadcast_if_small(requests.select("repository", "branch", F.col("path").alias("_req")).distinct())
-    cond = ((files["repository"] == r["repository"]) & (files["branch"] == r["branch"]) &
-            ((files["path"] == r["_req"]) | files["path"].startswith(F.concat(r["_req"], F.lit("/")))))
-    return files.join(r, cond, "left_semi")
+        return files.join(broadcast_if_small(req), keys, "left_semi")
+    parts = F.split(F.col("path"), "/", -1)
+    ancestors = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    expanded = files.select("repository", "branch", F.col("path").alias("_file"), F.explode(ancestors).alias("path"))
+    matched = (expanded.join(broadcast_if_small(req), keys, "left_semi")
+               .select("repository", "branch", F.col("_file").alias("path")).distinct())
+    return files.join(broadcast_if_small(matched), keys, "left_semi")
 
 
 def skip_comment_lines(line_text: Column) -> Column:

@@ -359,9 +359,9 @@ def q_file_results(spark, sf_dir):
 WITH det AS {_det_sql()},
 per AS (SELECT repository, branch, severity, count(*) AS count FROM det GROUP BY ALL),
 repos AS (SELECT DISTINCT repository, branch FROM per),
-fixed AS (SELECT r.repository, r.branch, s.severity, CAST(coalesce(p.count, 0) AS BIGINT) AS count
-          FROM repos r JOIN (VALUES ('critical'), ('high'), ('medium'), ('low')) s(severity) ON TRUE
-          LEFT JOIN per p ON p.repository = r.repository AND p.branch = r.branch AND p.severity = s.severity)
+four AS (SELECT repository, branch, unnest(['critical', 'high', 'medium', 'low']) AS severity FROM repos),
+fixed AS (SELECT f.repository, f.branch, f.severity, CAST(coalesce(p.count, 0) AS BIGINT) AS count
+          FROM four f LEFT JOIN per p ON p.repository = f.repository AND p.branch = f.branch AND p.severity = f.severity)
 SELECT * FROM fixed UNION ALL
 SELECT repository, branch, severity, count FROM per WHERE severity NOT IN ('critical', 'high', 'medium', 'low') OR severity IS NULL""")
 def q_severity_breakdown(spark, sf_dir):
