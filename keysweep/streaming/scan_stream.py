@@ -21,16 +21,18 @@ from keysweep.sources import derived
 def document_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 256) -> DataFrame:
     """New ``documents`` parquet files arriving in ``sf_dir`` as a stream.
 
-    A micro-batch reads whole files; when the source holds fewer files than task
-    slots (Spark's own listing, any file system), rows are hash-spread on the
-    document id so every core scans text.  Many-file sources are left alone."""
+    A micro-batch reads whole files; when the source has fewer splits than task
+    slots, rows are hash-spread on the document id so every core scans text.
+    Large sources are left alone."""
     present = spark.read.option("pathGlobFilter", "documents*.parquet").parquet(sf_dir)
     stream = (spark.readStream.schema(present.schema)
               .option("pathGlobFilter", "documents*.parquet")
               .option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(sf_dir))
     slots = spark.sparkContext.defaultParallelism
-    if min(len(present.inputFiles()), max_files_per_trigger) < slots:
+    # splits of what is already there (counted on the JVM side, no path list on
+    # the driver) estimate the splits of a micro-batch
+    if min(present.rdd.getNumPartitions(), max_files_per_trigger) < slots:
         stream = stream.repartition(slots * 2, "doc_id")
     return stream
 
