@@ -107,7 +107,10 @@ def cap_files(files: DataFrame, max_files: int = C.MAX_FILES_PER_SCAN, keys=REPO
     from keysweep.session import checkpoint_root
     checkpoint_root(files.sparkSession)
     keyed = files.select(*keys, "path").checkpoint(eager=True)
-    cut = broadcast_if_small(cap_cutoffs(keyed, max_files, keys, salt_buckets))
+    big = over_cap(keyed, max_files, keys)
+    if big.count() == 0:  # no repository over the cap: nothing to rank or join
+        return files
+    cut = broadcast_if_small(cap_cutoffs(keyed, max_files, keys, salt_buckets, big=broadcast_if_small(big)))
     return apply_cap(files, cut, keys)
 
 

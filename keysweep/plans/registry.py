@@ -336,7 +336,7 @@ SELECT r.request_id, r.repository, r.branch, CAST(coalesce(fc.n, 0) AS BIGINT) A
 FROM {_VALID_SCAN_REQ} r LEFT JOIN fc ON r.repository = fc.repository AND r.branch = fc.branch""")
 def q_coverage(spark, sf_dir):
     """Every valid request reports, repositories with nothing readable as zeros."""
-    kept, _ = _pipeline_dets(spark, sf_dir)
+    kept = _kept_files(spark, sf_dir)
     fc = kept.groupBy(*REPO_KEYS).agg(F.count(F.lit(1)).alias("n"))
     r = _valid_scan_requests(spark, sf_dir)
     j = r.join(fc, REPO_KEYS, "left")
@@ -375,6 +375,11 @@ def q_type_counts(spark, sf_dir):
     return R.type_counts(D.detections(S.seeded_documents(spark, sf_dir)))
 
 
+def _kept_files(spark, sf_dir):
+    """F1-F5 only (no detection): file listing and coverage need no regex work."""
+    return FL.cap_files(FL.keep_files(S.repo_files(spark, sf_dir)))
+
+
 def _pipeline_dets(spark, sf_dir):
     """The corpus scan (F1-F5 + detection) as one checkpointed pass."""
     from keysweep.plans.pipeline import scan_corpus
@@ -792,8 +797,7 @@ def q_patterns(spark, sf_dir):
 @register("scan_files", f"SELECT repository, branch, path, size FROM {_capped_sql()} c")
 def q_scan_files(spark, sf_dir):
     """Every scannable file (F1-F5 applied) of documents, pages and conversations."""
-    kept, _ = _pipeline_dets(spark, sf_dir)
-    return kept.select(*FILE_KEYS, "size")
+    return _kept_files(spark, sf_dir).select(*FILE_KEYS, "size")
 
 
 _REPORT_SQL = f"""
