@@ -24,10 +24,44 @@ from keysweep.sources.files import snippet_files
 from keysweep.sources.sinks import analysis_reports, scan_reports
 
 
-def scan_repository(files: DataFrame, value_salt: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Files (repository, branch, path, content, size) -> (scan reports, file results)."""
+def requested_files(files: DataFrame, requests: DataFrame) -> DataFrame:
+    """Files selected by valid scan requests (owner, repo, branch, path): a request
+    without path selects its whole repository+branch, one with a path that file.
+    Each file is offered under two keys (its path and '') and matched by equality."""
+    from keysweep.functions.mask import repo_key
+    from keysweep.operators.filters import broadcast_if_small
+    keys = ["repository", "branch", "path"]
+    req = (QL.valid(QL.check_scan_requests(requests))
+           .select(repo_key(F.col("owner"), F.col("repo")).alias("repository"), "branch",
+                   F.coalesce(F.col("path"), F.lit("")).alias("path")).distinct())
+    offered = files.select("repository", "branch", F.col("path").alias("_file"),
+                           F.explode(F.array(F.col("path"), F.lit(""))).alias("path"))
+    matched = (offered.join(broadcast_if_small(req), keys, "left_semi")
+               .select("repository", "branch", F.col("_file").alias("path")).distinct())
+    return files.join(broadcast_if_small(matched), keys, "left_semi")
+
+
+def scan_repository(files: DataFrame, requests: DataFrame | None = None,
+                    value_salt: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Files (repository, branch, path, content, size) -> (scan reports, file results).
+
+    With ``requests`` only the requested files are scanned, and every valid request's
+    repository reports -- zeros when nothing readable was found (J2)."""
+    if requests is not None:
+        files = requested_files(files, requests)
     kept, dets = scan_corpus(files, with_context=True, value_salt=value_salt)
-    return scan_reports(kept, dets), R.file_results(dets, nested=True)
+    reports = scan_reports(kept, dets)
+    if requests is not None:
+        from keysweep.functions.mask import default_path_label, repo_key
+        req = (QL.valid(QL.check_scan_requests(requests))
+               .select(repo_key(F.col("owner"), F.col("repo")).alias("repository"), "branch",
+                       default_path_label(F.col("path")).alias("path")).distinct())
+        reports = req.join(reports.drop("path"), ["repository", "branch"], "left").select(
+            "repository", "branch", "path",
+            *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+              for c in ("total_files_scanned", "files_with_secrets", "total_secrets_found")],
+            "summary")
+    return reports, R.file_results(dets, nested=True)
 
 
 def scan_code(snippets: DataFrame) -> DataFrame:

@@ -40,3 +40,18 @@ def test_validate_secret(spark):
                                 "request_id long, secret_type string, value string")
     got = {r.request_id: r.status for r in api.validate_secret(req).collect()}
     assert got == {1: "format_valid"}
+
+
+def test_scan_repository_by_requests(spark):
+    files = S.seeded_documents(spark, SF_SMALL)
+    req = spark.createDataFrame(
+        [(1, "org", "r0", None, None), (2, "org", "r5", "main", "11.txt"), (3, "org", "nope", None, None),
+         (4, "-bad", "r1", None, None)],
+        "request_id long, owner string, repo string, branch string, path string")
+    reports, results = api.scan_repository(files, requests=req)
+    got = {r.repository: r for r in reports.collect()}
+    assert set(got) == {"org/r0", "org/r5", "org/nope"}  # the invalid request is rejected
+    assert got["org/r0"].total_files_scanned == 2 and got["org/r0"].path == "entire repository"
+    assert got["org/r5"].total_files_scanned == 1 and got["org/r5"].path == "11.txt"
+    assert got["org/nope"].total_files_scanned == 0 and got["org/nope"].total_secrets_found == 0
+    assert {r.path for r in results.where("repository = 'org/r5'").collect()} <= {"11.txt"}
