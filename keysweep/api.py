@@ -81,9 +81,14 @@ def scan_code(snippets: DataFrame) -> DataFrame:
                     F.coalesce("recommendations", F.array().cast("array<string>")).alias("recommendations"))
 
 
-def analyze_security(files: DataFrame) -> DataFrame:
+def analyze_security(files: DataFrame, requests: DataFrame | None = None) -> DataFrame:
     """Files -> scan report plus ``analysis`` (score, status, counts, steps,
-    recommendations), with score, status and steps also at top level."""
+    recommendations), with score, status and steps also at top level.
+
+    With ``requests`` (owner, repo, branch; any path is ignored: the analysis is
+    always of the whole repository) only those repositories are scanned."""
+    if requests is not None:
+        files = requested_files(files, requests.withColumn("path", F.lit(None).cast("string")))
     kept, dets = scan_corpus(files)
     return analysis_reports(kept, dets)
 

@@ -55,3 +55,12 @@ def test_scan_repository_by_requests(spark):
     assert got["org/r5"].total_files_scanned == 1 and got["org/r5"].path == "11.txt"
     assert got["org/nope"].total_files_scanned == 0 and got["org/nope"].total_secrets_found == 0
     assert {r.path for r in results.where("repository = 'org/r5'").collect()} <= {"11.txt"}
+
+
+def test_analyze_security_by_requests(spark):
+    files = S.seeded_documents(spark, SF_SMALL)
+    req = spark.createDataFrame([(1, "org", "r0", None), (2, "org", "r3", "main")],
+                                "request_id long, owner string, repo string, branch string")
+    got = {r.repository: r for r in api.analyze_security(files, req).collect()}
+    assert set(got) == {"org/r0", "org/r3"}
+    assert (got["org/r0"].risk_score, got["org/r0"].compliance_status) == (57, "non_compliant")
