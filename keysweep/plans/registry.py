@@ -646,20 +646,21 @@ def q_check_analysis_requests(spark, sf_dir):
     return _checked(chk, "request_id", "owner", "repo", "branch")
 
 
-@register("check_snippets", f"""SELECT snippet_id, code, path, v AS violations, v = '' AS is_valid FROM (SELECT *, {_viol_sql([
+@register("check_snippets", f"""SELECT snippet_id, {Q.redact_text('code')} AS code, path, v AS violations, v = '' AS is_valid FROM (SELECT *, {_viol_sql([
     ("code IS NULL", "code_required"), (f"code IS NOT NULL AND {_UTF16.format('code')} < 1", "code_empty"),
     (f"code IS NOT NULL AND {_UTF16.format('code')} > {C.MAX_FILE_SIZE}", "code_too_large"),
     (f"{_UTF16.format('path')} > {C.MAX_PATH_LEN}", "path_too_long")])} AS v FROM {_SNIP} s) x""")
 def q_check_snippets(spark, sf_dir):
-    """Q2: code 1..10 MiB, path <= 1000."""
+    """Q2: code 1..10 MiB, path <= 1000.  The report shows the code sanitized (R1):
+    a rejects table must not persist the secrets it is about."""
     chk = QL.check_snippets(S.derived_table(spark, sf_dir, "snippets"))
-    return _checked(chk, "snippet_id", "code", "path")
+    return _checked(chk.withColumn("code", M.redact_text(F.col("code"))), "snippet_id", "code", "path")
 
 
 _SECRET_REQ = f"({derived_sql('secret_requests')})"
 
 
-@register("check_secret_requests", f"""SELECT request_id, secret_type, value, v AS violations, v = '' AS is_valid FROM (SELECT *, {_viol_sql([
+@register("check_secret_requests", f"""SELECT request_id, secret_type, {Q.mask_value('value')} AS value, v AS violations, v = '' AS is_valid FROM (SELECT *, {_viol_sql([
     ("secret_type IS NULL", "secret_type_required"),
     (f"secret_type IS NOT NULL AND {_UTF16.format('secret_type')} < 1", "secret_type_empty"),
     (f"secret_type IS NOT NULL AND {_UTF16.format('secret_type')} > {C.MAX_SECRET_TYPE_LEN}", "secret_type_too_long"),
@@ -667,9 +668,9 @@ _SECRET_REQ = f"({derived_sql('secret_requests')})"
     (f"value IS NOT NULL AND {_UTF16.format('value')} < 1", "value_empty"),
     (f"value IS NOT NULL AND {_UTF16.format('value')} > {C.MAX_SECRET_VALUE_LEN}", "value_too_long")])} AS v FROM {_SECRET_REQ} s) x""")
 def q_check_secret_requests(spark, sf_dir):
-    """Q4: secret type 1..100, value 1..10000."""
+    """Q4: secret type 1..100, value 1..10000; the report shows the value masked."""
     chk = QL.check_secret_requests(S.derived_table(spark, sf_dir, "secret_requests"))
-    return _checked(chk, "request_id", "secret_type", "value")
+    return _checked(chk.withColumn("value", D.mask_value(F.col("value"))), "request_id", "secret_type", "value")
 
 
 # ---------------------------------------------------------------------------
