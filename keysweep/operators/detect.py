@@ -114,6 +114,10 @@ def prefilter_literals(rules: list[C.Rule]) -> tuple[list[str], list[str]]:
     for r in rules:
         any_of, _ = C.ANCHORS[r.type]
         (low if r.pattern.startswith("(?i)") else raw).update(any_of)
+    extra_raw, extra_low = C.PREFILTER_EXTRA
+    # a coarser literal is added only where it is implied by an anchor in use
+    raw.update(x for x in extra_raw if any(x in a for a in raw))
+    low.update(x for x in extra_low if any(x in a for a in low))
     return _minimal(raw), _minimal(low)
 
 
