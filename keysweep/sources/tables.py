@@ -60,17 +60,21 @@ def repo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_file_tree(spark: SparkSession, root: str, repository: str, branch: str = "main",
-                   glob: str | None = None) -> DataFrame:
+                   glob: str | None = None, max_size: int | None = None) -> DataFrame:
     """S1 for a checked-out tree: every file below ``root`` as a ``files`` row.
 
-    Bytes are decoded as UTF-8 with invalid sequences replaced by U+FFFD.
-    Binary suffixes can already be excluded here with ``glob``
-    (``pathGlobFilter``), before any byte is read.
+    Bytes are decoded as UTF-8 with invalid sequences replaced by U+FFFD.  Files
+    can be excluded before any byte is read: by name with ``glob``
+    (``pathGlobFilter``), and by size -- a file of more than 3 * ``max_size``
+    bytes has more than ``max_size`` UTF-16 units, so F3 would drop it anyway; the
+    ``length`` filter is evaluated by the binaryFile source on the file status.
     """
+    from keysweep import catalog as C
+    max_size = C.MAX_FILE_SIZE if max_size is None else max_size
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    raw = reader.load(root)
+    raw = reader.load(root).where(F.col("length") <= 3 * max_size)
     prefix = os.path.abspath(root).rstrip("/") + "/"
     rel = F.regexp_replace(F.regexp_replace("path", "^file:", ""), "^" + _re_escape(prefix), "")
     return raw.select(
