@@ -1,6 +1,7 @@
 """Batch scan job.
 
-  python -m keysweep --files <parquet table: repository, branch, path, content[, size]> --out <dir>
+  python -m keysweep --files <parquet table: repository, branch, path, content> --out <dir>
+      [--repository-col C --branch-col C --path-col C --content-col C]   (e.g. any text table)
   python -m keysweep --tree <checked-out directory> --repository org/name [--branch main] --out <dir>
 
 Writes ``detections`` (masked values and context), ``file_results``, ``reports``
@@ -25,7 +26,11 @@ def main(argv=None):
     src = ap.add_mutually_exclusive_group(required=True)
     src.add_argument("--files", help="parquet table of files")
     src.add_argument("--tree", help="directory to scan recursively")
-    ap.add_argument("--repository", default="local/tree")
+    ap.add_argument("--repository", default="local/tree", help="repository when the table has no such column")
+    ap.add_argument("--repository-col", default="repository")
+    ap.add_argument("--branch-col", default="branch")
+    ap.add_argument("--path-col", default="path")
+    ap.add_argument("--content-col", default="content")
     ap.add_argument("--branch", default="main")
     ap.add_argument("--out", required=True)
     ap.add_argument("--master", default=None)
@@ -33,10 +38,13 @@ def main(argv=None):
     a = ap.parse_args(argv)
     spark = get_spark(a.master, app="keysweep-scan")
     if a.files:
-        files = spark.read.parquet(a.files)
-        if "size" not in files.columns:
-            files = files.withColumn("size", F.octet_length("content").cast("bigint"))
-        files = files.select("repository", "branch", "path", "content", "size")
+        t = spark.read.parquet(a.files)
+        col = lambda name, default: F.col(name) if name in t.columns else F.lit(default)
+        files = t.select(col(a.repository_col, a.repository).cast("string").alias("repository"),
+                         col(a.branch_col, a.branch).cast("string").alias("branch"),
+                         F.col(a.path_col).cast("string").alias("path"),
+                         F.col(a.content_col).cast("string").alias("content"))
+        files = files.withColumn("size", F.octet_length("content").cast("bigint"))
     else:
         files = S.read_file_tree(spark, a.tree, a.repository, a.branch)
     print(json.dumps(run_scan_job(spark, files, a.out, value_salt=a.salt)))
