@@ -3,6 +3,7 @@
   python -m keysweep --files <parquet table: repository, branch, path, content> --out <dir>
       [--repository-col C --branch-col C --path-col C --content-col C]   (e.g. any text table)
   python -m keysweep --tree <checked-out directory> --repository org/name [--branch main] --out <dir>
+  python -m keysweep --stream <directory of files parquet> --out <dir> [--available-now]
 
 Writes ``detections`` (masked values and context), ``file_results``, ``reports``
 (JSON lines) and ``analysis`` under ``--out``.  Cluster settings (master,
@@ -26,6 +27,8 @@ def main(argv=None):
     src = ap.add_mutually_exclusive_group(required=True)
     src.add_argument("--files", help="parquet table of files")
     src.add_argument("--tree", help="directory to scan recursively")
+    src.add_argument("--stream", help="directory receiving files parquet: append detections as they arrive")
+    ap.add_argument("--available-now", action="store_true", help="with --stream: drain what is there, then stop")
     ap.add_argument("--repository", default="local/tree", help="repository when the table has no such column")
     ap.add_argument("--repository-col", default="repository")
     ap.add_argument("--branch-col", default="branch")
@@ -37,6 +40,12 @@ def main(argv=None):
     ap.add_argument("--salt", default=None, help="adds value_hash = sha256(salt + value) to detections")
     a = ap.parse_args(argv)
     spark = get_spark(a.master, app="keysweep-scan")
+    if a.stream:
+        from keysweep.streaming.scan_stream import start_files_stream
+        q = start_files_stream(spark, a.stream, a.out, available_now=a.available_now, value_salt=a.salt)
+        print(json.dumps({"stream": q.id, "detections": a.out}))
+        q.awaitTermination()
+        return
     if a.files:
         t = spark.read.parquet(a.files)
         col = lambda name, default: F.col(name) if name in t.columns else F.lit(default)

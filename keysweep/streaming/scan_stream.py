@@ -59,3 +59,28 @@ def run_detection_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return spark.read.parquet(out)
+
+
+def files_stream_detections(spark: SparkSession, source_dir: str, max_files_per_trigger: int = 256,
+                            value_salt: str | None = None) -> DataFrame:
+    """X1 over any directory of ``files`` parquet (repository, branch, path,
+    content[, size]): F1-F4 and detection with context, all stateless per row.
+    F5 (the per-repository cap) needs the whole repository and stays batch."""
+    from keysweep.operators import filters as FL
+    from keysweep.sources.tables import FILES_SCHEMA
+    stream = (spark.readStream.schema(FILES_SCHEMA)
+              .option("maxFilesPerTrigger", max_files_per_trigger)
+              .parquet(source_dir))
+    return D.detections(FL.keep_files(stream), with_context=True, value_salt=value_salt)
+
+
+def start_files_stream(spark: SparkSession, source_dir: str, out: str, checkpoint: str | None = None,
+                       available_now: bool = False, value_salt: str | None = None):
+    """Append detections of new files to ``out``; the checkpoint defaults to the
+    shared folder, so a restarted query resumes where it stopped."""
+    checkpoint = checkpoint or shared_dir(spark, "files-stream-checkpoint")
+    q = (files_stream_detections(spark, source_dir, value_salt=value_salt)
+         .writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", checkpoint).option("path", out))
+    q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="30 seconds")
+    return q.start()

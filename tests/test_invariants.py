@@ -70,3 +70,19 @@ def test_fixture_figures_sf001(spark):
     assert by_type == {"aws_access_key_id": 200, "github_token": 143, "postgres_uri": 91, "slack_token": 77,
                        "generic_assignment": 66, "stripe_live_key": 59, "rsa_private_key": 44}
     assert det.select("path").distinct().count() == 504
+
+
+def test_files_stream_equals_batch(spark, tmp_path):
+    from keysweep.streaming.scan_stream import start_files_stream
+    from keysweep.operators import filters as FL
+    src = str(tmp_path / "incoming")
+    files = S.repo_files(spark, SF_SMALL)
+    files.where("repository like 'org/%'").write.parquet(src + "/batch1")
+    files.where("repository not like 'org/%'").write.parquet(src + "/batch2")
+    out = str(tmp_path / "out")
+    q = start_files_stream(spark, src + "/*", out, str(tmp_path / "ck"), available_now=True)
+    q.awaitTermination()
+    streamed = spark.read.parquet(out)
+    batch = D.detections(FL.keep_files(files), with_context=True)
+    assert streamed.count() == batch.count() > 0
+    assert streamed.exceptAll(batch.select(*streamed.columns)).count() == 0
