@@ -19,7 +19,7 @@ from keysweep import catalog as C
 from keysweep.operators import detect as D
 from keysweep.operators import quality as QL
 from keysweep.operators import rollup as R
-from keysweep.plans.pipeline import scan_corpus
+from keysweep.plans.corpus_scan import scan_corpus
 from keysweep.sources.files import snippet_files
 from keysweep.sources.sinks import analysis_reports, scan_reports
 

@@ -103,7 +103,7 @@ def cap_files(files: DataFrame, max_files: int = C.MAX_FILES_PER_SCAN, keys=REPO
     size-checked broadcast of the cutoffs (one row per over-cap repository);
     beyond the bound the planner shuffles and AQE splits a skewed repository.
     Duplicate paths equal to a cutoff are all kept.  The scan job applies the
-    same cutoffs to its one-pass output instead (``plans.pipeline``)."""
+    same cutoffs to its one-pass output instead (``plans.corpus_scan``)."""
     from keysweep.session import checkpoint_root
     checkpoint_root(files.sparkSession)
     keyed = files.select(*keys, "path").checkpoint(eager=True)

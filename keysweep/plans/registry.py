@@ -380,17 +380,17 @@ def _kept_files(spark, sf_dir):
     return FL.cap_files(FL.keep_files(S.repo_files(spark, sf_dir)))
 
 
-def _pipeline_dets(spark, sf_dir):
+def _corpus_dets(spark, sf_dir):
     """The corpus scan (F1-F5 + detection) as one checkpointed pass."""
-    from keysweep.plans.pipeline import scan_corpus
+    from keysweep.plans.corpus_scan import scan_corpus
     return scan_corpus(S.repo_files(spark, sf_dir))
 
 
-_PIPE_DET = _det_sql(_capped_sql())
+_CORPUS_DET = _det_sql(_capped_sql())
 
 
 @register("totals", f"""
-WITH k AS {_capped_sql()}, det AS {_PIPE_DET},
+WITH k AS {_capped_sql()}, det AS {_CORPUS_DET},
 fc AS (SELECT repository, branch, count(*) AS n FROM k GROUP BY ALL),
 dc AS (SELECT repository, branch, count(DISTINCT path) AS fw, count(*) AS ns FROM det GROUP BY ALL)
 SELECT fc.repository, fc.branch, CAST(fc.n AS BIGINT) AS total_files_scanned,
@@ -398,7 +398,7 @@ SELECT fc.repository, fc.branch, CAST(fc.n AS BIGINT) AS total_files_scanned,
 FROM fc LEFT JOIN dc ON fc.repository = dc.repository AND fc.branch = dc.branch""")
 def q_totals(spark, sf_dir):
     """Files scanned (kept files), files with secrets, secrets found, per repository."""
-    kept, dets = _pipeline_dets(spark, sf_dir)
+    kept, dets = _corpus_dets(spark, sf_dir)
     fc = kept.groupBy(*REPO_KEYS).agg(F.count(F.lit(1)).alias("n"))
     fr = R.file_results(dets)
     dc = fr.groupBy(*REPO_KEYS).agg(F.count(F.lit(1)).alias("fw"), F.sum("detections").alias("ns"))
@@ -409,7 +409,7 @@ def q_totals(spark, sf_dir):
 
 
 @register("summary_totals", f"""
-WITH k AS {_capped_sql()}, det AS {_PIPE_DET},
+WITH k AS {_capped_sql()}, det AS {_CORPUS_DET},
 repos AS (SELECT DISTINCT repository, branch FROM k),
 fr AS (SELECT repository, branch, path, count(*) AS n FROM det GROUP BY ALL),
 s AS (SELECT repository, branch, count(*) AS tf, count(*) FILTER (WHERE n > 0) AS fw, sum(n) AS ts FROM fr GROUP BY ALL)
@@ -418,7 +418,7 @@ SELECT r.repository, r.branch, CAST(coalesce(s.tf, 0) AS BIGINT) AS total_files,
 FROM repos r LEFT JOIN s ON r.repository = s.repository AND r.branch = s.branch""")
 def q_summary_totals(spark, sf_dir):
     """Summary counts over result rows (files with hits), per scanned repository."""
-    kept, dets = _pipeline_dets(spark, sf_dir)
+    kept, dets = _corpus_dets(spark, sf_dir)
     repos = kept.select(*REPO_KEYS).distinct()
     fr = R.file_results(dets)
     s = fr.groupBy(*REPO_KEYS).agg(F.count(F.lit(1)).alias("tf"), F.count_if(F.col("detections") > 0).alias("fw"),
@@ -680,10 +680,10 @@ def q_check_secret_requests(spark, sf_dir):
 _DET_COLS = "repository, branch, path, type, line, \"column\", value"
 
 
-@register("all_rules", f"SELECT {_DET_COLS} FROM {_PIPE_DET} d")
+@register("all_rules", f"SELECT {_DET_COLS} FROM {_CORPUS_DET} d")
 def q_all_rules(spark, sf_dir):
     """All 37 rules over every kept file of documents, pages and conversations."""
-    _, dets = _pipeline_dets(spark, sf_dir)
+    _, dets = _corpus_dets(spark, sf_dir)
     return dets.select(*FILE_KEYS, "type", "line", "column", "value")
 
 
@@ -765,13 +765,13 @@ _N_CATEGORIES = len({r.category for r in C.RULES})
 
 
 @register("secret_types", f"""
-WITH det AS {_PIPE_DET}, h AS (SELECT type, count(*) AS hits FROM det GROUP BY type)
+WITH det AS {_CORPUS_DET}, h AS (SELECT type, count(*) AS hits FROM det GROUP BY type)
 SELECT c.type, c.category, c.description, c.severity, CAST(coalesce(h.hits, 0) AS BIGINT) AS hits,
        {len(C.RULES)} AS total_types, {_N_CATEGORIES} AS total_categories
 FROM {Q.catalog_values()} c LEFT JOIN h ON c.type = h.type""")
 def q_secret_types(spark, sf_dir):
     """The catalog listing (type, category, description, severity, totals) with corpus hit counts."""
-    _, dets = _pipeline_dets(spark, sf_dir)
+    _, dets = _corpus_dets(spark, sf_dir)
     hits = dets.groupBy("type").agg(F.count(F.lit(1)).alias("hits"))
     cat = D.catalog_df(spark)
     return cat.join(hits, "type", "left").select(
@@ -780,12 +780,12 @@ def q_secret_types(spark, sf_dir):
 
 
 @register("patterns", f"""
-WITH det AS {_PIPE_DET}, h AS (SELECT type, count(DISTINCT (repository, branch, path)) AS files FROM det GROUP BY type)
+WITH det AS {_CORPUS_DET}, h AS (SELECT type, count(DISTINCT (repository, branch, path)) AS files FROM det GROUP BY type)
 SELECT c.type, c.pattern, CAST(coalesce(h.files, 0) AS BIGINT) AS files_with_hits
 FROM {Q.catalog_values()} c LEFT JOIN h ON c.type = h.type""")
 def q_patterns(spark, sf_dir):
     """Each rule's regex with the number of files it fires in."""
-    _, dets = _pipeline_dets(spark, sf_dir)
+    _, dets = _corpus_dets(spark, sf_dir)
     files = dets.select("type", *FILE_KEYS).distinct().groupBy("type").agg(F.count(F.lit(1)).alias("files"))
     return D.catalog_df(spark).join(files, "type", "left").select(
         "type", "pattern", F.coalesce("files", F.lit(0)).cast("bigint").alias("files_with_hits"))
@@ -802,7 +802,7 @@ def q_scan_files(spark, sf_dir):
 
 
 _REPORT_SQL = f"""
-WITH k AS {_capped_sql()}, det AS {_PIPE_DET},
+WITH k AS {_capped_sql()}, det AS {_CORPUS_DET},
 fc AS (SELECT repository, branch, count(*) AS n FROM k GROUP BY ALL),
 dc AS (SELECT repository, branch, count(DISTINCT path) AS fw, count(*) AS ns, {Q.severity_counts()} FROM det GROUP BY ALL),
 tc AS (SELECT repository, branch, type, count(*) AS cnt FROM det GROUP BY ALL),
@@ -829,7 +829,7 @@ def q_report_sink(spark, sf_dir):
     """Nested scan report per repository written as JSON to the shared folder and read back."""
     from keysweep.sources.sinks import read_reports, scan_reports, write_reports
     from keysweep.session import shared_dir
-    kept, dets = _pipeline_dets(spark, sf_dir)
+    kept, dets = _corpus_dets(spark, sf_dir)
     out = shared_dir(spark, "reports")
     write_reports(scan_reports(kept, dets), out)
     r = read_reports(spark, out)
@@ -842,7 +842,7 @@ def q_report_sink(spark, sf_dir):
 
 @register("analysis_sink", f"""
 WITH r AS ({_REPORT_SQL}),
-det AS {_PIPE_DET},
+det AS {_CORPUS_DET},
 sev AS (SELECT repository, branch, {Q.severity_counts()} FROM det GROUP BY ALL),
 a AS (SELECT r.repository, r.branch, r.total_files_scanned, r.total_secrets_found,
              CAST(coalesce(critical, 0) AS BIGINT) AS critical, CAST(coalesce(high, 0) AS BIGINT) AS high,
@@ -857,7 +857,7 @@ def q_analysis_sink(spark, sf_dir):
     """Report + analysis with score, status and steps lifted to the top level (parquet round trip)."""
     from keysweep.sources.sinks import analysis_reports, read_parquet_table, write_parquet_table
     from keysweep.session import shared_dir
-    kept, dets = _pipeline_dets(spark, sf_dir)
+    kept, dets = _corpus_dets(spark, sf_dir)
     out = shared_dir(spark, "analysis")
     write_parquet_table(analysis_reports(kept, dets), out)
     a = read_parquet_table(spark, out)

@@ -102,7 +102,7 @@ def run_scan_job(spark: SparkSession, files: DataFrame, out_dir: str, value_salt
     """The batch job: one checkpointed content pass (F1-F5 + detection with
     context), then detections, file results, scan reports and analysis written
     to ``out_dir`` from the compact table."""
-    from keysweep.plans.pipeline import scan_corpus
+    from keysweep.plans.corpus_scan import scan_corpus
     kept, dets = scan_corpus(files, with_context=True, value_salt=value_salt)
     paths = {k: os.path.join(out_dir, k) for k in ("detections", "file_results", "reports", "analysis")}
     write_parquet_table(dets, paths["detections"])

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from keysweep import REPO_KEYS
 from keysweep.operators import rollup as R
-from keysweep.plans.pipeline import scan_corpus
+from keysweep.plans.corpus_scan import scan_corpus
 from keysweep.sources import tables as S
 
 from conftest import SF_SMALL

@@ -58,7 +58,7 @@ def main():
                    f"{s['windows']} | {s['python']} | {scans} |")
     out += ["", "`scan_stream`, `report_sink` and `analysis_sink` write their output (stream sink, JSON, "
             "parquet) to the shared folder and return a read of it; their compute is the `detect` / "
-            "pipeline plans above."]
+            "corpus scan plans above."]
     with open(os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "PLANS.md"), "w") as fh:
         fh.write("\n".join(out) + "\n")
     spark.stop()
