@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from keysweep import FILE_KEYS
 from keysweep import catalog as C
 from keysweep.functions.mask import mask_value, replace_matches
-from keysweep.functions.regex import engine_regex, union_regex
+from keysweep.functions.regex import engine_regex, spark_sql_literal, union_regex
 from keysweep.sources.tables import spread_small_input
 
 LINE_BREAK = r"\r?\n"
@@ -77,12 +77,6 @@ def rule_gate(rule: C.Rule, text: Column, lowered: Column) -> Column:
     return gate if not also else (gate & some(also))
 
 
-def spark_sql_literal(s: str) -> str:
-    """A Spark SQL string literal whose value is exactly ``s`` (backslashes and
-    quotes escaped for Spark's literal unescaping)."""
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def rule_gate_sql(rule: C.Rule, text: str = "line_text", lowered: str = "line_lower") -> str:
     """``rule_gate`` as Spark SQL text: the large per-line expressions are handed to
     the parser in one call instead of thousands of Column round trips."""

@@ -527,7 +527,7 @@ def _redact_map_value_sql(k: str, v: str) -> str:
 def q_redact_text(spark, sf_dir):
     """Every document with the seven sanitizer patterns masked in sequence."""
     f = S.spread_small_input(S.seeded_documents(spark, sf_dir), FILE_KEYS)
-    return f.select(*FILE_KEYS, M.redact_text(F.col("content")).alias("redacted"))
+    return f.select(*FILE_KEYS, F.expr(M.redact_text_sql("content")).alias("redacted"))
 
 
 @register("redact_map", f"""SELECT event_id, e.key AS key, {_redact_map_value_sql('e.key', 'e.value')} AS value
@@ -535,7 +535,7 @@ FROM (SELECT event_id, unnest(map_entries(context)) AS e FROM {_LOGS} l) x""")
 def q_redact_map(spark, sf_dir):
     """R2: log context maps with secret-named values masked and the rest sanitized."""
     logs = S.spread_small_input(S.derived_table(spark, sf_dir, "log_entries"), ["event_id"])
-    return logs.select("event_id", F.explode(M.redact_map(F.col("context"))).alias("key", "value"))
+    return logs.select("event_id", F.explode(F.expr(M.redact_map_sql("context"))).alias("key", "value"))
 
 
 def _ctx_string_sql(m: str) -> str:
@@ -654,7 +654,7 @@ def q_check_snippets(spark, sf_dir):
     """Q2: code 1..10 MiB, path <= 1000.  The report shows the code sanitized (R1):
     a rejects table must not persist the secrets it is about."""
     chk = QL.check_snippets(S.derived_table(spark, sf_dir, "snippets"))
-    return _checked(chk.withColumn("code", M.redact_text(F.col("code"))), "snippet_id", "code", "path")
+    return _checked(chk.withColumn("code", F.expr(M.redact_text_sql("code"))), "snippet_id", "code", "path")
 
 
 _SECRET_REQ = f"({derived_sql('secret_requests')})"
