@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from keysweep import FILE_KEYS
 from keysweep import catalog as C
-from keysweep.functions.mask import mask_value, replace_matches
+from keysweep.functions.mask import mask_value
 from keysweep.functions.regex import engine_regex, spark_sql_literal, union_regex
 from keysweep.sources.tables import spread_small_input
 
@@ -201,21 +201,31 @@ def enrich(raw_hits: DataFrame, catalog: DataFrame, how: str = "inner") -> DataF
     return raw_hits.join(F.broadcast(catalog), "rule_id", how)
 
 
-def context_column(line_text: Column, column: Column, raw: Column) -> Column:
-    """D3: the line around the match, cut to 40 characters each side, with the match
-    masked (D4) and every other catalog match in the surrounding text masked too.
+def _sql_mask_value(x: str) -> str:
+    return (f"CASE WHEN length({x}) <= 8 THEN '****' WHEN length({x}) < 40 "
+            f"THEN concat(left({x}, 4), '****', right({x}, 4)) ELSE concat(left({x}, 6), '****', right({x}, 6)) END")
+
+
+def context_sql(line_text: str = "line_text", column: str = "column", raw: str = "raw") -> str:
+    """D3 as Spark SQL text: the line around the match, cut to 40 characters each
+    side, with the match masked (D4) and every other catalog match in the
+    surrounding text masked too.
 
     The surroundings go through one pass of the union of all rules (leftmost
     match wins), not 37 sequential passes: same coverage, one regex scan.  Only
     ``CONTEXT_WINDOW`` characters on each side are redacted, so a hit on a
     megabyte-long minified line costs the same as any other."""
     w = CONTEXT_WINDOW
-    before = F.expr(f"substring(line_text, greatest(1, column - {w}), column - greatest(1, column - {w}))")
-    after = F.expr(f"substring(line_text, column + length(raw), {w})")
-    every_rule = union_regex([r.pattern for r in C.RULES])
-    before_r = replace_matches(before, every_rule, mask_value)
-    after_r = replace_matches(after, every_rule, mask_value)
-    return F.concat(F.right(before_r, F.lit(CONTEXT_WIDTH)), mask_value(raw), F.left(after_r, F.lit(CONTEXT_WIDTH)))
+    u = spark_sql_literal(engine_regex(union_regex([r.pattern for r in C.RULES])))
+
+    def masked(x: str) -> str:
+        return (f"transform(array({x}), cs -> array_join(zip_with(split(cs, {u}, -1), regexp_extract_all(cs, {u}, 0), "
+                f"(ca, cb) -> concat(ca, coalesce({_sql_mask_value('cb')}, ''))), ''))[0]")
+
+    before = f"substring({line_text}, greatest(1, {column} - {w}), {column} - greatest(1, {column} - {w}))"
+    after = f"substring({line_text}, {column} + length({raw}), {w})"
+    return (f"concat(right({masked(before)}, {CONTEXT_WIDTH}), {_sql_mask_value(raw)}, "
+            f"left({masked(after)}, {CONTEXT_WIDTH}))")
 
 
 def detections(files: DataFrame, spark: SparkSession | None = None, rules: list[C.Rule] | None = None,
@@ -239,7 +249,7 @@ def detections(files: DataFrame, spark: SparkSession | None = None, rules: list[
     cols = [*keys, "type", "category", "severity", mask_value(F.col("raw")).alias("value"),
             F.col("line").cast("int").alias("line"), F.col("column").cast("int").alias("column")]
     if with_context:
-        cols.append(context_column(F.col("line_text"), F.col("column"), F.col("raw")).alias("context"))
+        cols.append(F.expr(context_sql()).alias("context"))
     cols += ["pattern", "recommendation"]
     if value_salt is not None:
         cols.append(F.sha2(F.concat(F.lit(value_salt), F.col("raw")), 256).alias("value_hash"))
