@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("packing", "token_counts")
+_MODULES = ("quality_rules", "packing", "token_counts")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
