@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("quality_rules", "ann", "quality_model", "packing", "token_counts", "hmm")
+_MODULES = ("quality_rules", "ann", "quality_model", "pieces", "packing", "token_counts", "hmm")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
