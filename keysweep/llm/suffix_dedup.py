@@ -260,7 +260,9 @@ def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col:
 
     marks = _sorted_shards(_regions(once.join(spots, "key").select("key", "data", "spots"), length), length)
     marks = marks.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("marks"))
-    marked = table.join(marks, "key", "left")
+    # with nothing to carry along both joins read one exchange of the texts
+    source = once.withColumn("doc_id", F.col("key")) if unique and not keep else table
+    marked = source.join(marks, "key", "left")
 
     names = [f"__keep_{i}" for i in range(len(keep))]
     fields = {f.name: f for f in marked.schema.fields}
