@@ -25,7 +25,7 @@ from keysweep.llm.common import read
 CHUNK = 2048
 #: Columns read between two tests, and the test's tolerance (a larger one abandons later and misses less).
 STEP, TOLERANCE = 16, 2.1
-#: Vectors that k-means is fitted to, at most: the bound of what the driver sees.
+#: About how many vectors k-means is fitted to (twice as many at most): the bound of what the driver sees.
 SAMPLE = 8192
 LISTS = 64
 
@@ -117,7 +117,12 @@ def search(table: DataFrame, is_query: str, k: int = 5, probes: int = 40, id_col
         return spark.createDataFrame([], schema)
     dims = int(sizes[0][0])
     rows = rows.where(F.size("v") == dims)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas()["v"]  # a bounded fit
+    # a bounded fit: a hash of the id deals out about SAMPLE vectors
+    share = int((1 << 40) * min(1.0, SAMPLE / sizes[0][1]))
+    sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) < share).limit(2 * SAMPLE).select("vec_id", "v").toPandas()
+    if not len(sample):
+        sample = rows.limit(SAMPLE).select("vec_id", "v").toPandas()
+    sample = sample.sort_values("vec_id", kind="stable")["v"]
     points = np.vstack(sample.to_numpy()).astype(float)
     turn = rotation(dims)
     centres = kmeans(points / np.linalg.norm(points, axis=1, keepdims=True), LISTS)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keysweep.session import shared_dir
@@ -20,10 +20,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
-def narrow(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only the id (long) and the text (null: empty); other columns, whatever their names, play no part."""
+def narrow(df: DataFrame, id_col: str, text_col: str, more: dict[str, Column] | None = None) -> DataFrame:
+    """Only the id (long) and the text (null: empty), and ``more`` under its names; other columns, whatever their names,
+    play no part."""
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
-                     F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+                     F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
+                     *[column.alias(name) for name, column in (more or {}).items()])
 
 
 def small_batches(spark: SparkSession) -> None:

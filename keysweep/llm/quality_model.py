@@ -211,11 +211,11 @@ def fit(rows: list[tuple[list, list, float]], rounds: int = 30, rate: float = 0.
     return weights.astype(np.float32), float(bias)
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Judges every document.
 
     A row per row: doc_id, n_words, n_good and n_bad (votes), weak_label (posterior of good from the votes alone), score
-    (the scorer's probability of good) and kept (score >= 0.5).
+    (the scorer's probability of good) and kept (score >= 0.5). ``keep`` names columns to carry along; one of the names above then means the carried column.
 
     Edge cases: a null or empty text has no votes and is judged by the scorer like any other; very long texts are read
     whole; equal texts get equal scores; repeated rows count as often as they stand; an empty table gives no rows; other
@@ -246,13 +246,18 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 k, x = features(f, memo)
                 score = float(1 / (1 + np.exp(-np.clip(weights[k] @ x + bias, -30, 30))))
                 out.append((f.n, v.count(1), v.count(-1), posterior.get(pattern(v, f.n), prior), score))
-            columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64()))]
+            columns = [*batch.columns[2:]] + [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64()))]
             if columns:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns],
-                                                 ["doc_id", "n_words", "n_good", "n_bad", "weak_label", "score"])
-
-    judged = table.mapInArrow(judge, "doc_id long, n_words long, n_good int, n_bad int, weak_label double, score double")
-    return judged.withColumn("kept", F.col("score") >= KEEP)
+                                                 ["doc_id", *names, "n_words", "n_good", "n_bad", "weak_label", "score"])
+
+    names = [f"__keep_{i}" for i in range(len(keep))]
+    whole = narrow(docs, id_col, text_col, {n: F.col(f"`{c}`") for n, c in zip(names, keep)})
+    carried = "".join(f"`{n}` {whole.schema[n].dataType.simpleString()}, " for n in names)
+    judged = whole.mapInArrow(judge, f"doc_id long, {carried}n_words long, n_good int, n_bad int, weak_label double, score double")
+    judged = judged.withColumn("kept", F.col("score") >= KEEP)
+    own = [c for c in judged.columns if c not in names]
+    return judged.select(*[F.col(c) for c in own if c not in keep], *[F.col(n).alias(c) for n, c in zip(names, keep)])
 
 
 def _fit_rows(table: DataFrame, posterior: dict[int, float], total: int) -> list[tuple[list, list, float]]:

@@ -105,6 +105,9 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     out = out.withColumn("base_failed", (F.col("n_words") < WORDS_LEAST)
                          | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PERCENT))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("chars_kept") * 100 >= F.col("chars") * KEEP_PERCENT))
+    # A generator of one row each: filters on the verdict must not be pushed below it, into the functions over arrays,
+    # where they would be computed anew for every element.
+    out = out.select(F.explode(F.array(F.struct(*out.columns))).alias("row")).select("row.*")
     return out.withColumnsRenamed({f"__keep_{i}": c for i, c in enumerate(keep)})
 
 

@@ -231,12 +231,13 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text",
-          keep: tuple[str, ...] = ()) -> DataFrame:
+          keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """Removes from each document every byte that a string of ``length`` bytes covers which also starts earlier, in a document
     with a smaller doc_id or further ahead in the same one. Strings are judged on the input.
 
     A row per row: doc_id, kept (binary: the bytes that remain, which may cut a character), n_bytes, n_removed and spans
-    (array of removed [first, last) runs, none touching another). ``keep`` names further columns to carry along.
+    (array of removed [first, last) runs, none touching another). ``keep`` names further columns to carry along; ``as_text``
+    gives text in place of kept, without the bytes of characters that were cut.
 
     Edge cases: a null or empty text, or one shorter than ``length``, loses nothing; matches never cross documents; where rows
     repeat a doc_id or have none, documents are ordered by doc_id (null first) and then by a hash of their text, and rows
@@ -264,7 +265,7 @@ def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col:
     source = once.withColumn("doc_id", F.col("key")) if unique and not keep else table
     marked = source.join(marks, "key", "left")
 
-    names = [f"__keep_{i}" for i in range(len(keep))]
+    names, result = [f"__keep_{i}" for i in range(len(keep))], "text" if as_text else "kept"
     fields = {f.name: f for f in marked.schema.fields}
     extra = "".join(f", `{n}` {fields[n].dataType.simpleString()}" for n in names)
 
@@ -286,13 +287,14 @@ def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col:
                 removed.append(sum(b - a for a, b in merged))
                 spans.append(merged)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(kept, pa.binary()), pa.array([len(x) for x in batch.column(1).to_pylist()], pa.int64()),
+                [batch.column(0), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text
+                 else pa.array(kept, pa.binary()), pa.array([len(x) for x in batch.column(1).to_pylist()], pa.int64()),
                  pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))),
                  *[batch.column(3 + i) for i in range(len(names))]],
-                ["doc_id", "kept", "n_bytes", "n_removed", "spans", *names])
+                ["doc_id", result, "n_bytes", "n_removed", "spans", *names])
 
     out = marked.select("doc_id", "data", "marks", *names).mapInArrow(
-        cut, "doc_id long, kept binary, n_bytes long, n_removed long, spans array<array<long>>" + extra)
+        cut, f"doc_id long, {result} {'string' if as_text else 'binary'}, n_bytes long, n_removed long, spans array<array<long>>" + extra)
     return out.withColumnsRenamed(dict(zip(names, keep)))
 
 
