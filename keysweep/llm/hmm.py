@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keysweep.llm.common import materialize, narrow, read, small_batches
@@ -25,7 +25,7 @@ from keysweep.llm.common import materialize, narrow, read, small_batches
 #: The end of a text; a word never holds white space.
 END = b"\n"
 #: Bytes of text in one chunk: what a task holds at a time.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 12 << 20
 #: Tokens of one training sequence: longer documents are several (scoring never cuts).
 SEGMENT = 256
 #: Segments that run side by side.
@@ -204,7 +204,8 @@ def first_model(blob: bytes | None, states: int, prior: np.ndarray, seed: int =
 
 def train(chunks: DataFrame, prior: np.ndarray, states: int, rounds: int) -> Model:
     """Expectation maximisation over all training tokens; a model of fixed size comes back each round."""
-    first = chunks.where("blob is not null").orderBy("chunk").select("blob").limit(1).collect()
+    least = chunks.agg(F.min("chunk")).first()[0]  # chunks have names of their own: one blob comes to the driver
+    first = chunks.where("blob is not null").where(F.col("chunk").eqNullSafe(F.lit(least))).select("blob").collect()
     model = first_model(bytes(first[0][0]) if first else None, states, prior)
     names = [f"s{z}" for z in range(states)]
     schema = pa.schema([("kind", pa.int32()), *[(n, pa.float64()) for n in names]])
@@ -276,10 +277,15 @@ def score(docs: DataFrame, held_out: str = "false", states: int = 8, buckets: in
     token; an empty table gives no rows; other columns are ignored.
     """
     chunks = materialize(encode(docs, held_out, buckets, id_col, text_col), "hmm-chunks")
-    entries = chunks.where("word is not null").select("chunk", "lid", "word", "count")
-    counts = entries.groupBy("word").agg(F.sum("count").alias("total")).where("total > 0")
-    hashed = F.pmod(F.crc32("word"), F.lit(buckets)).cast("int")
-    by_bucket = counts.groupBy(hashed.alias("bucket")).agg(F.count("*").alias("n"), F.sum("total").alias("total")).collect()
+    # One shuffle by word gives every dictionary row its total and names one row of each word.
+    word = Window.partitionBy("word")
+    entries = (chunks.where("word is not null").select("chunk", "lid", "word", "count")
+               .withColumn("total", F.sum("count").over(word)).where("total > 0")
+               .withColumn("first", F.struct("chunk", "lid") == F.min(F.struct("chunk", "lid")).over(word))
+               .select("chunk", "lid", "total", F.when(F.col("first"), F.pmod(F.crc32("word"), F.lit(buckets))).cast("int").alias("bucket")))
+    entries = materialize(entries, "hmm-entries")
+    by_bucket = (entries.where("bucket is not null").groupBy("bucket")
+                 .agg(F.count("*").alias("n"), F.sum("total").alias("total")).collect())
     tokens, types = sum(r["total"] for r in by_bucket), sum(r["n"] for r in by_bucket)
     # what a bucket's shares add up to: each of its words one more than its count, and one for unknown words
     shares = np.ones(buckets)
@@ -287,8 +293,7 @@ def score(docs: DataFrame, held_out: str = "false", states: int = 8, buckets: in
         shares[r["bucket"]] += r["n"] + r["total"]
     model = train(chunks, shares / shares.sum(), states, rounds)
 
-    known = entries.select("chunk", "lid", "word").join(counts, "word").select(
-        "chunk", "lid", "total", F.lit(None).cast("binary").alias("blob"))
+    known = entries.select("chunk", "lid", "total", F.lit(None).cast("binary").alias("blob"))
     table = chunks.where("blob is not null").select(
         "chunk", F.lit(None).cast("int").alias("lid"), F.lit(None).cast("long").alias("total"), "blob").unionByName(known)
     table = table.repartition("chunk").sortWithinPartitions("chunk", F.col("lid").asc_nulls_last())
