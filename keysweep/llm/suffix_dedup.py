@@ -3,9 +3,11 @@
 Every string of ``length`` bytes picks an anchor inside it: the least hash among its k-byte pieces. Equal strings pick equal
 anchors, so all strings that pick one anchor can be sorted apart from the rest.
 
-1. One scan finds the anchors and the runs of starts that pick each. Anchors that occur once go.
+1. Texts that equal another are counted as one (the others lose all). One scan finds the anchors of the rest and the runs of
+   starts that pick each. Anchors that occur once go.
 2. The text around the others (a *region*: the bytes of such a run's strings) is dealt out by anchor. Equal regions are
    counted as one with their earliest place; the strings of an anchor with very many regions are dealt out one by one.
+   A region is cut to what it can share with another one of its anchor, going out from the anchor to both sides.
 3. Each task builds the suffix array and common-prefix values of its regions by external induced sorting, shard by shard.
    Neighbours with a common prefix of ``length`` or more are equal strings: all but the earliest are marked.
 4. The marks of a document are joined with its text.
@@ -29,10 +31,17 @@ from keysweep.llm.suffixes import suffix_array
 PIECE = 24
 #: Regions of one anchor beyond which its strings are dealt out one by one.
 HOT = 5000
-#: Bytes that one suffix array covers; an anchor's regions are never divided.
-SHARD = 2 << 20
+#: Bytes of regions from which one suffix array is made (after they are cut); an anchor's regions are never divided.
+SHARD = 6 << 20
+#: Regions that a task holds to find equal ones before it sends them on.
+HELD = 150_000
+#: Up to so many keys (8 bytes each) are broadcast to leave out documents; beyond, documents are shuffled to them.
+BROADCAST_KEYS = 1 << 18
 #: Rows of one output batch.
 _ROWS = 20_000
+#: A spot in one number: first start (32 bits), the anchor's offset from it, number of starts (14 bits each), two flags.
+_OFFSET, _COUNT, _HOT, _KNOWN = 32, 46, 61, 62
+_FOURTEEN = (1 << 14) - 1
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -49,12 +58,12 @@ def _powers(base: int, n: int) -> np.ndarray:
     return known[:n]
 
 
-def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each run of starts whose strings pick one anchor: the anchor's hash, the first start and how many there are."""
+def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each run of starts whose strings pick one anchor: the anchor's hash and the spot."""
     n, piece = len(data), min(PIECE, length)
     width = length - piece + 1
     if n < length:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_BYTES[data] * _powers(_INVERSE, n), out=sums[1:])
     hashes = mix((sums[piece:] - sums[:-piece]) * _powers(_BASE, n - piece + 1))
@@ -68,70 +77,109 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
     least = np.minimum(least[:starts], least[width - size:width - size + starts])
     at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
     begin = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
-    return hashes[at[begin]], begin, np.diff(np.append(begin, starts))
+    count = np.diff(np.append(begin, starts))
+    return hashes[at[begin]], begin | at[begin] - begin << _OFFSET | count << _COUNT
 
 
 def _find(docs: DataFrame, length: int) -> DataFrame:
-    """anchor, key, first, n of all anchors; ``route`` and ``known`` tell occurrences apart: of an anchor that a batch holds
-    more than once only the first travels under its name, the others are dealt out evenly, as they are known to repeat."""
+    """route, key, spot and anchor (null: the route) of all anchors. Of an anchor that a batch holds more than once only the
+    first travels under its name; the others are dealt out evenly, as they are known to repeat."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, keys = [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                hashes, first, n = anchors(np.frombuffer(text, np.uint8), length)
+                hashes, spots = anchors(np.frombuffer(text, np.uint8), length)
                 if len(hashes):
-                    found.append((hashes, first, n))
+                    found.append((hashes, spots))
                     keys.append(np.full(len(hashes), key, dtype=np.int64))
             if not found:
                 continue
-            hashes, first, n = (np.concatenate(x) for x in zip(*found))
+            hashes, spots = (np.concatenate(x) for x in zip(*found))
             key = np.concatenate(keys)
             _, where, inverse, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-            known = counts[inverse] > 1
-            route = np.where(where[inverse] == np.arange(len(hashes)), hashes, mix(key.view(np.uint64) * np.uint64(31) + first.view(np.uint64)))
+            spots |= (counts[inverse] > 1).astype(np.int64) << _KNOWN
+            first = where[inverse] == np.arange(len(hashes))
+            route = np.where(first, hashes, mix(key.view(np.uint64) * np.uint64(31) + spots.view(np.uint64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (route.view(np.int64), hashes.view(np.int64), key, first, n.astype(np.int32), known)],
-                ["route", "anchor", "key", "first", "n", "known"])
+                [pa.array(route.view(np.int64)), pa.array(key), pa.array(spots), pa.array(hashes.view(np.int64), mask=first)],
+                ["route", "key", "spot", "anchor"])
 
-    return docs.select("key", "data").mapInArrow(run, "route long, anchor long, key long, first long, n int, known boolean")
+    return docs.select("key", "data").mapInArrow(run, "route long, key long, spot long, anchor long")
 
 
+#: ``last``: of a mark where it ends, of a region its anchor's offset.
 _REGION = pa.schema([("route", pa.int64()), ("region", pa.binary()), ("key", pa.int64()), ("first", pa.int64()),
                      ("last", pa.int64())])
 _REGION_SQL = "route long, region binary, key long, first long, last long"
 _MARK = pa.schema([("key", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
+#: (route, region, its anchor's offset) -> (key, first start)
+Places = dict[tuple[int, bytes, int], list[tuple[int, int]]]
 
 
-def _earliest(places: dict[tuple[int, bytes], list[tuple[int, int]]]) -> Iterator[tuple]:
+def _earliest(places: Places) -> Iterator[tuple]:
     """Each region once at its earliest place, and the other places as marks (without a region)."""
-    for (route, region), found in places.items():
+    for (route, region, offset), found in places.items():
         best = min(found)
-        yield route, region, *best, best[1] + len(region)
+        yield route, region, *best, offset
         for key, first in found:
             if (key, first) != best:
                 yield hash((key, first)), None, key, first, first + len(region)
 
 
 def _regions(docs: DataFrame, length: int) -> DataFrame:
-    """From documents with their repeated anchors: regions, and marks of those that the same batch holds earlier."""
+    """From documents with their repeated anchors: regions, and marks of those that the same task holds earlier."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places: Places = {}
         for batch in batches:
-            places: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
-            for key, data, spots in zip(*(c.to_pylist() for c in batch.columns)):
-                for spot in spots:
-                    first, n, anchor = spot["first"], spot["n"], spot["anchor"]
-                    if spot["hot"]:
-                        for k in range(first, first + n):
-                            string = data[k:k + length]
+            bounds, flat = batch.column(2).offsets.to_pylist(), batch.column(2).values
+            spots, names = flat.field("spot").to_pylist(), flat.field("anchor").to_pylist()
+            for row, (key, data) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                for k in range(bounds[row], bounds[row + 1]):
+                    spot, anchor = spots[k], names[k]
+                    first, n = spot & 0xFFFFFFFF, spot >> _COUNT & _FOURTEEN
+                    offset = spot >> _OFFSET & _FOURTEEN
+                    if spot >> _HOT & 1:
+                        for start in range(first, first + n):
+                            string = data[start:start + length]
                             route = xxhash.xxh64_intdigest(string) - (1 << 63)
-                            places.setdefault((route, string), []).append((key, k))
+                            places.setdefault((route, string, offset + first - start), []).append((key, start))
                     else:
-                        places.setdefault((anchor, data[first:first + n + length - 1]), []).append((key, first))
-            yield from _batches(_earliest(places), _REGION)
+                        places.setdefault((anchor, data[first:first + n + length - 1], offset), []).append((key, first))
+                if len(places) >= HELD:
+                    yield from _batches(_earliest(places), _REGION)
+                    places = {}
+        yield from _batches(_earliest(places), _REGION)
 
     return docs.mapInArrow(run, _REGION_SQL)
 
 
+def _reach(sides: list[bytes]) -> list[int]:
+    """For each string the longest prefix that it shares with another one."""
+    order = sorted(range(len(sides)), key=sides.__getitem__)
+    out = [0] * len(sides)
+    for i, j in zip(order, order[1:]):
+        a, b = sides[i], sides[j]
+        low, high = 0, min(len(a), len(b))
+        while low < high:
+            middle = (low + high + 1) // 2
+            if a[:middle] == b[:middle]:
+                low = middle
+            else:
+                high = middle - 1
+        out[i], out[j] = max(out[i], low), max(out[j], low)
+    return out
+
+
+def _trimmed(group: list[tuple[bytes, int, int, int]], length: int) -> Iterator[tuple[bytes, int, int]]:
+    """The parts of one anchor's distinct regions (region, key, first, offset) that may stand in another one too: what a string
+    shares with an equal one reaches from the anchor no further than these do to either side."""
+    left = _reach([region[:offset][::-1] for region, _, _, offset in group])
+    right = _reach([region[offset:] for region, _, _, offset in group])
+    for (region, key, first, offset), a, b in zip(group, left, right):
+        if a + b >= length:
+            yield region[offset - a:offset + b], key, first + offset - a
+
+
 def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     part: list[tuple] = []
     for row in rows:
@@ -175,20 +223,18 @@ def sort_shard(regions: list[bytes], keys: np.ndarray, firsts: np.ndarray, lengt
 def _sorted_shards(regions: DataFrame, length: int) -> DataFrame:
     """Marks from regions that stand together by route."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+        places: Places = {}
         last_route, held = None, 0
 
         def sort() -> Iterator[pa.RecordBatch]:
-            marks, alone, text = [], {}, []
+            marks, groups = [], {}
             for route, region, key, first, last in _earliest(places):
                 if region is None:
                     marks.append((key, first, last))
-                elif route in alone:
-                    text += [alone[route]] * (alone[route] is not None) + [(region, key, first)]
-                    alone[route] = None
                 else:
-                    alone[route] = region, key, first  # sorted only if another region has its anchor
+                    groups.setdefault(route, []).append((region, key, first, last))
             yield from _batches(iter(marks), _MARK)
+            text = [x for group in groups.values() if len(group) > 1 for x in _trimmed(group, length)]
             if text:
                 found = sort_shard([x[0] for x in text], np.array([x[1] for x in text]), np.array([x[2] for x in text]), length)
                 if len(found[0]):
@@ -198,14 +244,13 @@ def _sorted_shards(regions: DataFrame, length: int) -> DataFrame:
             direct = batch.filter(batch.column(1).is_null())
             if len(direct):
                 yield pa.RecordBatch.from_arrays([direct.column(k) for k in (2, 3, 4)], schema=_MARK)
-            for route, region, key, first in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if region is None:
-                    continue
+            there = batch.filter(batch.column(1).is_valid())
+            for route, region, key, first, offset in zip(*(there.column(k).to_pylist() for k in range(5))):
                 if held >= SHARD and route != last_route:
                     yield from sort()
                     places, held = {}, 0
                 last_route = route
-                found = places.setdefault((route, region), [])
+                found = places.setdefault((route, region, offset), [])
                 held += 0 if found else len(region)
                 found.append((key, first))
         if places:
@@ -243,27 +288,37 @@ def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col:
     repeat a doc_id or have none, documents are ordered by doc_id (null first) and then by a hash of their text, and rows
     equal in both are one document (each gets its result); an empty table gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    if not 1 <= length <= _FOURTEEN:
+        raise ValueError(f"length must lie in 1..{_FOURTEEN}")
+    small_batches(docs.sparkSession)
     carried = [F.col(f"`{c}`").alias(f"__keep_{i}") for i, c in enumerate(keep)]
     table = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("data"), *carried)
     table, unique = _keyed(table)
     once = table.select("key", "data") if unique else table.select("key", "data").dropDuplicates(["key"])
 
+    once = once.where("key is not null")  # so that both joins below read one exchange of the texts
+    copies = _copies(once, length)
+    few = copies.count() <= BROADCAST_KEYS
+    rest = once.join(F.broadcast(copies) if few else copies, "key", "left_anti")
+
     here = Window.partitionBy("route")
-    spots = (_find(once, length).withColumn("met", F.count("*").over(here)).where("known or (met > 1 and route = anchor)")
-             .select("anchor", "key", "first", "n"))
+    known = F.col("spot").bitwiseAND(F.lit(1 << _KNOWN)) != 0
+    spots = (_find(rest, length).withColumn("met", F.count("*").over(here))
+             .where(known | ((F.col("met") > 1) & F.col("anchor").isNull()))
+             .select(F.coalesce("anchor", "route").alias("anchor"), "key", "spot"))
     spots = materialize(spots, "suffix-anchors")
-    hot = spots.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot"))
+    hot = spots.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor", F.lit(1 << _HOT).alias("hot"))
     spots = spots.join(hot, "anchor", "left").groupBy("key").agg(F.collect_list(F.struct(
-        "first", "n", "anchor", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("spots"))
+        F.col("spot").bitwiseOR(F.coalesce("hot", F.lit(0).cast("long"))).alias("spot"), "anchor")).alias("spots"))
 
     marks = _sorted_shards(_regions(once.join(spots, "key").select("key", "data", "spots"), length), length)
+    marks = marks.union(copies.select("key", F.lit(0).cast("long").alias("first"), F.col("n").alias("last")))
     marks = marks.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("marks"))
-    # with nothing to carry along both joins read one exchange of the texts
-    source = once.withColumn("doc_id", F.col("key")) if unique and not keep else table
-    marked = source.join(marks, "key", "left")
+    if unique and not keep:
+        marked = once.join(marks, "key", "left").withColumn("doc_id", F.col("key"))
+    else:
+        marked = table.join(marks, "key", "left")
 
     names, result = [f"__keep_{i}" for i in range(len(keep))], "text" if as_text else "kept"
     fields = {f.name: f for f in marked.schema.fields}
@@ -298,6 +353,13 @@ def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col:
     return out.withColumnsRenamed(dict(zip(names, keep)))
 
 
+def _copies(once: DataFrame, length: int) -> DataFrame:
+    """key and size of the texts that equal one with a smaller key and are long enough to be removed."""
+    named = once.select("key", F.sha2("data", 256).alias("h"), F.octet_length("data").cast("long").alias("n")).where(F.col("n") >= length)
+    least = named.groupBy("h").agg(F.min("key").alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")
+    return materialize(named.join(least, "h").where("key <> least").select("key", "n"), "suffix-copies")
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: strings of 100 bytes."""
     return dedup(read(spark, sf_dir, "documents")).select(
