@@ -12,7 +12,7 @@ from keysweep.session import shared_dir
 
 #: Rows and bytes of one Arrow batch handed to Python; very long texts then travel in smaller batches.
 BATCH_ROWS = 1000
-BATCH_BYTES = 16 * 1024 * 1024
+BATCH_BYTES = 4 * 1024 * 1024
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

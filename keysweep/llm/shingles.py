@@ -23,7 +23,7 @@ class WordHashes(dict):
     """word (bytes) -> 64-bit hash."""
 
     #: Words that one worker remembers; on overflow all go.
-    MOST = 400_000
+    MOST = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:
