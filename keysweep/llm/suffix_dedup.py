@@ -308,7 +308,10 @@ def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col:
              .where(known | ((F.col("met") > 1) & F.col("anchor").isNull()))
              .select(F.coalesce("anchor", "route").alias("anchor"), "key", "spot"))
     spots = materialize(spots, "suffix-anchors")
-    hot = spots.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor", F.lit(1 << _HOT).alias("hot"))
+    hot = materialize(spots.groupBy("anchor").count().where(F.col("count") > HOT)
+                      .select("anchor", F.lit(1 << _HOT).alias("hot")), "suffix-hot")
+    if hot.count() <= BROADCAST_KEYS:  # then no join by anchor brings a hot one's spots together
+        hot = F.broadcast(hot)
     spots = spots.join(hot, "anchor", "left").groupBy("key").agg(F.collect_list(F.struct(
         F.col("spot").bitwiseOR(F.coalesce("hot", F.lit(0).cast("long"))).alias("spot"), "anchor")).alias("spots"))
 
