@@ -5,8 +5,8 @@
   python -m keysweep --tree <checked-out directory> --repository org/name [--branch main] --out <dir>
   python -m keysweep --stream <directory of files parquet> --out <dir> [--available-now]
 
-Writes ``detections`` (masked values and context), ``file_results``, ``reports``
-(JSON lines) and ``analysis`` under ``--out``.  Cluster settings (master,
+Writes ``detections`` (masked values and context), ``file_results``, ``skipped`` (files left out, with the reason),
+``reports`` (JSON lines) and ``analysis`` under ``--out``.  Cluster settings (master,
 ``spark.checkpoint.dir``, shuffle partitions) come from spark-submit.
 """
 
@@ -38,11 +38,16 @@ def main(argv=None):
     ap.add_argument("--out", required=True)
     ap.add_argument("--master", default=None)
     ap.add_argument("--salt", default=None, help="adds value_hash = sha256(salt + value) to detections")
+    ap.add_argument("--max-files", type=int, default=None, help="scan at most so many files of a repository (default: all)")
+    ap.add_argument("--max-size", type=int, default=None, help="skip files of more UTF-16 units (default: none)")
+    ap.add_argument("--skip-comments", action="store_true", help="leave out blank and comment lines")
+    ap.add_argument("--drop-false-positives", action="store_true", help="leave out placeholder and example values")
+    ap.add_argument("--checkpoint", default=None, help="with --stream: the query's checkpoint (default: one for each --out)")
     a = ap.parse_args(argv)
     spark = get_spark(a.master, app="keysweep-scan")
     if a.stream:
         from keysweep.streaming.scan_stream import start_files_stream
-        q = start_files_stream(spark, a.stream, a.out, available_now=a.available_now, value_salt=a.salt)
+        q = start_files_stream(spark, a.stream, a.out, a.checkpoint, available_now=a.available_now, value_salt=a.salt)
         print(json.dumps({"stream": q.id, "detections": a.out}))
         q.awaitTermination()
         return
@@ -55,8 +60,9 @@ def main(argv=None):
                          F.col(a.content_col).cast("string").alias("content"))
         files = files.withColumn("size", F.octet_length("content").cast("bigint"))
     else:
-        files = S.read_file_tree(spark, a.tree, a.repository, a.branch)
-    print(json.dumps(run_scan_job(spark, files, a.out, value_salt=a.salt)))
+        files = S.read_file_tree(spark, a.tree, a.repository, a.branch, max_size=a.max_size)
+    print(json.dumps(run_scan_job(spark, files, a.out, value_salt=a.salt, max_files=a.max_files, max_size=a.max_size,
+                                  skip_comments=a.skip_comments, drop_false_positives=a.drop_false_positives)))
 
 
 if __name__ == "__main__":

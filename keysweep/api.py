@@ -15,53 +15,70 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keysweep import FILE_KEYS, REPO_KEYS
 from keysweep import catalog as C
 from keysweep.operators import detect as D
 from keysweep.operators import quality as QL
 from keysweep.operators import rollup as R
 from keysweep.plans.corpus_scan import scan_corpus
 from keysweep.sources.files import snippet_files
-from keysweep.sources.sinks import analysis_reports, scan_reports
+from keysweep.sources.sinks import TOP_TYPES, analysis_reports, scan_reports
 
 
-def requested_files(files: DataFrame, requests: DataFrame) -> DataFrame:
-    """Files selected by valid scan requests (owner, repo, branch, path): a request
-    without path selects its whole repository+branch, one with a path that file.
-    Each file is offered under two keys (its path and '') and matched by equality."""
+def valid_requests(requests: DataFrame) -> DataFrame:
+    """request_id, repository, branch and path (null: the whole repository) of the valid scan requests, each once."""
     from keysweep.functions.mask import repo_key
+    return (QL.valid(QL.check_scan_requests(requests))
+            .select("request_id", repo_key(F.col("owner"), F.col("repo")).alias("repository"), "branch",
+                    F.nullif("path", F.lit("")).alias("path")).distinct())
+
+
+def requested_files(files: DataFrame, requests: DataFrame) -> DataFrame:
+    """Files selected by valid scan requests (owner, repo, branch, path): a request without path selects its whole
+    repository+branch, one with a path that file.  Content is joined with the two sets of keys only, each broadcast
+    when its checked size allows."""
     from keysweep.operators.filters import broadcast_if_small
-    keys = ["repository", "branch", "path"]
-    req = (QL.valid(QL.check_scan_requests(requests))
-           .select(repo_key(F.col("owner"), F.col("repo")).alias("repository"), "branch",
-                   F.coalesce(F.col("path"), F.lit("")).alias("path")).distinct())
-    offered = files.select("repository", "branch", F.col("path").alias("_file"),
-                           F.explode(F.array(F.col("path"), F.lit(""))).alias("path"))
-    matched = (offered.join(broadcast_if_small(req), keys, "left_semi")
-               .select("repository", "branch", F.col("_file").alias("path")).distinct())
-    return files.join(broadcast_if_small(matched), keys, "left_semi")
+    req = valid_requests(requests)
+    whole = req.where("path is null").select("repository", "branch").distinct().withColumn("_whole", F.lit(True))
+    exact = req.where("path is not null").select("repository", "branch", "path").distinct().withColumn("_exact", F.lit(True))
+    return (files.join(broadcast_if_small(whole), ["repository", "branch"], "left")
+            .join(broadcast_if_small(exact), ["repository", "branch", "path"], "left")
+            .where("_whole or _exact").select(files.columns))
+
+
+def by_request(rows: DataFrame, requests: DataFrame) -> DataFrame:
+    """Rows of files (repository, branch, path, ...) once for each valid request that selects them, with its request_id."""
+    whole = requests.where("path is null").select("request_id", "repository", "branch")
+    exact = requests.where("path is not null").select("request_id", "repository", "branch", "path")
+    return (rows.join(whole, ["repository", "branch"]).select("request_id", *rows.columns)
+            .unionByName(rows.join(exact, ["repository", "branch", "path"]).select("request_id", *rows.columns)))
 
 
 def scan_repository(files: DataFrame, requests: DataFrame | None = None,
                     value_salt: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Files (repository, branch, path, content, size) -> (scan reports, file results).
 
-    With ``requests`` only the requested files are scanned, and every valid request's
-    repository reports -- zeros when nothing readable was found (J2)."""
-    if requests is not None:
-        files = requested_files(files, requests)
-    kept, dets = scan_corpus(files, with_context=True, value_salt=value_salt)
-    reports = scan_reports(kept, dets)
-    if requests is not None:
-        from keysweep.functions.mask import default_path_label, repo_key
-        req = (QL.valid(QL.check_scan_requests(requests))
-               .select(repo_key(F.col("owner"), F.col("repo")).alias("repository"), "branch",
-                       default_path_label(F.col("path")).alias("path")).distinct())
-        reports = req.join(reports.drop("path"), ["repository", "branch"], "left").select(
-            "repository", "branch", "path",
-            *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-              for c in ("total_files_scanned", "files_with_secrets", "total_secrets_found")],
-            "summary")
-    return reports, R.file_results(dets, nested=True)
+    With ``requests`` only the requested files are scanned, and reports and results are those of each valid request by
+    itself (request_id): of its repository, or of the one file that it names; zeros when nothing readable was found (J2)."""
+    if requests is None:
+        kept, dets, _ = scan_corpus(files, with_context=True, value_salt=value_salt)
+        return scan_reports(kept, dets), R.file_results(dets, nested=True)
+    from keysweep.functions.mask import default_path_label
+    kept, dets, _ = scan_corpus(requested_files(files, requests), with_context=True, value_salt=value_salt)
+    req = valid_requests(requests)
+    keys = ["request_id", *REPO_KEYS]
+    mine = by_request(dets, req)
+    found = scan_reports(by_request(kept, req), mine, keys=keys).drop("path", "repository", "branch")
+    zero = F.lit(0).cast("bigint")
+    empty = F.struct(zero.alias("total_files"), zero.alias("files_with_secrets"), zero.alias("total_secrets"),
+                     F.create_map(*[x for s in C.SEVERITIES for x in (F.lit(s), zero)]).alias("severity_breakdown"),
+                     F.array().cast(TOP_TYPES).alias("top_secret_types"))
+    reports = req.join(found, "request_id", "left").select(
+        "request_id", "repository", "branch", default_path_label(F.col("path")).alias("path"),
+        *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+          for c in ("total_files_scanned", "files_with_secrets", "total_secrets_found")],
+        F.coalesce("summary", empty).alias("summary"))
+    return reports, R.file_results(mine, keys=["request_id", *FILE_KEYS], nested=True)
 
 
 def scan_code(snippets: DataFrame) -> DataFrame:
@@ -71,9 +88,11 @@ def scan_code(snippets: DataFrame) -> DataFrame:
     ``operators.quality.check_snippets`` for their violations."""
     snips = snippet_files(QL.valid(QL.check_snippets(snippets)))
     dets = D.detections(snips, keys=["snippet_id", "path"], with_context=True)
+    # one pass: the nested results carry all that the advice is made from
     per = R.file_results(dets, keys=["snippet_id", "path"], nested=True)
-    adv = R.snippet_advice(dets, ["snippet_id"])
-    j = snips.select("snippet_id", "path").join(per.drop("path"), "snippet_id", "left").join(adv, "snippet_id", "left")
+    first = F.array_distinct(F.transform("results", lambda d: d["recommendation"]))
+    per = per.withColumn("recommendations", F.array_distinct(F.concat(first, F.array(*[F.lit(x) for x in C.SNIPPET_ADVICE]))))
+    j = snips.select("snippet_id", "path").join(per.drop("path"), "snippet_id", "left")
     return j.select("snippet_id", "path",
                     F.coalesce("detections", F.lit(0)).cast("bigint").alias("detections_found"),
                     F.coalesce("results", F.array().cast(per.schema["results"].dataType)).alias("detections"),
@@ -89,7 +108,7 @@ def analyze_security(files: DataFrame, requests: DataFrame | None = None) -> Dat
     always of the whole repository) only those repositories are scanned."""
     if requests is not None:
         files = requested_files(files, requests.withColumn("path", F.lit(None).cast("string")))
-    kept, dets = scan_corpus(files)
+    kept, dets, _ = scan_corpus(files)
     return analysis_reports(kept, dets)
 
 

@@ -173,7 +173,7 @@ SEEDED_TYPES = ["aws_access_key_id", "github_token", "postgres_uri", "rsa_privat
 # Private-key blocks spanning lines (D6): any label, e.g. RSA, EC, OPENSSH or none.
 BLOCK_RULE = Rule(
     "private_key_block", "Cryptography", "critical",
-    r"-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY-----[\s\S]*?-----END ([A-Z0-9]+ )*PRIVATE KEY-----",
+    r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z0-9 ]*PRIVATE KEY-----",
     "Private key block", "Replace the key pair and revoke the old public key",
 )
 
@@ -236,42 +236,42 @@ LOG_LEVELS = ["DEBUG", "INFO", "WARN", "ERROR"]
 # Remediation steps: three when critical issues exist, two when high ones exist,
 # then seven that always apply.
 CRITICAL_STEPS = [
-    "URGENT: Address critical security issues immediately",
-    "Rotate all exposed critical secrets (API keys, passwords, tokens)",
-    "Review and revoke access for compromised credentials",
+    "C1: Treat the critical findings as an incident now",
+    "C2: Issue new credentials for every critical finding and switch to them",
+    "C3: Disable the exposed credentials and check what they were used for",
 ]
 HIGH_STEPS = [
-    "Address high-severity issues within 24 hours",
-    "Rotate exposed secrets and update configuration",
+    "H1: Plan the high findings for the next working day",
+    "H2: Replace the exposed values and the settings that hold them",
 ]
 GENERAL_STEPS = [
-    "Remove all hardcoded secrets from codebase",
-    "Implement secret management solution (e.g., AWS Secrets Manager, HashiCorp Vault)",
-    "Use environment variables or secure configuration files",
-    "Add pre-commit hooks to prevent committing secrets",
-    "Implement automated secret scanning in CI/CD pipeline",
-    "Review git history and remove secrets from commit history if needed",
-    "Update documentation to use secure practices",
+    "G1: Take every credential out of the files",
+    "G2: Keep credentials in a secret store",
+    "G3: Hand credentials to programs at run time, by environment or mounted file",
+    "G4: Check changes for credentials before they are committed",
+    "G5: Scan each build for credentials",
+    "G6: Clean credentials out of the history of the repository",
+    "G7: Write down how credentials are to be handled",
 ]
 
 # Repository recommendations.
-TOP_TYPES_PREFIX = "Most common secret types found: "
+TOP_TYPES_PREFIX = "R0: Most findings are of these types: "
 HIGH_RISK_RECOMMENDATIONS = [
-    "Consider implementing a security review process",
-    "Schedule immediate security audit",
+    "R1: Have the repository reviewed by someone who does not work on it",
+    "R2: Bring the next security audit forward",
 ]
 GENERAL_RECOMMENDATIONS = [
-    "Enable secret scanning in your development workflow",
-    "Train team on secure coding practices",
-    "Implement least-privilege access controls",
+    "R3: Scan for credentials on every push",
+    "R4: Show contributors how credentials leak",
+    "R5: Give each credential only the rights that it needs",
 ]
 HIGH_RISK_SCORE = 70
 
 # Snippet advice appended after the per-detection recommendations when any hit exists.
 SNIPPET_ADVICE = [
-    "Review all detected secrets and determine if they are still in use",
-    "Implement secret rotation policy",
-    "Use secret management tools instead of hardcoding",
+    "S1: Find out which of the detected values still work",
+    "S2: Replace credentials at fixed intervals",
+    "S3: Read credentials from a secret store, not from code",
 ]
 
 # Risk score weights and compliance thresholds.

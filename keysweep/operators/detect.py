@@ -21,15 +21,15 @@ from pyspark.sql import types as T
 from keysweep import FILE_KEYS
 from keysweep import catalog as C
 from keysweep.functions.mask import mask_value
-from keysweep.functions.regex import engine_regex, spark_sql_literal, union_regex
-from keysweep.sources.tables import spread_small_input
+from keysweep.functions.regex import engine_regex, spark_sql_literal
+from keysweep.sources.tables import spread
 
 LINE_BREAK = r"\r?\n"
 CONTEXT_WIDTH = 40
-# Text redacted around a hit before the cut to CONTEXT_WIDTH: bounds the work per
-# hit on very long lines; a secret that starts outside it and still reaches the
-# kept 40 characters would have to be longer than 160 characters.
-CONTEXT_WINDOW = 200
+# Lines are sliced in pieces of this size, so that a slice costs the same wherever it lies on a very long line.
+SLICE = 4096
+# A private key that stands on one line: its body is no rule's match, but must not be shown either.
+KEY_ON_LINE = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*"
 
 CATALOG_SCHEMA = T.StructType([
     T.StructField("rule_id", T.IntegerType(), False),
@@ -56,30 +56,12 @@ def split_lines(c: Column) -> Column:
     return F.split(F.replace(c, F.lit("\r\n"), F.lit("\n")), "\n", -1)
 
 
-def _sum_ints(arr: Column) -> Column:
-    return F.aggregate(arr, F.lit(0), lambda acc, x: acc + x)
-
-
-def rule_gate(rule: C.Rule, text: Column, lowered: Column) -> Column:
-    """Necessary condition for ``rule`` to match ``text``: its literal anchors
-    (``catalog.ANCHORS``) -- lower-case ones against ``lowered`` for (?i) rules."""
-    any_of, also = C.ANCHORS[rule.type]
-    src = lowered if rule.pattern.startswith("(?i)") else text
-
-    def some(lits):
-        cond = None
-        for lit in lits:
-            c = src.contains(lit)
-            cond = c if cond is None else (cond | c)
-        return cond
-
-    gate = some(any_of)
-    return gate if not also else (gate & some(also))
-
-
 def rule_gate_sql(rule: C.Rule, text: str = "line_text", lowered: str = "line_lower") -> str:
-    """``rule_gate`` as Spark SQL text: the large per-line expressions are handed to
-    the parser in one call instead of thousands of Column round trips."""
+    """Necessary condition for ``rule`` to match a line, as Spark SQL text (one parser call instead of thousands of
+    Column round trips): its literal anchors (``catalog.ANCHORS``) -- lower-case ones against the lowered line for (?i)
+    rules.  A rule without anchors has no gate: its regex sees every line."""
+    if rule.type not in C.ANCHORS:
+        return "true"
     any_of, also = C.ANCHORS[rule.type]
     src = lowered if rule.pattern.startswith("(?i)") else text
 
@@ -90,6 +72,8 @@ def rule_gate_sql(rule: C.Rule, text: str = "line_text", lowered: str = "line_lo
 
 
 def any_gate_sql(rules: list[C.Rule], text: str = "line_text", lowered: str = "line_lower") -> str:
+    if any(r.type not in C.ANCHORS for r in rules):
+        return "true"
     raw, low = prefilter_literals(rules)
     return "(" + " OR ".join([f"contains({text}, {spark_sql_literal(x)})" for x in raw]
                              + [f"contains({lowered}, {spark_sql_literal(x)})" for x in low]) + ")"
@@ -126,7 +110,7 @@ def candidate_lines(files: DataFrame, rules: list[C.Rule], keys=FILE_KEYS, conte
 
     ``file_rows`` adds one marker row per file (line 0, null text) so the same
     pass also lists every scanned file."""
-    docs = spread_small_input(files.select(*keys, F.col(content).alias("_content")), list(keys))
+    docs = spread(files.select(*keys, F.col(content).alias("_content")), list(keys))
     # Raw and lower-cased lines come out of one generator: the document is
     # lower-cased once, and the gate reads the lowered line as a column (a
     # projected lower() would be inlined into every case-insensitive check).
@@ -134,7 +118,8 @@ def candidate_lines(files: DataFrame, rules: list[C.Rule], keys=FILE_KEYS, conte
     low_lines = split_lines(F.lower("_content"))
     if file_rows:
         marker = F.array(F.lit(None).cast("string"))
-        raw_lines, low_lines = F.concat(marker, raw_lines), F.concat(marker, low_lines)
+        none = F.array().cast("array<string>")  # a file without content still has its marker row
+        raw_lines, low_lines = (F.concat(marker, F.coalesce(x, none)) for x in (raw_lines, low_lines))
     lines = (docs.select(*keys, raw_lines.alias("line_text"), low_lines.alias("line_lower"))
              .select(*keys, F.posexplode(F.arrays_zip("line_text", "line_lower")).alias("_pos", "_z"))
              .select(*keys, "_pos", F.col("_z.line_text").alias("line_text"), F.col("_z.line_lower").alias("line_lower")))
@@ -147,13 +132,46 @@ def candidate_lines(files: DataFrame, rules: list[C.Rule], keys=FILE_KEYS, conte
     return lines.where(keep).select(*keys, line_no.alias("line"), "line_text", "line_lower")
 
 
+def _layers_sql(pats: list[str]) -> str:
+    """For a line with hits: copies of it of the same length, each with one rule's matches starred out (and one with the
+    rest of the line behind a key header), cut into slices."""
+    starred = ("array_join(zip_with({pieces}, {found}, (p, f) -> concat(p, coalesce(repeat('*', length(f)), ''))), '')")
+    split_by = "CASE h.rule_id " + " ".join(
+        f"WHEN {i} THEN split(line_text, {spark_sql_literal(p)}, -1)" for i, p in enumerate(pats)) + " END"
+    key = spark_sql_literal(KEY_ON_LINE)
+    per_rule = f"transform(_found, h -> {starred.format(pieces=split_by, found='h.found')})"
+    body = starred.format(pieces=f"split(line_text, {key}, -1)", found=f"regexp_extract_all(line_text, {key}, 0)")
+    return (f"transform(concat({per_rule}, CASE WHEN contains(line_text, 'PRIVATE KEY-----') THEN array({body}) "
+            f"ELSE CAST(array() AS ARRAY<STRING>) END), l -> transform(sequence(0, cast(greatest(length(l) - 1, 0) div {SLICE} as int)), "
+            f"k -> substring(l, k * {SLICE} + 1, {SLICE})))")
+
+
+def _window_sql(start: str, n: str) -> str:
+    """``n`` characters of the line from ``start`` (1-based), starred wherever any layer is."""
+    at = f"cast(({start} - 1) div {SLICE} as int)"
+    slices = (f"transform(_layers, l -> substring(concat(coalesce(get(l, {at}), ''), coalesce(get(l, {at} + 1), '')), "
+              f"({start} - 1) % {SLICE} + 1, {n}))")
+    return (f"CASE WHEN {n} <= 0 THEN '' ELSE transform(array({slices}), s -> array_join(transform(sequence(1, {n}), "
+            f"k -> CASE WHEN exists(s, x -> substring(x, k, 1) = '*') THEN '*' ELSE substring(s[0], k, 1) END), ''))[0] END")
+
+
+def context_sql() -> str:
+    """D3 as Spark SQL text over a hit ``m``: the masked match (D4) between up to 40 characters of its line on each side, in
+    which every character of any rule's match is a star."""
+    left = _window_sql(f"(m.column - least({CONTEXT_WIDTH}, m.column - 1))", f"least({CONTEXT_WIDTH}, m.column - 1)")
+    right = _window_sql("(m.column + length(m.raw))", str(CONTEXT_WIDTH))
+    return f"concat({left}, {_sql_mask_value('m.raw')}, {right})"
+
+
 def detect_raw(files: DataFrame, rules: list[C.Rule] | None = None, keys=FILE_KEYS,
-               content: str = "content", skip_comments: bool = False, file_rows: bool = False) -> DataFrame:
-    """D1 + D2: one row per match -- keys, line, column, rule_id, raw, line_text.
+               content: str = "content", skip_comments: bool = False, file_rows: bool = False,
+               with_context: bool = False) -> DataFrame:
+    """D1 + D2: one row per match -- keys, line, column, rule_id, raw, match_idx, with ``with_context`` also context (D3).
 
     ``raw`` is the unmasked match; it never leaves the job (see ``detections``).
     Columns are 1-based code-point offsets inside the line.  A rule's regex runs
-    only on lines that pass its literal gate.
+    only on lines that pass its literal gate.  The text of a line is never copied to its hits: contexts are sliced before
+    the hits become rows.
     """
     rules = C.RULES if rules is None else rules
     pats = [engine_regex(r.pattern) for r in rules]
@@ -166,8 +184,13 @@ def detect_raw(files: DataFrame, rules: list[C.Rule] | None = None, keys=FILE_KE
     if file_rows:  # the marker row (line 0) passes through as one all-null hit
         marker = F.array(F.lit(None).cast("struct<rule_id:int,found:array<string>>"))
         found_per_rule = F.when(F.col("line") == 0, marker).otherwise(found_per_rule)
-    pairs = lines.select(*keys, "line", "line_text", F.explode(found_per_rule).alias("_h"))
-    pairs = pairs.select(*keys, "line", "line_text",
+    layers = ["_layers"] if with_context else []
+    found = lines.select(*keys, "line", "line_text", found_per_rule.alias("_found"))
+    if with_context:
+        found = found.where(F.size("_found") > 0).withColumn(
+            "_layers", F.expr(f"CASE WHEN line > 0 THEN {_layers_sql(pats)} END"))
+    pairs = found.select(*keys, "line", "line_text", *layers, F.explode("_found").alias("_h"))
+    pairs = pairs.select(*keys, "line", *layers,
                          F.col("_h.rule_id").alias("rule_id"), F.col("_h.found").alias("found"),
                          F.expr("CASE _h.rule_id " + " ".join(
                              f"WHEN {i} THEN split(line_text, {spark_sql_literal(p)}, -1)"
@@ -176,7 +199,7 @@ def detect_raw(files: DataFrame, rules: list[C.Rule] | None = None, keys=FILE_KE
     # seg[j] = len(piece j) + len(match j).  Prefix sums in two levels (blocks of
     # sqrt(k) segments) keep k matches on one line at O(k^1.5) int additions, not
     # O(k^2) -- a minified one-line file with many hits stays cheap.
-    pairs = pairs.select(*keys, "line", "line_text", "rule_id", "found",
+    pairs = pairs.select(*keys, "line", *layers, "rule_id", "found",
                          F.expr("transform(pieces, x -> length(x))").alias("_pl"),
                          F.expr("zip_with(transform(pieces, x -> length(x)), transform(found, x -> length(x)), "
                                 "(p, f) -> p + coalesce(f, 0))").alias("_seg"),
@@ -186,14 +209,16 @@ def detect_raw(files: DataFrame, rules: list[C.Rule] | None = None, keys=FILE_KE
         "b -> aggregate(slice(_seg, b * _b + 1, _b), 0, (a, x) -> a + x))"))
     pairs = pairs.withColumn("_bp", F.expr(
         "transform(sequence(0, size(_bs) - 1), b -> aggregate(slice(_bs, 1, b), 0, (a, x) -> a + x))"))
-    located = F.expr(
-        "transform(found, (v, i) -> named_struct('raw', v, 'column', 1 + element_at(_bp, cast(i div _b as int) + 1) "
-        "+ aggregate(slice(_seg, cast(i div _b as int) * _b + 1, i % _b), 0, (a, x) -> a + x) "
-        "+ element_at(_pl, i + 1)))")
+    located = ("transform(found, (v, i) -> named_struct('raw', v, 'column', 1 + element_at(_bp, cast(i div _b as int) + 1) "
+               "+ aggregate(slice(_seg, cast(i div _b as int) * _b + 1, i % _b), 0, (a, x) -> a + x) "
+               "+ element_at(_pl, i + 1)))")
     explode = F.posexplode_outer if file_rows else F.posexplode
-    out = pairs.select(*keys, "line", "line_text", "rule_id", explode(located).alias("match_idx", "_m"))
-    return out.select(*keys, "line", F.col("_m.column").alias("column"), "rule_id",
-                      F.col("_m.raw").alias("raw"), "match_idx", "line_text")
+    # All of it inside the generator: in a projection the optimizer would inline the prefix sums into the function over matches.
+    hits = F.expr(f"transform({located}, m -> named_struct('raw', m.raw, 'column', m.column, 'context', {context_sql()}))"
+                  if with_context else located)
+    out = pairs.select(*keys, "line", "rule_id", explode(hits).alias("match_idx", "_m"))
+    return out.select(*keys, "line", F.col("_m.column").alias("column"), "rule_id", F.col("_m.raw").alias("raw"), "match_idx",
+                      *([F.col("_m.context").alias("context")] if with_context else []))
 
 
 def enrich(raw_hits: DataFrame, catalog: DataFrame, how: str = "inner") -> DataFrame:
@@ -206,28 +231,6 @@ def _sql_mask_value(x: str) -> str:
             f"THEN concat(left({x}, 4), '****', right({x}, 4)) ELSE concat(left({x}, 6), '****', right({x}, 6)) END")
 
 
-def context_sql(line_text: str = "line_text", column: str = "column", raw: str = "raw") -> str:
-    """D3 as Spark SQL text: the line around the match, cut to 40 characters each
-    side, with the match masked (D4) and every other catalog match in the
-    surrounding text masked too.
-
-    The surroundings go through one pass of the union of all rules (leftmost
-    match wins), not 37 sequential passes: same coverage, one regex scan.  Only
-    ``CONTEXT_WINDOW`` characters on each side are redacted, so a hit on a
-    megabyte-long minified line costs the same as any other."""
-    w = CONTEXT_WINDOW
-    u = spark_sql_literal(engine_regex(union_regex([r.pattern for r in C.RULES])))
-
-    def masked(x: str) -> str:
-        return (f"transform(array({x}), cs -> array_join(zip_with(split(cs, {u}, -1), regexp_extract_all(cs, {u}, 0), "
-                f"(ca, cb) -> concat(ca, coalesce({_sql_mask_value('cb')}, ''))), ''))[0]")
-
-    before = f"substring({line_text}, greatest(1, {column} - {w}), {column} - greatest(1, {column} - {w}))"
-    after = f"substring({line_text}, {column} + length({raw}), {w})"
-    return (f"concat(right({masked(before)}, {CONTEXT_WIDTH}), {_sql_mask_value(raw)}, "
-            f"left({masked(after)}, {CONTEXT_WIDTH}))")
-
-
 def detections(files: DataFrame, spark: SparkSession | None = None, rules: list[C.Rule] | None = None,
                keys=FILE_KEYS, with_context: bool = False, skip_comments: bool = False,
                drop_false_positives: bool = False, file_rows: bool = False,
@@ -241,15 +244,16 @@ def detections(files: DataFrame, spark: SparkSession | None = None, rules: list[
     ``candidate_lines``), so one pass over the content yields both the file list
     and the detections."""
     spark = spark or files.sparkSession
-    raw = detect_raw(files, rules, keys, skip_comments=skip_comments, file_rows=file_rows)
+    raw = detect_raw(files, rules, keys, skip_comments=skip_comments, file_rows=file_rows, with_context=with_context)
     hits = enrich(raw, catalog_df(spark, rules), "left" if file_rows else "inner")
     if drop_false_positives:
         from keysweep.operators.filters import false_positive
-        hits = hits.where(~false_positive(F.col("raw")))
+        drop = false_positive(F.col("raw"), F.col("pattern"))
+        hits = hits.where(F.col("type").isNull() | ~drop if file_rows else ~drop)
     cols = [*keys, "type", "category", "severity", mask_value(F.col("raw")).alias("value"),
             F.col("line").cast("int").alias("line"), F.col("column").cast("int").alias("column")]
     if with_context:
-        cols.append(F.expr(context_sql()).alias("context"))
+        cols.append("context")
     cols += ["pattern", "recommendation"]
     if value_salt is not None:
         cols.append(F.sha2(F.concat(F.lit(value_salt), F.col("raw")), 256).alias("value_hash"))
@@ -270,23 +274,24 @@ def detect_blocks(files: DataFrame, rule: C.Rule = C.BLOCK_RULE, keys=FILE_KEYS,
             .select(*keys, F.regexp_extract_all("_content", F.lit(p), 0).alias("found"),
                     F.split("_content", p, -1).alias("pieces"))
             .where(F.size("found") > 0))
-    # Each text segment (piece, match, piece, ...) summarised once as
-    # (newlines, chars after its last newline, length); a match's line and column
-    # fold the summaries of the segments before it -- small ints, no prefix string
-    # is rebuilt, so many blocks in one large file stay cheap.
-    summary = ("named_struct('nl', length({0}) - length(replace({0}, '\\n', '')), "
-               "'tail', length(substring_index({0}, '\\n', -1)), 'len', length({0}))")
-    segs = F.expr("flatten(zip_with(pieces, found, (p, f) -> array(" + summary.format("p") + ", "
-                  + summary.format("coalesce(f, '')") + ")))")
-    fold = ("aggregate(slice(_segs, 1, 2 * match_idx + 1), named_struct('nl', 0, 'col', 0), "
-            "(acc, s) -> named_struct('nl', acc.nl + s.nl, "
-            "'col', CASE WHEN s.nl > 0 THEN s.tail ELSE acc.col + s.len END))")
-    hits = (base.select(*keys, segs.alias("_segs"), F.posexplode("found").alias("match_idx", "raw"))
-            .select(*keys, "raw", F.expr(fold).alias("_pos")))
+    # Each text segment (piece, match, piece, ...) is summarised once as (newlines, characters after its last newline, length),
+    # and one pass over these small summaries places every match; no prefix string is rebuilt and no match scans what
+    # stands before it.
+    summary = ("named_struct('nl', length({0}) - length(replace({0}, '\n', '')), "
+               "'tail', length(substring_index({0}, '\n', -1)), 'len', length({0}))")
+    pairs = F.expr("zip_with(slice(pieces, 1, size(found)), found, (p, f) -> named_struct('raw', f, 'p', " + summary.format("p")
+                   + ", 'f', " + summary.format("f") + "))")
+    column = "(CASE WHEN x.p.nl > 0 THEN x.p.tail ELSE a.col + x.p.len END)"
+    place = F.expr(
+        "aggregate(_pairs, named_struct('nl', 0, 'col', 0, 'out', CAST(array() AS ARRAY<STRUCT<line:INT,column:INT>>)), "
+        f"(a, x) -> named_struct('nl', a.nl + x.p.nl + x.f.nl, 'col', CASE WHEN x.f.nl > 0 THEN x.f.tail ELSE {column} + x.f.len END, "
+        f"'out', array_append(a.out, named_struct('line', a.nl + x.p.nl + 1, 'column', {column} + 1))), a -> a.out)")
+    hits = (base.select(*keys, "found", pairs.alias("_pairs")).select(*keys, "found", place.alias("_places"))
+            .select(*keys, F.explode(F.arrays_zip("found", "_places")).alias("_m"))
+            .select(*keys, F.col("_m.found").alias("raw"), F.col("_m._places").alias("_pos")))
     return hits.select(*keys, F.lit(rule.type).alias("type"), F.lit(rule.category).alias("category"),
                        F.lit(rule.severity).alias("severity"), mask_value(F.col("raw")).alias("value"),
-                       (F.col("_pos.nl") + 1).cast("int").alias("line"),
-                       (F.col("_pos.col") + 1).cast("int").alias("column"),
+                       F.col("_pos.line").alias("line"), F.col("_pos.column").alias("column"),
                        F.size(F.split("raw", "\n", -1)).cast("int").alias("n_lines"))
 
 

@@ -53,28 +53,28 @@ def has_content(content: Column) -> Column:
     return content.isNotNull() & (content != "")
 
 
-def skip_reason(path: Column, content: Column, max_size: int = C.MAX_FILE_SIZE) -> Column:
-    """first reason that applies, or null for a kept file."""
-    return (F.when(is_binary(path), F.lit("binary"))
-            .when(in_skip_dir(path), F.lit("skip_dir"))
-            .when(~has_content(content), F.lit("no_content"))
-            .when(~fits_size(content, max_size), F.lit("too_large")))
+def skip_reason(path: Column, content: Column, max_size: int | None = None) -> Column:
+    """first reason that applies, or null for a kept file; without ``max_size`` none is too large."""
+    reason = (F.when(is_binary(path), F.lit("binary"))
+              .when(in_skip_dir(path), F.lit("skip_dir"))
+              .when(~has_content(content), F.lit("no_content")))
+    return reason if max_size is None else reason.when(~fits_size(content, max_size), F.lit("too_large"))
 
 
-def keep_files(files: DataFrame, max_size: int = C.MAX_FILE_SIZE) -> DataFrame:
-    """F1-F4 in the reference's order: path tests first, then content tests."""
-    return (files.where(~is_binary(F.col("path")) & ~in_skip_dir(F.col("path")))
-            .where(has_content(F.col("content")))
-            .where(fits_size(F.col("content"), max_size)))
+def keep_files(files: DataFrame, max_size: int | None = None) -> DataFrame:
+    """Path tests first, then content tests; the size test only if a limit is asked for."""
+    kept = (files.where(~is_binary(F.col("path")) & ~in_skip_dir(F.col("path")))
+            .where(has_content(F.col("content"))))
+    return kept if max_size is None else kept.where(fits_size(F.col("content"), max_size))
 
 
-def over_cap(keyed: DataFrame, max_files: int = C.MAX_FILES_PER_SCAN, keys=REPO_KEYS) -> DataFrame:
+def over_cap(keyed: DataFrame, max_files: int, keys=REPO_KEYS) -> DataFrame:
     """Repositories with more than ``max_files`` files (a partial aggregate on keys)."""
     k = list(keys)
     return keyed.groupBy(*k).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_files).select(*k)
 
 
-def cap_cutoffs(keyed: DataFrame, max_files: int = C.MAX_FILES_PER_SCAN, keys=REPO_KEYS,
+def cap_cutoffs(keyed: DataFrame, max_files: int, keys=REPO_KEYS,
                 salt_buckets: int = 64, big: DataFrame | None = None) -> DataFrame:
     """(keys, _cutoff): for each repository with more than ``max_files`` files, the
     path ranked ``max_files`` -- from (keys, path) rows only.  Counting is a partial
@@ -94,7 +94,7 @@ def apply_cap(df: DataFrame, cutoffs: DataFrame, keys=REPO_KEYS) -> DataFrame:
     return j.where(F.col("_cutoff").isNull() | (F.col("path") <= F.col("_cutoff"))).drop("_cutoff")
 
 
-def cap_files(files: DataFrame, max_files: int = C.MAX_FILES_PER_SCAN, keys=REPO_KEYS,
+def cap_files(files: DataFrame, max_files: int, keys=REPO_KEYS,
               salt_buckets: int = 64) -> DataFrame:
     """at most ``max_files`` files per (repository, branch), first by path.
 
@@ -153,14 +153,18 @@ def skip_comment_lines(line_text: Column) -> Column:
     return (F.trim(line_text) != "") & ~line_text.rlike(C.COMMENT_PREFIX_RE)
 
 
-def false_positive(raw: Column, path: Column | None = None) -> Column:
-    """F8 predicate: placeholder / example / test values, one repeated character,
-    or fewer than ``MIN_DISTINCT_CHARS`` distinct characters."""
-    distinct = F.size(F.array_distinct(F.split(raw, "", -1)))
-    fp = (raw.rlike(C.PLACEHOLDER_RE) | raw.rlike(C.TEST_TOKEN_RE)
-          | (F.length(F.replace(raw, F.left(raw, F.lit(1)), F.lit(""))) == 0)
-          | (distinct < C.MIN_DISTINCT_CHARS))
-    return fp
+#: What stands before the value in a match of a rule for assignments: a name, the sign and an opening quote.
+ASSIGNED = r"^[^=:]*[=:]\s*['\"]?"
+
+
+def false_positive(raw: Column, pattern: Column) -> Column:
+    """F8 predicate on the value of a match (of a rule for assignments what is assigned, else the whole match): placeholder,
+    example or test values, one repeated character, or fewer than ``MIN_DISTINCT_CHARS`` distinct characters."""
+    value = F.when(pattern.contains("[=:]"), F.regexp_replace(raw, ASSIGNED, "")).otherwise(raw)
+    distinct = F.size(F.array_distinct(F.split(value, "", -1)))
+    return (raw.rlike(C.PLACEHOLDER_RE) | raw.rlike(C.TEST_TOKEN_RE)
+            | (F.length(F.replace(value, F.left(value, F.lit(1)), F.lit(""))) == 0)
+            | (distinct < C.MIN_DISTINCT_CHARS))
 
 
 def is_test_path(path: Column) -> Column:

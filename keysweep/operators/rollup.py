@@ -114,11 +114,6 @@ def top_types_array(counts: DataFrame, k: int, keys=REPO_KEYS) -> DataFrame:
                                                                    x["count"].alias("count"))).alias("top_types")))
 
 
-def repo_severity(dets: DataFrame, keys=REPO_KEYS) -> DataFrame:
-    """A3 per repository from detections, via (repo, type, severity) partial counts."""
-    return dets.groupBy(*keys).agg(F.count(F.lit(1)).alias("secrets"), *_severity_counts())
-
-
 def analyze(dets: DataFrame, keys=REPO_KEYS, repos: DataFrame | None = None) -> DataFrame:
     """A10: severity counts, score, status, steps and recommendations per repository.
 
@@ -152,31 +147,26 @@ def _analysis_columns(df: DataFrame, keys) -> DataFrame:
 def severity_breakdown(dets: DataFrame, keys=REPO_KEYS) -> DataFrame:
     """A4 as rows: the four fixed keys (zero defaults) plus any other severity seen."""
     per = dets.groupBy(*keys, "severity").agg(F.count(F.lit(1)).alias("count"))
-    fixed = (per.groupBy(*keys)
-             .agg(*[F.coalesce(F.sum(F.when(_sev() == s, F.col("count"))), F.lit(0)).alias(s) for s in C.SEVERITIES])
-             .select(*keys, F.explode(F.array(*[F.struct(F.lit(s).alias("severity"), F.col(s).alias("count"))
-                                                 for s in C.SEVERITIES])).alias("_e"))
-             .select(*keys, "_e.severity", "_e.count"))
-    extra = per.where(~_sev().isin(*C.SEVERITIES) | _sev().isNull())
-    return fixed.unionByName(extra)
-
-
-def breakdown_map(dets: DataFrame, keys=REPO_KEYS) -> DataFrame:
-    """A4 as a MAP<STRING,BIGINT> column for the report sink."""
-    rows = severity_breakdown(dets, keys)
-    return rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("severity", "count")))
-                                   .alias("severity_breakdown"))
+    seen = F.map_from_entries(F.collect_list(F.struct(F.coalesce("severity", F.lit("")).alias("k"), F.col("count").alias("v"))))
+    one = per.groupBy(*keys).agg(seen.alias("_seen"))  # an entry for each severity at most
+    fixed = F.array(*[F.struct(F.lit(s).alias("severity"), F.coalesce(F.col("_seen")[s], F.lit(0).cast("bigint")).alias("count"))
+                      for s in C.SEVERITIES])
+    other = F.transform(F.filter(F.map_entries("_seen"), lambda e: ~e["key"].isin(*C.SEVERITIES)),
+                        lambda e: F.struct(F.nullif(e["key"], F.lit("")).alias("severity"), e["value"].alias("count")))
+    return one.select(*keys, F.explode(F.concat(fixed, other)).alias("_e")).select(*keys, "_e.severity", "_e.count")
 
 
 def snippet_advice(dets: DataFrame, keys) -> DataFrame:
-    """Distinct recommendations of a text in first-seen (line, column, type)
+    """A11 (and the text's hits ``n`` and severity rank ``rk``, from the same pass): distinct recommendations of a text in first-seen (line, column, type)
     order, then the three fixed lines when there is any hit.
 
     Pre-aggregated to one row per (text, recommendation), so the collected list
     holds at most one entry per catalog rule."""
     first = (dets.groupBy(*keys, "recommendation")
-             .agg(F.min(F.struct("line", "column", "type")).alias("_first")))
+             .agg(F.min(F.struct("line", "column", "type")).alias("_first"), F.count(F.lit(1)).alias("_n"),
+                  F.max(severity_rank()).alias("_rk")))
     ordered = F.sort_array(F.collect_list(F.struct("_first", "recommendation")))
     recs = F.transform(ordered, lambda x: x["recommendation"])
     return first.groupBy(*keys).agg(
-        F.array_distinct(F.concat(recs, _str_array(C.SNIPPET_ADVICE))).alias("recommendations"))
+        F.array_distinct(F.concat(recs, _str_array(C.SNIPPET_ADVICE))).alias("recommendations"),
+        F.sum("_n").alias("n"), F.max("_rk").alias("rk"))

@@ -88,7 +88,7 @@ def _det_sql(files_sql: str | None = None, **kw) -> str:
     return Q.detections(files_sql or Q.files(), **kw)
 
 
-_RAW_SQL = f"""(SELECT h.repository, h.branch, h.path, h.line, h."column", h.raw, c.type, c.severity
+_RAW_SQL = f"""(SELECT h.repository, h.branch, h.path, h.line, h."column", h.raw, c.type, c.severity, c.pattern
   FROM {Q.raw_hits(Q.files())} h JOIN {Q.catalog_values()} c ON h.rule_id = c.rule_id)"""
 
 
@@ -181,13 +181,15 @@ _UTF16 = "(length({0}) + length(regexp_replace({0}, '[^\\x{{10000}}-\\x{{10FFFF}
 _REPO_FILES = f"({Q.files('repo_files')})"
 
 
-def _kept_sql(max_size: int = C.MAX_FILE_SIZE) -> str:
+def _kept_sql(max_size: int | None = None) -> str:
+    size = "" if max_size is None else f"AND {_UTF16.format('content')} <= {max_size}"
     return (f"(SELECT * FROM {_REPO_FILES} f WHERE NOT regexp_matches(lower(path), {_BIN}) "
-            f"AND NOT regexp_matches(path, {_SKIP}) AND content IS NOT NULL AND content <> '' "
-            f"AND {_UTF16.format('content')} <= {max_size})")
+            f"AND NOT regexp_matches(path, {_SKIP}) AND content IS NOT NULL AND content <> '' {size})")
 
 
-def _capped_sql(max_files: int = C.MAX_FILES_PER_SCAN, max_size: int = C.MAX_FILE_SIZE) -> str:
+def _capped_sql(max_files: int | None = None, max_size: int | None = None) -> str:
+    if max_files is None:
+        return f"(SELECT repository, branch, path, content, size FROM {_kept_sql(max_size)} k)"
     return (f"(SELECT repository, branch, path, content, size FROM (SELECT *, row_number() OVER "
             f"(PARTITION BY repository, branch ORDER BY path) AS rn FROM {_kept_sql(max_size)} k) x "
             f"WHERE rn <= {max_files})")
@@ -295,9 +297,8 @@ def q_scan_snippets(spark, sf_dir):
     from keysweep.sources.files import snippet_files
     snips = snippet_files(_valid_snippets(spark, sf_dir))
     dets = D.detections(snips, keys=["snippet_id", "path"])
-    agg = dets.groupBy("snippet_id").agg(F.count(F.lit(1)).alias("n"), F.max(R.severity_rank()).alias("rk"))
     adv = R.snippet_advice(dets, ["snippet_id"])
-    j = snips.select("snippet_id", "path").join(agg, "snippet_id", "left").join(adv, "snippet_id", "left")
+    j = snips.select("snippet_id", "path").join(adv, "snippet_id", "left")
     return j.select("snippet_id", "path", F.coalesce("n", F.lit(0)).cast("bigint").alias("detections_found"),
                     R.rank_label(F.col("rk")).alias("severity"),
                     F.coalesce(F.array_join("recommendations", " | "), F.lit("")).alias("recommendations"))
@@ -376,17 +377,24 @@ def q_type_counts(spark, sf_dir):
 
 
 def _kept_files(spark, sf_dir):
-    """F1-F5 only (no detection): file listing and coverage need no regex work."""
-    return FL.cap_files(FL.keep_files(S.repo_files(spark, sf_dir)))
+    """F1-F4 only (no detection): file listing and coverage need no regex work, and read the content once."""
+    return FL.keep_files(S.repo_files(spark, sf_dir))
 
 
 def _corpus_dets(spark, sf_dir):
-    """The corpus scan (F1-F5 + detection) as one checkpointed pass."""
+    """The corpus scan (F1-F4 + detection) as one checkpointed pass."""
     from keysweep.plans.corpus_scan import scan_corpus
-    return scan_corpus(S.repo_files(spark, sf_dir))
+    return scan_corpus(S.repo_files(spark, sf_dir))[:2]
+
+
+def _every_det(spark, sf_dir):
+    """Detections in every file that has content, whatever its path."""
+    from keysweep.plans.corpus_scan import scan_corpus
+    return scan_corpus(S.repo_files(spark, sf_dir), every_file=True).detections
 
 
 _CORPUS_DET = _det_sql(_capped_sql())
+_EVERY_DET = _det_sql(f"(SELECT * FROM {_REPO_FILES} f WHERE content IS NOT NULL AND content <> '')")
 
 
 @register("totals", f"""
@@ -526,7 +534,7 @@ def _redact_map_value_sql(k: str, v: str) -> str:
 @register("redact_text", f"SELECT repository, branch, path, {Q.redact_text('content')} AS redacted FROM ({Q.files()}) f")
 def q_redact_text(spark, sf_dir):
     """Every document with the seven sanitizer patterns masked in sequence."""
-    f = S.spread_small_input(S.seeded_documents(spark, sf_dir), FILE_KEYS)
+    f = S.spread(S.seeded_documents(spark, sf_dir), FILE_KEYS)
     return f.select(*FILE_KEYS, F.expr(M.redact_text_sql("content")).alias("redacted"))
 
 
@@ -534,7 +542,7 @@ def q_redact_text(spark, sf_dir):
 FROM (SELECT event_id, unnest(map_entries(context)) AS e FROM {_LOGS} l) x""")
 def q_redact_map(spark, sf_dir):
     """R2: log context maps with secret-named values masked and the rest sanitized."""
-    logs = S.spread_small_input(S.derived_table(spark, sf_dir, "log_entries"), ["event_id"])
+    logs = S.spread(S.derived_table(spark, sf_dir, "log_entries"), ["event_id"])
     return logs.select("event_id", F.explode(F.expr(M.redact_map_sql("context"))).alias("key", "value"))
 
 
@@ -558,7 +566,7 @@ FROM {_LOGS} l WHERE {_LEVEL_RANK_SQL} >= 1""")
 def q_redact_log(spark, sf_dir):
     """Production log view -- INFO and above, message/error/context redacted, no stack."""
     from keysweep.operators.logs import redact_log
-    logs = S.spread_small_input(S.derived_table(spark, sf_dir, "log_entries"), ["event_id"])
+    logs = S.spread(S.derived_table(spark, sf_dir, "log_entries"), ["event_id"])
     logs = redact_log(logs, threshold="INFO", production=True)
     return logs.select("event_id", "level", "message", _ctx_string(F.col("context")).alias("context"),
                        F.col("error.name").alias("error_name"), F.col("error.message").alias("error_message"),
@@ -680,11 +688,10 @@ def q_check_secret_requests(spark, sf_dir):
 _DET_COLS = "repository, branch, path, type, line, \"column\", value"
 
 
-@register("all_rules", f"SELECT {_DET_COLS} FROM {_CORPUS_DET} d")
+@register("all_rules", f"SELECT {_DET_COLS} FROM {_EVERY_DET} d")
 def q_all_rules(spark, sf_dir):
-    """All 37 rules over every kept file of documents, pages and conversations."""
-    _, dets = _corpus_dets(spark, sf_dir)
-    return dets.select(*FILE_KEYS, "type", "line", "column", "value")
+    """All 37 rules over every document, page and conversation."""
+    return _every_det(spark, sf_dir).select(*FILE_KEYS, "type", "line", "column", "value")
 
 
 @register("context", f"SELECT repository, branch, path, type, line, \"column\", context FROM {_det_sql(with_context=True)} d")
@@ -747,9 +754,10 @@ def q_skip_lines(spark, sf_dir):
     return dets.select("snippet_id", "path", "type", "line", "column", "value")
 
 
+_FP_VALUE = (f"(CASE WHEN contains(pattern, '[=:]') THEN regexp_replace(raw, {sql_string(FL.ASSIGNED)}, '') ELSE raw END)")
 _FP_SQL = (f"(regexp_matches(raw, {sql_string(C.PLACEHOLDER_RE)}) OR regexp_matches(raw, {sql_string(C.TEST_TOKEN_RE)}) "
-           f"OR length(replace(raw, left(raw, 1), '')) = 0 "
-           f"OR len(list_distinct(string_split(raw, ''))) < {C.MIN_DISTINCT_CHARS})")
+           f"OR length(replace({_FP_VALUE}, left({_FP_VALUE}, 1), '')) = 0 "
+           f"OR len(list_distinct(string_split({_FP_VALUE}, ''))) < {C.MIN_DISTINCT_CHARS})")
 
 
 @register("drop_false_positives", f"""SELECT repository, branch, path, type, line, "column", {Q.mask_value('raw')} AS value,
@@ -765,14 +773,13 @@ _N_CATEGORIES = len({r.category for r in C.RULES})
 
 
 @register("secret_types", f"""
-WITH det AS {_CORPUS_DET}, h AS (SELECT type, count(*) AS hits FROM det GROUP BY type)
+WITH det AS {_EVERY_DET}, h AS (SELECT type, count(*) AS hits FROM det GROUP BY type)
 SELECT c.type, c.category, c.description, c.severity, CAST(coalesce(h.hits, 0) AS BIGINT) AS hits,
        {len(C.RULES)} AS total_types, {_N_CATEGORIES} AS total_categories
 FROM {Q.catalog_values()} c LEFT JOIN h ON c.type = h.type""")
 def q_secret_types(spark, sf_dir):
     """The catalog listing (type, category, description, severity, totals) with corpus hit counts."""
-    _, dets = _corpus_dets(spark, sf_dir)
-    hits = dets.groupBy("type").agg(F.count(F.lit(1)).alias("hits"))
+    hits = _every_det(spark, sf_dir).groupBy("type").agg(F.count(F.lit(1)).alias("hits"))
     cat = D.catalog_df(spark)
     return cat.join(hits, "type", "left").select(
         "type", "category", "description", "severity", F.coalesce("hits", F.lit(0)).cast("bigint").alias("hits"),
@@ -780,13 +787,12 @@ def q_secret_types(spark, sf_dir):
 
 
 @register("patterns", f"""
-WITH det AS {_CORPUS_DET}, h AS (SELECT type, count(DISTINCT (repository, branch, path)) AS files FROM det GROUP BY type)
+WITH det AS {_EVERY_DET}, h AS (SELECT type, count(DISTINCT (repository, branch, path)) AS files FROM det GROUP BY type)
 SELECT c.type, c.pattern, CAST(coalesce(h.files, 0) AS BIGINT) AS files_with_hits
 FROM {Q.catalog_values()} c LEFT JOIN h ON c.type = h.type""")
 def q_patterns(spark, sf_dir):
     """Each rule's regex with the number of files it fires in."""
-    _, dets = _corpus_dets(spark, sf_dir)
-    files = dets.select("type", *FILE_KEYS).distinct().groupBy("type").agg(F.count(F.lit(1)).alias("files"))
+    files = _every_det(spark, sf_dir).select("type", *FILE_KEYS).distinct().groupBy("type").agg(F.count(F.lit(1)).alias("files"))
     return D.catalog_df(spark).join(files, "type", "left").select(
         "type", "pattern", F.coalesce("files", F.lit(0)).cast("bigint").alias("files_with_hits"))
 
@@ -797,7 +803,7 @@ def q_patterns(spark, sf_dir):
 
 @register("scan_files", f"SELECT repository, branch, path, size FROM {_capped_sql()} c")
 def q_scan_files(spark, sf_dir):
-    """Every scannable file (F1-F5 applied) of documents, pages and conversations."""
+    """Every scannable file (F1-F4 applied) of documents, pages and conversations."""
     return _kept_files(spark, sf_dir).select(*FILE_KEYS, "size")
 
 

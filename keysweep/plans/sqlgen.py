@@ -7,9 +7,11 @@ over lists), used only to check the Spark plans; it is never on the job path.
 from __future__ import annotations
 
 from keysweep import catalog as C
-from keysweep.functions.regex import case_insensitive, engine_regex, sql_string, union_regex
+from keysweep.functions.regex import case_insensitive, engine_regex, sql_string
 from keysweep.sources.derived import duckdb_sql
 
+#: A private key on one line, up to its end.
+KEY_ON_LINE = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*"
 LINE_BREAK = r"'\r?\n'"
 
 
@@ -84,16 +86,32 @@ def detections(files_sql: str, rules: list[C.Rule] | None = None, keys=("reposit
     """The public detection record (masked value), as ``detect.detections``."""
     k = ", ".join(f"h.{x}" for x in keys)
     ctx = ""
+    hits = raw_hits(files_sql, rules, keys, line_filter)
     if with_context:
-        every_rule = union_regex([r.pattern for r in C.RULES])
-        w = 200  # detect.CONTEXT_WINDOW
-        before = replace_matches(f'substring(h.line_text, greatest(1, h."column" - {w}), h."column" - greatest(1, h."column" - {w}))',
-                                 every_rule, mask_value)
-        after = replace_matches(f'substring(h.line_text, h."column" + length(h.raw), {w})', every_rule, mask_value)
-        ctx = f", right({before}, 40) || {mask_value('h.raw')} || left({after}, 40) AS context"
+        # independent of the plan: every position of a window is looked up among the spans of all matches on its line
+        body = sql_string(KEY_ON_LINE)
+        on = " AND ".join(f"h.{x} = s.{x}" for x in (*keys, "line"))
+        kk = ", ".join((*keys, "line"))
+        span = "struct_pack(a := \"column\", b := \"column\" + length(raw) - 1)"
+        char = ("CASE WHEN len(list_filter(s.spans, lambda z: z.a <= p AND p <= z.b)) > 0 OR (s.body > 0 AND p >= s.body) "
+                "THEN '*' ELSE substring(h.line_text, p, 1) END")
+
+        def window(first: str, last: str) -> str:
+            return f"array_to_string(list_transform(range(CAST({first} AS BIGINT), CAST({last} AS BIGINT) + 1), lambda p: {char}), '')"
+
+        left = window('greatest(1, h."column" - 40)', 'h."column" - 1')
+        right = window('h."column" + length(h.raw)', 'least(length(h.line_text), h."column" + length(h.raw) + 39)')
+        ctx = f", {left} || {mask_value('h.raw')} || {right} AS context"
+        return f"""(WITH hit AS MATERIALIZED {hits},
+spans AS (SELECT {kk}, list({span}) AS spans,
+                 max(CASE WHEN regexp_matches(line_text, {body}) THEN position(regexp_extract(line_text, {body}) IN line_text) ELSE 0 END) AS body
+          FROM hit GROUP BY {kk})
+SELECT {k}, c.type, c.category, c.severity, {mask_value('h.raw')} AS value,
+       h.line, h."column"{ctx}, c.pattern, c.recommendation
+FROM hit h JOIN spans s ON {on} JOIN {catalog_values(rules)} c ON h.rule_id = c.rule_id)"""
     return f"""(SELECT {k}, c.type, c.category, c.severity, {mask_value('h.raw')} AS value,
        h.line, h."column"{ctx}, c.pattern, c.recommendation
-FROM {raw_hits(files_sql, rules, keys, line_filter)} h JOIN {catalog_values(rules)} c ON h.rule_id = c.rule_id)"""
+FROM {hits} h JOIN {catalog_values(rules)} c ON h.rule_id = c.rule_id)"""
 
 
 def severity_counts(alias: str = "") -> str:

@@ -34,46 +34,56 @@ REPORT_SCHEMA = T.StructType([
     T.StructField("files_with_secrets", T.LongType()),
     T.StructField("total_secrets_found", T.LongType()),
     T.StructField("summary", SUMMARY),
+    T.StructField("files_skipped", T.LongType()),
 ])
 
 
-def file_type_counts(dets: DataFrame) -> DataFrame:
+def file_type_counts(dets: DataFrame, keys=FILE_KEYS) -> DataFrame:
     """The one aggregate every repository figure derives from: (file, type, severity) -> n.
 
     The report branches (files with hits, severity map, top types) all start from
     this partial aggregate of the (checkpointed) detections."""
-    return dets.groupBy(*FILE_KEYS, "type", "severity").agg(F.count(F.lit(1)).alias("n"))
-
-
-def scan_reports(kept: DataFrame, dets: DataFrame, path_label: str = C.DEFAULT_PATH_LABEL) -> DataFrame:
-    ftc = file_type_counts(dets)
-    files = kept.groupBy(*REPO_KEYS).agg(F.count(F.lit(1)).alias("total_files_scanned"))
-    per_file = ftc.groupBy(*FILE_KEYS).agg(F.sum("n").alias("n"))
-    per_repo = per_file.groupBy(*REPO_KEYS).agg(F.count(F.lit(1)).alias("files_with_secrets"),
+    return dets.groupBy(*keys, "type", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+def scan_reports(kept: DataFrame, dets: DataFrame, path_label: str = C.DEFAULT_PATH_LABEL,
+                 skipped: DataFrame | None = None, keys=REPO_KEYS) -> DataFrame:
+    """One report per (repository, branch); with ``skipped`` also how many files were left out (``files_skipped``), and
+    repositories of which nothing was scanned report zeros."""
+    ftc = file_type_counts(dets, [*keys, "path"])
+    files = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_files_scanned"))
+    if skipped is not None:
+        both = kept.select(*keys, F.lit(0).alias("s")).unionByName(skipped.select(*keys, F.lit(1).alias("s")))
+        files = both.groupBy(*keys).agg(F.count_if(F.col("s") == 0).alias("total_files_scanned"),
+                                             F.count_if(F.col("s") == 1).alias("files_skipped"))
+    per_file = ftc.groupBy(*keys, "path").agg(F.sum("n").alias("n"))
+    per_repo = per_file.groupBy(*keys).agg(F.count(F.lit(1)).alias("files_with_secrets"),
                                                  F.sum("n").cast("bigint").alias("total_secrets_found"))
-    sev = ftc.groupBy(*REPO_KEYS, "severity").agg(F.sum("n").cast("bigint").alias("count"))
-    fixed = sev.groupBy(*REPO_KEYS).agg(
+    sev = ftc.groupBy(*keys, "severity").agg(F.sum("n").cast("bigint").alias("count"))
+    fixed = sev.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("severity", "count"))).alias("seen"))
     zero = F.create_map(*[x for s in C.SEVERITIES for x in (F.lit(s), F.lit(0).cast("bigint"))])
-    tc = ftc.groupBy(*REPO_KEYS, "type").agg(F.sum("n").cast("bigint").alias("count"))
-    top = R.top_types_array(tc, 10)
-    j = files.join(per_repo, REPO_KEYS, "left").join(fixed, REPO_KEYS, "left").join(top, REPO_KEYS, "left")
+    tc = ftc.groupBy(*keys, "type").agg(F.sum("n").cast("bigint").alias("count"))
+    top = R.top_types_array(tc, 10, keys)
+    j = files.join(per_repo, keys, "left").join(fixed, keys, "left").join(top, keys, "left")
     fw = F.coalesce("files_with_secrets", F.lit(0)).cast("bigint")
     ts = F.coalesce("total_secrets_found", F.lit(0)).cast("bigint")
     # zero defaults for the four severities, then whatever was seen (incl. unrecognised ones)
     breakdown = F.map_concat(F.map_filter(zero, lambda k, v: ~F.coalesce(F.map_contains_key(F.col("seen"), k), F.lit(False))),
                              F.coalesce("seen", F.create_map().cast("map<string,bigint>")))
-    return j.select(*REPO_KEYS, F.lit(path_label).alias("path"), "total_files_scanned",
+    return j.select(*keys, F.lit(path_label).alias("path"), "total_files_scanned",
                     fw.alias("files_with_secrets"), ts.alias("total_secrets_found"),
                     F.struct(fw.alias("total_files"), fw.alias("files_with_secrets"), ts.alias("total_secrets"),
                              breakdown.alias("severity_breakdown"),
-                             F.coalesce("top_types", F.array().cast(TOP_TYPES)).alias("top_secret_types")).alias("summary"))
+                             F.coalesce("top_types", F.array().cast(TOP_TYPES)).alias("top_secret_types")).alias("summary"),
+                    *(["files_skipped"] if skipped is not None else []))
 
 
-def analysis_reports(kept: DataFrame, dets: DataFrame) -> DataFrame:
+def analysis_reports(kept: DataFrame, dets: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
     """Report + ``analysis`` struct, with score, status and steps also at top level."""
-    rep = scan_reports(kept, dets)
-    a = R.analyze(dets, repos=kept.select(*REPO_KEYS).distinct())
+    rep = scan_reports(kept, dets, skipped=skipped)
+    files = kept.select(*REPO_KEYS) if skipped is None else kept.select(*REPO_KEYS).unionByName(skipped.select(*REPO_KEYS))
+    a = R.analyze(dets, repos=files.distinct())
     analysis = F.struct("risk_score", "compliance_status", *C.SEVERITIES, "remediation_steps", "recommendations")
     return rep.join(a.select(*REPO_KEYS, analysis.alias("analysis")), REPO_KEYS, "left").select(
         "*", F.col("analysis.risk_score").alias("risk_score"),
@@ -98,15 +108,17 @@ def read_parquet_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def run_scan_job(spark: SparkSession, files: DataFrame, out_dir: str, value_salt: str | None = None) -> dict[str, str]:
-    """The batch job: one checkpointed content pass (F1-F5 + detection with
-    context), then detections, file results, scan reports and analysis written
-    to ``out_dir`` from the compact table."""
+def run_scan_job(spark: SparkSession, files: DataFrame, out_dir: str, value_salt: str | None = None,
+                 **options) -> dict[str, str]:
+    """The batch job: one checkpointed content pass (F1-F4 + detection with context), then detections, file results,
+    skipped files with their reasons, scan reports and analysis written to ``out_dir`` from the compact table.
+    ``options`` as for ``scan_corpus``: max_size, max_files, skip_comments, drop_false_positives."""
     from keysweep.plans.corpus_scan import scan_corpus
-    kept, dets = scan_corpus(files, with_context=True, value_salt=value_salt)
-    paths = {k: os.path.join(out_dir, k) for k in ("detections", "file_results", "reports", "analysis")}
+    kept, dets, skipped = scan_corpus(files, with_context=True, value_salt=value_salt, **options)
+    paths = {k: os.path.join(out_dir, k) for k in ("detections", "file_results", "skipped", "reports", "analysis")}
+    write_parquet_table(skipped, paths["skipped"])
     write_parquet_table(dets, paths["detections"])
     write_parquet_table(R.file_results(dets, nested=True), paths["file_results"])
-    write_reports(scan_reports(kept, dets), paths["reports"])
-    write_parquet_table(analysis_reports(kept, dets), paths["analysis"])
+    write_reports(scan_reports(kept, dets, skipped=skipped), paths["reports"])
+    write_parquet_table(analysis_reports(kept, dets, skipped), paths["analysis"])
     return paths

@@ -22,22 +22,16 @@ FILES_SCHEMA = T.StructType([
 ])
 
 
-def spread_small_input(df: DataFrame, keys=None) -> DataFrame:
-    """Inputs with fewer splits than task slots (a few large row groups; the sf0.1
-    documents and events files are one row group each) are spread so every core
-    works -- hash-partitioned on ``keys``, deterministic under task retry without
-    the sort a round-robin repartition adds.  Large inputs already have far more
-    splits than slots and are returned unchanged: no shuffle of their rows."""
-    if df.isStreaming:
-        return df
-    try:
-        slots = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 -- sessions without RDD access: leave the input as it is
-        return df
-    if splits >= slots:
-        return df
-    return df.repartition(slots * 2, *keys) if keys else df.repartition(slots * 2)
+#: Session setting by which a caller asks for the rows of text inputs to be dealt out over so many partitions (by hash of
+#: their keys); unset or 0: they stay where the reader puts them.  Row groups that are too large for the cluster are better
+#: split by ``spark.sql.files.maxPartitionBytes`` or by writing smaller ones.
+SPREAD_CONF = "keysweep.input.spread"
+
+
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Deals the rows out if the session asks for it (``SPREAD_CONF``); streams are left alone."""
+    n = int(df.sparkSession.conf.get(SPREAD_CONF, "0"))
+    return df.repartition(n, *keys) if n > 0 and not df.isStreaming else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,20 +57,23 @@ def read_file_tree(spark: SparkSession, root: str, repository: str, branch: str
                    glob: str | None = None, max_size: int | None = None) -> DataFrame:
     """S1 for a checked-out tree: every file below ``root`` as a ``files`` row.
 
+    ``root`` may be on any file system that Spark reads; paths are relative to it.
     Bytes are decoded as UTF-8 with invalid sequences replaced by U+FFFD.  Files
     can be excluded before any byte is read: by name with ``glob``
-    (``pathGlobFilter``), and by size -- a file of more than 3 * ``max_size``
+    (``pathGlobFilter``), and by size, if ``max_size`` is given -- a file of more than 3 * ``max_size``
     bytes has more than ``max_size`` UTF-16 units, so F3 would drop it anyway; the
     ``length`` filter is evaluated by the binaryFile source on the file status.
     """
-    from keysweep import catalog as C
-    max_size = C.MAX_FILE_SIZE if max_size is None else max_size
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    raw = reader.load(root).where(F.col("length") <= 3 * max_size)
-    prefix = os.path.abspath(root).rstrip("/") + "/"
-    rel = F.regexp_replace(F.regexp_replace("path", "^file:", ""), "^" + _re_escape(prefix), "")
+    raw = reader.load(root)
+    if max_size is not None:
+        raw = raw.where(F.col("length") <= 3 * max_size)
+    # the root as its file system writes it (scheme and authority included), as the source's paths are
+    there = spark._jvm.org.apache.hadoop.fs.Path(root)
+    prefix = there.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(there).toString().rstrip("/") + "/"
+    rel = F.regexp_replace("path", "^" + _re_escape(prefix), "")
     return raw.select(
         F.lit(repository).alias("repository"),
         F.lit(branch).alias("branch"),

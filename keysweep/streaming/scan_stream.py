@@ -19,22 +19,12 @@ from keysweep.sources import derived
 
 
 def document_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 256) -> DataFrame:
-    """New ``documents`` parquet files arriving in ``sf_dir`` as a stream.
-
-    A micro-batch reads whole files; when the source has fewer splits than task
-    slots, rows are hash-spread on the document id so every core scans text.
-    Large sources are left alone."""
+    """New ``documents`` parquet files arriving in ``sf_dir`` as a stream; rows stay in the splits they are read in."""
     present = spark.read.option("pathGlobFilter", "documents*.parquet").parquet(sf_dir)
-    stream = (spark.readStream.schema(present.schema)
-              .option("pathGlobFilter", "documents*.parquet")
-              .option("maxFilesPerTrigger", max_files_per_trigger)
-              .parquet(sf_dir))
-    slots = spark.sparkContext.defaultParallelism
-    # splits of what is already there (counted on the JVM side, no path list on
-    # the driver) estimate the splits of a micro-batch
-    if min(present.rdd.getNumPartitions(), max_files_per_trigger) < slots:
-        stream = stream.repartition(slots * 2, "doc_id")
-    return stream
+    return (spark.readStream.schema(present.schema)
+            .option("pathGlobFilter", "documents*.parquet")
+            .option("maxFilesPerTrigger", max_files_per_trigger)
+            .parquet(sf_dir))
 
 
 def detection_stream(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -76,9 +66,9 @@ def files_stream_detections(spark: SparkSession, source_dir: str, max_files_per_
 
 def start_files_stream(spark: SparkSession, source_dir: str, out: str, checkpoint: str | None = None,
                        available_now: bool = False, value_salt: str | None = None):
-    """Append detections of new files to ``out``; the checkpoint defaults to the
-    shared folder, so a restarted query resumes where it stopped."""
-    checkpoint = checkpoint or shared_dir(spark, "files-stream-checkpoint")
+    """Append detections of new files to ``out``.  The checkpoint defaults to a folder beside ``out``: the same output
+    always meets the same checkpoint, so a query that is started again goes on where it stopped."""
+    checkpoint = checkpoint or out.rstrip("/") + "-checkpoint"
     q = (files_stream_detections(spark, source_dir, value_salt=value_salt)
          .writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", checkpoint).option("path", out))

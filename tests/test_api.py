@@ -20,8 +20,8 @@ def test_scan_code_shapes(spark):
     assert r4.path == "inline" and r4.severity == "critical"
     assert [d.type for d in r4.detections] == ["aws_access_key_id", "generic_assignment", "github_token"]
     assert r4.recommendations[-3:] == [
-        "Review all detected secrets and determine if they are still in use",
-        "Implement secret rotation policy", "Use secret management tools instead of hardcoding"]
+        "S1: Find out which of the detected values still work", "S2: Replace credentials at fixed intervals",
+        "S3: Read credentials from a secret store, not from code"]
 
 
 def test_repository_tools(spark):
@@ -57,6 +57,19 @@ def test_scan_repository_by_requests(spark):
     assert {r.path for r in results.where("repository = 'org/r5'").collect()} <= {"11.txt"}
 
 
+def test_requests_are_reported_by_themselves(spark):
+    """A request for a repository and one for a file in it: each has its own counts, and an empty one a zero summary."""
+    rows = [("org/x", "main", f"f{k}.txt", "id AKIAABCDEFGHIJKLMNO" + "ABCDE"[k], 30) for k in range(5)]
+    files = spark.createDataFrame(rows, "repository string, branch string, path string, content string, size long")
+    req = spark.createDataFrame([(1, "org", "x", None, None), (2, "org", "x", None, "f3.txt"), (3, "org", "x", None, "none.txt")],
+                                "request_id long, owner string, repo string, branch string, path string")
+    reports, results = api.scan_repository(files, requests=req)
+    got = {r.request_id: r for r in reports.collect()}
+    assert [(got[k].total_files_scanned, got[k].total_secrets_found) for k in (1, 2, 3)] == [(5, 5), (1, 1), (0, 0)]
+    assert got[3].summary.total_files == 0 and set(got[3].summary.severity_breakdown.values()) == {0}
+    assert got[2].path == "f3.txt" and sorted(r.request_id for r in results.collect()) == [1, 1, 1, 1, 1, 2]
+
+
 def test_analyze_security_by_requests(spark):
     files = S.seeded_documents(spark, SF_SMALL)
     req = spark.createDataFrame([(1, "org", "r0", None), (2, "org", "r3", "main")],

@@ -67,7 +67,7 @@ def test_gate_is_necessary_condition(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for r in C.RULES:
         m = F.col("t").rlike(engine_regex(r.pattern))
-        g = D.rule_gate(r, F.col("t"), F.lower("t"))
+        g = F.expr(D.rule_gate_sql(r, "t", "lower(t)"))
         assert df.where(m & ~g).count() == 0, r.type
 
 

@@ -24,7 +24,7 @@ def test_redact_twice_leaves_no_seeded_value(spark):
 def test_file_rollup_equals_repo_rollup(spark):
     dets = D.detections(S.seeded_documents(spark, SF_SMALL))
     fr = R.file_results(dets).groupBy(*REPO_KEYS).agg(F.sum("detections").alias("n"))
-    rr = R.repo_severity(dets).select(*REPO_KEYS, F.col("secrets").alias("n"))
+    rr = R.analyze(dets).select(*REPO_KEYS, F.col("secrets").alias("n"))
     assert fr.exceptAll(rr).count() == 0 and rr.exceptAll(fr).count() == 0
 
 

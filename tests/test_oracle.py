@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-import __spark_entry__ as E
+from keysweep.plans import registry
 from keysweep.sources.tables import GIVEN_TABLES
 
 from conftest import SF_SMALL
@@ -29,12 +29,12 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_query_matches_oracle(spark, con, name):
-    sdf = E.queries()[name](spark, SF_SMALL)
+    sdf = registry.SPARK[name](spark, SF_SMALL)
     scols = sdf.columns
     srows = sorted(tuple(_norm(r[c]) for c in sorted(scols)) for r in sdf.collect())
-    res = con.execute(E.oracle_sql()[name])
+    res = con.execute(registry.ORACLE[name])
     dcols = [d[0] for d in res.description]
     assert sorted(dcols) == sorted(scols)
     idx = [dcols.index(c) for c in sorted(dcols)]
@@ -43,4 +43,4 @@ def test_query_matches_oracle(spark, con, name):
 
 
 def test_every_query_has_oracle_or_is_documented():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(registry.SPARK) == set(registry.ORACLE)

@@ -15,7 +15,7 @@ def test_hot_repository_cap_and_rollup(spark):
     hot = docs.withColumn("repository", F.when(F.expr("cast(substring_index(path, '.', 1) as int) % 3 = 0"),
                                                F.lit("org/hot")).otherwise(F.col("repository")))
     cap = 20
-    kept, dets = scan_corpus(hot, max_files=cap)
+    kept, dets, _ = scan_corpus(hot, max_files=cap)
     # brute force on the driver (test fixture only): first `cap` paths of each repository
     files = hot.select("repository", "branch", "path").toPandas()
     keep = (files.sort_values("path").groupby(["repository", "branch"]).head(cap))
