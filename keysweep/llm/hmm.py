@@ -171,7 +171,7 @@ def expect(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.nd
 def maximise(start: np.ndarray, move: np.ndarray, emit: np.ndarray, prior: np.ndarray) -> Model:
     """The next model; ``prior`` (a distribution over buckets, all positive) smooths the emissions."""
     start, move = start + 1.0, move + 1.0
-    emit = emit + 50.0 * prior[:, None]
+    emit = emit + max(50.0, len(prior) / 4) * prior[:, None]
     return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0, keepdims=True))
 
 
@@ -192,7 +192,7 @@ def first_model(blob: bytes | None, states: int, prior: np.ndarray, seed: int =
                 emit[:, z] = np.bincount(hashed, weights=weight[doc, z], minlength=len(prior))
             logs = np.log((emit + 5.0 * prior[:, None]) / (emit.sum(axis=0) + 5.0))
             score = np.stack([np.bincount(doc, weights=logs[hashed, z], minlength=len(ends)) for z in range(states)], 1)
-            score += np.log(weight.mean(axis=0) + 1e-6)
+            score = score + np.log(weight.mean(axis=0) + 1e-6)
             weight = np.exp(score - score.max(axis=1, keepdims=True))
             weight /= weight.sum(axis=1, keepdims=True)
     else:
