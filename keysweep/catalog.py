@@ -98,7 +98,7 @@ RULES: list[Rule] = [
          "OpenSSH private key", "Replace the SSH key pair and remove the old key from authorized_keys"),
     Rule("ec_private_key", "Cryptography", "critical", r"-----BEGIN EC PRIVATE KEY-----",
          "EC (ECDSA) private key", "Replace the EC key pair"),
-    Rule("private_key", "Cryptography", "critical", r"-----BEGIN PRIVATE KEY-----",
+    Rule("private_key", "Cryptography", "critical", r"-----BEGIN (?:(?:DSA|ENCRYPTED) )?PRIVATE KEY-----",
          "PKCS#8 private key", "Replace the key pair"),
     Rule("jwt", "Authentication", "medium",
          r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
@@ -155,7 +155,7 @@ ANCHORS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
     "rsa_private_key": (("-----BEGIN RSA PRIVATE KEY-----",), ()),
     "ssh_private_key": (("-----BEGIN OPENSSH PRIVATE KEY-----",), ()),
     "ec_private_key": (("-----BEGIN EC PRIVATE KEY-----",), ()),
-    "private_key": (("-----BEGIN PRIVATE KEY-----",), ()),
+    "private_key": (("-----BEGIN PRIVATE KEY-----", "-----BEGIN DSA PRIVATE KEY-----", "-----BEGIN ENCRYPTED PRIVATE KEY-----"), ()),
     "jwt": (("eyJ",), ()),
     "bearer_token": (("bearer",), ()),
     "oauth_access_token": (("access_token",), ("=", ":")),

@@ -654,15 +654,21 @@ def q_check_analysis_requests(spark, sf_dir):
     return _checked(chk, "request_id", "owner", "repo", "branch")
 
 
-@register("check_snippets", f"""SELECT snippet_id, {Q.redact_text('code')} AS code, path, v AS violations, v = '' AS is_valid FROM (SELECT *, {_viol_sql([
+_ANY_RULE = __import__("keysweep.functions.regex", fromlist=["x"]).union_regex([r.pattern for r in C.RULES])
+
+
+@register("check_snippets", f"""SELECT snippet_id, regexp_replace({Q.redact_text('code')}, {sql_string(_ANY_RULE)}, '****', 'g') AS code, path, v AS violations, v = '' AS is_valid FROM (SELECT *, {_viol_sql([
     ("code IS NULL", "code_required"), (f"code IS NOT NULL AND {_UTF16.format('code')} < 1", "code_empty"),
     (f"code IS NOT NULL AND {_UTF16.format('code')} > {C.MAX_FILE_SIZE}", "code_too_large"),
     (f"{_UTF16.format('path')} > {C.MAX_PATH_LEN}", "path_too_long")])} AS v FROM {_SNIP} s) x""")
 def q_check_snippets(spark, sf_dir):
-    """Q2: code 1..10 MiB, path <= 1000.  The report shows the code sanitized (R1):
-    a rejects table must not persist the secrets it is about."""
+    """Q2: code 1..10 MiB, path <= 1000.  The report shows the code sanitized (R1) and without any rule's matches: a
+    rejects table must not persist the secrets it is about.  The rules' regex runs only where a rule's literal stands."""
     chk = QL.check_snippets(S.derived_table(spark, sf_dir, "snippets"))
-    return _checked(chk.withColumn("code", F.expr(M.redact_text_sql("code"))), "snippet_id", "code", "path")
+    chk = chk.withColumn("code", F.expr(M.redact_text_sql("code")))
+    gate = F.expr(D.any_gate_sql(C.RULES, "code", "lower(code)"))
+    masked = F.when(gate, F.regexp_replace("code", _ANY_RULE, "****")).otherwise(F.col("code"))
+    return _checked(chk.withColumn("code", masked), "snippet_id", "code", "path")
 
 
 _SECRET_REQ = f"({derived_sql('secret_requests')})"

@@ -115,3 +115,8 @@ def test_tree_below_a_folder_named_build(spark, tmp_path):
     for where in (str(root), f"file://{root}"):
         files = read_file_tree(spark, where, "o/r")
         assert [r.path for r in FL.keep_files(files).collect()] == ["a.txt"]
+
+
+def test_labelled_keys_reach_the_scan(spark):
+    text = "-----BEGIN DSA PRIVATE KEY-----\nabc\n-----END DSA PRIVATE KEY-----\n-----BEGIN ENCRYPTED PRIVATE KEY-----\nx"
+    assert scan_corpus(one(spark, text)).detections.count() == 2
