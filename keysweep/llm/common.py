@@ -34,15 +34,25 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it again: lineage ends there, compressed, and a lost
-    executor costs nothing that was finished before."""
+    executor costs nothing that was finished before.  ``paths`` gets the folder, for ``remove``."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.mode("overwrite").parquet(path)
+    if paths is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders of ``materialize`` that nothing will read again."""
+    for path in paths:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    paths.clear()
+
+
 def flush(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """One Arrow batch of collected tuples (none for no rows)."""
     if rows:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keysweep.llm.common import materialize, narrow, read, small_batches
+from keysweep.llm.common import materialize, narrow, read, remove, small_batches
 from keysweep.llm.components import components
 from keysweep.llm.shingles import mix, shingle_set
 
@@ -172,10 +172,10 @@ def _may_link(a: str, b: str, percent: int):
             & (apart <= F.floor(n * (100 - percent) / F.lit(100 + percent))))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, percent: int, paths: list[str]) -> DataFrame:
     """The pairs (a, b) whose whole sets link. ``sets``: sid and the smallest doc_id of each set."""
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(sets.select("sid", "doc_id"), "sid")
-    wanted = materialize(wanted, "jaccard-wanted")
+    wanted = materialize(wanted, "jaccard-wanted", paths)
     if wanted.count() <= BROADCAST_KEYS:
         wanted = F.broadcast(wanted)
     texts = docs.join(wanted, "doc_id").select("sid", F.col("text").cast("binary").alias("text"))
@@ -191,7 +191,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, per
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.binary()))],
                                                  ["sid", "s"])
 
-    whole = materialize(texts.mapInArrow(shingles, "sid long, s binary").dropDuplicates(["sid"]), "jaccard-sets")
+    whole = materialize(texts.mapInArrow(shingles, "sid long, s binary").dropDuplicates(["sid"]), "jaccard-sets", paths)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,7 +205,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, per
 
     both = (pairs.join(whole.select(F.col("sid").alias("a"), F.col("s").alias("x")), "a")
             .join(whole.select(F.col("sid").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y"))
-    return materialize(both.mapInArrow(compare, "a long, b long"), "jaccard-links")
+    return materialize(both.mapInArrow(compare, "a long, b long"), "jaccard-links", paths)
 
 
 def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,6 +222,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
     spark = docs.sparkSession
     small_batches(spark)
     docs = narrow(docs, id_col, text_col)
+    paths: list[str] = []
     here = Window.partitionBy("sig")
     signed = F.when(F.col("kind") != DOCUMENT, F.col("sid"))
     asking = F.when(F.col("kind") == ASKING, F.col("sid"))
@@ -229,18 +230,18 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
             .withColumn("lo", F.min(signed).over(here)).withColumn("hi", F.max(signed).over(here))
             .withColumn("hub", F.min(asking).over(here))
             .where((F.col("kind") == DOCUMENT) | ((F.col("lo") < F.col("hi")) & F.col("hub").isNotNull())).drop("lo", "hi"))
-    kept = materialize(rows, "jaccard-signatures")
+    kept = materialize(rows, "jaccard-signatures", paths)
     documents = kept.where(F.col("kind") == DOCUMENT).select("doc_id", "sid", "n", "map")
     sets = (documents.where("sid is not null").groupBy("sid")
             .agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("map").alias("map")))
-    sets = materialize(sets, "jaccard-classes")
+    sets = materialize(sets, "jaccard-classes", paths)
     lists = kept.where(F.col("kind") != DOCUMENT).groupBy("sig", "sid").agg(F.max("kind").alias("kind"), F.min("hub").alias("hub"))
 
     # Every set of a list against the list's first.
     stars = lists.where("sid <> hub").select(F.col("hub").alias("a"), F.col("sid").alias("b")).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     stars = _near(stars, sets, percent)
-    links = _verified(materialize(stars, "jaccard-stars"), sets, docs, size, percent)
+    links = _verified(materialize(stars, "jaccard-stars", paths), sets, docs, size, percent, paths)
     joined = components(links)
 
     # What the lists still hold of different components.
@@ -249,22 +250,24 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
     at = (at.withColumn("lo", F.min("label").over(here)).withColumn("hi", F.max("label").over(here))
           .where("lo < hi and sid <> hub").join(sets.select("sid", "n", "map"), "sid")
           .select("sig", "sid", "kind", "label", "n", "map"))
-    at = materialize(at, "jaccard-open")
+    at = materialize(at, "jaccard-open", paths)
     x, y = at.where(F.col("kind") == ASKING).alias("x"), at.alias("y")
     rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.label") != F.col("y.label"))
                   & ((F.col("y.kind") != ASKING) | (F.col("x.sid") < F.col("y.sid"))) & _may_link("x", "y", percent))
     rest = materialize(rest.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct(),
-                       "jaccard-rest")
+                       "jaccard-rest", paths)
     if not rest.isEmpty():
-        links = links.union(_verified(rest, sets, docs, size, percent))
+        links = links.union(_verified(rest, sets, docs, size, percent, paths))
         joined = components(links)
 
     labels = documents.join(joined.select(F.col("node").alias("sid"), "label"), "sid", "left").select(
         "doc_id", "sid", "n", F.coalesce("label", "sid").alias("label"))
     least = labels.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return labels.join(least, "label", "left").select(
+    result = materialize(labels.join(least, "label", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("sid").alias("set_id"),
-        F.coalesce("component_id", "doc_id").alias("component_id"))
+        F.coalesce("component_id", "doc_id").alias("component_id")), "jaccard-components")
+    remove(spark, paths)
+    return result
 
 
 def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

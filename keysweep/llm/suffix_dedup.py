@@ -131,9 +131,10 @@ def _regions(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places: Places = {}
         for batch in batches:
+            data_of = batch.column(1).field("data").to_pylist()
             bounds, flat = batch.column(2).offsets.to_pylist(), batch.column(2).values
             spots, names = flat.field("spot").to_pylist(), flat.field("anchor").to_pylist()
-            for row, (key, data) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            for row, (key, data) in enumerate(zip(batch.column(0).to_pylist(), data_of)):
                 for k in range(bounds[row], bounds[row + 1]):
                     spot, anchor = spots[k], names[k]
                     first, n = spot & 0xFFFFFFFF, spot >> _COUNT & _FOURTEEN
@@ -294,10 +295,13 @@ def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col:
     carried = [F.col(f"`{c}`").alias(f"__keep_{i}") for i, c in enumerate(keep)]
     table = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("data"), *carried)
+    names, result = [f"__keep_{i}" for i in range(len(keep))], "text" if as_text else "kept"
+    extra = "".join(f", `{n}` {table.schema[n].dataType.simpleString()}" for n in names)
     table, unique = _keyed(table)
-    once = table.select("key", "data") if unique else table.select("key", "data").dropDuplicates(["key"])
-
-    once = once.where("key is not null")  # so that both joins below read one exchange of the texts
+    # Both joins of the texts below take whole rows, so that they read one exchange.
+    table = table.where("key is not null").select("key", F.struct("doc_id", "data", *names).alias("row"))
+    rows = table if unique else table.dropDuplicates(["key"])
+    once = rows.select("key", F.col("row.data").alias("data"))
     copies = _copies(once, length)
     few = copies.count() <= BROADCAST_KEYS
     rest = once.join(F.broadcast(copies) if few else copies, "key", "left_anti")
@@ -315,22 +319,17 @@ def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col:
     spots = spots.join(hot, "anchor", "left").groupBy("key").agg(F.collect_list(F.struct(
         F.col("spot").bitwiseOR(F.coalesce("hot", F.lit(0).cast("long"))).alias("spot"), "anchor")).alias("spots"))
 
-    marks = _sorted_shards(_regions(once.join(spots, "key").select("key", "data", "spots"), length), length)
+    marks = _sorted_shards(_regions(rows.join(spots, "key").select("key", "row", "spots"), length), length)
     marks = marks.union(copies.select("key", F.lit(0).cast("long").alias("first"), F.col("n").alias("last")))
     marks = marks.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("marks"))
-    if unique and not keep:
-        marked = once.join(marks, "key", "left").withColumn("doc_id", F.col("key"))
-    else:
-        marked = table.join(marks, "key", "left")
-
-    names, result = [f"__keep_{i}" for i in range(len(keep))], "text" if as_text else "kept"
-    fields = {f.name: f for f in marked.schema.fields}
-    extra = "".join(f", `{n}` {fields[n].dataType.simpleString()}" for n in names)
+    marked = table.join(marks, "key", "left").select("row", "marks")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, removed, spans = [], [], []
-            for data, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            row = batch.column(0)
+            texts = row.field("data").to_pylist()
+            for data, runs in zip(texts, batch.column(1).to_pylist()):
                 merged: list[list[int]] = []
                 for first, last in sorted((r["first"], r["last"]) for r in runs or ()):
                     if merged and first <= merged[-1][1]:
@@ -345,13 +344,13 @@ def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col:
                 removed.append(sum(b - a for a, b in merged))
                 spans.append(merged)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text
-                 else pa.array(kept, pa.binary()), pa.array([len(x) for x in batch.column(1).to_pylist()], pa.int64()),
+                [row.field("doc_id"), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text
+                 else pa.array(kept, pa.binary()), pa.array([len(x) for x in texts], pa.int64()),
                  pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))),
-                 *[batch.column(3 + i) for i in range(len(names))]],
+                 *[row.field(n) for n in names]],
                 ["doc_id", result, "n_bytes", "n_removed", "spans", *names])
 
-    out = marked.select("doc_id", "data", "marks", *names).mapInArrow(
+    out = marked.mapInArrow(
         cut, f"doc_id long, {result} {'string' if as_text else 'binary'}, n_bytes long, n_removed long, spans array<array<long>>" + extra)
     return out.withColumnsRenamed(dict(zip(names, keep)))
 
