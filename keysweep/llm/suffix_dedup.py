@@ -369,4 +369,20 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_suffix_dedup": op1_suffix_dedup}
-ORACLE: dict[str, str] = {}
+#: Every string of 100 bytes (by its MD5), and whether it is the first of its kind.
+ORACLE = {"op1_suffix_dedup": """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, k, md5_number(b[k + 1 : k + 100]) AS s
+      FROM (SELECT doc_id, b, unnest(range(0, greatest(0, octet_length(b) - 99))) AS k FROM d)),
+r AS (SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY s ORDER BY doc_id, k) AS n FROM w) WHERE n > 1),
+o AS (SELECT doc_id, k, k > coalesce(lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 100, -1) AS starts FROM r),
+i AS (SELECT doc_id, k, sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM o),
+gone AS (SELECT doc_id, run, min(k) AS a, max(k) + 100 AS z FROM i GROUP BY doc_id, run),
+parts AS (SELECT doc_id, coalesce(lag(z) OVER one, 0) AS a, a AS z, z - a AS n FROM gone WINDOW one AS (PARTITION BY doc_id ORDER BY a)),
+ends AS (SELECT doc_id, max(z) AS a, count(*) AS n_spans, sum(z - a) AS n_removed FROM gone GROUP BY doc_id),
+pieces AS (SELECT doc_id, a, hex(b[a + 1 : z]) AS x FROM parts JOIN d USING (doc_id)
+           UNION ALL SELECT doc_id, a, hex(b[a + 1 : octet_length(b)]) FROM ends JOIN d USING (doc_id)),
+kept AS (SELECT doc_id, string_agg(x, '' ORDER BY a) AS x FROM pieces GROUP BY doc_id)
+SELECT d.doc_id, octet_length(d.b)::BIGINT AS n_bytes, coalesce(e.n_removed, 0)::BIGINT AS n_removed,
+       coalesce(e.n_spans, 0)::BIGINT AS n_spans, sha256(CASE WHEN e.doc_id IS NULL THEN d.b ELSE unhex(k.x) END) AS kept_sha256
+FROM d LEFT JOIN ends e USING (doc_id) LEFT JOIN kept k USING (doc_id)"""}
