@@ -13,6 +13,7 @@ steps allowed, exactly one path reaches each position, and the forward state of
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from keysweep.llm.common import narrow, read, small_batches
 
 MARK = "▁"
 #: Words that one worker remembers.
-MOST = 500_000
+MOST = 700_000
 
 
 def default_path() -> str:
@@ -62,8 +63,15 @@ class Pieces:
                 self.parts[piece] = (halves[0], halves[1])
         self.longest = max(map(len, order), default=1)
         alone = "" if any("\n" in p for p in order) else "\n"
-        self.word = re.compile(f"{MARK}[^{MARK}{alone}]+|{MARK}+(?={MARK}[^{MARK}{alone}])|{MARK}+|[^{MARK}{alone}]+" + "|\n" * bool(alone))
+        # No piece has one of these behind a letter, so words end there too.
+        signs = re.escape("".join(c for c in string.punctuation if not any(
+            b == c and a.isalpha() for p in order for a, b in zip(p, p[1:]))))
+        rest = f"[^{MARK}{alone}]"
+        cut = f"{MARK}?[^\\W\\d_]+(?=[{signs}])|" if signs else ""
+        self.word = re.compile(f"{cut}{MARK}{rest}+|{MARK}+(?={MARK}{rest})|{MARK}+|{rest}+" + "|\n" * bool(alone))
         self.memo: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.fits: dict[tuple[str, str], bool] = {}
 
     def _merged(self, piece: str, below: int) -> list[str]:
@@ -144,16 +152,23 @@ class Pieces:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids (little-endian unsigned 32 bits) of each text; an empty text has none."""
-        marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
-        cut = [self.word.findall(t) for t in marked]
-        if len(self.memo) > MOST:
-            self.memo.clear()
-        new = {w for words in cut for w in words if w not in self.memo}
-        self.learn(sorted(new))
-        out = [b"".join(self._joined(words) if MARK * 2 in t else map(self.memo.__getitem__, words))
-               for t, words in zip(marked, cut)]
-        for word in [w for w in new if len(w) > 64]:
-            del self.memo[word]
+        if 2 * len(self.words) > MOST:  # two generations: what is met again moves to the younger
+            self.older, self.words, self.memo = self.words, {}, {}
+        plain = [bool(t) and MARK not in t and "  " not in t and t[0] != " " for t in texts]
+        cut = [t.split(" ") if p else self.word.findall(MARK + t.replace(" ", MARK)) if t else [] for t, p in zip(texts, plain)]
+        # what a space ends is a mark and one word or more; each such string is looked up as a whole
+        fresh = {w for words, p in zip(cut, plain) if p for w in words}
+        missing = [w for w in fresh if w not in self.words]
+        self.words.update({w: self.older[w] for w in missing if w in self.older})
+        parts = {w: self.word.findall(MARK + w) for w in missing if w not in self.older}
+        new = {w for words in parts.values() for w in words} | {w for words, p in zip(cut, plain) if not p for w in words}
+        self.learn(sorted(w for w in new if w not in self.memo))
+        for w, words in parts.items():
+            self.words[w] = b"".join(map(self.memo.__getitem__, words))
+        out = [b"".join(map(self.words.__getitem__, words) if p else self._joined(words)) for words, p in zip(cut, plain)]
+        for known, least in ((self.words, parts), (self.memo, new)):
+            for w in [w for w in least if len(w) > 64]:
+                del known[w]
         return out
 
     def _joined(self, words: list[str]) -> Iterator[bytes]:
