@@ -20,14 +20,16 @@ _OPEN: dict[str, "Words"] = {}
 class Words(dict):
     """word -> ids as little-endian unsigned 32-bit bytes."""
 
-    #: Words held by one worker; on overflow all go, and the frequent ones come back at once.
-    MOST = 800_000
+    #: Words held by one worker, in two generations: when the younger is full it becomes the older, and what is met again
+    #: moves over, so that frequent words stay.
+    MOST = 1_100_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
 
     def bytes_of(self, text: str) -> bytes:
@@ -39,9 +41,10 @@ class Words(dict):
                 return self[core] + self[word[-1]]
             if word.isascii() and word.isalpha() and not word.islower():  # the tokenizer lower-cases anyway
                 return self[word.lower()]
-        if len(self) >= self.MOST:
+        if 2 * len(self) >= self.MOST:
+            self.older = dict(self)
             self.clear()
-        ids = self.bytes_of(word)
+        ids = self.older.get(word) or self.bytes_of(word)
         if len(word) <= 64:
             self[word] = ids
         return ids
