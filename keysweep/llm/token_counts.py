@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from keysweep.llm.common import narrow, read, small_batches
 from keysweep.llm.wordbpe import default_path, words_of
+from keysweep.session import checkpoint_root
 
 #: Lengths in one block of the suffix sums.
 BLOCK = 512
@@ -49,6 +50,8 @@ def histogram(counted: DataFrame) -> DataFrame:
     base = (counted.where("n_tokens is not null").groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
             .select(F.col("n_tokens").alias("length"), "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("tokens"),
                     F.floor(F.col("n_tokens") / BLOCK).alias("block")))
+    checkpoint_root(base.sparkSession)
+    base = base.checkpoint()  # far fewer rows than documents; both uses below would else encode all texts
     blocks = base.groupBy("block").agg(F.sum("n_docs").alias("b_docs"), F.sum("tokens").alias("b_tokens"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
