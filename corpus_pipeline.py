@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keysweep.llm.common import materialize, read
-from keysweep.llm.jaccard import BROADCAST_KEYS, join
+from keysweep.llm.jaccard import BROADCAST_KEYS, join, with_set_id
 from keysweep.llm.packing import pack
 from keysweep.llm.quality_model import classify
 from keysweep.llm.quality_rules import clean
@@ -33,15 +33,28 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest doc_id stays (of rows that repeat it, one)."""
-    found = materialize(join(docs).select("doc_id", "component_id"), "pipeline-components")
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    if gone.count() <= BROADCAST_KEYS:
-        gone = F.broadcast(gone)
-    kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+    """Of each component of near-duplicates the row with the smallest doc_id stays (where that repeats, its smallest set; of
+    rows equal in both, one). Rows without words are in no component: of those equal in doc_id and text, one stays."""
+    found = materialize(join(docs).select("doc_id", "set_id", "label", "component_id"), "pipeline-components")
+    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = materialize(again, "pipeline-repeated")
+    gone = found.where("component_id <> doc_id").select("doc_id").union(again).distinct()
+    kept = docs.join(_few(gone), "doc_id", "left_anti").select(*COLUMNS)
+    if again.isEmpty():
         return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).union(kept.where("doc_id is null"))
+    # A doc_id of several rows says nothing about each of them: these are told apart by their sets.
+    stays = (found.where("label is not null and component_id = doc_id").join(_few(again), "doc_id")
+             .groupBy("label", "doc_id").agg(F.min("set_id").alias("set_id"), F.lit(True).alias("stays")).drop("label"))
+    rows = with_set_id(docs.join(_few(again), "doc_id").select(*COLUMNS))
+    rows = (rows.join(stays, ["doc_id", "set_id"], "left").where("set_id is null or stays")
+            .groupBy("doc_id", "set_id", F.when(F.col("set_id").isNull(), F.col("text")).alias("blank"))
+            .agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row")))
+    return kept.union(rows.select("doc_id", "row.*"))
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    """Broadcast if they are few."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

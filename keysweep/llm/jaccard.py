@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from keysweep.llm.common import materialize, narrow, read, remove, small_batches
 from keysweep.llm.components import components
@@ -211,8 +212,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, per
 def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The components of all documents whose shingle sets have a Jaccard similarity of ``percent`` or more.
 
-    A row per row: doc_id, n_shingles, set_id (equal for equal sets, null without shingles) and component_id, the smallest
-    doc_id that links reach.
+    A row per row: doc_id, n_shingles, set_id (equal for equal sets, null without shingles), component_id, the smallest
+    doc_id that links reach, and label, which names the component (null without shingles): where a doc_id repeats, two
+    components can have the same smallest doc_id.
 
     Edge cases: a null or empty text, or one without words, has an empty set and is linked with nothing; fewer words than
     ``size`` are one shingle; equal sets are one class, however many there are; rows that repeat a doc_id belong to each of
@@ -265,11 +267,24 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
     least = labels.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     result = materialize(labels.join(least, "label", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("sid").alias("set_id"),
-        F.coalesce("component_id", "doc_id").alias("component_id")), "jaccard-components")
+        F.coalesce("component_id", "doc_id").alias("component_id"), "label"), "jaccard-components")
     remove(spark, paths)
     return result
 
 
+def with_set_id(docs: DataFrame, size: int = 5) -> DataFrame:
+    """``docs`` with set_id as ``join`` gives it to each row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(text, size) for text in batch.column(batch.num_columns - 1).to_pylist()]
+            ids = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], [*batch.schema.names[:-1], "set_id"])
+
+    small_batches(docs.sparkSession)
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    return docs.withColumn("set_id", text).mapInArrow(run, StructType([*docs.schema, StructField("set_id", LongType())]))
+
+
 def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a, b = sets.select("sid", "n", "map").alias("x"), sets.select("sid", "n", "map").alias("y")
     return (pairs.join(a, F.col("a") == F.col("x.sid")).join(b, (F.col("b") == F.col("y.sid")) & _may_link("x", "y", percent))

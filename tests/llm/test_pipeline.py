@@ -68,3 +68,21 @@ def test_edge_rows(spark):
         assert stage(spark, table(spark, []), SF_SMALL).collect() == []
     twice = table(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f")])
     assert pairs(P.jaccard_join(spark, twice, SF_SMALL)) == [(None, "a b c d e f"), (1, "a b c d e f")]
+
+
+def test_rows_that_share_a_doc_id_are_judged_one_by_one(spark):
+    a = " ".join(f"a{k}" for k in range(40))
+    near = a + " z"
+    b, c = a.replace("a", "b"), near.replace("a", "b").replace("z", "y")
+    other = a.replace("a", "o")
+
+    def left(*rows):
+        return pairs(P.jaccard_join(spark, table(spark, rows), SF_SMALL))
+
+    assert left((1, a), (2, near), (2, b)) == [(1, a), (2, b)]
+    assert left((1, a), (2, near), (2, b), (3, c)) == [(1, a), (2, b)]
+    assert left((5, a), (5, near)) in ([(5, a)], [(5, near)])
+    # two components with the same smallest doc_id; a third that is linked with neither
+    assert left((5, a), (5, b), (6, near), (6, c), (6, other)) == [(5, a), (5, b), (6, other)]
+    assert left((5, ""), (5, ""), (5, " "), (5, a), (5, a), (None, a), (None, a)) == [
+        (None, a), (None, a), (5, ""), (5, " "), (5, a)]
