@@ -4,7 +4,7 @@
    chunk's own dictionary, and that dictionary with its counts in training documents. Vocabularies grow without bound, so
    nothing of that size is ever broadcast: a dictionary row travels to its word's total count and back to its chunk.
 2. *Training*. States emit one of a fixed number of hash buckets; a bucket gives each of its words the share that its
-   count has, one more share being kept for unknown words. Each round, tasks run forward-backward over all training tokens
+   count has, one more share being kept for unknown words. A mixture over all training documents forms the states; then, each round, tasks run forward-backward over all training tokens
    and the expected counts (states x buckets at most for each task) are summed by a shuffle; the model itself has a fixed size.
 3. *Scoring*. The scaled forward recursion over each whole document gives its exact likelihood.
 """
@@ -12,7 +12,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +30,8 @@ CHUNK_BYTES = 12 << 20
 SEGMENT = 256
 #: Segments that run side by side.
 SIDE = 512
+#: Training ends when a round raises the log-likelihood by less than this for each token.
+GAIN = 0.01
 #: Rows of one batch of dictionary entries.
 _DICT_ROWS = 20_000
 
@@ -132,7 +134,7 @@ def expect(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.nd
     """Baum-Welch counts of bucket sequences: start (K), move (K x K), emit (buckets x K), log-likelihood."""
     states = len(model.start)
     start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros_like(model.emit)
-    total = 0.0
+    total, ones, back = 0.0, np.ones(states), np.ascontiguousarray(model.move.T)
     order = sorted((s for s in sequences if len(s)), key=len, reverse=True)
     for k in range(0, len(order), SIDE):
         part = order[k:k + SIDE]
@@ -149,17 +151,17 @@ def expect(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.nd
             n = active[t]
             if t:
                 a = (alpha[t - 1, :n] @ model.move) * seen[t, :n]
-            c = a.sum(axis=1)
-            alpha[t, :n] = a / c[:, None]
-            scale[t, :n] = c
+            c = np.matmul(a, ones, out=scale[t, :n])
+            np.divide(a, c[:, None], out=alpha[t, :n])
         total += float(np.log(scale).sum())
         beta = np.ones((len(part), states))
         gamma = alpha.copy()
+        seen /= scale[:, :, None]
         for t in range(steps - 2, -1, -1):
             n = active[t + 1]
-            ahead = seen[t + 1, :n] * beta[:n] / scale[t + 1, :n, None]
+            ahead = seen[t + 1, :n] * beta[:n]
             move += alpha[t, :n].T @ ahead
-            beta[:n] = ahead @ model.move.T
+            np.matmul(ahead, back, out=beta[:n])
             gamma[t, :n] *= beta[:n]
         start += gamma[0].sum(axis=0)
         flat, at = gamma.reshape(-1, states), tokens.reshape(-1)
@@ -169,74 +171,108 @@ def expect(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.nd
 
 
 def maximise(start: np.ndarray, move: np.ndarray, emit: np.ndarray, prior: np.ndarray) -> Model:
-    """The next model; ``prior`` (a distribution over buckets, all positive) smooths the emissions."""
+    """The next model; ``prior`` (a distribution over buckets, all positive; or one for each state) smooths the emissions."""
     start, move = start + 1.0, move + 1.0
-    emit = emit + max(50.0, len(prior) / 4) * prior[:, None]
+    emit = emit + max(50.0, len(prior) / 4) * prior.reshape(len(prior), -1)
     return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0, keepdims=True))
 
 
-def first_model(blob: bytes | None, states: int, prior: np.ndarray, seed: int = 7) -> Model:
-    """The point from which training starts: components of a mixture fitted to the documents of one chunk (of bounded
-    size), and states that tend to stay. All later rounds use all training documents."""
-    rng = np.random.default_rng(seed)
-    emit = np.zeros((len(prior), states))
-    if blob is not None:
-        ids, ends, _, _, held, buckets = open_blob(blob)
-        hashed, begins = buckets[ids], np.concatenate([[0], ends[:-1]])
-        doc = np.repeat(np.arange(len(ends)), ends - begins)
-        use = ~held[doc]
-        hashed, doc = hashed[use], doc[use]
-        weight = rng.dirichlet(np.ones(states), size=len(ends))
-        for _ in range(25):
-            for z in range(states):
-                emit[:, z] = np.bincount(hashed, weights=weight[doc, z], minlength=len(prior))
-            logs = np.log((emit + 5.0 * prior[:, None]) / (emit.sum(axis=0) + 5.0))
-            score = np.stack([np.bincount(doc, weights=logs[hashed, z], minlength=len(ends)) for z in range(states)], 1)
-            score = score + np.log(weight.mean(axis=0) + 1e-6)
-            weight = np.exp(score - score.max(axis=1, keepdims=True))
-            weight /= weight.sum(axis=1, keepdims=True)
-    else:
-        emit += rng.random(emit.shape) * prior[:, None]
-    move = np.full((states, states), 0.1 * max(1.0, len(prior)))
-    np.fill_diagonal(move, 2.0 * len(prior))
-    return maximise(np.ones(states), move, emit, prior)
-
-
-def train(chunks: DataFrame, prior: np.ndarray, states: int, rounds: int) -> Model:
-    """Expectation maximisation over all training tokens; a model of fixed size comes back each round."""
-    least = chunks.agg(F.min("chunk")).first()[0]  # chunks have names of their own: one blob comes to the driver
-    first = chunks.where("blob is not null").where(F.col("chunk").eqNullSafe(F.lit(least))).select("blob").collect()
-    model = first_model(bytes(first[0][0]) if first else None, states, prior)
+def training(blob: bytes) -> list[np.ndarray]:
+    """Bucket sequences of a chunk's training documents."""
+    ids, ends, _, _, held, hashed = open_blob(blob)
+    seq, begins = hashed[ids], np.concatenate([[0], ends[:-1]])
+    return [seq[b:e] for b, e, out in zip(begins, ends, held) if not out]
+
+
+def segments(sequences: list[np.ndarray]) -> list[np.ndarray]:
+    return [s[k:k + SEGMENT] for s in sequences for k in range(0, len(s), SEGMENT)]
+
+
+def mixture(emit: np.ndarray, weight: np.ndarray, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, float]:
+    """Expected counts of a mixture that draws each part from one state: emit (buckets x K), parts (K), log-likelihood."""
+    logs, found, mass, total = np.log(emit), np.zeros_like(emit), np.zeros_like(weight), 0.0
+    for k in range(0, len(parts), SIDE // 2):
+        part = parts[k:k + SIDE // 2]
+        sizes, flat = np.array([len(s) for s in part]), np.concatenate(part)
+        score = np.add.reduceat(logs[flat], np.cumsum(sizes) - sizes) + np.log(weight)
+        top = score.max(axis=1, keepdims=True)
+        share = np.exp(score - top)
+        norm = share.sum(axis=1, keepdims=True)
+        total += float((top + np.log(norm)).sum())
+        share /= norm
+        mass += share.sum(axis=0)
+        for z in range(len(weight)):
+            found[:, z] += np.bincount(flat, weights=np.repeat(share[:, z], sizes), minlength=len(emit))
+    return found, mass, total
+
+
+def summed(chunks: DataFrame, rows: int, states: int, counts: Callable[[list[np.ndarray]], np.ndarray]) -> np.ndarray:
+    """The sum of ``counts`` (rows x K) over the training documents of all chunks: of a fixed size, whatever the corpus."""
     names = [f"s{z}" for z in range(states)]
     schema = pa.schema([("kind", pa.int32()), *[(n, pa.float64()) for n in names]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((rows, states))
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                table += counts(training(blob))
+        at = np.flatnonzero(table.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *[pa.array(table[at, z]) for z in range(states)]],
+                                         schema=schema)
+
+    blobs = chunks.where("blob is not null").select("blob")
+    parts = blobs.rdd.getNumPartitions()  # each task sends a table: fewer tasks where there are many
+    sums = (blobs.coalesce(max(1, parts // 4, min(parts, 4 * chunks.sparkSession.sparkContext.defaultParallelism)))
+            .mapInArrow(run, "kind int, " + ", ".join(f"{n} double" for n in names))
+            .groupBy("kind").agg(*[F.sum(n).alias(n) for n in names]))
+    table = np.zeros((rows, states))
+    for row in sums.collect():
+        table[row[0]] = row[1:]
+    return table
+
+
+def first_model(chunks: DataFrame, states: int, prior: np.ndarray, gain: float = GAIN, seed: int = 7) -> Model:
+    """The point from which training starts: a mixture fitted to the segments of all training documents, and states that
+    tend to stay. It begins with one random tilt of the prior for each state, the same however the table is partitioned,
+    and ends when a round gains less than ``gain`` for each token."""
     buckets = len(prior)
-    for _ in range(rounds):
-        now = model
-
-        def run(batches: Iterator[pa.RecordBatch], now: Model = now) -> Iterator[pa.RecordBatch]:
-            start, move, emit, any_ = np.zeros(states), np.zeros((states, states)), np.zeros((buckets, states)), False
-            for batch in batches:
-                for blob in batch.column(0).to_pylist():
-                    ids, ends, _, _, held, hashed = open_blob(blob)
-                    seq, begins = hashed[ids], np.concatenate([[0], ends[:-1]])
-                    parts = [seq[k:min(k + SEGMENT, e)] for b, e, out in zip(begins, ends, held) if not out
-                             for k in range(b, e, SEGMENT)]
-                    a, b, c, _ = expect(now, parts)
-                    start, move, emit, any_ = start + a, move + b, emit + c, True
-            if any_:  # kinds: buckets, then states (their moves), then the starts
-                table = np.vstack([emit, move, start[None]])
-                rows = np.flatnonzero(table.any(axis=1))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows.astype(np.int32)), *[pa.array(table[rows, z]) for z in range(states)]], schema=schema)
-
-        sums = (chunks.where("blob is not null").select("blob")
-                .mapInArrow(run, "kind int, " + ", ".join(f"{n} double" for n in names))
-                .groupBy("kind").agg(*[F.sum(n).alias(n) for n in names]))
-        table = np.zeros((buckets + states + 1, states))
-        for row in sums.collect():  # states x buckets numbers, whatever the corpus
-            table[row[0]] = row[1:]
-        model = maximise(table[-1], table[buckets:-1], table[:buckets], prior)
-    return model
+    tilted = prior[:, None] * np.exp(np.random.default_rng(seed).normal(size=(buckets, states)))
+    tilted /= tilted.sum(axis=0)
+    emit, weight, last = tilted, np.full(states, 1 / states), -np.inf
+    while True:
+        def counts(sequences: list[np.ndarray], emit: np.ndarray = emit, weight: np.ndarray = weight) -> np.ndarray:
+            found, mass, total = mixture(emit, weight, segments(sequences))
+            return np.vstack([found, mass[None], np.full((1, states), total)])
+
+        table = summed(chunks, buckets + 2, states, counts)
+        found, mass, now = table[:buckets], table[buckets], table[-1, 0]
+        if not found.any():  # no training documents
+            tilted = found = np.repeat(prior[:, None], states, axis=1)
+            break
+        emit = (found + 5.0 * tilted) / (found.sum(axis=0) + 5.0)
+        weight = (mass + 1e-6 * mass.sum()) / (mass.sum() * (1 + 1e-6 * states))
+        if now - last < gain * found.sum():
+            break
+        last = now
+    move = np.full((states, states), 0.1 * max(1.0, buckets))
+    np.fill_diagonal(move, 2.0 * buckets)
+    return maximise(np.ones(states), move, found, tilted)
+
+
+def train(chunks: DataFrame, prior: np.ndarray, states: int, rounds: int, gain: float = GAIN) -> Model:
+    """Expectation maximisation over all training tokens: at least ``rounds`` rounds, and more until one gains less than
+    ``gain`` for each token. A model of fixed size comes back each round."""
+    model, buckets, last, done = first_model(chunks, states, prior, gain), len(prior), -np.inf, 0
+    while True:
+        def counts(sequences: list[np.ndarray], now: Model = model) -> np.ndarray:
+            start, move, emit, total = expect(now, segments(sequences))
+            return np.vstack([emit, move, start[None], np.full((1, states), total)])
+
+        table = summed(chunks, buckets + states + 2, states, counts)  # buckets, then states (their moves), then the starts
+        model, done, now = maximise(table[-2], table[buckets:-2], table[:buckets], prior), done + 1, table[-1, 0]
+        if done >= rounds and now - last <= gain * table[:buckets].sum():
+            return model
+        last = now
 
 
 def forward(model: Model, sequences: list[np.ndarray]) -> np.ndarray:

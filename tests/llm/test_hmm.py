@@ -109,3 +109,27 @@ def test_edge_rows(spark):
     none = L.score(frame(spark), "true", states=2, buckets=16, rounds=1).collect()
     assert {r["train_tokens"] for r in none} == {0} and len(none) == len(ROWS)
     assert L.score(frame(spark, []), states=2, buckets=16, rounds=1).collect() == []
+
+
+def topics(spark, held, parts=2):
+    """40 texts of two topics; ``held`` ones stand first, in a partition of their own."""
+    rows = [(k, " ".join(f"{'xy'[k % 2]}{(7 * k + j * j) % 40}" for j in range(60))) for k in range(40)]
+    first = spark.createDataFrame(held, "doc_id long, text string").coalesce(1)
+    return first.union(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "doc_id"))
+
+
+def fitted(docs, states=2, buckets=512):
+    chunks = L.encode(docs, "doc_id < 0", buckets)
+    return L.train(chunks, np.full(buckets, 1 / buckets), states, 2)
+
+
+def test_states_part_when_the_first_chunk_trains_nothing(spark):
+    model = fitted(topics(spark, [(-1, "held out " * 50)]))
+    at = lambda t: [L.bucket_of(f"{t}{k}".encode(), 512) for k in range(40)]
+    x, y = model.emit[at("x")].sum(axis=0), model.emit[at("y")].sum(axis=0)
+    assert (x[0] - y[0]) * (x[1] - y[1]) < 0  # one state has more of x, the other of y
+
+
+def test_the_model_does_not_depend_on_partitions(spark):
+    one, other = (fitted(topics(spark, [(-1, "held")], n).repartition(n, "text")) for n in (1, 3))
+    assert np.allclose(one.emit, other.emit) and np.allclose(one.move, other.move)
