@@ -2,7 +2,7 @@
 
 A tree builder with implied tags reads each page; a renderer walks the tree and writes all visible text the way it is laid
 out: block elements on lines of their own with blank lines between paragraphs, list items behind their markers, table cells
-in aligned columns. Every page is a row's own work inside Arrow batches; nothing is shuffled.
+in aligned columns. Content of svg, math and object is left out, though browsers show text of theirs. Every page is a row's own work inside Arrow batches; nothing is shuffled.
 """
 
 from __future__ import annotations
