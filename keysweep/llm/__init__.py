@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("suffix_dedup", "quality_rules", "jaccard", "ann", "html_text", "quality_model", "pieces", "packing", "token_counts", "hmm")
+_MODULES = ("suffix_dedup", "quality_rules", "jaccard", "ann", "html_text", "quality_model", "pieces", "packing", "token_counts", "hmm",
+            "merkle")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}

@@ -34,6 +34,11 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def broadcast_if_few(df: DataFrame, most: int = 1 << 16) -> DataFrame:
+    """Broadcast if it has at most ``most`` rows, which are counted; else left to the planner. ``df`` should be a table."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def materialize(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it again: lineage ends there, compressed, and a lost
     executor costs nothing that was finished before.  ``paths`` gets the folder, for ``remove``."""
