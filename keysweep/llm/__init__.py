@@ -8,7 +8,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = ("suffix_dedup", "quality_rules", "jaccard", "ann", "html_text", "quality_model", "pieces", "packing", "token_counts", "hmm",
-            "filter_audit", "merkle")
+            "circulant", "filter_audit", "merkle")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
