@@ -115,57 +115,6 @@ RULES: list[Rule] = [
 
 RULE_BY_TYPE = {r.type: r for r in RULES}
 
-# ---------------------------------------------------------------------------
-# Our choice: literal anchors, a necessary condition for each rule.  Every match
-# of the rule contains one of ``any`` (and, if given, one of ``also``).  Rules
-# with (?i) list lower-case anchors, tested against the lower-cased text; the
-# others are tested against the text as is.  ``contains`` runs at memory speed,
-# so regexes only run where a match is possible.
-# ---------------------------------------------------------------------------
-ANCHORS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
-    "aws_access_key_id": (("AKIA",), ()),
-    "aws_secret_access_key": (("aws",), ("=", ":")),
-    "google_api_key": (("AIza",), ()),
-    "google_oauth_token": (("ya29.",), ()),
-    "gcp_service_account": (("service_account",), ()),
-    "azure_storage_key": (("accountkey=",), ()),
-    "azure_client_secret": (("azure",), ("=", ":")),
-    "github_token": (("ghp_",), ()),
-    "github_oauth": (("gho_",), ()),
-    "github_user": (("ghu_",), ()),
-    "github_server": (("ghs_",), ()),
-    "github_refresh": (("ghr_",), ()),
-    "github_fine_grained": (("github_pat_",), ()),
-    "gitlab_token": (("glpat-",), ()),
-    "postgres_uri": (("postgres",), ()),
-    "mysql_uri": (("mysql://",), ()),
-    "mongodb_uri": (("mongodb",), ()),
-    "redis_uri": (("redis",), ()),
-    "stripe_live_key": (("sk_live_",), ()),
-    "stripe_restricted_key": (("rk_live_",), ()),
-    "paypal_token": (("access_token$production$",), ()),
-    "twilio_api_key": (("SK",), ()),
-    "twilio_account_sid": (("AC",), ()),
-    "sendgrid_key": (("SG.",), ()),
-    "mailgun_key": (("key-",), ()),
-    "slack_token": (("xox",), ()),
-    "slack_webhook": (("https://hooks.slack.com/services/",), ()),
-    "twitter_key": (("twitter",), ("=", ":")),
-    "facebook_token": (("EAACEdEose0cBA",), ()),
-    "rsa_private_key": (("-----BEGIN RSA PRIVATE KEY-----",), ()),
-    "ssh_private_key": (("-----BEGIN OPENSSH PRIVATE KEY-----",), ()),
-    "ec_private_key": (("-----BEGIN EC PRIVATE KEY-----",), ()),
-    "private_key": (("-----BEGIN PRIVATE KEY-----", "-----BEGIN DSA PRIVATE KEY-----", "-----BEGIN ENCRYPTED PRIVATE KEY-----"), ()),
-    "jwt": (("eyJ",), ()),
-    "bearer_token": (("bearer",), ()),
-    "oauth_access_token": (("access_token",), ("=", ":")),
-    "generic_assignment": (("password", "passwd", "pwd", "secret", "token", "key", "credential", "api"), ("=", ":")),
-}
-
-# Shorter literals implied by several anchors above, used only by the single line
-# prefilter (case-sensitive, lower-case): fewer scans per line, still necessary.
-PREFILTER_EXTRA = (("-----BEGIN ", "k_live_"), ("passw",))
-
 # The seven rules whose values are seeded into the documents table (FIXTURES.md).
 SEEDED_TYPES = ["aws_access_key_id", "github_token", "postgres_uri", "rsa_private_key",
                 "stripe_live_key", "slack_token", "generic_assignment"]
@@ -216,7 +165,7 @@ SANITIZER_PATTERNS = [
 ]
 
 # Our choice: lower-case literal anchors of the sanitizer patterns, in the same
-# order (a necessary condition, as ANCHORS for the rules).
+# order (a necessary condition for a match).
 SANITIZER_ANCHORS = [
     (("password", "passwd", "pwd", "secret", "token", "key", "credential", "api"), ("=", ":")),
     (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), ()),

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from keysweep import FILE_KEYS
 from keysweep import catalog as C
+from keysweep.functions.literals import gate, prefilter
 from keysweep.functions.mask import mask_value
 from keysweep.functions.regex import engine_regex, spark_sql_literal
 from keysweep.sources.tables import spread
@@ -56,47 +57,24 @@ def split_lines(c: Column) -> Column:
     return F.split(F.replace(c, F.lit("\r\n"), F.lit("\n")), "\n", -1)
 
 
-def rule_gate_sql(rule: C.Rule, text: str = "line_text", lowered: str = "line_lower") -> str:
-    """Necessary condition for ``rule`` to match a line, as Spark SQL text (one parser call instead of thousands of
-    Column round trips): its literal anchors (``catalog.ANCHORS``) -- lower-case ones against the lowered line for (?i)
-    rules.  A rule without anchors has no gate: its regex sees every line."""
-    if rule.type not in C.ANCHORS:
-        return "true"
-    any_of, also = C.ANCHORS[rule.type]
-    src = lowered if rule.pattern.startswith("(?i)") else text
+def _any_sql(column: str, literals) -> str:
+    return "(" + " OR ".join(f"contains({column}, {spark_sql_literal(x)})" for x in literals) + ")"
 
-    def some(lits):
-        return "(" + " OR ".join(f"contains({src}, {spark_sql_literal(x)})" for x in lits) + ")"
 
-    return some(any_of) if not also else f"({some(any_of)} AND {some(also)})"
+def rule_gate_sql(rule: C.Rule, text: str = "line_text", lowered: str = "line_lower") -> str:
+    """Necessary condition for ``rule`` to match a line, as Spark SQL text (one parser call instead of thousands of
+    Column round trips): literals that its regex needs (``functions.literals``), looked for in the lowered line if the rule
+    ignores case.  A rule of whose regex nothing can be told has no gate: its regex sees every line that reaches it."""
+    needs = gate(rule.pattern)
+    return " AND ".join(_any_sql(lowered if needs.lowered else text, clause) for clause in needs.clauses) or "true"
 
 
 def any_gate_sql(rules: list[C.Rule], text: str = "line_text", lowered: str = "line_lower") -> str:
-    if any(r.type not in C.ANCHORS for r in rules):
-        return "true"
-    raw, low = prefilter_literals(rules)
-    return "(" + " OR ".join([f"contains({text}, {spark_sql_literal(x)})" for x in raw]
-                             + [f"contains({lowered}, {spark_sql_literal(x)})" for x in low]) + ")"
-
-
-def _minimal(lits: set[str]) -> list[str]:
-    """Drop literals that contain another literal of the set (implied)."""
-    return sorted(a for a in lits if not any(b != a and b in a for b in lits))
-
-
-def prefilter_literals(rules: list[C.Rule]) -> tuple[list[str], list[str]]:
-    """(case-sensitive literals, lower-case literals): a line where some rule can
-    match contains at least one of them.  Only the ``any`` anchors are used, and
-    literals implied by shorter ones are dropped, to keep the gate small."""
-    raw, low = set(), set()
-    for r in rules:
-        any_of, _ = C.ANCHORS[r.type]
-        (low if r.pattern.startswith("(?i)") else raw).update(any_of)
-    extra_raw, extra_low = C.PREFILTER_EXTRA
-    # a coarser literal is added only where it is implied by an anchor in use
-    raw.update(x for x in extra_raw if any(x in a for a in raw))
-    low.update(x for x in extra_low if any(x in a for a in low))
-    return _minimal(raw), _minimal(low)
+    """Necessary condition for some rule to match a line.  Rules without literals are asked themselves, the others aren't."""
+    raw, low, open_ended = prefilter([r.pattern for r in rules])
+    parts = [_any_sql(text, raw)] * bool(raw) + [_any_sql(lowered, low)] * bool(low)
+    parts += [f"rlike({text}, {spark_sql_literal(engine_regex(p))})" for p in open_ended]
+    return "(" + (" OR ".join(parts) or "false") + ")"
 
 
 def candidate_lines(files: DataFrame, rules: list[C.Rule], keys=FILE_KEYS, content: str = "content",
@@ -104,7 +82,7 @@ def candidate_lines(files: DataFrame, rules: list[C.Rule], keys=FILE_KEYS, conte
     """(keys, line, line_text, line_lower) for the lines where some rule may match.
 
     Lines are split inside the task and gated by literal ``contains`` checks
-    (``prefilter_literals``); only survivors meet a regex.  ``skip_comments``
+    (``any_gate_sql``); only survivors meet a regex.  ``skip_comments``
     (F7) also drops blank lines and lines starting with a comment marker; off by
     default since keys in comments leak as well.
 
