@@ -5,7 +5,10 @@
   python -m keysweep --tree <checked-out directory> --repository org/name [--branch main] --out <dir>
   python -m keysweep --stream <directory of files parquet> --out <dir> [--available-now]
 
-Writes ``detections`` (masked values and context), ``file_results``, ``skipped`` (files left out, with the reason),
+Files of a tree may be of any size: large ones are read as byte ranges by many tasks.
+
+Writes ``detections`` (masked values and context; ``end_line`` of private-key blocks), ``file_results``, ``skipped`` (files left
+out, with the reason),
 ``reports`` (JSON lines) and ``analysis`` under ``--out``.  Cluster settings (master,
 ``spark.checkpoint.dir``, shuffle partitions) come from spark-submit.
 """
@@ -18,8 +21,7 @@ import json
 from pyspark.sql import functions as F
 
 from keysweep.session import get_spark
-from keysweep.sources import tables as S
-from keysweep.sources.sinks import run_scan_job
+from keysweep.sources.sinks import run_scan_job, run_tree_job
 
 
 def main(argv=None):
@@ -59,10 +61,10 @@ def main(argv=None):
                          F.col(a.path_col).cast("string").alias("path"),
                          F.col(a.content_col).cast("string").alias("content"))
         files = files.withColumn("size", F.octet_length("content").cast("bigint"))
-    else:
-        files = S.read_file_tree(spark, a.tree, a.repository, a.branch, max_size=a.max_size)
-    print(json.dumps(run_scan_job(spark, files, a.out, value_salt=a.salt, max_files=a.max_files, max_size=a.max_size,
-                                  skip_comments=a.skip_comments, drop_false_positives=a.drop_false_positives)))
+    options = dict(value_salt=a.salt, max_files=a.max_files, max_size=a.max_size, skip_comments=a.skip_comments,
+                   drop_false_positives=a.drop_false_positives)
+    print(json.dumps(run_tree_job(spark, a.tree, a.repository, a.out, a.branch, **options) if a.tree
+                     else run_scan_job(spark, files, a.out, **options)))
 
 
 if __name__ == "__main__":

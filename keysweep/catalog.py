@@ -120,12 +120,19 @@ SEEDED_TYPES = ["aws_access_key_id", "github_token", "postgres_uri", "rsa_privat
                 "stripe_live_key", "slack_token", "generic_assignment"]
 
 # Private-key blocks spanning lines (D6): any label, e.g. RSA, EC, OPENSSH or none.
+BLOCK_BEGIN = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----"
+BLOCK_END = r"-----END [A-Z0-9 ]*PRIVATE KEY-----"
 BLOCK_RULE = Rule(
-    "private_key_block", "Cryptography", "critical",
-    r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z0-9 ]*PRIVATE KEY-----",
+    "private_key_block", "Cryptography", "critical", BLOCK_BEGIN + r"[\s\S]*?" + BLOCK_END,
     "Private key block", "Replace the key pair and revoke the old public key",
 )
 
+# The ends of such a block as rules for single lines; ``operators.blocks`` makes blocks of their matches.
+BLOCK_MARKERS = [
+    Rule(BLOCK_RULE.type, BLOCK_RULE.category, BLOCK_RULE.severity, BLOCK_BEGIN, BLOCK_RULE.description, BLOCK_RULE.recommendation),
+    Rule("private_key_block_end", BLOCK_RULE.category, BLOCK_RULE.severity, BLOCK_END, "End of a private key block", ""),
+]
+
 # Order used for ranks; anything else is an unrecognised severity.
 SEVERITY_RANK = {"critical": 4, "high": 3, "medium": 2, "low": 1}
 SEVERITIES = ["critical", "high", "medium", "low"]

@@ -77,6 +77,15 @@ def any_gate_sql(rules: list[C.Rule], text: str = "line_text", lowered: str = "l
     return "(" + (" OR ".join(parts) or "false") + ")"
 
 
+def line_gate(rules: list[C.Rule], skip_comments: bool = False) -> Column:
+    """Which lines (line_text, line_lower) are worth a look: those of ``any_gate_sql``, with ``skip_comments`` (F7) none that
+    are blank or begin with a comment marker."""
+    keep = F.expr(any_gate_sql(rules))
+    if skip_comments:
+        keep = keep & (F.trim("line_text") != "") & ~F.col("line_text").rlike(C.COMMENT_PREFIX_RE)
+    return keep
+
+
 def candidate_lines(files: DataFrame, rules: list[C.Rule], keys=FILE_KEYS, content: str = "content",
                     skip_comments: bool = False, file_rows: bool = False) -> DataFrame:
     """(keys, line, line_text, line_lower) for the lines where some rule may match.
@@ -101,9 +110,7 @@ def candidate_lines(files: DataFrame, rules: list[C.Rule], keys=FILE_KEYS, conte
     lines = (docs.select(*keys, raw_lines.alias("line_text"), low_lines.alias("line_lower"))
              .select(*keys, F.posexplode(F.arrays_zip("line_text", "line_lower")).alias("_pos", "_z"))
              .select(*keys, "_pos", F.col("_z.line_text").alias("line_text"), F.col("_z.line_lower").alias("line_lower")))
-    keep = F.expr(any_gate_sql(rules))
-    if skip_comments:
-        keep = keep & (F.trim("line_text") != "") & ~F.col("line_text").rlike(C.COMMENT_PREFIX_RE)
+    keep = line_gate(rules, skip_comments)
     line_no = F.col("_pos") if file_rows else F.col("_pos") + 1
     if file_rows:
         keep = (F.col("_pos") == 0) | keep
@@ -152,8 +159,13 @@ def detect_raw(files: DataFrame, rules: list[C.Rule] | None = None, keys=FILE_KE
     the hits become rows.
     """
     rules = C.RULES if rules is None else rules
-    pats = [engine_regex(r.pattern) for r in rules]
     lines = candidate_lines(files, rules, keys, content, skip_comments, file_rows)
+    return line_hits(lines, rules, keys, file_rows, with_context)
+
+
+def line_hits(lines: DataFrame, rules: list[C.Rule], keys=FILE_KEYS, file_rows: bool = False, with_context: bool = False) -> DataFrame:
+    """The matches on lines (keys, line, line_text, line_lower) that passed ``any_gate_sql``, as ``detect_raw`` gives them."""
+    pats = [engine_regex(r.pattern) for r in rules]
     per_rule = ", ".join(
         f"named_struct('rule_id', {i}, 'found', CASE WHEN {rule_gate_sql(r)} "
         f"THEN regexp_extract_all(line_text, {spark_sql_literal(p)}, 0) ELSE CAST(array() AS ARRAY<STRING>) END)"
@@ -221,15 +233,21 @@ def detections(files: DataFrame, spark: SparkSession | None = None, rules: list[
     ``file_rows`` also emits one row per input file with ``type`` null (see
     ``candidate_lines``), so one pass over the content yields both the file list
     and the detections."""
-    spark = spark or files.sparkSession
     raw = detect_raw(files, rules, keys, skip_comments=skip_comments, file_rows=file_rows, with_context=with_context)
-    hits = enrich(raw, catalog_df(spark, rules), "left" if file_rows else "inner")
+    return records(raw, rules, keys, with_context, drop_false_positives, file_rows, value_salt, spark)
+
+
+def records(raw: DataFrame, rules: list[C.Rule] | None = None, keys=FILE_KEYS, with_context: bool = False,
+            drop_false_positives: bool = False, file_rows: bool = False, value_salt: str | None = None,
+            spark: SparkSession | None = None) -> DataFrame:
+    """Detection records of raw matches, with the values masked."""
+    hits = enrich(raw, catalog_df(spark or raw.sparkSession, rules), "left" if file_rows else "inner")
     if drop_false_positives:
         from keysweep.operators.filters import false_positive
-        drop = false_positive(F.col("raw"), F.col("pattern"))
+        drop = false_positive(F.col("raw"), F.col("pattern")) & ~F.col("type").isin(*[r.type for r in C.BLOCK_MARKERS])
         hits = hits.where(F.col("type").isNull() | ~drop if file_rows else ~drop)
     cols = [*keys, "type", "category", "severity", mask_value(F.col("raw")).alias("value"),
-            F.col("line").cast("int").alias("line"), F.col("column").cast("int").alias("column")]
+            "line", F.col("column").cast("int").alias("column")]
     if with_context:
         cols.append("context")
     cols += ["pattern", "recommendation"]

@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keysweep import FILE_KEYS
+from keysweep import catalog as C
 from keysweep.operators import detect as D
 from keysweep.operators import filters as FL
+from keysweep.operators.blocks import with_blocks
 from keysweep.session import checkpoint_root
 
 OVER_CAP = "over_file_cap"
@@ -33,20 +35,29 @@ class Scan(NamedTuple):
 
 def scan_corpus(files: DataFrame, max_size: int | None = None, max_files: int | None = None, with_context: bool = False,
                 value_salt: str | None = None, skip_comments: bool = False, drop_false_positives: bool = False,
-                every_file: bool = False) -> Scan:
-    """F1-F4 and detection, F3 and F5 only with their limits given.  ``every_file``: F1 and F2 leave nothing out either."""
+                every_file: bool = False, blocks: bool = False) -> Scan:
+    """F1-F4 and detection, F3 and F5 only with their limits given.  ``every_file``: F1 and F2 leave nothing out either.
+    ``blocks``: D6 too, out of the same pass; detections then have end_line."""
     checkpoint_root(files.sparkSession)
     path, content = F.col("path"), F.col("content")
     reason = F.when(~FL.has_content(content), F.lit("no_content")) if every_file else FL.skip_reason(path, content, max_size)
     marked = files.withColumn("skip_reason", reason)
     marked = marked.withColumn("content", F.when(F.col("skip_reason").isNull(), content))
-    rows = D.detections(marked, keys=[*FILE_KEYS, "size", "skip_reason"], file_rows=True, with_context=with_context,
+    rows = D.detections(marked, rules=[*C.RULES, *C.BLOCK_MARKERS] if blocks else None, keys=[*FILE_KEYS, "size", "skip_reason"], file_rows=True, with_context=with_context,
                         value_salt=value_salt, skip_comments=skip_comments, drop_false_positives=drop_false_positives)
     rows = rows.checkpoint(eager=True)
     file_rows = rows.where(F.col("type").isNull()).select(*FILE_KEYS, "size", "skip_reason")
     kept = file_rows.where("skip_reason is null").drop("skip_reason")
     skipped = file_rows.where("skip_reason is not null")
     dets = rows.where(F.col("type").isNotNull()).drop("size", "skip_reason")
+    if blocks:
+        dets = with_blocks(dets)
+    return capped(Scan(kept, dets, skipped), max_files)
+
+
+def capped(scan: Scan, max_files: int | None) -> Scan:
+    """F5 on the compact tables of a scan: files over the cap, and their detections, move to ``skipped``."""
+    kept, dets, skipped = scan
     if max_files is None:
         return Scan(kept, dets, skipped)
     big = FL.over_cap(kept, max_files)

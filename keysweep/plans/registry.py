@@ -727,6 +727,30 @@ def q_multiline_rules(spark, sf_dir):
     return D.detect_blocks(S.seeded_documents(spark, sf_dir))
 
 
+_KEY_FILES = f"({derived_sql('key_files')})"
+
+
+@register("scan_blocks", f"""
+WITH f AS {_KEY_FILES}, d AS {Q.detections(_KEY_FILES)},
+b AS (SELECT repository, branch, path, regexp_extract_all(content, {_BLOCK_P}) AS found,
+             string_split_regex(content, {_BLOCK_P}) AS pieces FROM f),
+m AS (SELECT repository, branch, path, unnest(found) AS raw,
+             unnest(list_transform(found, lambda v, i: string_split(array_to_string(list_transform(
+                 list_zip(pieces[1:i], found[1:i-1]), lambda z: z[1] || coalesce(z[2], '')), ''), chr(10)))) AS before FROM b),
+p AS (SELECT repository, branch, path, {sql_string(C.BLOCK_RULE.type)} AS type, CAST(len(before) AS INTEGER) AS line,
+             CAST(length(before[-1]) + 1 AS INTEGER) AS "column", {Q.mask_value('raw')} AS value,
+             CAST(len(before) + len(string_split(raw, chr(10))) - 1 AS INTEGER) AS end_line FROM m)
+SELECT repository, branch, path, type, line, "column", value, line AS end_line FROM d
+UNION ALL SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.repository = p.repository AND d.branch = p.branch
+  AND d.path = p.path AND d.line = p.line AND d."column" = p."column" AND contains(d.pattern, 'PRIVATE KEY'))""")
+def q_scan_blocks(spark, sf_dir):
+    """D1 + D6 out of one pass, as the scan job runs it: every rule's matches, and the private-key blocks of any label whose
+    header isn't a rule's match already."""
+    from keysweep.plans.corpus_scan import scan_corpus
+    dets = scan_corpus(S.derived_table(spark, sf_dir, "key_files"), every_file=True, blocks=True).detections
+    return dets.select(*FILE_KEYS, "type", "line", "column", "value", "end_line")
+
+
 def _validate_sql() -> str:
     from keysweep.functions.regex import engine_regex
     full = " ".join(f"WHEN secret_type = {sql_string(r.type)} THEN regexp_matches(value, "

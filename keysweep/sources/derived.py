@@ -152,7 +152,25 @@ def raw_names_sql(dialect: str) -> str:
 from {{documents}}"""
 
 
+def key_files_sql(dialect: str) -> str:
+    """files whose private-key blocks have all kinds of labels, and ends without a beginning, beginnings without an end and
+    blocks within blocks by modulus."""
+    label = ("case doc_id % 6 when 0 then 'RSA ' when 1 then 'EC ' when 2 then '' when 3 then 'ANY ' when 4 then 'SSH2 ENCRYPTED ' "
+             "else 'OPENSSH ' end")
+    begin, end = (f"concat('-----{x} ', {label}, 'PRIVATE KEY-----')" for x in ("BEGIN", "END"))
+    body = "concat(md5(cast(doc_id as string)), chr(10), md5(text))"
+    return f"""select {REPO_OF_DOC} as repository, 'main' as branch, concat('keys/', cast(doc_id as string), '.pem') as path, content,
+  {_bigint_len_bytes('content', dialect)} as size from (select doc_id, concat_ws(chr(10), substr(text, 1, cast(doc_id % 300 as int)),
+  case when doc_id % 11 = 3 then concat('stray ', {end}) else '' end,
+  case when doc_id % 3 = 0 then concat('key = ', {begin}, chr(10), {body}, chr(13), chr(10), {end}, ' tail') else '' end,
+  case when doc_id % 7 = 1 then concat({begin}, chr(10), 'inner -----BEGIN X PRIVATE KEY-----', chr(10), {body}) else '' end,
+  case when doc_id % 5 = 2 then concat('one line ', {begin}, ' ', md5(text), ' ', {end}, ' and ', {begin}, chr(10), 'x', {end}) else '' end,
+  case when doc_id % 13 = 4 then concat('id AKIA', upper(substr(md5(cast(doc_id as string)),1,16)), ' ', {begin}) else '' end) as content
+  from {{documents}}) d"""
+
+
 SQL_BUILDERS = {
+    "key_files": key_files_sql,
     "raw_names": raw_names_sql,
     "seeded_documents": seeded_documents_sql,
     "repo_files": repo_files_sql,

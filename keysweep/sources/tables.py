@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,31 +53,50 @@ def repo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived_table(spark, sf_dir, "repo_files")
 
 
-def read_file_tree(spark: SparkSession, root: str, repository: str, branch: str = "main",
-                   glob: str | None = None, max_size: int | None = None) -> DataFrame:
+def relative_path(spark: SparkSession, root: str, path: Column, encoded: bool = False) -> Column:
+    """``path`` of a file source without ``root``, which is taken as its file system writes it (scheme and authority included).
+    ``encoded``: the path is a URI, as in the metadata of files."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(root)
+    prefix = there.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(there).toString().rstrip("/") + "/"
+    if encoded:  # a plus sign stands for itself there
+        path = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(path, "^" + _re_escape(prefix), "")
+
+
+def _tree(spark: SparkSession, root: str, glob: str | None, **options) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").options(**options)
+    return (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
+
+
+def list_tree(spark: SparkSession, root: str, repository: str, branch: str = "main", glob: str | None = None) -> DataFrame:
+    """Every file below ``root`` by its status: repository, branch, path, size and modified; no content is read."""
+    return _tree(spark, root, glob).select(
+        F.lit(repository).alias("repository"), F.lit(branch).alias("branch"), relative_path(spark, root, F.col("path")).alias("path"),
+        F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def read_file_tree(spark: SparkSession, root: str, repository: str, branch: str = "main", glob: str | None = None,
+                   max_size: int | None = None, max_bytes: int | None = None, skip_unreadable: bool = False) -> DataFrame:
     """S1 for a checked-out tree: every file below ``root`` as a ``files`` row.
 
     ``root`` may be on any file system that Spark reads; paths are relative to it.
     Bytes are decoded as UTF-8 with invalid sequences replaced by U+FFFD.  Files
     can be excluded before any byte is read: by name with ``glob``
     (``pathGlobFilter``), and by size, if ``max_size`` is given -- a file of more than 3 * ``max_size``
-    bytes has more than ``max_size`` UTF-16 units, so F3 would drop it anyway; the
-    ``length`` filter is evaluated by the binaryFile source on the file status.
+    bytes has more than ``max_size`` UTF-16 units, so F3 would drop it anyway -- or ``max_bytes``; the
+    ``length`` filter is evaluated by the binaryFile source on the file status.  With ``skip_unreadable`` a file that can't be
+    read, or is gone, is left out instead of ending the job (``plans.tree_scan`` then lists it).
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    raw = reader.load(root)
+    skip = {"ignoreCorruptFiles": "true", "ignoreMissingFiles": "true"} if skip_unreadable else {}
+    raw = _tree(spark, root, glob, **skip)
     if max_size is not None:
         raw = raw.where(F.col("length") <= 3 * max_size)
-    # the root as its file system writes it (scheme and authority included), as the source's paths are
-    there = spark._jvm.org.apache.hadoop.fs.Path(root)
-    prefix = there.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(there).toString().rstrip("/") + "/"
-    rel = F.regexp_replace("path", "^" + _re_escape(prefix), "")
+    if max_bytes is not None:
+        raw = raw.where(F.col("length") <= max_bytes)
     return raw.select(
         F.lit(repository).alias("repository"),
         F.lit(branch).alias("branch"),
-        rel.alias("path"),
+        relative_path(spark, root, F.col("path")).alias("path"),
         F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
         F.col("length").alias("size"),
     )
