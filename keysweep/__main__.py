@@ -4,6 +4,7 @@
       [--repository-col C --branch-col C --path-col C --content-col C]   (e.g. any text table)
   python -m keysweep --tree <checked-out directory> --repository org/name [--branch main] --out <dir>
   python -m keysweep --stream <directory of files parquet> --out <dir> [--available-now]
+  python -m keysweep --versions <directory of file versions parquet> --out <dir> [--available-now]
 
 Files of a tree may be of any size: large ones are read as byte ranges by many tasks.
 
@@ -30,6 +31,8 @@ def main(argv=None):
     src.add_argument("--files", help="parquet table of files")
     src.add_argument("--tree", help="directory to scan recursively")
     src.add_argument("--stream", help="directory receiving files parquet: append detections as they arrive")
+    src.add_argument("--versions", help="directory receiving parquet of file versions (repository, branch, path, version, content): "
+                                        "keep totals per repository right as files change")
     ap.add_argument("--available-now", action="store_true", help="with --stream: drain what is there, then stop")
     ap.add_argument("--repository", default="local/tree", help="repository when the table has no such column")
     ap.add_argument("--repository-col", default="repository")
@@ -53,6 +56,16 @@ def main(argv=None):
         print(json.dumps({"stream": q.id, "detections": a.out}))
         q.awaitTermination()
         return
+    if a.versions:
+        from keysweep.streaming import totals_stream as T
+        versions = spark.readStream.schema(T.VERSIONS_SCHEMA).parquet(a.versions)
+        q = T.start_changes(versions, f"{a.out}/changes", a.available_now)
+        if a.available_now:
+            q.awaitTermination()
+        t = T.start_totals(spark, f"{a.out}/changes", f"{a.out}/totals", a.available_now)
+        print(json.dumps({"streams": [q.id, t.id], "changes": f"{a.out}/changes", "totals": f"{a.out}/totals"}))
+        t.awaitTermination()
+        return
     if a.files:
         t = spark.read.parquet(a.files)
         col = lambda name, default: F.col(name) if name in t.columns else F.lit(default)

@@ -910,6 +910,29 @@ def q_scan_stream(spark, sf_dir):
     return run_detection_stream(spark, sf_dir).select(*FILE_KEYS, "type", "line", "column", "value")
 
 
+_LAST_VERSIONS = f"""(SELECT repository, branch, path, content FROM (SELECT *, row_number() OVER (PARTITION BY repository, branch, path
+  ORDER BY version DESC) AS rn FROM ({derived_sql('file_versions')}) v) x WHERE rn = 1 AND content IS NOT NULL AND content <> '')"""
+
+
+@register("stream_totals", f"""
+WITH f AS {_LAST_VERSIONS}, d AS {Q.detections(_LAST_VERSIONS)},
+n AS (SELECT repository, branch, count(*) AS files FROM f GROUP BY ALL),
+s AS (SELECT repository, branch, count(DISTINCT path) AS fw, count(*) AS secrets, {Q.severity_counts()} FROM d GROUP BY ALL),
+j AS (SELECT n.repository, n.branch, n.files, coalesce(fw, 0) AS files_with_secrets, coalesce(secrets, 0) AS secrets,
+             coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low
+      FROM n LEFT JOIN s ON n.repository = s.repository AND n.branch = s.branch)
+SELECT *, {Q.risk_score()} AS risk_score, {Q.compliance(Q.risk_score())} AS compliance_status FROM j""")
+def q_stream_totals(spark, sf_dir):
+    """X1 with state: totals per repository as a stream, over files that come twice, change and go; equal to the batch totals
+    of the last version of each file."""
+    from keysweep.session import shared_dir
+    from keysweep.streaming.scan_stream import document_stream
+    from keysweep.streaming.totals_stream import drain
+    from keysweep.sources import derived
+    versions = spark.sql(derived.spark_sql_text("file_versions"), documents=document_stream(spark, sf_dir))
+    return drain(spark, versions, shared_dir(spark, "stream-totals"))
+
+
 # ---------------------------------------------------------------------------
 # Order at the sink, flattening nested results, stacking sources.
 # ---------------------------------------------------------------------------

@@ -169,7 +169,19 @@ def key_files_sql(dialect: str) -> str:
   from {{documents}}) d"""
 
 
+def file_versions_sql(dialect: str) -> str:
+    """file_versions(repository, branch, path, version, content): the seeded documents, some of which come twice, change, lose
+    their secrets or go."""
+    return f"""select {REPO_OF_DOC} as repository, 'main' as branch, concat(cast(doc_id as string), '.txt') as path,
+  cast(v as bigint) as version, case when v = 1 or doc_id % 6 = 1 then content
+    when doc_id % 4 = 0 then concat(content, chr(10), 'id AKIA', upper(substr(md5(content), 1, 16)))
+    when doc_id % 4 = 1 then 'nothing here' when doc_id % 4 = 2 then null else content end as content
+from (select doc_id, {SEEDED_TEXT} as content, {"explode(array(1, 2, 1))" if dialect == "spark" else "unnest([1, 2, 1])"} as v
+      from {{documents}}) d where v = 1 or doc_id % 3 = 0"""
+
+
 SQL_BUILDERS = {
+    "file_versions": file_versions_sql,
     "key_files": key_files_sql,
     "raw_names": raw_names_sql,
     "seeded_documents": seeded_documents_sql,

@@ -29,9 +29,9 @@ SPREAD_CONF = "keysweep.input.spread"
 
 
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Deals the rows out if the session asks for it (``SPREAD_CONF``); streams are left alone."""
+    """Deals the rows out if the session asks for it (``SPREAD_CONF``), those of a stream too: no state comes of it."""
     n = int(df.sparkSession.conf.get(SPREAD_CONF, "0"))
-    return df.repartition(n, *keys) if n > 0 and not df.isStreaming else df
+    return df.repartition(n, *keys) if n > 0 else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
