@@ -8,7 +8,7 @@
 
 Files of a tree may be of any size: large ones are read as byte ranges by many tasks.
 
-Writes ``detections`` (masked values and context; ``end_line`` of private-key blocks), ``file_results``, ``skipped`` (files left
+Writes ``detections`` (masked values and context, ``failed_check``, ``end_line`` of private-key blocks), ``file_results``, ``skipped`` (files left
 out, with the reason),
 ``reports`` (JSON lines) and ``analysis`` under ``--out``.  Cluster settings (master,
 ``spark.checkpoint.dir``, shuffle partitions) come from spark-submit.
@@ -47,6 +47,7 @@ def main(argv=None):
     ap.add_argument("--max-size", type=int, default=None, help="skip files of more UTF-16 units (default: none)")
     ap.add_argument("--skip-comments", action="store_true", help="leave out blank and comment lines")
     ap.add_argument("--drop-false-positives", action="store_true", help="leave out placeholder and example values")
+    ap.add_argument("--drop-invalid", action="store_true", help="leave out matches that fail a check of their type (alphabet, checksum, ...)")
     ap.add_argument("--checkpoint", default=None, help="with --stream: the query's checkpoint (default: one for each --out)")
     a = ap.parse_args(argv)
     spark = get_spark(a.master, app="keysweep-scan")
@@ -75,7 +76,7 @@ def main(argv=None):
                          F.col(a.content_col).cast("string").alias("content"))
         files = files.withColumn("size", F.octet_length("content").cast("bigint"))
     options = dict(value_salt=a.salt, max_files=a.max_files, max_size=a.max_size, skip_comments=a.skip_comments,
-                   drop_false_positives=a.drop_false_positives)
+                   drop_false_positives=a.drop_false_positives, drop_invalid=a.drop_invalid)
     print(json.dumps(run_tree_job(spark, a.tree, a.repository, a.out, a.branch, **options) if a.tree
                      else run_scan_job(spark, files, a.out, **options)))
 

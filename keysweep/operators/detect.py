@@ -224,7 +224,7 @@ def _sql_mask_value(x: str) -> str:
 def detections(files: DataFrame, spark: SparkSession | None = None, rules: list[C.Rule] | None = None,
                keys=FILE_KEYS, with_context: bool = False, skip_comments: bool = False,
                drop_false_positives: bool = False, file_rows: bool = False,
-               value_salt: str | None = None) -> DataFrame:
+               value_salt: str | None = None, verdicts: bool = False) -> DataFrame:
     """The public detection record: keys, type, category, severity, value (masked),
     line, column, [context], pattern, recommendation.  Raw values are dropped here;
     with ``value_salt`` a ``value_hash`` (SHA-256 of salt + value) is kept so the
@@ -234,13 +234,14 @@ def detections(files: DataFrame, spark: SparkSession | None = None, rules: list[
     ``candidate_lines``), so one pass over the content yields both the file list
     and the detections."""
     raw = detect_raw(files, rules, keys, skip_comments=skip_comments, file_rows=file_rows, with_context=with_context)
-    return records(raw, rules, keys, with_context, drop_false_positives, file_rows, value_salt, spark)
+    return records(raw, rules, keys, with_context, drop_false_positives, file_rows, value_salt, spark, verdicts)
 
 
 def records(raw: DataFrame, rules: list[C.Rule] | None = None, keys=FILE_KEYS, with_context: bool = False,
             drop_false_positives: bool = False, file_rows: bool = False, value_salt: str | None = None,
-            spark: SparkSession | None = None) -> DataFrame:
-    """Detection records of raw matches, with the values masked."""
+            spark: SparkSession | None = None, verdicts: bool = False) -> DataFrame:
+    """Detection records of raw matches, with the values masked.  ``verdicts``: also failed_check, the first check of the type's
+    own that the match fails (``functions.validators``)."""
     hits = enrich(raw, catalog_df(spark or raw.sparkSession, rules), "left" if file_rows else "inner")
     if drop_false_positives:
         from keysweep.operators.filters import false_positive
@@ -251,6 +252,9 @@ def records(raw: DataFrame, rules: list[C.Rule] | None = None, keys=FILE_KEYS, w
     if with_context:
         cols.append("context")
     cols += ["pattern", "recommendation"]
+    if verdicts:
+        from keysweep.functions.validators import failed_check
+        cols.append(failed_check().alias("failed_check"))
     if value_salt is not None:
         cols.append(F.sha2(F.concat(F.lit(value_salt), F.col("raw")), 256).alias("value_hash"))
     return hits.select(*cols)

@@ -35,16 +35,20 @@ class Scan(NamedTuple):
 
 def scan_corpus(files: DataFrame, max_size: int | None = None, max_files: int | None = None, with_context: bool = False,
                 value_salt: str | None = None, skip_comments: bool = False, drop_false_positives: bool = False,
-                every_file: bool = False, blocks: bool = False) -> Scan:
+                every_file: bool = False, blocks: bool = False, verdicts: bool = False, drop_invalid: bool = False) -> Scan:
     """F1-F4 and detection, F3 and F5 only with their limits given.  ``every_file``: F1 and F2 leave nothing out either.
-    ``blocks``: D6 too, out of the same pass; detections then have end_line."""
+    ``blocks``: D6 too, out of the same pass; detections then have end_line.  ``verdicts``: they have failed_check, the first check
+    of their type that they fail; with ``drop_invalid`` those that fail one are left out."""
     checkpoint_root(files.sparkSession)
     path, content = F.col("path"), F.col("content")
     reason = F.when(~FL.has_content(content), F.lit("no_content")) if every_file else FL.skip_reason(path, content, max_size)
     marked = files.withColumn("skip_reason", reason)
     marked = marked.withColumn("content", F.when(F.col("skip_reason").isNull(), content))
     rows = D.detections(marked, rules=[*C.RULES, *C.BLOCK_MARKERS] if blocks else None, keys=[*FILE_KEYS, "size", "skip_reason"], file_rows=True, with_context=with_context,
-                        value_salt=value_salt, skip_comments=skip_comments, drop_false_positives=drop_false_positives)
+                        value_salt=value_salt, skip_comments=skip_comments, drop_false_positives=drop_false_positives,
+                        verdicts=verdicts or drop_invalid)
+    if drop_invalid:
+        rows = rows.where("failed_check is null")
     rows = rows.checkpoint(eager=True)
     file_rows = rows.where(F.col("type").isNull()).select(*FILE_KEYS, "size", "skip_reason")
     kept = file_rows.where("skip_reason is null").drop("skip_reason")

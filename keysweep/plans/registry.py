@@ -799,6 +799,20 @@ def q_drop_false_positives(spark, sf_dir):
     return dets.select(*FILE_KEYS, "type", "line", "column", "value", FL.is_test_path(F.col("path")).alias("is_test_path"))
 
 
+from keysweep.functions import validators as V  # noqa: E402
+
+_TOKEN_FILES = f"({derived_sql('token_files')})"
+
+
+@register("validate_types", f"""SELECT h.repository, h.branch, h.path, c.type, h.line, h."column", {Q.mask_value('h.raw')} AS value,
+  {V.failed_check_sql('c.type', 'h.raw', spark=False)} AS failed_check
+FROM {Q.raw_hits(_TOKEN_FILES)} h JOIN {Q.catalog_values()} c ON h.rule_id = c.rule_id""")
+def q_validate_types(spark, sf_dir):
+    """F8 by type: every match with the first check of its type that it fails (alphabet, checksum, payload, entropy, ...)."""
+    dets = D.detections(S.derived_table(spark, sf_dir, "token_files"), verdicts=True)
+    return dets.select(*FILE_KEYS, "type", "line", "column", "value", "failed_check")
+
+
 _N_CATEGORIES = len({r.category for r in C.RULES})
 
 

@@ -31,7 +31,7 @@ TOO_LARGE, UNREADABLE = "too_large", "unreadable"
 def scan_ranges(spark: SparkSession, root: str, repository: str, branch: str = C.DEFAULT_BRANCH, over_bytes: int = WHOLE_BYTES,
                 most_bytes: int | None = None, glob: str | None = None, max_size: int | None = None, with_context: bool = False,
                 value_salt: str | None = None, skip_comments: bool = False, drop_false_positives: bool = False,
-                blocks: bool = True) -> Scan:
+                blocks: bool = True, verdicts: bool = False, drop_invalid: bool = False) -> Scan:
     """``scan_corpus`` for files of more than ``over_bytes``, line by line.  The same results but for one case: a carriage return
     that ends the file, with no line feed behind it, is not part of the last line."""
     checkpoint_root(spark)
@@ -45,7 +45,9 @@ def scan_ranges(spark: SparkSession, root: str, repository: str, branch: str = C
         open_lines = lines.where(~FL.is_binary(path) & ~FL.in_skip_dir(path)).select(*keys, "row", "line_text", F.lower("line_text").alias("line_lower"))
         kept_lines = open_lines.where(D.line_gate(rules, skip_comments)).withColumnRenamed("row", "line")
         hits = D.records(D.line_hits(kept_lines, rules, keys, with_context=with_context), rules, keys, with_context,
-                         drop_false_positives, value_salt=value_salt)
+                         drop_false_positives, value_salt=value_salt, verdicts=verdicts or drop_invalid)
+        if drop_invalid:
+            hits = hits.where("failed_check is null")
         hits = ranges.numbered(hits.withColumnRenamed("line", "row"), counts).drop("row").checkpoint()
     files = counts.groupBy("file").agg(F.max("file_size").alias("size"), F.max("units").alias("units")).select(
         *named, "size", "units", "file")
@@ -63,12 +65,14 @@ def scan_ranges(spark: SparkSession, root: str, repository: str, branch: str = C
 
 def scan_tree(spark: SparkSession, root: str, repository: str, branch: str = C.DEFAULT_BRANCH, glob: str | None = None,
               whole_bytes: int = WHOLE_BYTES, max_size: int | None = None, max_files: int | None = None, with_context: bool = False,
-              value_salt: str | None = None, skip_comments: bool = False, drop_false_positives: bool = False) -> Scan:
+              value_salt: str | None = None, skip_comments: bool = False, drop_false_positives: bool = False,
+              verdicts: bool = False, drop_invalid: bool = False) -> Scan:
     """S1, D1 and D6 over the files below ``root`` (those whose names match ``glob``): kept and skipped are all its files."""
     checkpoint_root(spark)
     found = list_tree(spark, root, repository, branch, glob).checkpoint()
     most = None if max_size is None else BYTES_PER_UNIT * max_size
-    options = dict(with_context=with_context, value_salt=value_salt, skip_comments=skip_comments, drop_false_positives=drop_false_positives)
+    options = dict(with_context=with_context, value_salt=value_salt, skip_comments=skip_comments, drop_false_positives=drop_false_positives,
+                   verdicts=verdicts, drop_invalid=drop_invalid)
     files = read_file_tree(spark, root, repository, branch, glob, max_bytes=whole_bytes if most is None else min(whole_bytes, most),
                            skip_unreadable=True)
     kept, dets, skipped = scan_corpus(files, max_size=max_size, blocks=True, **options)

@@ -180,7 +180,26 @@ from (select doc_id, {SEEDED_TEXT} as content, {"explode(array(1, 2, 1))" if dia
       from {{documents}}) d where v = 1 or doc_id % 3 = 0"""
 
 
+def token_files_sql(dialect: str) -> str:
+    """files with one token a line, of which some can't be what they look like: wrong alphabets and checksums, payloads that don't
+    decode, values of little variety or filled in elsewhere."""
+    b64 = (lambda x: f"replace(base64(encode({x}, 'UTF-8')), concat(chr(13), chr(10)), '')") if dialect == "spark" else (lambda x: f"to_base64(encode({x}))")
+    url = lambda x: f"replace(translate({b64(x)}, '+/', '-_'), '=', '')"
+    m = "md5(cast(doc_id as string))"
+    return f"""select {REPO_OF_DOC} as repository, 'main' as branch, concat(cast(doc_id as string), '.env') as path, content,
+  {_bigint_len_bytes('content', dialect)} as size from (select doc_id, concat_ws(chr(10), substr(text, 1, 80),
+  concat('id AKIA', case when doc_id % 2 = 0 then translate(upper(substr({m}, 1, 16)), '0189', 'WXYZ') else upper(substr({m}, 1, 16)) end),
+  concat('bot xoxb-', case when doc_id % 3 = 0 then repeat('1', 20) else substr({m}, 1, 20) end),
+  concat('db postgres://app:', case doc_id % 4 when 0 then concat(chr(36), '{{{{DB_PASS}}}}') when 1 then 'password' else substr({m}, 1, 9) end, '@db.internal/main'),
+  concat('jwt ', case when doc_id % 5 = 0 then 'eyJ' || {m} else {url("""concat('{{{{"alg":"HS256","kid":"', cast(doc_id as string), '"}}}}')""")} end, '.',
+         {url("""concat('{{{{"sub":"', cast(doc_id as string), '"}}}}')""")}, '.', {m}),
+  concat('password = ', case doc_id % 6 when 0 then '"changeme"' when 1 then 'aaaaaaaab' when 2 then '<your-password>' else substr({m}, 3, 14) end),
+  concat('AccountKey=', substr({b64(f"concat({m}, md5(text))")}, 1, 85), case when doc_id % 2 = 0 then 'A==' else 'B==' end),
+  concat('use ghp_', {m}, '0a1b')) as content from {{documents}}) d"""
+
+
 SQL_BUILDERS = {
+    "token_files": token_files_sql,
     "file_versions": file_versions_sql,
     "key_files": key_files_sql,
     "raw_names": raw_names_sql,

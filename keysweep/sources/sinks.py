@@ -112,16 +112,17 @@ def run_scan_job(spark: SparkSession, files: DataFrame, out_dir: str, value_salt
                  **options) -> dict[str, str]:
     """The batch job: one checkpointed content pass (F1-F4, detection with context, and blocks that span lines), then
     detections, file results, skipped files with their reasons, scan reports and analysis written to ``out_dir`` from the
-    compact table.  ``options`` as for ``scan_corpus``: max_size, max_files, skip_comments, drop_false_positives."""
+    compact table.  ``options`` as for ``scan_corpus``: max_size, max_files, skip_comments, drop_false_positives,
+    drop_invalid."""
     from keysweep.plans.corpus_scan import scan_corpus
-    return write_scan(scan_corpus(files, with_context=True, value_salt=value_salt, blocks=True, **options), out_dir)
+    return write_scan(scan_corpus(files, with_context=True, value_salt=value_salt, blocks=True, verdicts=True, **options), out_dir)
 
 
 def run_tree_job(spark: SparkSession, root: str, repository: str, out_dir: str, branch: str = C.DEFAULT_BRANCH,
                  value_salt: str | None = None, **options) -> dict[str, str]:
     """``run_scan_job`` over a checked-out tree (``plans.tree_scan``), files of any size."""
     from keysweep.plans.tree_scan import scan_tree
-    return write_scan(scan_tree(spark, root, repository, branch, with_context=True, value_salt=value_salt, **options), out_dir)
+    return write_scan(scan_tree(spark, root, repository, branch, with_context=True, value_salt=value_salt, verdicts=True, **options), out_dir)
 
 
 def write_scan(scan, out_dir: str) -> dict[str, str]:
