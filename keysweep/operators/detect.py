@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from keysweep import FILE_KEYS
 from keysweep import catalog as C
+from keysweep.functions.comments import without_comments
 from keysweep.functions.literals import gate, prefilter
 from keysweep.functions.mask import mask_value
 from keysweep.functions.regex import engine_regex, spark_sql_literal
@@ -87,7 +88,7 @@ def line_gate(rules: list[C.Rule], skip_comments: bool = False) -> Column:
 
 
 def candidate_lines(files: DataFrame, rules: list[C.Rule], keys=FILE_KEYS, content: str = "content",
-                    skip_comments: bool = False, file_rows: bool = False) -> DataFrame:
+                    skip_comments: bool = False, file_rows: bool = False, blank_comments: bool = False) -> DataFrame:
     """(keys, line, line_text, line_lower) for the lines where some rule may match.
 
     Lines are split inside the task and gated by literal ``contains`` checks
@@ -95,9 +96,14 @@ def candidate_lines(files: DataFrame, rules: list[C.Rule], keys=FILE_KEYS, conte
     (F7) also drops blank lines and lines starting with a comment marker; off by
     default since keys in comments leak as well.
 
+    ``blank_comments`` does so by file type (``functions.comments``): comments of any length become blanks, strings stay.
+
     ``file_rows`` adds one marker row per file (line 0, null text) so the same
     pass also lists every scanned file."""
-    docs = spread(files.select(*keys, F.col(content).alias("_content")), list(keys))
+    text = F.col(content)
+    if blank_comments:  # only of files that hold something to find
+        text = F.when(F.expr(any_gate_sql(rules, content, f"lower({content})")), without_comments("path", content)).otherwise(text)
+    docs = spread(files.select(*keys, text.alias("_content")), list(keys))
     # Raw and lower-cased lines come out of one generator: the document is
     # lower-cased once, and the gate reads the lowered line as a column (a
     # projected lower() would be inlined into every case-insensitive check).
@@ -150,7 +156,7 @@ def context_sql() -> str:
 
 def detect_raw(files: DataFrame, rules: list[C.Rule] | None = None, keys=FILE_KEYS,
                content: str = "content", skip_comments: bool = False, file_rows: bool = False,
-               with_context: bool = False) -> DataFrame:
+               with_context: bool = False, blank_comments: bool = False) -> DataFrame:
     """D1 + D2: one row per match -- keys, line, column, rule_id, raw, match_idx, with ``with_context`` also context (D3).
 
     ``raw`` is the unmasked match; it never leaves the job (see ``detections``).
@@ -159,7 +165,7 @@ def detect_raw(files: DataFrame, rules: list[C.Rule] | None = None, keys=FILE_KE
     the hits become rows.
     """
     rules = C.RULES if rules is None else rules
-    lines = candidate_lines(files, rules, keys, content, skip_comments, file_rows)
+    lines = candidate_lines(files, rules, keys, content, skip_comments, file_rows, blank_comments)
     return line_hits(lines, rules, keys, file_rows, with_context)
 
 
@@ -224,7 +230,8 @@ def _sql_mask_value(x: str) -> str:
 def detections(files: DataFrame, spark: SparkSession | None = None, rules: list[C.Rule] | None = None,
                keys=FILE_KEYS, with_context: bool = False, skip_comments: bool = False,
                drop_false_positives: bool = False, file_rows: bool = False,
-               value_salt: str | None = None, verdicts: bool = False) -> DataFrame:
+               value_salt: str | None = None, verdicts: bool = False, blank_comments: bool = False,
+               spans: bool = False) -> DataFrame:
     """The public detection record: keys, type, category, severity, value (masked),
     line, column, [context], pattern, recommendation.  Raw values are dropped here;
     with ``value_salt`` a ``value_hash`` (SHA-256 of salt + value) is kept so the
@@ -233,14 +240,15 @@ def detections(files: DataFrame, spark: SparkSession | None = None, rules: list[
     ``file_rows`` also emits one row per input file with ``type`` null (see
     ``candidate_lines``), so one pass over the content yields both the file list
     and the detections."""
-    raw = detect_raw(files, rules, keys, skip_comments=skip_comments, file_rows=file_rows, with_context=with_context)
-    return records(raw, rules, keys, with_context, drop_false_positives, file_rows, value_salt, spark, verdicts)
+    raw = detect_raw(files, rules, keys, skip_comments=skip_comments, file_rows=file_rows, with_context=with_context,
+                     blank_comments=blank_comments)
+    return records(raw, rules, keys, with_context, drop_false_positives, file_rows, value_salt, spark, verdicts, spans)
 
 
 def records(raw: DataFrame, rules: list[C.Rule] | None = None, keys=FILE_KEYS, with_context: bool = False,
             drop_false_positives: bool = False, file_rows: bool = False, value_salt: str | None = None,
-            spark: SparkSession | None = None, verdicts: bool = False) -> DataFrame:
-    """Detection records of raw matches, with the values masked.  ``verdicts``: also failed_check, the first check of the type's
+            spark: SparkSession | None = None, verdicts: bool = False, spans: bool = False) -> DataFrame:
+    """Detection records of raw matches, with the values masked.  ``spans``: also end_column.  ``verdicts``: also failed_check, the first check of the type's
     own that the match fails (``functions.validators``)."""
     hits = enrich(raw, catalog_df(spark or raw.sparkSession, rules), "left" if file_rows else "inner")
     if drop_false_positives:
@@ -252,6 +260,8 @@ def records(raw: DataFrame, rules: list[C.Rule] | None = None, keys=FILE_KEYS, w
     if with_context:
         cols.append("context")
     cols += ["pattern", "recommendation"]
+    if spans:
+        cols.append((F.col("column") + F.length("raw") - 1).cast("int").alias("end_column"))
     if verdicts:
         from keysweep.functions.validators import failed_check
         cols.append(failed_check().alias("failed_check"))

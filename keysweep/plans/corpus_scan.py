@@ -20,6 +20,7 @@ from keysweep import catalog as C
 from keysweep.operators import detect as D
 from keysweep.operators import filters as FL
 from keysweep.operators.blocks import with_blocks
+from keysweep.operators.overlaps import most_specific
 from keysweep.session import checkpoint_root
 
 OVER_CAP = "over_file_cap"
@@ -35,10 +36,12 @@ class Scan(NamedTuple):
 
 def scan_corpus(files: DataFrame, max_size: int | None = None, max_files: int | None = None, with_context: bool = False,
                 value_salt: str | None = None, skip_comments: bool = False, drop_false_positives: bool = False,
-                every_file: bool = False, blocks: bool = False, verdicts: bool = False, drop_invalid: bool = False) -> Scan:
+                every_file: bool = False, blocks: bool = False, verdicts: bool = False, drop_invalid: bool = False,
+                blank_comments: bool = False, no_overlaps: bool = False) -> Scan:
     """F1-F4 and detection, F3 and F5 only with their limits given.  ``every_file``: F1 and F2 leave nothing out either.
     ``blocks``: D6 too, out of the same pass; detections then have end_line.  ``verdicts``: they have failed_check, the first check
-    of their type that they fail; with ``drop_invalid`` those that fail one are left out."""
+    of their type that they fail; with ``drop_invalid`` those that fail one are left out.  ``blank_comments``: F7 by file type.
+    ``no_overlaps``: of overlapping matches the most specific one only."""
     checkpoint_root(files.sparkSession)
     path, content = F.col("path"), F.col("content")
     reason = F.when(~FL.has_content(content), F.lit("no_content")) if every_file else FL.skip_reason(path, content, max_size)
@@ -46,7 +49,7 @@ def scan_corpus(files: DataFrame, max_size: int | None = None, max_files: int |
     marked = marked.withColumn("content", F.when(F.col("skip_reason").isNull(), content))
     rows = D.detections(marked, rules=[*C.RULES, *C.BLOCK_MARKERS] if blocks else None, keys=[*FILE_KEYS, "size", "skip_reason"], file_rows=True, with_context=with_context,
                         value_salt=value_salt, skip_comments=skip_comments, drop_false_positives=drop_false_positives,
-                        verdicts=verdicts or drop_invalid)
+                        verdicts=verdicts or drop_invalid, blank_comments=blank_comments, spans=no_overlaps)
     if drop_invalid:
         rows = rows.where("failed_check is null")
     rows = rows.checkpoint(eager=True)
@@ -56,6 +59,8 @@ def scan_corpus(files: DataFrame, max_size: int | None = None, max_files: int |
     dets = rows.where(F.col("type").isNotNull()).drop("size", "skip_reason")
     if blocks:
         dets = with_blocks(dets)
+    if no_overlaps:
+        dets = most_specific(dets).drop("end_column").checkpoint()
     return capped(Scan(kept, dets, skipped), max_files)
 
 

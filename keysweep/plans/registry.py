@@ -784,6 +784,19 @@ def q_skip_lines(spark, sf_dir):
     return dets.select("snippet_id", "path", "type", "line", "column", "value")
 
 
+from keysweep.functions.comments import without_comments_sql  # noqa: E402
+
+_CODE_FILES = (f"(SELECT repository, branch, path, {without_comments_sql('path', 'content', spark=False)} AS content "
+               f"FROM ({derived_sql('code_files')}) c)")
+
+
+@register("skip_comments", f"SELECT repository, branch, path, type, line, \"column\", value FROM {Q.detections(_CODE_FILES)} d")
+def q_skip_comments(spark, sf_dir):
+    """F7 by file type: matches outside of comments, which may span lines; strings that hold comment markers stay."""
+    dets = D.detections(S.derived_table(spark, sf_dir, "code_files"), blank_comments=True)
+    return dets.select(*FILE_KEYS, "type", "line", "column", "value")
+
+
 _FP_VALUE = (f"(CASE WHEN contains(pattern, '[=:]') THEN regexp_replace(raw, {sql_string(FL.ASSIGNED)}, '') ELSE raw END)")
 _FP_SQL = (f"(regexp_matches(raw, {sql_string(C.PLACEHOLDER_RE)}) OR regexp_matches(raw, {sql_string(C.TEST_TOKEN_RE)}) "
            f"OR length(replace({_FP_VALUE}, left({_FP_VALUE}, 1), '')) = 0 "
@@ -813,6 +826,42 @@ def q_validate_types(spark, sf_dir):
     return dets.select(*FILE_KEYS, "type", "line", "column", "value", "failed_check")
 
 
+from keysweep.operators.overlaps import rank_sql  # noqa: E402
+
+_OVERLAP_FILES = f"({derived_sql('overlap_files')})"
+
+
+@register("no_overlaps", f"""
+WITH RECURSIVE h AS (SELECT r.repository, r.branch, r.path, r.line, r."column" AS a, r."column" + length(r.raw) - 1 AS b, c.severity,
+  row_number() OVER (PARTITION BY r.repository, r.branch, r.path, r.line ORDER BY {rank_sql('c.type')}, r."column") AS k
+  FROM {Q.raw_hits(_OVERLAP_FILES)} r JOIN {Q.catalog_values()} c ON r.rule_id = c.rule_id),
+walk AS (SELECT *, [struct_pack(a := a, b := b)] AS kept, true AS stays FROM h WHERE k = 1
+  UNION ALL SELECT h.*, CASE WHEN len(list_filter(w.kept, lambda x: x.a <= h.b AND h.a <= x.b)) > 0 THEN w.kept
+                             ELSE list_append(w.kept, struct_pack(a := h.a, b := h.b)) END,
+       len(list_filter(w.kept, lambda x: x.a <= h.b AND h.a <= x.b)) = 0
+  FROM walk w JOIN h ON h.repository = w.repository AND h.branch = w.branch AND h.path = w.path AND h.line = w.line AND h.k = w.k + 1),
+e AS (SELECT repository, branch, count(*) AS matches, {Q.severity_counts()} FROM walk GROUP BY ALL),
+s AS (SELECT repository, branch, count(*) AS secrets, {Q.severity_counts()} FROM walk WHERE stays GROUP BY ALL)
+SELECT e.repository, e.branch, e.matches, s.secrets,
+  {Q.risk_score(*(f'e.{x}' for x in C.SEVERITIES))} AS risk_of_matches, {Q.risk_score(*(f's.{x}' for x in C.SEVERITIES))} AS risk_score
+FROM e JOIN s ON e.repository = s.repository AND e.branch = s.branch""")
+def q_no_overlaps(spark, sf_dir):
+    """D1 without double counts: matches and risk score per repository, with all matches and with the most specific of those that
+    overlap."""
+    from keysweep.operators.overlaps import most_specific
+    dets = D.detections(S.derived_table(spark, sf_dir, "overlap_files"), spans=True)
+
+    def risk(rows, n, score):
+        counts = rows.groupBy(*REPO_KEYS).agg(F.count(F.lit(1)).alias(n), *R._severity_counts())
+        return counts.select(*REPO_KEYS, n, R.risk_score(*(F.col(x) for x in C.SEVERITIES)).alias(score))
+
+    from keysweep.session import checkpoint_root
+    checkpoint_root(spark)
+    dets = dets.checkpoint()
+    return risk(dets, "matches", "risk_of_matches").join(risk(most_specific(dets), "secrets", "risk_score"), REPO_KEYS).select(
+        *REPO_KEYS, "matches", "secrets", "risk_of_matches", "risk_score")
+
+
 _N_CATEGORIES = len({r.category for r in C.RULES})
 
 

@@ -16,6 +16,7 @@ from keysweep import catalog as C
 from keysweep.operators import detect as D
 from keysweep.operators import filters as FL
 from keysweep.operators.blocks import with_blocks
+from keysweep.operators.overlaps import most_specific
 from keysweep.plans.corpus_scan import Scan, capped, scan_corpus
 from keysweep.session import checkpoint_root
 from keysweep.sources import ranges
@@ -31,7 +32,7 @@ TOO_LARGE, UNREADABLE = "too_large", "unreadable"
 def scan_ranges(spark: SparkSession, root: str, repository: str, branch: str = C.DEFAULT_BRANCH, over_bytes: int = WHOLE_BYTES,
                 most_bytes: int | None = None, glob: str | None = None, max_size: int | None = None, with_context: bool = False,
                 value_salt: str | None = None, skip_comments: bool = False, drop_false_positives: bool = False,
-                blocks: bool = True, verdicts: bool = False, drop_invalid: bool = False) -> Scan:
+                blocks: bool = True, verdicts: bool = False, drop_invalid: bool = False, no_overlaps: bool = False) -> Scan:
     """``scan_corpus`` for files of more than ``over_bytes``, line by line.  The same results but for one case: a carriage return
     that ends the file, with no line feed behind it, is not part of the last line."""
     checkpoint_root(spark)
@@ -45,7 +46,7 @@ def scan_ranges(spark: SparkSession, root: str, repository: str, branch: str = C
         open_lines = lines.where(~FL.is_binary(path) & ~FL.in_skip_dir(path)).select(*keys, "row", "line_text", F.lower("line_text").alias("line_lower"))
         kept_lines = open_lines.where(D.line_gate(rules, skip_comments)).withColumnRenamed("row", "line")
         hits = D.records(D.line_hits(kept_lines, rules, keys, with_context=with_context), rules, keys, with_context,
-                         drop_false_positives, value_salt=value_salt, verdicts=verdicts or drop_invalid)
+                         drop_false_positives, value_salt=value_salt, verdicts=verdicts or drop_invalid, spans=no_overlaps)
         if drop_invalid:
             hits = hits.where("failed_check is null")
         hits = ranges.numbered(hits.withColumnRenamed("line", "row"), counts).drop("row").checkpoint()
@@ -57,6 +58,8 @@ def scan_ranges(spark: SparkSession, root: str, repository: str, branch: str = C
     files = files.withColumn("skip_reason", reason).drop("units").checkpoint()
     if blocks:
         hits = with_blocks(hits, ["file"], "range_start")
+    if no_overlaps:
+        hits = most_specific(hits, ["file"], rules).drop("end_column").checkpoint()
     dropped = files.where("skip_reason is not null").select("file")
     dets = hits.join(FL.broadcast_if_small(dropped), "file", "left_anti").select(*named, *[c for c in hits.columns if c not in keys])
     return Scan(files.where("skip_reason is null").select(*FILE_KEYS, "size"), dets,
@@ -66,16 +69,18 @@ def scan_ranges(spark: SparkSession, root: str, repository: str, branch: str = C
 def scan_tree(spark: SparkSession, root: str, repository: str, branch: str = C.DEFAULT_BRANCH, glob: str | None = None,
               whole_bytes: int = WHOLE_BYTES, max_size: int | None = None, max_files: int | None = None, with_context: bool = False,
               value_salt: str | None = None, skip_comments: bool = False, drop_false_positives: bool = False,
-              verdicts: bool = False, drop_invalid: bool = False) -> Scan:
-    """S1, D1 and D6 over the files below ``root`` (those whose names match ``glob``): kept and skipped are all its files."""
+              verdicts: bool = False, drop_invalid: bool = False, blank_comments: bool = False,
+              no_overlaps: bool = False) -> Scan:
+    """S1, D1 and D6 over the files below ``root`` (those whose names match ``glob``): kept and skipped are all its files.
+    ``blank_comments`` is for files of one row; of files that are read as ranges, matches in comments are reported."""
     checkpoint_root(spark)
     found = list_tree(spark, root, repository, branch, glob).checkpoint()
     most = None if max_size is None else BYTES_PER_UNIT * max_size
     options = dict(with_context=with_context, value_salt=value_salt, skip_comments=skip_comments, drop_false_positives=drop_false_positives,
-                   verdicts=verdicts, drop_invalid=drop_invalid)
+                   verdicts=verdicts, drop_invalid=drop_invalid, no_overlaps=no_overlaps)
     files = read_file_tree(spark, root, repository, branch, glob, max_bytes=whole_bytes if most is None else min(whole_bytes, most),
                            skip_unreadable=True)
-    kept, dets, skipped = scan_corpus(files, max_size=max_size, blocks=True, **options)
+    kept, dets, skipped = scan_corpus(files, max_size=max_size, blocks=True, blank_comments=blank_comments, **options)
     large = found.where(F.col("size") > whole_bytes)
     if not (large if most is None else large.where(F.col("size") <= most)).isEmpty():
         more = scan_ranges(spark, root, repository, branch, whole_bytes, most, glob, max_size, **options)

@@ -198,7 +198,38 @@ def token_files_sql(dialect: str) -> str:
   concat('use ghp_', {m}, '0a1b')) as content from {{documents}}) d"""
 
 
+def code_files_sql(dialect: str) -> str:
+    """files of several languages with keys in code, in strings, in comments over several lines and behind markers in strings."""
+    key = "concat('AKIA', upper(substr(md5(cast(doc_id as string)), 1, 16)))"
+    n = "chr(10)"
+    return f"""select {REPO_OF_DOC} as repository, 'main' as branch, concat('src/', cast(doc_id as string), case doc_id % 6
+    when 0 then '.js' when 1 then '.py' when 2 then '.sql' when 3 then '.html' when 4 then '.JAVA' else '.txt' end) as path, content,
+  {_bigint_len_bytes('content', dialect)} as size from (select doc_id, concat(
+  substr(text, 1, cast(doc_id % 120 as int)), {n},
+  '/* begin ', {key}, {n}, ' still ', {key}, ' */ x = "', {key}, '"', {n},
+  'url = "https://h/', {key}, '" // tail ', {key}, {n},
+  's = "a /* no comment ', {key}, '"; t = ', chr(39), 'it ', chr(92), chr(39), ' -- # ', {key}, chr(39), {n},
+  '# hash ', {key}, {n}, '-- dash ', {key}, {n},
+  '<!-- ', {key}, {n}, {key}, ' --> after ', {key}, {n},
+  case when doc_id % 5 = 0 then concat('/* never closed ', {key}) else concat('end ', {key}) end) as content from {{documents}}) d"""
+
+
+def overlap_files_sql(dialect: str) -> str:
+    """files with secrets that several rules match: tokens that are assigned, in addresses and behind other names."""
+    m = "md5(cast(doc_id as string))"
+    return f"""select {REPO_OF_DOC} as repository, 'main' as branch, concat(cast(doc_id as string), '.cfg') as path, content,
+  {_bigint_len_bytes('content', dialect)} as size from (select doc_id, concat_ws(chr(10), substr(text, 1, 60),
+  concat('token = ghp_', {m}, '0a1b'), concat('plain ghp_', {m}, '0a1b and key: ', {m}),
+  case when doc_id % 2 = 0 then concat('access_token=', {m}, ' secret=AKIA', upper(substr({m}, 1, 16))) else '' end,
+  case when doc_id % 3 = 0 then concat('Authorization: Bearer eyJ', {m}, '.eyJ', {m}, '.', {m}) else '' end,
+  case when doc_id % 5 = 0 then concat('password = postgres://app:', {m}, '@db/token=', {m}) else '' end,
+  case when doc_id % 7 = 0 then concat('twitter_secret_key: ', substr({m}, 1, 30), ' pwd=xoxb-', {m}) else '' end) as content
+  from {{documents}}) d"""
+
+
 SQL_BUILDERS = {
+    "overlap_files": overlap_files_sql,
+    "code_files": code_files_sql,
     "token_files": token_files_sql,
     "file_versions": file_versions_sql,
     "key_files": key_files_sql,
