@@ -965,6 +965,29 @@ def q_analysis_sink(spark, sf_dir):
                     F.size("remediation_steps").alias("n_steps"))
 
 
+@register("report_results", f"""
+WITH det AS {_CORPUS_DET}
+SELECT repository, branch, path, type, severity, line, "column", value,
+  CASE max({Q.severity_rank()}) OVER (PARTITION BY repository, branch, path) WHEN 4 THEN 'critical' WHEN 3 THEN 'high'
+       WHEN 2 THEN 'medium' ELSE 'low' END AS file_severity,
+  count(*) OVER (PARTITION BY repository, branch, path) AS file_detections
+FROM det""")
+def q_report_results(spark, sf_dir):
+    """Results nested as a report carries them, in chunks of bounded size, written as JSON, read back and flattened; figures
+    of a file that two chunks share are put together again."""
+    from pyspark.sql import Window
+    from keysweep.session import shared_dir
+    from keysweep.sources.sinks import chunked_detections, result_chunks, write_reports
+    _, dets = _corpus_dets(spark, sf_dir)
+    out = shared_dir(spark, "results")
+    chunks = result_chunks(dets.select(*FILE_KEYS, "type", "severity", "line", "column", "value"), chunk_bytes=4096)
+    write_reports(chunks, out)
+    file = Window.partitionBy(*FILE_KEYS)
+    return chunked_detections(spark.read.schema(chunks.schema).json(out)).select(
+        *FILE_KEYS, "type", "severity", "line", "column", "value", R.rank_label(F.max(R.severity_rank()).over(file)).alias("file_severity"),
+        F.count(F.lit(1)).over(file).alias("file_detections"))
+
+
 @register("scan_stream", f"SELECT repository, branch, path, type, line, \"column\", value FROM {Q.detections(Q.files())}")
 def q_scan_stream(spark, sf_dir):
     """The row-level detection as a Structured Streaming query (availableNow) over the

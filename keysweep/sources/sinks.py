@@ -3,7 +3,8 @@
 Reports are one row per (repository, branch) holding only bounded nested values:
 the severity map (one entry per severity) and the top-10 type list.  The per-file
 results list is *not* nested into the repository row -- a repository can hold a
-third of all files -- it is its own table (``file_results``), written next to it.
+third of all files -- it is its own table (``file_results``), written next to it, and
+a table of nested lists in pieces of bounded size (``results``, see ``result_chunks``).
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 from keysweep import FILE_KEYS, REPO_KEYS
 from keysweep import catalog as C
 from keysweep.operators import rollup as R
+from keysweep.operators.prefix import running_total
 
 TOP_TYPES = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("count", T.LongType())]))
 SUMMARY = T.StructType([
@@ -91,6 +93,37 @@ def analysis_reports(kept: DataFrame, dets: DataFrame, skipped: DataFrame | None
         F.col("analysis.remediation_steps").alias("remediation_steps"))
 
 
+def result_chunks(dets: DataFrame, chunk_bytes: int = 1 << 20, keys=REPO_KEYS) -> DataFrame:
+    """The results of a report, nested as the report carries them, in pieces: (keys, chunk, results), where results is a list of
+    files, each with its path, severity, number of detections and the detections themselves.
+
+    A chunk holds about ``chunk_bytes`` of detections as JSON, in the order of path, line, column and type, and so at most that and
+    one detection more; chunks are numbered from 0 in each repository, and a repository of any size is as many rows as it needs.  A
+    file that crosses a border is in both chunks, each with its part of the detections."""
+    keys = list(keys)
+    fields = [c for c in dets.columns if c not in (*keys, "path")]
+    order = ["line", "column", "type"] + [c for c in fields if c not in ("line", "column", "type")]
+    size = F.octet_length(F.to_json(F.struct("path", *order))).cast("long") + 1
+    rows = running_total(dets, keys, ["path", "line", "column", "type"], size, "_before")
+    rows = rows.withColumn("chunk", F.floor(F.col("_before") / chunk_bytes).cast("long"))
+    # a detection that is larger than a chunk leaves numbers out
+    numbers = rows.select(*keys, "chunk").distinct()
+    numbers = running_total(numbers, keys, ["chunk"], F.lit(1).cast("long"), "_number")
+    files = rows.groupBy(*keys, "chunk", "path").agg(
+        R.rank_label(F.max(R.severity_rank())).alias("severity"), F.count(F.lit(1)).alias("count"),
+        F.sort_array(F.collect_list(F.struct(*order))).alias("detections"))
+    chunks = files.groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list(F.struct("path", "severity", "count", "detections"))).alias("results"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*keys, "chunk"]]
+    numbers = numbers.select(*[F.col(k).alias(f"_{k}") for k in [*keys, "chunk"]], "_number")
+    return chunks.join(numbers, same).select(*keys, F.col("_number").alias("chunk"), "results")
+
+
+def chunked_detections(chunks: DataFrame, keys=REPO_KEYS) -> DataFrame:
+    """The detections of ``result_chunks``, a row each."""
+    files = chunks.select(*keys, F.explode("results").alias("f"))
+    return files.select(*keys, F.col("f.path").alias("path"), F.explode("f.detections").alias("d")).select(*keys, "path", "d.*")
+
+
 def write_reports(reports: DataFrame, path: str) -> None:
     """JSON lines, one report per line (what the tool returned as JSON text)."""
     reports.write.mode("overwrite").option("compression", "gzip").json(path)
@@ -128,10 +161,11 @@ def run_tree_job(spark: SparkSession, root: str, repository: str, out_dir: str,
 def write_scan(scan, out_dir: str) -> dict[str, str]:
     """The tables of a scan below ``out_dir``; returns their folders."""
     kept, dets, skipped = scan
-    paths = {k: os.path.join(out_dir, k) for k in ("detections", "file_results", "skipped", "reports", "analysis")}
+    paths = {k: os.path.join(out_dir, k) for k in ("detections", "file_results", "skipped", "reports", "analysis", "results")}
     write_parquet_table(skipped, paths["skipped"])
     write_parquet_table(dets, paths["detections"])
     write_parquet_table(R.file_results(dets, nested=True), paths["file_results"])
     write_reports(scan_reports(kept, dets, skipped=skipped), paths["reports"])
+    write_reports(result_chunks(dets), paths["results"])
     write_parquet_table(analysis_reports(kept, dets, skipped), paths["analysis"])
     return paths
