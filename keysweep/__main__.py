@@ -46,6 +46,7 @@ def main(argv=None):
     ap.add_argument("--max-files", type=int, default=None, help="scan at most so many files of a repository (default: all)")
     ap.add_argument("--max-size", type=int, default=None, help="skip files of more UTF-16 units (default: none)")
     ap.add_argument("--skip-comments", action="store_true", help="leave out blank and comment lines")
+    ap.add_argument("--previous", default=None, help="with --tree: the folder of an earlier run; unchanged files are not read again")
     ap.add_argument("--no-overlaps", action="store_true", help="of overlapping matches report the most specific one only")
     ap.add_argument("--blank-comments", action="store_true", help="leave out comments by file type, also those over several lines")
     ap.add_argument("--drop-false-positives", action="store_true", help="leave out placeholder and example values")
@@ -80,7 +81,7 @@ def main(argv=None):
     options = dict(value_salt=a.salt, max_files=a.max_files, max_size=a.max_size, skip_comments=a.skip_comments,
                    drop_false_positives=a.drop_false_positives, drop_invalid=a.drop_invalid,
                    blank_comments=a.blank_comments, no_overlaps=a.no_overlaps)
-    print(json.dumps(run_tree_job(spark, a.tree, a.repository, a.out, a.branch, **options) if a.tree
+    print(json.dumps(run_tree_job(spark, a.tree, a.repository, a.out, a.branch, previous=a.previous, **options) if a.tree
                      else run_scan_job(spark, files, a.out, **options)))
 
 

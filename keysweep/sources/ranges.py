@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from keysweep.operators.detect import CONTEXT_WIDTH
 from keysweep.operators.filters import utf16_length
+from keysweep.sources.tables import in_spans
 
 MIN_PARTITIONS = "spark.sql.files.minPartitionNum"
 
@@ -31,17 +32,20 @@ def same_ranges(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(MIN_PARTITIONS)
 
 
-def read_lines(spark: SparkSession, root: str, over_bytes: int, glob: str | None = None, most_bytes: int | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, root: str, over_bytes: int, glob: str | None = None, most_bytes: int | None = None,
+               changed: list[tuple[int, int]] | None = None) -> DataFrame:
     """The lines of all files below ``root`` of more than ``over_bytes`` (and at most ``most_bytes``) bytes: file, file_size,
     range_start, row (rising within a range), line_text without its end, and bytes and units (UTF-16) with it.
 
     Other files are left out by their status and not read.  Invalid UTF-8 is replaced by U+FFFD.  A line is a row of at most
-    2 GB; a byte order mark is not part of the first one."""
+    2 GB; a byte order mark is not part of the first one.  ``changed`` as for ``tables.read_file_tree``."""
     reader = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     size = F.col("_metadata.file_size")
     wanted = size > over_bytes if most_bytes is None else (size > over_bytes) & (size <= most_bytes)
+    if changed is not None:
+        wanted = wanted & in_spans(F.col("_metadata.file_modification_time"), changed)
     text = F.make_valid_utf8("value")
     line = F.when(F.endswith("value", F.lit("\r")), F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))
     return (reader.text(root).where(wanted)

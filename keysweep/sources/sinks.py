@@ -152,10 +152,19 @@ def run_scan_job(spark: SparkSession, files: DataFrame, out_dir: str, value_salt
 
 
 def run_tree_job(spark: SparkSession, root: str, repository: str, out_dir: str, branch: str = C.DEFAULT_BRANCH,
-                 value_salt: str | None = None, **options) -> dict[str, str]:
-    """``run_scan_job`` over a checked-out tree (``plans.tree_scan``), files of any size."""
-    from keysweep.plans.tree_scan import scan_tree
-    return write_scan(scan_tree(spark, root, repository, branch, with_context=True, value_salt=value_salt, verdicts=True, **options), out_dir)
+                 value_salt: str | None = None, previous: str | None = None, max_files: int | None = None, **options) -> dict[str, str]:
+    """``run_scan_job`` over a checked-out tree (``plans.tree_scan``), files of any size.  ``previous``: the folder of an earlier
+    run, another one than ``out_dir``; files that have not changed since aren't read again.  A run with ``max_files`` reads all."""
+    from keysweep.plans.tree_scan import rescan_tree, scan_tree
+    options |= dict(with_context=True, value_salt=value_salt, verdicts=True)
+    if max_files is not None:
+        return write_scan(scan_tree(spark, root, repository, branch, max_files=max_files, **options), out_dir)
+    if previous is not None:
+        previous = (read_parquet_table(spark, os.path.join(previous, "manifest")), read_parquet_table(spark, os.path.join(previous, "detections")))
+    scan, manifest = rescan_tree(spark, root, repository, previous, branch, **options)
+    paths = write_scan(scan, out_dir) | {"manifest": os.path.join(out_dir, "manifest")}
+    write_parquet_table(manifest, paths["manifest"])
+    return paths
 
 
 def write_scan(scan, out_dir: str) -> dict[str, str]:

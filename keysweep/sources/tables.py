@@ -63,6 +63,14 @@ def relative_path(spark: SparkSession, root: str, path: Column, encoded: bool =
     return F.regexp_replace(path, "^" + _re_escape(prefix), "")
 
 
+def in_spans(time: Column, spans: list[tuple[int, int]]) -> Column:
+    """Whether a time lies in one of the spans; file sources test it on the status of a file."""
+    found = F.lit(False)
+    for low, high in spans:
+        found = found | ((time >= F.timestamp_micros(F.lit(low))) & (time <= F.timestamp_micros(F.lit(high))))
+    return found
+
+
 def _tree(spark: SparkSession, root: str, glob: str | None, **options) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").options(**options)
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
@@ -76,7 +84,8 @@ def list_tree(spark: SparkSession, root: str, repository: str, branch: str = "ma
 
 
 def read_file_tree(spark: SparkSession, root: str, repository: str, branch: str = "main", glob: str | None = None,
-                   max_size: int | None = None, max_bytes: int | None = None, skip_unreadable: bool = False) -> DataFrame:
+                   max_size: int | None = None, max_bytes: int | None = None, skip_unreadable: bool = False,
+                   changed: list[tuple[int, int]] | None = None) -> DataFrame:
     """S1 for a checked-out tree: every file below ``root`` as a ``files`` row.
 
     ``root`` may be on any file system that Spark reads; paths are relative to it.
@@ -85,7 +94,8 @@ def read_file_tree(spark: SparkSession, root: str, repository: str, branch: str
     (``pathGlobFilter``), and by size, if ``max_size`` is given -- a file of more than 3 * ``max_size``
     bytes has more than ``max_size`` UTF-16 units, so F3 would drop it anyway -- or ``max_bytes``; the
     ``length`` filter is evaluated by the binaryFile source on the file status.  With ``skip_unreadable`` a file that can't be
-    read, or is gone, is left out instead of ending the job (``plans.tree_scan`` then lists it).
+    read, or is gone, is left out instead of ending the job (``plans.tree_scan`` then lists it).  ``changed``: only files whose
+    time of change lies in one of these spans (microseconds, both ends included) are read.
     """
     skip = {"ignoreCorruptFiles": "true", "ignoreMissingFiles": "true"} if skip_unreadable else {}
     raw = _tree(spark, root, glob, **skip)
@@ -93,6 +103,8 @@ def read_file_tree(spark: SparkSession, root: str, repository: str, branch: str
         raw = raw.where(F.col("length") <= 3 * max_size)
     if max_bytes is not None:
         raw = raw.where(F.col("length") <= max_bytes)
+    if changed is not None:
+        raw = raw.where(in_spans(F.col("modificationTime"), changed))
     return raw.select(
         F.lit(repository).alias("repository"),
         F.lit(branch).alias("branch"),
