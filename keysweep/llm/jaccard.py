@@ -7,9 +7,9 @@ its one-deletion neighbourhood. All sets are indexed under every signature, but
 needs D + 1 votes and takes them from the segments with the shortest expected lists (large subsets; empty ones last).
 Sets are indexed in the band of their size and ask in their own band and the next smaller one.
 
-Candidates are verified on the whole sets. Within one signature all sets are first verified against one of them; what that
-joins into one component isn't paired any more, and only sets of different components that pass an exact lower bound on
-their difference are compared further. Equal sets count as one throughout.
+Candidates are verified on the whole sets. Within one signature all sets are first verified against one of them, then one set
+of each component against the first one; what that joins into one component isn't paired any more, and only sets of different
+components that pass an exact lower bound on their difference are compared further. Equal sets count as one throughout.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from keysweep.llm.shingles import mix, shingle_set
 #: Up to so many keys (16 bytes each) are broadcast to pick documents; beyond, documents are shuffled to them.
 BROADCAST_KEYS = 1 << 18
 #: Words of the parity map of a set: bits that tell apart sets which differ in about as many shingles.
-MAP_WORDS = 8
+MAP_WORDS = 32
 #: Signature rows of one batch.
 _ROWS = 50_000
 
@@ -104,7 +104,7 @@ def signatures(s: np.ndarray, sums: np.ndarray, mixed: np.ndarray, band: int, m:
 
 
 def parity(s: np.ndarray) -> np.ndarray:
-    """Which of 512 cells hold an odd number of the set's shingles: cells in which two maps differ hold a difference."""
+    """Which of 2,048 cells hold an odd number of the set's shingles: cells in which two maps differ hold a difference."""
     odd = np.bincount((s & np.uint64(64 * MAP_WORDS - 1)).astype(np.int64), minlength=64 * MAP_WORDS) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
@@ -246,13 +246,18 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
     links = _verified(materialize(stars, "jaccard-stars", paths), sets, docs, size, percent, paths)
     joined = components(links)
 
-    # What the lists still hold of different components.
-    at = lists.join(joined.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn(
-        "label", F.coalesce("label", "sid"))
-    at = (at.withColumn("lo", F.min("label").over(here)).withColumn("hi", F.max("label").over(here))
-          .where("lo < hi and sid <> hub").join(sets.select("sid", "n", "map"), "sid")
-          .select("sig", "sid", "kind", "label", "n", "map"))
-    at = materialize(at, "jaccard-open", paths)
+    # What the lists still hold of different components: first one set of each component against the least of them (all have
+    # been compared with the hub).
+    at = _several(lists, joined, paths, "jaccard-open")
+    heads = at.where("sid <> hub").groupBy("sig", "label").agg(F.min("sid").alias("sid")).withColumn("first", F.min("sid").over(here))
+    heads = _near(heads.where("sid > first").select(F.col("first").alias("a"), F.col("sid").alias("b")).distinct(), sets, percent)
+    more = _verified(materialize(heads, "jaccard-heads", paths), sets, docs, size, percent, paths)
+    if not more.isEmpty():
+        links = links.union(more)
+        joined = components(links)
+        at = _several(at.drop("label"), joined, paths, "jaccard-left")
+    at = at.where("sid <> hub").join(sets.select("sid", "n", "map"), "sid").select("sig", "sid", "kind", "label", "n", "map")
+    at = materialize(at, "jaccard-sides", paths)
     x, y = at.where(F.col("kind") == ASKING).alias("x"), at.alias("y")
     rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.label") != F.col("y.label"))
                   & ((F.col("y.kind") != ASKING) | (F.col("x.sid") < F.col("y.sid"))) & _may_link("x", "y", percent))
@@ -272,6 +277,14 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
     return result
 
 
+def _several(lists: DataFrame, joined: DataFrame, paths: list[str], name: str) -> DataFrame:
+    """The rows of the lists that hold sets of several components, with their label."""
+    here = Window.partitionBy("sig")
+    at = lists.join(joined.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    at = at.withColumn("lo", F.min("label").over(here)).withColumn("hi", F.max("label").over(here)).where("lo < hi")
+    return materialize(at.drop("lo", "hi"), name, paths)
+
+
 def with_set_id(docs: DataFrame, size: int = 5) -> DataFrame:
     """``docs`` with set_id as ``join`` gives it to each row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
