@@ -57,7 +57,7 @@ class Queue:
                 rest.append(tuple(x[k:] for x in run))
         self.runs = rest
         if not parts:
-            return (np.zeros(0, dtype=np.int64),) * 3
+            return (np.zeros(0, dtype=np.int32),) * 3
         if len(parts) == 1:
             return parts[0]
         merged = [np.concatenate(x) for x in zip(*parts)]
@@ -127,13 +127,21 @@ class Minima:
         return out
 
 
+def index_type(size: int) -> type:
+    """Of positions and ranks in a text of this size: half the memory for all but huge ones."""
+    return np.int32 if size < 1 << 30 else np.int64
+
+
 def types(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each position: whether its suffix is smaller than the next one (S), and how often its character repeats on."""
-    n = len(text)
-    ends = np.append(np.flatnonzero(text[1:] != text[:-1]), n - 1)
+    n, kind = len(text), index_type(len(text))
+    ends = np.append(np.flatnonzero(text[1:] != text[:-1]), n - 1).astype(kind)
     lengths = np.diff(ends, prepend=-1)
     rises = np.append(text[ends[:-1] + 1] > text[ends[:-1]], True)
-    return np.repeat(rises, lengths), np.repeat(ends, lengths) - np.arange(n) + 1
+    runs = np.repeat(ends, lengths)
+    runs -= np.arange(n, dtype=kind)
+    runs += 1
+    return np.repeat(rises, lengths), runs
 
 
 def induce(chars: np.ndarray, wanted: np.ndarray, runs: np.ndarray, given: np.ndarray,
@@ -141,8 +149,8 @@ def induce(chars: np.ndarray, wanted: np.ndarray, runs: np.ndarray, given: np.nd
     """Merges ``given`` (positions in order, with their common prefixes) with all positions whose type is ``wanted``, each
     produced when the suffix behind it comes out. Of equal characters the produced come before the given. Returns positions
     and common prefixes in order, and which were produced."""
-    total = len(given) + produced
-    order, made = np.empty(total, dtype=np.int64), np.zeros(total, dtype=bool)
+    total, kind = len(given) + produced, index_type(len(chars))
+    order, made = np.empty(total, dtype=kind), np.zeros(total, dtype=bool)
     minima, queue, at, n = Minima(total), Queue(), 0, 0
     many = 1024  # how much to try to take out: it follows what could be taken before
     given_chars = chars[given]
@@ -164,7 +172,7 @@ def induce(chars: np.ndarray, wanted: np.ndarray, runs: np.ndarray, given: np.nd
         lcp[stay] = g_lcp[stay]
         order[n:n + len(c)], made[n:n + len(c)] = p, m
         minima.append(lcp)
-        ranks = np.arange(n, n + len(c))
+        ranks = np.arange(n, n + len(c), dtype=kind)
         n += len(c)
         last_char, last_pos, last_made, last_rank = int(c[-1]), int(p[-1]), bool(m[-1]), int(r[-1])
         before = p - 1
@@ -196,10 +204,10 @@ def induce(chars: np.ndarray, wanted: np.ndarray, runs: np.ndarray, given: np.nd
             taken = len(c) + k - at
             many = min(BULK, 4 * many) if limit >= last else max(256, min(BULK, 2 * taken))
             if taken:
-                keys = np.concatenate((2 * c, 2 * given_chars[at:k] + 1))
+                keys = np.concatenate((2 * c.astype(np.int64), 2 * given_chars[at:k].astype(np.int64) + 1))
                 sort = np.argsort(keys, kind="stable")
-                settle(keys[sort] >> 1, np.concatenate((p, given[at:k]))[sort],
-                       np.concatenate((r, np.full(k - at, -1)))[sort], keys[sort] & 1 == 0,
+                settle((keys[sort] >> 1).astype(chars.dtype), np.concatenate((p, given[at:k]))[sort],
+                       np.concatenate((r, np.full(k - at, -1, dtype=kind)))[sort], keys[sort] & 1 == 0,
                        np.concatenate((np.zeros(len(c), dtype=np.int64), given_lcp[at:k]))[sort])
                 at = k
                 continue
@@ -209,9 +217,9 @@ def induce(chars: np.ndarray, wanted: np.ndarray, runs: np.ndarray, given: np.nd
             settle(c, p, r, np.ones(len(c), dtype=bool), np.zeros(len(c), dtype=np.int64))
         k = at + int(np.searchsorted(given_chars[at:], head, side="right"))
         if k > at:
-            settle(given_chars[at:k], given[at:k], np.full(k - at, -1), np.zeros(k - at, dtype=bool), given_lcp[at:k])
+            settle(given_chars[at:k], given[at:k], np.full(k - at, -1, dtype=kind), np.zeros(k - at, dtype=bool), given_lcp[at:k])
             at = k
-    return order, minima.near[0].astype(np.int64), made
+    return order, minima.near[0], made
 
 
 def name(text: np.ndarray, keys: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -247,47 +255,54 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array of a non-empty text of non-negative numbers whose last one is its only smallest, and the common prefix
     of each suffix with the one before it (0 for the first)."""
     n = len(text)
+    kind = index_type(2 * max(n, int(text.max()) + 1))
     if n == 1:
-        return np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
-    text = text.astype(np.int64, copy=False)
+        return np.zeros(1, dtype=kind), np.zeros(1, dtype=kind)
+    text = text.astype(kind, copy=False)
     small, runs = types(text)
-    starts = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    lengths = np.append(np.diff(starts) + 1, 1)
-    rank = name(text, 2 * text + small, starts, lengths)
-    sort = np.argsort(rank, kind="stable")
-    ranks = rank[sort]
-    if len(ranks) == 1 or (ranks[1:] != ranks[:-1]).all():
-        inner, inner_lcp = sort, np.zeros(len(sort), dtype=np.int64)
+    starts = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(kind)
+    rank = name(text, 2 * text + small, starts, np.append(np.diff(starts) + 1, 1))
+    sort = np.argsort(rank, kind="stable").astype(kind)
+    fresh = np.diff(rank[sort], prepend=-1) != 0
+    del rank
+    if fresh.all():
+        inner, inner_lcp = sort, np.zeros(len(sort), dtype=kind)
     else:
-        dense = np.empty(len(rank), dtype=np.int64)
-        dense[sort] = np.cumsum(np.concatenate(([0], (ranks[1:] != ranks[:-1]).astype(np.int64))))
+        dense = np.empty(len(sort), dtype=kind)
+        dense[sort] = np.cumsum(fresh, dtype=kind) - 1
+        del sort, fresh
         inner, inner_lcp = suffix_array(dense)
+        del dense
     stars = starts[inner]
-    star_lcp = np.zeros(len(stars), dtype=np.int64)
+    star_lcp = np.zeros(len(stars), dtype=kind)
     a, b = inner[:-1] + inner_lcp[1:], inner[1:] + inner_lcp[1:]  # the first names that differ
-    star_lcp[1:] = starts[a] - starts[inner[:-1]] + _common(text, starts[a], starts[b])
+    star_lcp[1:] = starts[a] - stars[:-1] + _common(text, starts[a], starts[b])
+    del inner, inner_lcp, a, b, starts
     falls = ~small
     order, lcp, made = induce(text, falls, runs, stars, star_lcp, int(falls.sum()))
-    if not made.any():
-        large, large_lcp = order[:0], lcp[:0]
-    else:
-        at = np.flatnonzero(made)
-        large, large_lcp = order[at], lcp[at]
-        # large suffixes of one character stand together; across characters nothing is shared
+    del stars, star_lcp, falls
+    # large suffixes of one character stand together; across characters nothing is shared
+    large, large_lcp = order[made], lcp[made]
+    del order, lcp, made
+    if len(large):
         large_lcp[np.concatenate(([True], text[large[1:]] != text[large[:-1]]))] = 0
     top = int(text.max())
-    rises = small.copy()
-    rises[n - 1] = False  # the end itself is produced by nothing
-    down, down_lcp, _ = induce(top - text, rises, runs, large[::-1], np.concatenate(([0], large_lcp[:0:-1]))
-                               if len(large) else large_lcp, int(rises.sum()))
-    array = np.concatenate(([n - 1], down[::-1]))
-    shared = np.concatenate(([0, 0], down_lcp[:0:-1])) if len(down) else np.zeros(1, dtype=np.int64)
+    text = top - text
+    small[n - 1] = False  # the end itself is produced by nothing
+    large = np.ascontiguousarray(large[::-1])
+    large_lcp = np.append(large_lcp[:1], large_lcp[:0:-1])
+    down, down_lcp, _ = induce(text, small, runs, large, large_lcp, int(small.sum()))
+    del text, small, runs, large, large_lcp
+    array = np.empty(n, dtype=kind)
+    array[0], array[1:] = n - 1, down[::-1]
+    shared = np.zeros(n, dtype=kind)
+    shared[2:] = down_lcp[:0:-1]
     return array, shared
 
 
 def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Equal characters from a and from b on, of pairs that soon differ."""
-    out = np.zeros(len(a), dtype=np.int64)
+    out = np.zeros(len(a), dtype=a.dtype)
     active, k = np.arange(len(a)), 0
     n = len(text)
     while len(active):
