@@ -2,6 +2,7 @@
 
   python -m keysweep --files <parquet table: repository, branch, path, content> --out <dir>
       [--repository-col C --branch-col C --path-col C --content-col C]   (e.g. any text table)
+  python -m keysweep --files <files table> --requests <requests table> --out <dir>
   python -m keysweep --tree <checked-out directory> --repository org/name [--branch main] --out <dir>
   python -m keysweep --stream <directory of files parquet> --out <dir> [--available-now]
   python -m keysweep --versions <directory of file versions parquet> --out <dir> [--available-now]
@@ -21,6 +22,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from keysweep.api import run_request_job
 from keysweep.session import get_spark
 from keysweep.sources.sinks import run_scan_job, run_tree_job
 
@@ -46,6 +48,8 @@ def main(argv=None):
     ap.add_argument("--max-files", type=int, default=None, help="scan at most so many files of a repository (default: all)")
     ap.add_argument("--max-size", type=int, default=None, help="skip files of more UTF-16 units (default: none)")
     ap.add_argument("--skip-comments", action="store_true", help="leave out blank and comment lines")
+    ap.add_argument("--requests", default=None, help="with --files: parquet of scan requests (request_id, owner, repo, branch, path); "
+                                                     "reports are those of the requests")
     ap.add_argument("--previous", default=None, help="with --tree: the folder of an earlier run; unchanged files are not read again")
     ap.add_argument("--no-overlaps", action="store_true", help="of overlapping matches report the most specific one only")
     ap.add_argument("--blank-comments", action="store_true", help="leave out comments by file type, also those over several lines")
@@ -78,6 +82,9 @@ def main(argv=None):
                          F.col(a.path_col).cast("string").alias("path"),
                          F.col(a.content_col).cast("string").alias("content"))
         files = files.withColumn("size", F.octet_length("content").cast("bigint"))
+        if a.requests:
+            print(json.dumps(run_request_job(files, spark.read.parquet(a.requests), a.out, a.salt)))
+            return
     options = dict(value_salt=a.salt, max_files=a.max_files, max_size=a.max_size, skip_comments=a.skip_comments,
                    drop_false_positives=a.drop_false_positives, drop_invalid=a.drop_invalid,
                    blank_comments=a.blank_comments, no_overlaps=a.no_overlaps)

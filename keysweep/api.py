@@ -12,17 +12,21 @@ instead of one JSON call, and returns the tool's result shape as columns.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keysweep import FILE_KEYS, REPO_KEYS
 from keysweep import catalog as C
 from keysweep.operators import detect as D
+from keysweep.operators.blocks import with_blocks
 from keysweep.operators import quality as QL
 from keysweep.operators import rollup as R
 from keysweep.plans.corpus_scan import scan_corpus
 from keysweep.sources.files import snippet_files
-from keysweep.sources.sinks import TOP_TYPES, analysis_reports, scan_reports
+from keysweep.session import checkpoint_root
+from keysweep.sources.sinks import TOP_TYPES, analysis_reports, scan_reports, write_parquet_table, write_reports
 
 
 def valid_requests(requests: DataFrame) -> DataFrame:
@@ -61,10 +65,10 @@ def scan_repository(files: DataFrame, requests: DataFrame | None = None,
     With ``requests`` only the requested files are scanned, and reports and results are those of each valid request by
     itself (request_id): of its repository, or of the one file that it names; zeros when nothing readable was found (J2)."""
     if requests is None:
-        kept, dets, _ = scan_corpus(files, with_context=True, value_salt=value_salt)
+        kept, dets, _ = scan_corpus(files, with_context=True, value_salt=value_salt, blocks=True)
         return scan_reports(kept, dets), R.file_results(dets, nested=True)
     from keysweep.functions.mask import default_path_label
-    kept, dets, _ = scan_corpus(requested_files(files, requests), with_context=True, value_salt=value_salt)
+    kept, dets, _ = scan_corpus(requested_files(files, requests), with_context=True, value_salt=value_salt, blocks=True)
     req = valid_requests(requests)
     keys = ["request_id", *REPO_KEYS]
     mine = by_request(dets, req)
@@ -81,15 +85,28 @@ def scan_repository(files: DataFrame, requests: DataFrame | None = None,
     return reports, R.file_results(mine, keys=["request_id", *FILE_KEYS], nested=True)
 
 
+def run_request_job(files: DataFrame, requests: DataFrame, out_dir: str, value_salt: str | None = None) -> dict[str, str]:
+    """The scan of a table of requests (request_id, owner, repo, branch, path): the reports of the valid ones as JSON lines, their
+    file results, and the others with what is wrong with them, below ``out_dir``."""
+    reports, results = scan_repository(files, requests, value_salt)
+    paths = {k: os.path.join(out_dir, k) for k in ("reports", "file_results", "rejected")}
+    write_reports(reports, paths["reports"])
+    write_parquet_table(results, paths["file_results"])
+    write_parquet_table(QL.check_scan_requests(requests).where(F.size("violations") > 0), paths["rejected"])
+    return paths
+
+
 def scan_code(snippets: DataFrame) -> DataFrame:
     """Snippets (snippet_id, code, path) -> per valid snippet: path ('inline' when
     missing), detections_found, detections[], severity ('none' when clean) and
     recommendations[] (empty when clean).  Invalid rows are left out; see
     ``operators.quality.check_snippets`` for their violations."""
     snips = snippet_files(QL.valid(QL.check_snippets(snippets)))
-    dets = D.detections(snips, keys=["snippet_id", "path"], with_context=True)
+    keys = ["snippet_id", "path"]
+    checkpoint_root(snippets.sparkSession)
+    dets = with_blocks(D.detections(snips, rules=[*C.RULES, *C.BLOCK_MARKERS], keys=keys, with_context=True).checkpoint(), keys)
     # one pass: the nested results carry all that the advice is made from
-    per = R.file_results(dets, keys=["snippet_id", "path"], nested=True)
+    per = R.file_results(dets, keys=keys, nested=True)
     first = F.array_distinct(F.transform("results", lambda d: d["recommendation"]))
     per = per.withColumn("recommendations", F.array_distinct(F.concat(first, F.array(*[F.lit(x) for x in C.SNIPPET_ADVICE]))))
     j = snips.select("snippet_id", "path").join(per.drop("path"), "snippet_id", "left")
@@ -108,7 +125,7 @@ def analyze_security(files: DataFrame, requests: DataFrame | None = None) -> Dat
     always of the whole repository) only those repositories are scanned."""
     if requests is not None:
         files = requested_files(files, requests.withColumn("path", F.lit(None).cast("string")))
-    kept, dets, _ = scan_corpus(files)
+    kept, dets, _ = scan_corpus(files, blocks=True)
     return analysis_reports(kept, dets)
 
 
