@@ -2,6 +2,9 @@
 
 Every function takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents: doc_id, text, lang, source and n_chars.
+
+Edge cases, in every stage: an empty table gives an empty table; other columns than those of documents are dropped, whatever
+their names; texts of any length are taken whole. What a stage does with nulls, empty texts and repeated rows stands with it.
 """
 
 from __future__ import annotations
@@ -22,12 +25,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weak-label classifier rejects go."""
+    """Documents that the weak-label classifier rejects go. A null text is judged as an empty one and stays null if it is kept;
+    nulls in other columns mean nothing; each of several rows of a doc_id is judged by itself."""
     return classify(docs, keep=tuple(COLUMNS)).where("kept").select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that fail the line rules go, and documents that base or the loss of too much text rejects."""
+    """Lines that fail the line rules go, and documents that base or the loss of too much text rejects. Null and empty texts have
+    too few words and go; each of several rows of a doc_id is judged by itself; n_chars is that of the text that is left."""
     kept = clean(docs, keep=("lang", "source")).where("kept")
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
@@ -58,13 +63,16 @@ def _few(ids: DataFrame) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of strings of 100 bytes that also start earlier go; what is left of a character that is cut goes too."""
+    """Bytes of strings of 100 bytes that also start earlier go; what is left of a character that is cut goes too. Every document
+    stays: null and empty texts lose nothing (null becomes empty), and a text whose bytes all go is empty. Rows that are equal in
+    doc_id and text are one document for this."""
     left = dedup(docs, keep=("lang", "source"), as_text=True)
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens: a row per piece."""
+    """Sequences of at most 2048 tokens: a row per piece. A null or empty text is its end token alone; rows of one doc_id are packed
+    one by one, each with its own pieces."""
     return pack(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -8,8 +8,8 @@ Plan shape (all narrow, no shuffle):
   explode (line, rule) pairs --> columns from the split pieces --> explode matches.
 
 Only candidate lines pay for the 37 per-rule passes; only hits pay for ``split`` and
-positions.  A file is one row, so a huge file is one task's work at most (files
-are capped by ``max_file_size``); lines are produced inside the task, never shuffled.
+positions.  In a table a file is one row and one task's work; lines are produced inside the task, never shuffled.  Files of a
+tree that are too large for that are read as byte ranges (``plans.tree_scan``), and their lines meet the same expressions.
 """
 
 from __future__ import annotations
