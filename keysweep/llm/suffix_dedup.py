@@ -196,10 +196,10 @@ def sort_shard(regions: list[bytes], keys: np.ndarray, firsts: np.ndarray, lengt
     """Marks (key, first, last) of all strings of ``length`` bytes in the regions that also start at an earlier place, by the
     suffix array of the regions one after the other."""
     sizes = np.array([len(r) for r in regions])
-    text = np.append(np.frombuffer(b"".join(r + b"\0" for r in regions), np.uint8).astype(np.int32) + np.int32(2), np.int32(0))
+    text = np.append(np.frombuffer(b"".join(r + b"\0" for r in regions), np.uint8).astype(np.int16) + np.int16(2), np.int16(0))
     ends = np.cumsum(sizes + 1)
     text[ends - 1] = 1  # between two regions
-    array, shared = suffix_array(text)
+    array, shared = suffix_array(text, max(length, 1 << 15))  # only whether prefixes reach the length is asked
     del text
     group = np.cumsum(shared < length, dtype=array.dtype)
     del shared

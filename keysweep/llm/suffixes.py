@@ -79,11 +79,11 @@ class Minima:
     """Range minima over values that are appended: for each value the least of the 2**j up to it, within blocks' reach, and
     the same over whole blocks for what lies further apart."""
 
-    def __init__(self, size: int):
+    def __init__(self, size: int, kind: type):
         self.n = self.blocks = 0
-        self.near = [np.zeros(size, dtype=np.int32) for _ in range(BLOCK.bit_length())]
+        self.near = [np.zeros(size, dtype=kind) for _ in range(BLOCK.bit_length())]
         count = size // BLOCK + 1
-        self.far = [np.zeros(count, dtype=np.int32) for _ in range(count.bit_length())]
+        self.far = [np.zeros(count, dtype=kind) for _ in range(count.bit_length())]
 
     @staticmethod
     def _extend(levels: list[np.ndarray], a: int, b: int) -> None:
@@ -145,13 +145,13 @@ def types(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def induce(chars: np.ndarray, wanted: np.ndarray, runs: np.ndarray, given: np.ndarray,
-           given_lcp: np.ndarray, produced: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+           given_lcp: np.ndarray, produced: int, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Merges ``given`` (positions in order, with their common prefixes) with all positions whose type is ``wanted``, each
     produced when the suffix behind it comes out. Of equal characters the produced come before the given. Returns positions
-    and common prefixes in order, and which were produced."""
+    and common prefixes (``most`` for longer ones) in order, and which were produced."""
     total, kind = len(given) + produced, index_type(len(chars))
     order, made = np.empty(total, dtype=kind), np.zeros(total, dtype=bool)
-    minima, queue, at, n = Minima(total), Queue(), 0, 0
+    minima, queue, at, n = Minima(total, np.int32 if most is None else np.uint16), Queue(), 0, 0
     many = 1024  # how much to try to take out: it follows what could be taken before
     given_chars = chars[given]
     last_char, last_pos, last_made, last_rank = -1, -1, False, -1
@@ -171,7 +171,7 @@ def induce(chars: np.ndarray, wanted: np.ndarray, runs: np.ndarray, given: np.nd
         stay = same & ~m & ~pm
         lcp[stay] = g_lcp[stay]
         order[n:n + len(c)], made[n:n + len(c)] = p, m
-        minima.append(lcp)
+        minima.append(lcp if most is None else np.minimum(lcp, most))
         ranks = np.arange(n, n + len(c), dtype=kind)
         n += len(c)
         last_char, last_pos, last_made, last_rank = int(c[-1]), int(p[-1]), bool(m[-1]), int(r[-1])
@@ -251,14 +251,15 @@ def name(text: np.ndarray, keys: np.ndarray, starts: np.ndarray, lengths: np.nda
     return rank
 
 
-def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(text: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array of a non-empty text of non-negative numbers whose last one is its only smallest, and the common prefix
-    of each suffix with the one before it (0 for the first)."""
-    n = len(text)
-    kind = index_type(2 * max(n, int(text.max()) + 1))
+    of each suffix with the one before it (0 for the first). ``most`` (below 2 ** 16): a longer prefix is given as this one. What
+    is induced from such values is as long at least, so nothing shorter changes; names of the recursion keep theirs whole."""
+    n, top = len(text), int(text.max())
+    kind = index_type(2 * max(n, top + 1))
     if n == 1:
         return np.zeros(1, dtype=kind), np.zeros(1, dtype=kind)
-    text = text.astype(kind, copy=False)
+    text = text.astype(np.int16 if 2 * top + 1 < 1 << 15 else kind, copy=False)
     small, runs = types(text)
     starts = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(kind)
     rank = name(text, 2 * text + small, starts, np.append(np.diff(starts) + 1, 1))
@@ -279,19 +280,18 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     star_lcp[1:] = starts[a] - stars[:-1] + _common(text, starts[a], starts[b])
     del inner, inner_lcp, a, b, starts
     falls = ~small
-    order, lcp, made = induce(text, falls, runs, stars, star_lcp, int(falls.sum()))
+    order, lcp, made = induce(text, falls, runs, stars, star_lcp, int(falls.sum()), most)
     del stars, star_lcp, falls
     # large suffixes of one character stand together; across characters nothing is shared
     large, large_lcp = order[made], lcp[made]
     del order, lcp, made
     if len(large):
         large_lcp[np.concatenate(([True], text[large[1:]] != text[large[:-1]]))] = 0
-    top = int(text.max())
-    text = top - text
+    text = text.dtype.type(top) - text
     small[n - 1] = False  # the end itself is produced by nothing
     large = np.ascontiguousarray(large[::-1])
     large_lcp = np.append(large_lcp[:1], large_lcp[:0:-1])
-    down, down_lcp, _ = induce(text, small, runs, large, large_lcp, int(small.sum()))
+    down, down_lcp, _ = induce(text, small, runs, large, large_lcp, int(small.sum()), most)
     del text, small, runs, large, large_lcp
     array = np.empty(n, dtype=kind)
     array[0], array[1:] = n - 1, down[::-1]
