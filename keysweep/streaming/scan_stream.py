@@ -19,12 +19,12 @@ from keysweep.sources import derived
 
 
 def document_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 256) -> DataFrame:
-    """New ``documents`` parquet files arriving in ``sf_dir`` as a stream; rows stay in the splits they are read in."""
-    present = spark.read.option("pathGlobFilter", "documents*.parquet").parquet(sf_dir)
-    return (spark.readStream.schema(present.schema)
-            .option("pathGlobFilter", "documents*.parquet")
+    """New ``documents`` parquet files arriving in ``sf_dir`` as a stream, single files or parts in folders of that name; rows stay
+    in the splits they are read in."""
+    path = f"{sf_dir.rstrip('/')}/documents*.parquet"
+    return (spark.readStream.schema(spark.read.parquet(path).schema)
             .option("maxFilesPerTrigger", max_files_per_trigger)
-            .parquet(sf_dir))
+            .parquet(path))
 
 
 def detection_stream(spark: SparkSession, docs: DataFrame) -> DataFrame:

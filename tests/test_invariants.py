@@ -47,6 +47,15 @@ def test_stream_equals_batch(spark):
     assert batch.exceptAll(stream).count() == 0 and stream.exceptAll(batch).count() == 0
 
 
+def test_stream_of_a_table_in_parts(spark, tmp_path):
+    """A table is a file or a folder of parts; the stream reads either."""
+    docs = spark.read.parquet(SF_SMALL + "/documents.parquet")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    parts = registry.SPARK["scan_stream"](spark, str(tmp_path))
+    whole = registry.SPARK["detect"](spark, SF_SMALL)
+    assert whole.exceptAll(parts).count() == 0 and parts.exceptAll(whole).count() == 0
+
+
 def test_read_file_tree_and_decode(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "src" / "a.py").write_bytes(b"token = 'abcdefghijkl'\n\xff\xfe ok")
