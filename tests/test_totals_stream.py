@@ -74,3 +74,14 @@ def test_start_twice_without_news(spark, tmp_path):
     folder, base = str(tmp_path / "in"), str(tmp_path / "out")
     arrive(spark, folder, [("o/r", "main", "a", 1, SECRETS[0])])
     assert now(spark, folder, base) == now(spark, folder, base) == [("o/r", 1, 1, 1, 1, 0, 0, 0)]
+
+
+def test_totals_of_a_table_in_parts(spark, tmp_path):
+    """A table is a file or a folder of parts; the totals are the same."""
+    from keysweep.plans import registry
+    from conftest import SF_SMALL
+    docs = spark.read.parquet(SF_SMALL + "/documents.parquet")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    parts = registry.SPARK["stream_totals"](spark, str(tmp_path))
+    whole = registry.SPARK["stream_totals"](spark, SF_SMALL)
+    assert whole.exceptAll(parts).count() == 0 and parts.exceptAll(whole).count() == 0
