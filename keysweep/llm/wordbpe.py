@@ -1,22 +1,31 @@
 """Whole texts to ids of a public ``tokenizers`` file whose pre-tokenizer drops white space.
 
 Such a tokenizer encodes every white-space separated word on its own, so each task keeps the ids of the words it
-has met and joins them; the file is opened once in each Python worker. Only characters that are white space both for
-Python and for the tokenizer's pattern split a text, and a text with the few that differ is encoded as a whole.
+has met and joins them; the file is opened once in each Python worker. New words of letters alone are encoded together, one
+call for those of several texts. Only characters that are white space both for Python and for the tokenizer's pattern split a
+text, and a text with the few that differ is encoded as a whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
 #: str.split() splits at these too, the tokenizer's pattern does not.
 _ODD = re.compile("[\x1c-\x1f]")
+#: Characters of the texts whose words are learnt together.
+_GROUP = 1 << 18
 _OPEN: dict[str, "Words"] = {}
 
 
+def _letters(word: str) -> bool:
+    """One pre-token: letters that are letters in every Unicode version; a lower-cased dotted I has a mark behind it."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250" and "\u0130" not in word)
+
+
 class Words(dict):
     """word -> ids as little-endian unsigned 32-bit bytes."""
 
@@ -31,30 +40,76 @@ class Words(dict):
         super().__init__()
         self.older: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        #: Which ids end a pre-token.
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
 
     def bytes_of(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if max(word) < "\u0250":  # where letters are letters in every Unicode version
-            if word[-1] in ".," and (core := word[:-1]).isalpha():  # letters and a sign are two pre-tokens
-                return self[core] + self[word[-1]]
-            if word.isascii() and word.isalpha() and not word.islower():  # the tokenizer lower-cases anyway
-                return self[word.lower()]
-        if 2 * len(self) >= self.MOST:
-            self.older = dict(self)
-            self.clear()
-        ids = self.older.get(word) or self.bytes_of(word)
+        if (ids := self.older.get(word)) is None:
+            if word[-1] in ".," and _letters(word[:-1]):  # letters and a sign are two pre-tokens
+                ids = self[word[:-1]] + self[word[-1]]
+            elif word.isascii() and word.isalpha() and not word.islower():  # the tokenizer lower-cases anyway
+                ids = self[word.lower()]
+            else:
+                ids = self.bytes_of(word)
         if len(word) <= 64:
+            self._make_room()
             self[word] = ids
         return ids
 
+    def _make_room(self, more: int = 0) -> None:
+        if 2 * (len(self) + more) >= self.MOST:
+            self.older = dict(self)
+            self.clear()
+
+    def learn(self, words: set[str]) -> None:
+        """Encodes what ``words`` need and isn't held yet, all words of letters in one call."""
+        cores = set()
+        for word in words:
+            if word not in self.older:
+                core = word[:-1] if word[-1] in ".," else word
+                if _letters(core) and len(core) <= 64:
+                    cores.add(core.lower() if core.isascii() else core)
+        new = [word for word in cores if word not in self and word not in self.older]
+        if not new:
+            return
+        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, dtype="<u4")
+        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(stops) == len(new):  # else each is encoded when it is asked for
+            raw = ids.tobytes()
+            self._make_room(len(new))
+            self.update(zip(new, [raw[a:b] for a, b in zip([0, *stops], stops)]))
+
     def encode(self, text: str) -> bytes:
         """All ids of a text, four bytes each."""
         if _ODD.search(text):
             return self.bytes_of(text)
         return b"".join(map(self.__getitem__, text.split()))
 
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """``encode`` of each text."""
+        at = 0
+        while at < len(texts):
+            group, size = [], 0
+            while at < len(texts) and size < _GROUP:
+                group.append(texts[at])
+                size += len(texts[at])
+                at += 1
+            split = [None if _ODD.search(text) else text.split() for text in group]
+            found = [list(map(self.get, words or ())) for words in split]
+            lacking = [None in ids for ids in found]
+            self.learn({word for words, ids, lacks in zip(split, found, lacking) if lacks
+                        for word, one in zip(words, ids) if one is None})
+            for text, words, ids, lacks in zip(group, split, found, lacking):
+                if words is None:
+                    yield self.bytes_of(text)
+                else:
+                    yield b"".join([self[w] if one is None else one for w, one in zip(words, ids)] if lacks else ids)
+
 
 def words_of(path: str) -> Words:
     """This worker's open tokenizer of ``path``."""

@@ -71,6 +71,22 @@ def test_words_encode_like_whole_texts():
         assert words.encode(text) == words.bytes_of(text)
 
 
+def test_new_words_are_encoded_together():
+    """A dotted I lower-cases to two characters, the second of which joins a sign behind it."""
+    texts = ["Xİ, aİ", "", " \n", "Don't STOP, it's 1.5% of É́tudes...", "a\x1cb <|endoftext|>x ΣΑΣ.", "ª º, ŉ. ǅ, ß.", "x" * 200 + ",",
+             "one One ONE, one. two", "one, three"] * 3
+    for group in (texts, texts[:1], texts[::-1], []):
+        words = Words(default_path())
+        assert list(words.encode_all(group)) == [words.bytes_of(text) for text in group]
+        assert [words.encode(text) for text in group] == [words.bytes_of(text) for text in group]
+    words, alone = Words(default_path()), []
+    words.bytes_of = lambda word: alone.append(word) or Words.bytes_of(words, word)
+    list(words.encode_all([" ".join(f"{a}{b}, {b}{a.upper()}" for a in "abcdefghij" for b in "klmnopqrst")]))
+    assert alone == [","]
+    words.MOST = 8  # words held go again and again
+    assert list(words.encode_all(texts)) == [Words.bytes_of(words, text) for text in texts]
+
+
 def test_histogram_answers_every_limit(spark):
     docs = read(spark, SF_SMALL, "documents")
     tokenizer = Tokenizer.from_file(default_path())
