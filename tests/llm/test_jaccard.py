@@ -59,6 +59,24 @@ def test_documents_are_shuffled_beyond_the_broadcast_bound(spark, monkeypatch):
     check(spark, random_texts(60, 8))
 
 
+def test_a_part_of_the_maps_can_decide(spark):
+    """A first part that differs too much is enough, and what all parts let through is what the whole maps do."""
+    import random
+    rng, words = random.Random(5), J.MAP_WORDS
+    rows = [(10, [-1] * (words // 4), 11, [0] * (words // 4))]  # nothing behind the first part
+    for _ in range(200):
+        x = [rng.getrandbits(63) for _ in range(words)]
+        y = [v ^ (rng.getrandbits(63) & rng.getrandbits(63) if rng.random() < 0.3 else 0) for v in x]
+        rows.append((rng.randint(500, 1500), x, rng.randint(500, 1500), y))
+    pairs = spark.createDataFrame([((n, x), (m, y)) for n, x, m, y in rows],
+                                  "x struct<n: int, map: array<long>>, y struct<n: int, map: array<long>>")
+    got = [r[0] for r in pairs.select(J._may_link("x", "y", 80)).collect()]
+    assert got[0] is False
+    expected = [100 * n >= 80 * m and 100 * m >= 80 * n and sum((v ^ w).bit_count() for v, w in zip(x, y)) <= (n + m) * 20 // 180
+                for n, x, m, y in rows[1:]]
+    assert got[1:] == expected and len(set(expected)) == 2
+
+
 def test_empty_table(spark):
     assert J.join(frame(spark, [])).collect() == []
 
