@@ -93,7 +93,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = 204
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, bins, rows = words_of(path), Bins(capacity, TaskContext.get().partitionId()), []
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), words.encode_all(batch.column(1).to_pylist())):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), words.encode_all(batch.column(1))):
                 ids += end
                 tokens, at = len(ids) // 4, 0
                 for size in cuts(tokens, capacity):

@@ -1,31 +1,62 @@
 """Whole texts to ids of a public ``tokenizers`` file whose pre-tokenizer drops white space.
 
 Such a tokenizer encodes every white-space separated word on its own, so each task keeps the ids of the words it
-has met and joins them; the file is opened once in each Python worker. New words of letters alone are encoded together, one
-call for those of several texts. Only characters that are white space both for Python and for the tokenizer's pattern split a
-text, and a text with the few that differ is encoded as a whole.
+has met and joins them; the file is opened once in each Python worker. Where the file lower-cases and takes runs of letters and
+runs of signs for pre-tokens, a word of Latin letters with signs behind is two of them: the lower-cased letters go straight to the
+tokenizer's model. Only characters that are white space both for Python and for the tokenizer's pattern split a text, and a text
+with the few that differ is encoded as a whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: str.split() splits at these too, the tokenizer's pattern does not.
 _ODD = re.compile("[\x1c-\x1f]")
-#: Characters of the texts whose words are learnt together.
+#: Words of a text whose ids are put together at once.
 _GROUP = 1 << 18
+#: Normalizer and pattern of the files whose words of letters may go straight to the model.
+_NORMALIZER = ["NFC", "Replace", "Lowercase"]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _OPEN: dict[str, "Words"] = {}
 
 
+def _byte_characters() -> dict[int, str]:
+    """The characters that stand for the bytes of a byte-level model."""
+    own = {*range(0x21, 0x7f), *range(0xa1, 0xad), *range(0xae, 0x100)}
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(256 + n) for n, b in enumerate(others)}
+
+
+_BYTES = _byte_characters()
+
+
 def _letters(word: str) -> bool:
     """One pre-token: letters that are letters in every Unicode version; a lower-cased dotted I has a mark behind it."""
     return word.isalpha() and (word.isascii() or max(word) < "\u0250" and "\u0130" not in word)
 
 
+def _by_runs(spec: dict) -> bool:
+    """Whether a tokenizer file lower-cases and makes pre-tokens of runs of letters and runs of signs, in bytes."""
+    try:
+        steps, (split, level) = spec["normalizer"]["normalizers"], spec["pre_tokenizer"]["pretokenizers"]
+        return ([s["type"] for s in steps] == _NORMALIZER and steps[1]["pattern"] == {"Regex": r"\s+"}
+                and (split["type"], split["pattern"], split["behavior"], split["invert"]) == ("Split", {"Regex": _PATTERN}, "Removed", True)
+                and (level["type"], level["add_prefix_space"], level["use_regex"]) == ("ByteLevel", False, False)
+                and spec["model"]["type"] == "BPE" and not spec["model"]["dropout"]
+                and all(re.match(r"[!-/:-@\[-`{-~]+[A-Za-z]", t["content"]) for t in spec["added_tokens"]))
+    except (KeyError, TypeError, ValueError, IndexError):
+        return False
+
+
 class Words(dict):
     """word -> ids as little-endian unsigned 32-bit bytes."""
 
@@ -40,49 +71,45 @@ class Words(dict):
         super().__init__()
         self.older: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
-        vocab = self.tokenizer.get_vocab()
-        #: Which ids end a pre-token.
-        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self.model = self.tokenizer.model
+        spec = json.loads(self.tokenizer.to_str())
+        self.by_runs = _by_runs(spec)
+        #: The bytes of every id.
+        ids = np.arange(max(self.tokenizer.get_vocab().values()) + 1, dtype="<u4").tobytes()
+        self.raw = [ids[at:at + 4] for at in range(0, len(ids), 4)]
 
     def bytes_of(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        if (ids := self.older.get(word)) is None:
-            if word[-1] in ".," and _letters(word[:-1]):  # letters and a sign are two pre-tokens
-                ids = self[word[:-1]] + self[word[-1]]
-            elif word.isascii() and word.isalpha() and not word.islower():  # the tokenizer lower-cases anyway
-                ids = self[word.lower()]
-            else:
-                ids = self.bytes_of(word)
+    def _run(self, word: str) -> bytes:
+        """Of lower-case letters alone."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTES)
+        raw = self.raw
+        return b"".join([raw[token.id] for token in self.model.tokenize(word)])
+
+    def ids_of(self, word: str) -> bytes:
+        """The ids of a word; what they are made of is kept."""
+        if not word:
+            return b""
+        if self.by_runs:
+            core = word.rstrip(string.punctuation)
+            if _letters(core):
+                low = core.lower()
+                ids = self.get(low) or self._keep(low, self.older.get(low) or self._run(low))
+                return ids if len(core) == len(word) else ids + self[word[len(core):]]
+        return self.get(word) or self._keep(word, self.older.get(word) or self.bytes_of(word))
+
+    def _keep(self, word: str, ids: bytes) -> bytes:
         if len(word) <= 64:
-            self._make_room()
+            if 2 * len(self) >= self.MOST:
+                self.older = dict(self)
+                self.clear()
             self[word] = ids
         return ids
 
-    def _make_room(self, more: int = 0) -> None:
-        if 2 * (len(self) + more) >= self.MOST:
-            self.older = dict(self)
-            self.clear()
-
-    def learn(self, words: set[str]) -> None:
-        """Encodes what ``words`` need and isn't held yet, all words of letters in one call."""
-        cores = set()
-        for word in words:
-            if word not in self.older:
-                core = word[:-1] if word[-1] in ".," else word
-                if _letters(core) and len(core) <= 64:
-                    cores.add(core.lower() if core.isascii() else core)
-        new = [word for word in cores if word not in self and word not in self.older]
-        if not new:
-            return
-        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, dtype="<u4")
-        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-        if len(stops) == len(new):  # else each is encoded when it is asked for
-            raw = ids.tobytes()
-            self._make_room(len(new))
-            self.update(zip(new, [raw[a:b] for a, b in zip([0, *stops], stops)]))
+    def __missing__(self, word: str) -> bytes:
+        return self._keep(word, self.older.get(word) or self.ids_of(word))
 
     def encode(self, text: str) -> bytes:
         """All ids of a text, four bytes each."""
@@ -90,25 +117,28 @@ class Words(dict):
             return self.bytes_of(text)
         return b"".join(map(self.__getitem__, text.split()))
 
-    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
-        """``encode`` of each text."""
-        at = 0
-        while at < len(texts):
-            group, size = [], 0
-            while at < len(texts) and size < _GROUP:
-                group.append(texts[at])
-                size += len(texts[at])
-                at += 1
-            split = [None if _ODD.search(text) else text.split() for text in group]
-            found = [list(map(self.get, words or ())) for words in split]
-            lacking = [None in ids for ids in found]
-            self.learn({word for words, ids, lacks in zip(split, found, lacking) if lacks
-                        for word, one in zip(words, ids) if one is None})
-            for text, words, ids, lacks in zip(group, split, found, lacking):
-                if words is None:
-                    yield self.bytes_of(text)
-                else:
-                    yield b"".join([self[w] if one is None else one for w, one in zip(words, ids)] if lacks else ids)
+    def encode_all(self, texts: list[str] | pa.Array) -> Iterator[bytes]:
+        """``encode`` of each text of a batch; every word of the batch is looked up once."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        split = pc.ascii_split_whitespace(texts)  # at some of the tokenizer's white space; the rest is left to it
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.get, words))
+        for k in [k for k, ids in enumerate(found) if ids is None]:
+            found[k] = self.ids_of(words[k])
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) >> 2
+        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(found), dtype="<u4")
+        at, ends = coded.indices.to_numpy(), np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        for k, end in enumerate(ends.tolist()):
+            first = int(ends[k - 1]) if k else 0
+            yield b"".join([_gather(at[i:min(i + _GROUP, end)], sizes, starts, flat) for i in range(first, end, _GROUP)])
+
+
+def _gather(at: np.ndarray, sizes: np.ndarray, starts: np.ndarray, flat: np.ndarray) -> bytes:
+    """The ids of the words ``at``, one after the other."""
+    n = sizes[at]
+    ends = np.cumsum(n)
+    return flat[np.repeat(starts[at] - ends + n, n) + np.arange(ends[-1])].tobytes()
 
 
 def words_of(path: str) -> Words:

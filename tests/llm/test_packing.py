@@ -87,6 +87,19 @@ def test_new_words_are_encoded_together():
     assert list(words.encode_all(texts)) == [Words.bytes_of(words, text) for text in texts]
 
 
+def test_letters_with_signs_behind_are_two_runs():
+    """Letters with signs behind cost one look at the letters; apostrophes, digits and marks are left to the tokenizer."""
+    texts = [" ".join(f"{a}{b}{s} {b.upper()}{a}{s}" for a in "abcdeé" for b in ("tion", "Él") for s in ("$$$", "!!", "%%%", ".***")),
+             "it's IT'S don't'; x'% a-b_ b\u0301! 'll. <|endoftext|>% a<|endoftext|> Ⱥ# ŉ'", "\u00a0a\u00a0% b\x85.", "", "\n a \n"]
+    words, alone = Words(default_path()), []
+    words.bytes_of = lambda word: alone.append(word) or Words.bytes_of(words, word)
+    assert list(words.encode_all(texts)) == [Words.bytes_of(words, text) for text in texts]
+    assert sorted(word for word in alone if word[-1] in "$*") == sorted(["$$$", ".***"])
+    words.by_runs = False  # another pre-tokenizer: every word by itself
+    words.clear()
+    assert list(words.encode_all(texts)) == [Words.bytes_of(words, text) for text in texts]
+
+
 def test_histogram_answers_every_limit(spark):
     docs = read(spark, SF_SMALL, "documents")
     tokenizer = Tokenizer.from_file(default_path())
