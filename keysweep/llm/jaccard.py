@@ -166,15 +166,12 @@ def _signature_batch(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> pa.Recor
 
 
 def _may_link(a: str, b: str, percent: int):
-    """Necessary for a link: sizes within reach, and maps that differ in no more cells than the sets may in shingles. Parts of
-    the maps come first: they mostly differ too much already, and the rest isn't looked at."""
-    n = F.col(f"{a}.n") + F.col(f"{b}.n")
-    most = F.floor(n * (100 - percent) / F.lit(100 + percent))
-    words = [F.bit_count(F.get(f"{a}.map", F.lit(j)).bitwiseXOR(F.get(f"{b}.map", F.lit(j)))) for j in range(MAP_WORDS)]
-    may = (F.col(f"{a}.n") * 100 >= F.col(f"{b}.n") * percent) & (F.col(f"{b}.n") * 100 >= F.col(f"{a}.n") * percent)
-    for part in (MAP_WORDS // 8, MAP_WORDS // 4, MAP_WORDS // 2, MAP_WORDS):
-        may &= sum(words[:part], F.lit(0)) <= most
-    return may
+    """Necessary for a link: sizes within reach, and maps that differ in no more cells than the sets may in shingles. The maps are
+    compared in a loop: written out, its code is longer than what the JVM compiles, and runs many times slower."""
+    differ = F.aggregate(F.zip_with(f"{a}.map", f"{b}.map", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    n = (F.col(f"{a}.n") + F.col(f"{b}.n")).cast("long")
+    return ((F.col(f"{a}.n") * 100 >= F.col(f"{b}.n") * percent) & (F.col(f"{b}.n") * 100 >= F.col(f"{a}.n") * percent)
+            & (differ.cast("long") * (100 + percent) <= n * (100 - percent)))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, percent: int, paths: list[str]) -> DataFrame:

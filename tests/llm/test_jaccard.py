@@ -77,6 +77,26 @@ def test_a_part_of_the_maps_can_decide(spark):
     assert got[1:] == expected and len(set(expected)) == 2
 
 
+def test_map_condition_is_short_code(spark):
+    """Written out word by word, it was too long for the JVM to compile."""
+    sides = spark.createDataFrame([(5, [1] * J.MAP_WORDS)], "n int, map array<long>")
+    pairs = sides.alias("x").crossJoin(sides.alias("y")).select(J._may_link("x", "y", 80).alias("may"))
+    assert str(pairs._jdf.queryExecution().analyzed()).count("bit_count") == 1 and pairs.collect() == [(True,)]
+
+
+def test_components_in_few_parts(spark, monkeypatch):
+    """Parts and repeated edges change nothing: a chain, a star, a ring, a loop and a pair given twice."""
+    from keysweep.llm import components as C
+    edges = ([(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(200 + i, 200 + (i + 1) % 9) for i in range(9)]
+             + [(300, 300), (401, 400), (400, 401)])
+    expected = ({i: 0 for i in range(41)} | {100 + i: 100 for i in range(60)} | {200 + i: 200 for i in range(9)} | {400: 400, 401: 400})
+    frame_ = spark.createDataFrame(edges, "a long, b long").repartition(30)
+    for least in (1, 8):
+        monkeypatch.setattr(C, "LEAST_PARTS", least)
+        found = C.components(frame_)
+        assert sorted(map(tuple, found.collect())) == sorted(expected.items())
+
+
 def test_empty_table(spark):
     assert J.join(frame(spark, [])).collect() == []
 
