@@ -40,7 +40,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates the row with the smallest doc_id stays (where that repeats, its smallest set; of
     rows equal in both, one). Rows without words are in no component: of those equal in doc_id and text, one stays."""
-    found = materialize(join(docs).select("doc_id", "set_id", "label", "component_id"), "pipeline-components")
+    found = join(docs)  # a table already
     again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     again = materialize(again, "pipeline-repeated")
     gone = found.where("component_id <> doc_id").select("doc_id").union(again).distinct()

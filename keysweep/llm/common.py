@@ -13,6 +13,8 @@ from keysweep.session import shared_dir
 #: Rows and bytes of one Arrow batch handed to Python; very long texts then travel in smaller batches.
 BATCH_ROWS = 1000
 BATCH_BYTES = 4 * 1024 * 1024
+#: Rows of one part of a table of narrow rows, and the fewest parts of any.
+PART_ROWS, LEAST_PARTS = 20_000, 8
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,6 +41,12 @@ def broadcast_if_few(df: DataFrame, most: int = 1 << 16) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def in_parts(df: DataFrame, rows: int, each: int = PART_ROWS) -> DataFrame:
+    """At most so many parts as ``rows`` (what df has or was made from) are worth, at ``each`` a part. To write a few rows in as
+    many files as a shuffle has partitions takes longer than to make them, and on a local disk starts a process (chmod) a file."""
+    return df.coalesce(max(LEAST_PARTS, rows // each))
+
+
 def materialize(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it again: lineage ends there, compressed, and a lost
     executor costs nothing that was finished before.  ``paths`` gets the folder, for ``remove``."""

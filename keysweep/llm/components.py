@@ -17,11 +17,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each step hangs a node's neighbours on the smallest of them and ends when nothing moves, after a number of steps that
     grows with the logarithm of the longest chain. Edges stay in the cluster and every step is checkpointed; a node with very
     many neighbours is only ever aggregated or joined, never collected. No edges: no rows. Loops and repeated edges change
-    nothing.
+    nothing. ``edges`` should be a table, as it is counted first.
     """
     checkpoint_root(edges.sparkSession)
     now = _distinct(edges.select(F.col(a).alias("u"), F.col(b).alias("v")))
-    before = None
+    before, most = None, edges.count()
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
@@ -30,7 +30,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         now = _distinct(now.join(least, "u").select(F.explode(F.array(
             F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v"))
-        now = (now.coalesce(max(LEAST_PARTS, before[0] // PART_EDGES)) if before else now).checkpoint()
+        now = now.coalesce(max(LEAST_PARTS, (before[0] if before else most) // PART_EDGES)).checkpoint()
         state = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v"))).first())
         if state == before:
             break

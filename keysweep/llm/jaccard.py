@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from keysweep.llm.common import materialize, narrow, read, remove, small_batches
+from keysweep.llm.common import in_parts, materialize, narrow, read, remove, small_batches
 from keysweep.llm.components import components
 from keysweep.llm.shingles import mix, shingle_set
 
@@ -33,6 +33,8 @@ BROADCAST_KEYS = 1 << 18
 MAP_WORDS = 32
 #: Signature rows of one batch.
 _ROWS = 50_000
+#: Whole sets, or pairs of them, of one part.
+_SETS = 128
 
 PASSIVE, ASKING, DOCUMENT = 0, 1, 2
 _SCHEMA = pa.schema([("sig", pa.int64()), ("sid", pa.int64()), ("kind", pa.int8()), ("doc_id", pa.int64()),
@@ -175,10 +177,13 @@ def _may_link(a: str, b: str, percent: int):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, percent: int, paths: list[str]) -> DataFrame:
-    """The pairs (a, b) whose whole sets link. ``sets``: sid and the smallest doc_id of each set."""
+    """The pairs (a, b) whose whole sets link. ``sets``: sid and the smallest doc_id of each set. Both should be tables, as they
+    are counted."""
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(sets.select("sid", "doc_id"), "sid")
-    wanted = materialize(wanted, "jaccard-wanted", paths)
-    if wanted.count() <= BROADCAST_KEYS:
+    asked = pairs.count()
+    wanted = materialize(in_parts(wanted, sets.count() + 2 * asked), "jaccard-wanted", paths)
+    wholes = wanted.count()
+    if wholes <= BROADCAST_KEYS:
         wanted = F.broadcast(wanted)
     texts = docs.join(wanted, "doc_id").select("sid", F.col("text").cast("binary").alias("text"))
 
@@ -193,7 +198,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, per
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.binary()))],
                                                  ["sid", "s"])
 
-    whole = materialize(texts.mapInArrow(shingles, "sid long, s binary").dropDuplicates(["sid"]), "jaccard-sets", paths)
+    whole = texts.mapInArrow(shingles, "sid long, s binary").dropDuplicates(["sid"])
+    whole = materialize(in_parts(whole, wholes, _SETS), "jaccard-sets", paths)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,7 +213,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, per
 
     both = (pairs.join(whole.select(F.col("sid").alias("a"), F.col("s").alias("x")), "a")
             .join(whole.select(F.col("sid").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y"))
-    return materialize(both.mapInArrow(compare, "a long, b long"), "jaccard-links", paths)
+    return materialize(in_parts(both.mapInArrow(compare, "a long, b long"), asked, _SETS), "jaccard-links", paths)
 
 
 def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,36 +240,37 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
             .withColumn("hub", F.min(asking).over(here))
             .where((F.col("kind") == DOCUMENT) | ((F.col("lo") < F.col("hi")) & F.col("hub").isNotNull())).drop("lo", "hi"))
     kept = materialize(rows, "jaccard-signatures", paths)
+    n = kept.count()  # what all tables of ids are made from
     documents = kept.where(F.col("kind") == DOCUMENT).select("doc_id", "sid", "n", "map")
     sets = (documents.where("sid is not null").groupBy("sid")
             .agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("map").alias("map")))
-    sets = materialize(sets, "jaccard-classes", paths)
+    sets = materialize(in_parts(sets, n), "jaccard-classes", paths)
     lists = kept.where(F.col("kind") != DOCUMENT).groupBy("sig", "sid").agg(F.max("kind").alias("kind"), F.min("hub").alias("hub"))
 
     # Every set of a list against the list's first.
     stars = lists.where("sid <> hub").select(F.col("hub").alias("a"), F.col("sid").alias("b")).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     stars = _near(stars, sets, percent)
-    links = _verified(materialize(stars, "jaccard-stars", paths), sets, docs, size, percent, paths)
+    links = _verified(materialize(in_parts(stars, n), "jaccard-stars", paths), sets, docs, size, percent, paths)
     joined = components(links)
 
     # What the lists still hold of different components: first one set of each component against the least of them (all have
     # been compared with the hub).
-    at = _several(lists, joined, paths, "jaccard-open")
+    at = _several(lists, joined, n, paths, "jaccard-open")
     heads = at.where("sid <> hub").groupBy("sig", "label").agg(F.min("sid").alias("sid")).withColumn("first", F.min("sid").over(here))
     heads = _near(heads.where("sid > first").select(F.col("first").alias("a"), F.col("sid").alias("b")).distinct(), sets, percent)
-    more = _verified(materialize(heads, "jaccard-heads", paths), sets, docs, size, percent, paths)
+    more = _verified(materialize(in_parts(heads, n), "jaccard-heads", paths), sets, docs, size, percent, paths)
     if not more.isEmpty():
         links = links.union(more)
         joined = components(links)
-        at = _several(at.drop("label"), joined, paths, "jaccard-left")
+        at = _several(at.drop("label"), joined, n, paths, "jaccard-left")
     at = at.where("sid <> hub").join(sets.select("sid", "n", "map"), "sid").select("sig", "sid", "kind", "label", "n", "map")
-    at = materialize(at, "jaccard-sides", paths)
+    at = materialize(in_parts(at, n), "jaccard-sides", paths)
     x, y = at.where(F.col("kind") == ASKING).alias("x"), at.alias("y")
     rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.label") != F.col("y.label"))
                   & ((F.col("y.kind") != ASKING) | (F.col("x.sid") < F.col("y.sid"))) & _may_link("x", "y", percent))
-    rest = materialize(rest.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct(),
-                       "jaccard-rest", paths)
+    rest = rest.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
+    rest = materialize(in_parts(rest, n), "jaccard-rest", paths)  # distinct deals them out anew: the join keeps its tasks
     if not rest.isEmpty():
         links = links.union(_verified(rest, sets, docs, size, percent, paths))
         joined = components(links)
@@ -271,19 +278,19 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
     labels = documents.join(joined.select(F.col("node").alias("sid"), "label"), "sid", "left").select(
         "doc_id", "sid", "n", F.coalesce("label", "sid").alias("label"))
     least = labels.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    result = materialize(labels.join(least, "label", "left").select(
+    result = materialize(in_parts(labels.join(least, "label", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("sid").alias("set_id"),
-        F.coalesce("component_id", "doc_id").alias("component_id"), "label"), "jaccard-components")
+        F.coalesce("component_id", "doc_id").alias("component_id"), "label"), n), "jaccard-components")
     remove(spark, paths)
     return result
 
 
-def _several(lists: DataFrame, joined: DataFrame, paths: list[str], name: str) -> DataFrame:
+def _several(lists: DataFrame, joined: DataFrame, n: int, paths: list[str], name: str) -> DataFrame:
     """The rows of the lists that hold sets of several components, with their label."""
     here = Window.partitionBy("sig")
     at = lists.join(joined.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     at = at.withColumn("lo", F.min("label").over(here)).withColumn("hi", F.max("label").over(here)).where("lo < hi")
-    return materialize(at.drop("lo", "hi"), name, paths)
+    return materialize(in_parts(at.drop("lo", "hi"), n), name, paths)
 
 
 def with_set_id(docs: DataFrame, size: int = 5) -> DataFrame:
